@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partita.llm import mixing
+from partita.llm import mixing, sentencepiece_codec
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,5 +52,16 @@ SELECT doc_id, size, source_size, target,
 FROM placed
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op5_mixing": op5_mixing}
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = sentencepiece_codec.decode(sentencepiece_codec.encode(_table(spark, sf_dir, "documents")))
+    return coded.select(
+        "doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_ids"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        F.col("decoded").eqNullSafe(F.regexp_replace("text", "\u2581", " ")).alias("round_trip"),
+    )
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op5_mixing": op5_mixing, "op10_sentencepiece": op10_sentencepiece}
 ORACLES: dict[str, str] = {"op5_mixing": OP5_SQL}
