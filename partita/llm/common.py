@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +37,11 @@ def documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *keep)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once for each row."""
+    return F.transform(F.array(value), body)[0]
+
+
 def hash60(column: str) -> Column:
     """60 even bits of a value's text, the same in every engine that has MD5; null counts as empty."""
     return F.conv(F.substring(F.md5(F.coalesce(F.col(column).cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")

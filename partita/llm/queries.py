@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partita.llm import language, media, mixing, secrets, sentencepiece_codec, toxicity
+from partita.llm import language, lines, media, mixing, secrets, sentencepiece_codec, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,11 @@ FROM placed
 """
 
 
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.dedup_lines(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("kept_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents")))
 
@@ -79,5 +84,5 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_media": op1_media, "op2_language": op2_language, "op3_toxicity": op3_toxicity, "op5_mixing": op5_mixing, "op9_secrets": op9_secrets, "op10_sentencepiece": op10_sentencepiece}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_media": op1_media, "op2_language": op2_language, "op3_toxicity": op3_toxicity, "op5_mixing": op5_mixing, "op6_lines": op6_lines, "op9_secrets": op9_secrets, "op10_sentencepiece": op10_sentencepiece}
 ORACLES: dict[str, str] = {"op5_mixing": OP5_SQL}

@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from partita.llm.common import documents, hash60, materialise
+from partita.llm.common import documents, hash60, let, materialise
 
 #: The base patterns. The last two find the same runs as without their least lengths, since a run is
 #: taken whole or not at all.
@@ -35,11 +35,6 @@ LEAST_TOTAL = 12.0
 BLOCK = 256
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _total(items: Column) -> Column:
     return F.aggregate(items, F.lit(0), lambda s, x: s + x["p"] + x["m"])
 
