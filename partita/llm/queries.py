@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partita.llm import language, lines, media, mixing, neighbours, secrets, sentencepiece_codec, toxicity
+from partita.llm import language, lines, media, minhash, mixing, neighbours, secrets, sentencepiece_codec, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,10 @@ def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(_table(spark, sf_dir, "documents"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents")))
 
@@ -88,5 +92,5 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_media": op1_media, "op2_language": op2_language, "op3_toxicity": op3_toxicity, "op5_mixing": op5_mixing, "op6_lines": op6_lines, "op7_neighbours": op7_neighbours, "op9_secrets": op9_secrets, "op10_sentencepiece": op10_sentencepiece}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_media": op1_media, "op2_language": op2_language, "op3_toxicity": op3_toxicity, "op5_mixing": op5_mixing, "op6_lines": op6_lines, "op7_neighbours": op7_neighbours, "op8_minhash": op8_minhash, "op9_secrets": op9_secrets, "op10_sentencepiece": op10_sentencepiece}
 ORACLES: dict[str, str] = {"op5_mixing": OP5_SQL}
