@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partita.llm import language, lines, media, minhash, mixing, neighbours, secrets, sentencepiece_codec, toxicity
+from partita.llm import language, lines, media, minhash, mixing, neighbours, secrets, sentencepiece_codec, substrings, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.rate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.dedup_substrings(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("extra")).alias("taken"))
@@ -92,5 +97,5 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_media": op1_media, "op2_language": op2_language, "op3_toxicity": op3_toxicity, "op5_mixing": op5_mixing, "op6_lines": op6_lines, "op7_neighbours": op7_neighbours, "op8_minhash": op8_minhash, "op9_secrets": op9_secrets, "op10_sentencepiece": op10_sentencepiece}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_media": op1_media, "op2_language": op2_language, "op3_toxicity": op3_toxicity, "op4_substrings": op4_substrings, "op5_mixing": op5_mixing, "op6_lines": op6_lines, "op7_neighbours": op7_neighbours, "op8_minhash": op8_minhash, "op9_secrets": op9_secrets, "op10_sentencepiece": op10_sentencepiece}
 ORACLES: dict[str, str] = {"op5_mixing": OP5_SQL}
