@@ -6,7 +6,7 @@ there next to the piece before it (``_Vocabulary.stays_apart`` says if merges ev
 No piece is longer than ``window``, so only that many positions survive; whenever the paths from all of them meet in
 one boundary, the ids before it are committed and forgotten. White space starts a piece and never ends one after other
 characters, so paths always meet in front of it; what lies between two such points is encoded once per worker and
-remembered, up to ``REMEMBERED`` entries.
+remembered, up to ``REMEMBERED`` entries; between a letter and a mark that no piece has after letters, paths meet as well.
 
 Ids equal those of the sentencepiece library; decoding gives the text back, except that U+2581, by which the format
 itself writes a space, comes back as a space.
@@ -22,11 +22,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from partita.llm.common import documents
+from partita.llm.common import documents, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 NEVER = float("inf")
+ONE = (1,)
 REMEMBERED = 300_000
 
 
@@ -84,14 +85,22 @@ class _Vocabulary:
         self.ids, self.ranks, self.made, self.raw = tables["ids"], tables["ranks"], tables["made"], tables["raw"]
         self.unknown, self.pieces = tables["unknown"], tables["pieces"]
         self.window = max(map(len, self.made), default=1)
+        ending: dict[str, set[int]] = {}
+        for p in self.made:
+            ending.setdefault(p[-2:], {1}).add(len(p))
+        #: By the last two characters: how long pieces that end so can be, the longest first.
+        self.lengths = {end: tuple(sorted(n, reverse=True)) for end, n in ending.items()}
         self.formed: dict[str, float] = {}
         self.spines: tuple[dict, dict] = ({}, {})
-        self.apart: dict[tuple[str, str], bool] = {}
+        self.apart: dict[str, bool] = {}
         self.known: dict[str, bytes] = {}
         inside = {c for p in self.ids if len(p) > 1 for c in p}
         stops = "".join(c for c in "\n\t\r" if c not in inside)
-        self.parts = re.compile(f"{SPACE}*[^{SPACE}{stops}]+|{SPACE}+" + (f"|[{stops}]" if stops else ""))
+        joined = {p[k + 1] for p in self.made for k in range(len(p) - 1) if p[k].isalpha()}
+        marks = "".join(re.escape(c) for c in ".,;:!?)\"" if c not in joined)  # that no piece has after a letter
+        self.parts = re.compile((f"{SPACE}*+[^\\W\\d_]++(?=[{marks}{SPACE}{stops}]|$)|" if marks else "") + f"{SPACE}*[^{SPACE}{stops}]+|{SPACE}+" + (f"|[{stops}]" if stops else ""))
         self.bytes_of = {i: b for b, i in self.raw.items()}
+        self.is_byte = np.isin(np.arange(len(self.pieces)), list(self.bytes_of))
 
     def when(self, piece: str) -> float:
         """The largest rank among the merges that make a piece."""
@@ -138,26 +147,30 @@ class _Vocabulary:
                 j += 1
                 clock = max(clock, b)
 
-    def viterbi(self, text: str) -> list[str]:
+    def viterbi(self, text: str, last: dict[int, str] | None = None, start_at: int = 0) -> list[str]:
         """Pieces of a text, committed as soon as all surviving paths agree on a boundary.
 
-        Agreement is looked for once in a window, so that no more than two windows are ever kept.
+        ``last`` has, by position, the piece that ends there, which is its backpointer; what it has up to ``start_at``
+        is taken over from a text with the same beginning. Agreement is looked for once in a window, so that no more
+        than two windows are ever kept.
         """
         done: list[str] = []
-        last: dict[int, str] = {0: ""}  # by position: the piece that ends there, which is its backpointer
-        base, window, made, apart = 0, self.window, self.made, self.apart
-        for end in range(1, len(text) + 1):
-            for start in range(max(base, end - window), end):
-                if (before := last.get(start)) is None:
+        last = {0: ""} if last is None else last
+        base, window, made, apart, lengths = 0, self.window, self.made, self.apart, self.lengths
+        for end in range(start_at + 1, len(text) + 1):
+            for n in lengths.get(text[max(0, end - 2) : end], ONE):
+                start = end - n
+                if start < base or (before := last.get(start)) is None:
                     continue
                 piece = text[start:end]
-                if end - start == 1 or piece in made:
+                if n == 1 or piece in made:
                     if start:
-                        ok = apart.get((before, piece))
+                        pair = before + "\0" + piece
+                        ok = apart.get(pair)
                         if ok is None:
                             if len(apart) > REMEMBERED:
                                 apart.clear()
-                            ok = apart[before, piece] = self.stays_apart(before, piece)
+                            ok = apart[pair] = self.stays_apart(before, piece)
                         if not ok:
                             continue
                     last[end] = piece
@@ -179,10 +192,7 @@ class _Vocabulary:
             path.append(at)
         return path
 
-    def encode_part(self, part: str) -> bytes:
-        """Ids of a part between two certain boundaries, as 32-bit numbers."""
-        # Runs of spaces have equal ranks, so their merges follow the definition.
-        pieces = merge(part, self.ranks) if part.startswith(SPACE * 2) else self.viterbi(part)
+    def _ids(self, pieces: list[str]) -> bytes:
         ids: list[int] = []
         for p in pieces:
             if (i := self.ids.get(p)) is not None:
@@ -191,25 +201,36 @@ class _Vocabulary:
                 ids += [self.raw.get(b, self.unknown) for b in p.encode()]
         return np.array(ids, np.int32).tobytes()
 
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        known, out = self.known, []
-        for part in self.parts.findall(SPACE + text.replace(" ", SPACE)):
-            ids = known.get(part)
-            if ids is None:
-                ids = self.encode_part(part)
-                if len(part) <= 64:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[part] = ids
-            out.append(ids)
-        return b"".join(out)
+    def learn(self, parts: list[str]) -> None:
+        """Encodes parts in order of their letters: backpointers of a common beginning are those of the part before."""
+        before, last = "", {0: ""}
+        for part in sorted(parts):
+            if part.startswith(SPACE * 2):  # runs of spaces have equal ranks, so their merges follow the definition
+                self.known[part] = self._ids(merge(part, self.ranks))
+                continue
+            if len(part) >= 2 * self.window:
+                self.known[part] = self._ids(self.viterbi(part))
+                continue
+            same, most = 0, min(len(part), len(before))
+            while same < most and part[same] == before[same]:
+                same += 1
+            last = {p: x for p, x in last.items() if p <= same}
+            self.known[part] = self._ids(self.viterbi(part, last, same))
+            before = part
+
+    def encode(self, texts: list[str | None]) -> list[bytes | None]:
+        """Ids of each text as 32-bit numbers."""
+        split = [self.parts.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        self.learn(list(set().union(*split).difference(self.known)))
+        get = self.known.__getitem__
+        return [None if t is None else b"".join(map(get, s)) for t, s in zip(texts, split, strict=True)]
 
     def decode(self, ids: np.ndarray) -> str:
         pieces = self.pieces
-        text = "".join([pieces[i] for i in ids.tolist()])
-        if len(ids) and (at := np.isin(ids, list(self.bytes_of))).any():
+        text = "".join(map(pieces.__getitem__, ids.tolist()))
+        if (at := self.is_byte[ids]).any():
             chunks, start = [], 0
             edges = np.flatnonzero(np.diff(np.concatenate([[0], at.view(np.int8), [0]])))
             for a, b in edges.reshape(-1, 2):
@@ -250,9 +271,8 @@ def encode(docs: DataFrame, *, model: str = MODEL) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _of(tables)
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            codes = [None if t is None else vocabulary.encode(t) for t in texts]
+        for batch in slices(batches):
+            codes = vocabulary.encode(batch.column("text").to_pylist())
             ends = np.cumsum([0] + [len(c or b"") // 4 for c in codes], dtype=np.int64)
             values = pa.array(np.frombuffer(b"".join([c or b"" for c in codes]), np.int32))
             ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values, mask=pa.array([c is None for c in codes]))
@@ -267,7 +287,7 @@ def decode(encoded: DataFrame, *, model: str = MODEL) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _of(tables)
-        for batch in batches:
+        for batch in slices(batches):
             column = batch.column("ids")
             values, ends, null = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy(), column.is_null().to_numpy(zero_copy_only=False)
             texts = [None if null[k] else vocabulary.decode(values[ends[k] : ends[k + 1]]) for k in range(len(column))]
