@@ -83,14 +83,16 @@ def near_lines(lines: DataFrame) -> DataFrame:
     return checked.where((near >= 0) & (near <= MAX_EDITS)).select("late.doc_id", "late.line_no").distinct()
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, text, n_lines, n_removed of every document: ``text`` keeps the lines that have no earlier near line.
 
+    The columns in ``keep`` are passed on.
+
     A null text stays null (0 lines), an empty text has one blank line and stays empty. Null ids count as the last
     ones, and rows that share an id as one document's: each keeps the lines that are first by id and line number.
     """
-    rows = documents(docs)
-    keyed = _keyed(split_lines(rows))
+    rows = documents(docs, keep=keep)
+    keyed = _keyed(split_lines(rows.select("doc_id", "text")))
     firsts = keyed.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("at")).select("at.doc_id", "at.line_no")
     kept = firsts.join(near_lines(keyed), ["doc_id", "line_no"], "left_anti")
     by_doc = kept.groupBy("doc_id").agg(F.collect_set("line_no").alias("kept")).withColumnRenamed("doc_id", "kept_id")
@@ -101,5 +103,5 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         places = F.array_sort(F.array_distinct(F.concat(blank, F.array_intersect(F.coalesce("kept", F.expr("cast(array() as array<int>)")), F.sequence(F.lit(0), F.size(lines) - 1)))))
         return F.struct(F.array_join(F.transform(places, lambda i: lines[i]), "\n").alias("text"), F.size(lines).alias("n"), F.size(places).alias("kept"))
 
-    made = joined.select("doc_id", F.when(F.col("text").isNotNull(), let(F.split("text", "\n", -1), rejoin)).alias("m"))
-    return made.select("doc_id", F.col("m.text").alias("text"), F.coalesce("m.n", F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.col("m.n") - F.col("m.kept"), F.lit(0)).cast("long").alias("n_removed"))
+    made = joined.select("doc_id", *keep, F.when(F.col("text").isNotNull(), let(F.split("text", "\n", -1), rejoin)).alias("m"))
+    return made.select("doc_id", *keep, F.col("m.text").alias("text"), F.coalesce("m.n", F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.col("m.n") - F.col("m.kept"), F.lit(0)).cast("long").alias("n_removed"))

@@ -21,10 +21,13 @@ LEVEL_BITS = 12
 LEVELS = 5
 
 
+def _size(text: str) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def measure(docs: DataFrame) -> DataFrame:
     """doc_id, source, size (words; null text: 0) and h (60 bits of the id)."""
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return documents(docs, keep=("source",)).select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), hash60("doc_id").alias("h"))
+    return documents(docs, keep=("source",)).select("doc_id", F.col("source").cast("string").alias("source"), _size("text").alias("size"), hash60("doc_id").alias("h"))
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
@@ -88,6 +91,13 @@ def thresholds(sized: DataFrame, wanted: DataFrame) -> DataFrame:
     return state
 
 
+def _extra(d: str, s: str) -> Column:
+    """Words of one more repeat that a document gives: all below the boundary, a share of the rest at it."""
+    part = F.floor(F.col(f"{s}.rest") * F.col(f"{d}.size") / F.col(f"{s}.bound_size"))
+    at_bound = (F.col(f"{d}.h") == F.col(f"{s}.bound")) & (F.col(f"{s}.bound_size") > 0)
+    return F.when(F.col(f"{d}.h") < F.col(f"{s}.bound"), F.col(f"{d}.size")).when(at_bound, part).otherwise(0).cast("long")
+
+
 def mix(docs: DataFrame) -> DataFrame:
     """doc_id, source, size, source_size, target, whole (full repeats) and extra (words of one more repeat).
 
@@ -97,7 +107,22 @@ def mix(docs: DataFrame) -> DataFrame:
     """
     sized = materialise(measure(docs))
     state = thresholds(sized, targets(sized))
-    part = F.floor(F.col("s.rest") * F.col("d.size") / F.col("s.bound_size"))
-    extra = F.when(F.col("d.h") < F.col("s.bound"), F.col("d.size")).when((F.col("d.h") == F.col("s.bound")) & (F.col("s.bound_size") > 0), part).otherwise(0).cast("long")
     joined = sized.alias("d").join(state.alias("s"), _same_source("d", "s"))
-    return joined.select("d.doc_id", "d.source", "d.size", "s.source_size", "s.target", "s.whole", extra.alias("extra"))
+    return joined.select("d.doc_id", "d.source", "d.size", "s.source_size", "s.target", "s.whole", _extra("d", "s").alias("extra"))
+
+
+def mixed_rows(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` as the mix takes them, with its columns: none, or up to ``MAX_REPEATS`` times.
+
+    ``docs`` has doc_id, text and source. A document at its source's boundary gives its first words only; its text is
+    then cut after them. Thresholds are compared with each row where it is read, so no text is shuffled.
+    """
+    sized = materialise(measure(docs))
+    state = thresholds(sized, targets(sized))
+    rows = docs.select(F.struct("*").alias("row"), F.col("source").cast("string").alias("source"), _size("text").alias("size"), hash60("doc_id").alias("h"))
+    joined = rows.alias("d").join(state.alias("s"), _same_source("d", "s"))
+    taken = joined.select("row", "d.size", "whole", _extra("d", "s").alias("extra")).withColumn("repeats", (F.col("whole") + (F.col("extra") > 0).cast("long")).cast("int"))
+    every = taken.where((F.col("repeats") > 0) & (F.col("size") > 0)).select("*", F.explode(F.sequence(F.lit(1), F.col("repeats"))).alias("repeat"))
+    first_words = F.array_join(F.slice(F.regexp_extract_all("row.text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), F.lit(1), F.col("extra").cast("int")), "")
+    cut = (F.col("repeat") > F.col("whole")) & (F.col("extra") < F.col("size"))
+    return every.select(*[(F.when(cut, first_words).otherwise(F.col("row.text")) if c == "text" else F.col(f"row.{c}")).alias(c) for c in docs.columns])

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from partita.llm import language, lines, media, minhash, mixing, neighbours, secrets, sentencepiece_codec, substrings, toxicity
 
 
@@ -97,5 +98,9 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_media": op1_media, "op2_language": op2_language, "op3_toxicity": op3_toxicity, "op4_substrings": op4_substrings, "op5_mixing": op5_mixing, "op6_lines": op6_lines, "op7_neighbours": op7_neighbours, "op8_minhash": op8_minhash, "op9_secrets": op9_secrets, "op10_sentencepiece": op10_sentencepiece}
-ORACLES: dict[str, str] = {"op5_mixing": OP5_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_media": op1_media, "op2_language": op2_language, "op3_toxicity": op3_toxicity, "op4_substrings": op4_substrings,
+    "op5_mixing": op5_mixing, "op6_lines": op6_lines, "op7_neighbours": op7_neighbours, "op8_minhash": op8_minhash,
+    "op9_secrets": op9_secrets, "op10_sentencepiece": op10_sentencepiece, "pipeline": corpus_pipeline.run,
+}
+ORACLES: dict[str, str] = {"op5_mixing": OP5_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
