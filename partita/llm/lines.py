@@ -8,12 +8,12 @@ is kept: a line is removed when the same line, or a near one, occurs earlier. Bl
    after the map-side combine.
 2. Of two lines one edit apart, one half is the same in both. Lines that share no half hash with another one (four a
    line) have no near line and go no further; this loses nothing.
-3. The others emit their deletion variants as hashed keys. Keys of the first kind name the variant and the place of the
+3. The others emit the deletion variants of the half that can differ as hashed keys. Keys of the first kind name the variant and the place of the
    deletion: all lines that share one differ in that place only. Keys of the second kind name the variant alone and
    meet the line that equals it. Either group holds at most one line for each letter and place, since lines are
    distinct by then, so no group grows with the data.
-4. In each group every line is paired with the earliest, the edit distance of the pair is verified, and the lines
-   whose pairs hold are removed.
+4. In a group of the first kind every line is paired with the earliest, in one of the second kind with the line that
+   the variants equal. The edit distance of each pair is verified, and the later line of a pair that holds is removed.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from partita.llm.common import LAST_ID, documents, let, materialise
 
 MAX_EDITS = 1
 SHORTEST = 16
+PLACE, VARIANT, ITSELF = 0, 1, 2
 
 
 def split_lines(docs: DataFrame) -> DataFrame:
@@ -48,14 +49,23 @@ def _halves(line: Column, n: Column) -> Column:
     return F.array(*of(n), *of(n - 1))
 
 
-def _variants(line: Column, n: Column) -> Column:
-    """Keys of a line's deletion variants: by variant and place, by variant alone, and the line itself."""
+def _variants(line: Column, n: Column, early: Column, late: Column) -> Column:
+    """Keys of a line's deletion variants: by variant and place, by variant alone, and the line itself.
+
+    Only the half in which a near line can differ is varied: the places after the shared first half (``late``) or those
+    before the shared second half (``early``), or both.
+    """
+    half = F.floor((n - 1) / 2).cast("int")
+    first, last = F.when(early, 1).otherwise(half + 1), F.when(late, n).otherwise(n - half)
     # Deleting any of equal neighbours gives one variant; keys by variant alone are kept once.
-    one = F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.concat(F.substring(line, F.lit(1), i - 1), F.substring(line, i + 1, n))))
-    places = F.transform(one, lambda v, i: F.xxhash64(v, i, n))
-    alone = F.transform(F.array_distinct(one), lambda v: F.xxhash64(v, F.lit(-1), n - 1))
-    itself = F.array(F.xxhash64(F.xxhash64(line), F.lit(-1), n))
-    return F.concat(places, alone, itself)
+    one = F.transform(F.sequence(first, last), lambda i: F.struct(i.alias("i"), F.xxhash64(F.concat(F.substring(line, F.lit(1), i - 1), F.substring(line, i + 1, n))).alias("v")))
+    alone = lambda v, length: F.xxhash64(v, F.lit(-1), length)
+    named = lambda key, role: F.struct(key.alias("key"), F.lit(role).alias("role"))
+    itself = F.array(named(alone(F.xxhash64(line), n), ITSELF))
+    return let(one, lambda x: F.concat(
+        F.transform(x, lambda e: named(F.xxhash64(e["v"], e["i"], n), PLACE)),
+        F.transform(F.array_distinct(F.transform(x, lambda e: alone(e["v"], n - 1))), lambda k: named(k, VARIANT)), itself,
+    ))
 
 
 def near_lines(lines: DataFrame) -> DataFrame:
@@ -67,15 +77,21 @@ def near_lines(lines: DataFrame) -> DataFrame:
     halves = F.when(n >= SHORTEST, _halves(F.col("line"), n))
     first = F.min(F.struct("doc_id", "line_no")).alias("at")
     distinct = materialise(lines.select("h1", "h2", "doc_id", "line_no", halves.alias("halves")).where(F.col("halves").isNotNull()).groupBy("h1", "h2").agg(first, F.first("halves").alias("halves")))
-    keys = distinct.select("at", F.explode("halves").alias("half"))
+    keys = distinct.select("at", F.posexplode("halves").alias("which", "half"))
     # A half shared by two distinct lines has two different first places.
     shared = keys.groupBy("half").agg(F.min("at").alias("a"), F.max("at").alias("b")).where(F.col("a") != F.col("b")).select("half")
-    blocked = keys.join(shared, "half", "left_semi").select("at.doc_id", "at.line_no").distinct()
-    some = materialise(lines.join(blocked, ["doc_id", "line_no"], "left_semi").select("doc_id", "line_no", "line").dropDuplicates(["doc_id", "line_no"]))
-
-    emitted = some.select(F.struct("doc_id", "line_no").alias("at"), F.explode(_variants(F.col("line"), F.length("line"))).alias("key"))
-    groups = emitted.groupBy("key").agg(F.array_sort(F.collect_set("at")).alias("members")).where(F.size("members") > 1)
-    pairs = groups.select(F.col("members")[0].alias("early"), F.explode(F.slice("members", F.lit(2), F.size("members"))).alias("late")).distinct()
+    first_half = F.col("which") % 2 == 0
+    blocked = keys.join(shared, "half", "left_semi").groupBy("at").agg(F.bool_or(~first_half).alias("early"), F.bool_or(first_half).alias("late")).select("at.doc_id", "at.line_no", "early", "late")
+    some = materialise(lines.select("doc_id", "line_no", "line").join(blocked, ["doc_id", "line_no"]).dropDuplicates(["doc_id", "line_no"]))
+
+    keyed = _variants(F.col("line"), F.length("line"), F.col("early"), F.col("late"))
+    emitted = some.select(F.struct("doc_id", "line_no").alias("at"), F.inline(keyed))
+    role = lambda r: F.when(F.col("role") == r, F.col("at"))
+    groups = emitted.groupBy("key").agg(F.array_sort(F.collect_set(role(PLACE))).alias("places"), F.collect_set(role(VARIANT)).alias("variants"), F.min(role(ITSELF)).alias("itself"))
+    pair = lambda a, b: F.struct(a.alias("early"), b.alias("late"))
+    same_place = F.transform(F.slice("places", F.lit(2), F.size("places")), lambda m: pair(F.col("places")[0], m))
+    with_itself = F.when(F.col("itself").isNotNull(), F.transform("variants", lambda m: F.when(m < F.col("itself"), pair(m, F.col("itself"))).otherwise(pair(F.col("itself"), m))))
+    pairs = groups.select(F.inline(F.concat(same_place, F.coalesce(with_itself, F.slice(same_place, 1, 0))))).distinct()
     early = some.select(F.struct("doc_id", "line_no").alias("early"), F.col("line").alias("early_line"))
     late = some.select(F.struct("doc_id", "line_no").alias("late"), F.col("line").alias("late_line"))
     checked = pairs.join(early, "early").join(late, "late")
