@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from partita.llm.common import hash60, materialise
+from partita.llm.common import hash60, materialise, slices
 
 SAMPLE = 20_000
 LEXICON = 512
@@ -202,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Model:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             x = shared.value.features(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), *[pa.array(x[:, k]) for k in range(5)]], ["toxic", *[f"x{k}" for k in range(5)]])
 
@@ -217,7 +217,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             said = shared.value.score(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(said, pa.float64())], [*batch.schema.names, "toxicity"])
 
