@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from partita.llm.common import hash60
+from partita.llm.common import hash60, slices
 
 #: Which family a language belongs to.
 FAMILY = {
@@ -139,7 +139,7 @@ def fit(labelled: DataFrame, *, sample: int = SAMPLE) -> Model:
     ids = usable.select("doc_id", "lang", hash60("doc_id").alias("h")).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= sample).select("doc_id", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column("text").to_pylist()
             good = [_has_letter(t) for t in texts]
             vectors = [_features(t).astype(np.float32).tobytes() for t, g in zip(texts, good, strict=True) if g]
@@ -157,7 +157,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             said = [shared.value.predict(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s[0] for s in said], pa.string()), pa.array([s[1] for s in said], pa.float64())], ["doc_id", "lang_pred", "score"])
 
