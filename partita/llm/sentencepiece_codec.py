@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 NEVER = float("inf")
 ONE = (1,)
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 
 
 def read_vocabulary(path: str = MODEL) -> dict:
@@ -92,14 +93,17 @@ class _Vocabulary:
         self.lengths = {end: tuple(sorted(n, reverse=True)) for end, n in ending.items()}
         self.formed: dict[str, float] = {}
         self.spines: tuple[dict, dict] = ({}, {})
-        self.apart: dict[str, bool] = {}
+        self.apart: dict[str, dict[str, bool]] = {}
+        self.answers = 0
         self.known: dict[str, bytes] = {}
         inside = {c for p in self.ids if len(p) > 1 for c in p}
         stops = "".join(c for c in "\n\t\r" if c not in inside)
         joined = {p[k + 1] for p in self.made for k in range(len(p) - 1) if p[k].isalpha()}
         marks = "".join(re.escape(c) for c in ".,;:!?)\"" if c not in joined)  # that no piece has after a letter
         self.parts = re.compile((f"{SPACE}*+[^\\W\\d_]++(?=[{marks}{SPACE}{stops}]|$)|" if marks else "") + f"{SPACE}*[^{SPACE}{stops}]+|{SPACE}+" + (f"|[{stops}]" if stops else ""))
-        self.bytes_of = {i: b for b, i in self.raw.items()}
+        # A byte below 128 is a character by itself; longer ones are put together from runs of byte pieces.
+        self.pieces = [chr(b) if (b := back.get(i, 255)) < 128 else p for i, p in enumerate(self.pieces)] if (back := {i: b for b, i in self.raw.items()}) else self.pieces
+        self.bytes_of = {i: b for i, b in back.items() if b >= 128}
         self.is_byte = np.isin(np.arange(len(self.pieces)), list(self.bytes_of))
 
     def when(self, piece: str) -> float:
@@ -165,12 +169,13 @@ class _Vocabulary:
                 piece = text[start:end]
                 if n == 1 or piece in made:
                     if start:
-                        pair = before + "\0" + piece
-                        ok = apart.get(pair)
+                        rights = apart.get(before)
+                        if rights is None:
+                            rights = apart[before] = {}
+                        ok = rights.get(piece)
                         if ok is None:
-                            if len(apart) > REMEMBERED:
-                                apart.clear()
-                            ok = apart[pair] = self.stays_apart(before, piece)
+                            ok = rights[piece] = self.stays_apart(before, piece)
+                            self.answers += 1
                         if not ok:
                             continue
                     last[end] = piece
@@ -199,7 +204,7 @@ class _Vocabulary:
                 ids.append(i)
             else:
                 ids += [self.raw.get(b, self.unknown) for b in p.encode()]
-        return np.array(ids, np.int32).tobytes()
+        return array("i", ids).tobytes()
 
     def learn(self, parts: list[str]) -> None:
         """Encodes parts in order of their letters: backpointers of a common beginning are those of the part before."""
@@ -223,6 +228,9 @@ class _Vocabulary:
         split = [self.parts.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
+        if self.answers > REMEMBERED:
+            self.apart.clear()
+            self.answers = 0
         self.learn(list(set().union(*split).difference(self.known)))
         get = self.known.__getitem__
         return [None if t is None else b"".join(map(get, s)) for t, s in zip(texts, split, strict=True)]
