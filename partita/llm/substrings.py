@@ -1,18 +1,21 @@
 """Substring dedup by suffix arrays: bytes of strings that also start in an earlier document are removed.
 
 Documents are dealt into shards of about ``SHARD_BYTES`` by id hash. A string of ``LENGTH`` bytes always contains the
-same least hash of its ``GRAM``-byte grams, wherever it stands.
-
-1. Each shard sends those least hashes, once each, to hash buckets; buckets answer which are in other shards as well.
-   What has no answer and no repeat in its own shard cannot be a repeated string and is set aside; nothing else is.
-2. Over what is left, each shard builds a suffix array by Larsson-Sadakane refinement (8 bytes, then doubling, ties
-   refined only) and common prefixes by Kasai's recurrence. Suffixes that share ``LENGTH`` bytes are one string, with
-   the smallest document id in the shard.
-3. Shards send each such string once, as a sorted run of fingerprints with smallest ids. Runs are merged by binary
-   search, and each shard gets back the smallest id over all shards of every string that is repeated.
-4. Each shard marks the bytes covered by strings whose smallest id is less than the document's own.
-
-A string that a third of all documents hold is one entry per shard, so no task's input grows with a group of copies.
+same least hash of its ``GRAM``-byte grams, wherever it stands: its key. Neighbouring starts with one key are a run, and
+the bytes of their strings are the run's context.
+
+1. Each shard sends its keys, once each, to hash buckets; buckets answer which other shards have as well. What has no
+   answer and is in one document of its shard only cannot be a repeated string and is set aside; nothing else is.
+2. A key with several contexts in some shard is taken string by string: shards build a suffix array over its contexts
+   by Larsson-Sadakane refinement (8 bytes, then doubling, ties refined only) and common prefixes by Kasai's
+   recurrence; suffixes that share ``LENGTH`` bytes are one string, sent once as a fingerprint with the smallest id.
+3. Of other keys a shard has one context. If it is the same in all shards, its fingerprint is sent; if not, its bytes
+   are, and buckets build the same arrays over them.
+4. Sorted runs of fingerprints and contexts are merged by binary search; each shard gets back the smallest id over all
+   shards of what is repeated, and marks the bytes of its documents with larger ids.
+
+A shard sends a key, context or string once, however many of its documents hold it; and the many contexts around a
+passage that a third of all documents hold are spread string by string. So no task's input grows with a group.
 """
 
 from __future__ import annotations
@@ -28,27 +31,45 @@ from partita.llm.shingles import mix
 LENGTH = 50
 DEPTH = 64
 GRAM = 24
-SHARD_BYTES = 4 << 20
+LONGEST_RUN = 64
+SHARD_BYTES = 2 << 20
 #: Text whose strings meet in one bucket.
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 4 << 20
 SEPARATOR = 255  # no byte of UTF-8
+#: How a key is taken.
+SAME, BY_CONTEXT, BY_STRING = 0, 1, 2
 _BASE = 0xD6E8FEB86659FD93
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-def _rolling(data: np.ndarray, size: int) -> np.ndarray:
-    """A 64-bit hash of the ``size`` bytes from each place, as far as they reach."""
-    n = len(data)
-    if n < size:
-        return np.zeros(0, np.uint64)
-    powers = np.full(n, np.uint64(_BASE))
-    powers[0] = 1
-    np.multiply.accumulate(powers, out=powers)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers)])
-    back = np.full(n, np.uint64(_INVERSE))
-    back[0] = 1
-    np.multiply.accumulate(back, out=back)
-    return mix((sums[size:] - sums[:-size]) * back[: n - size + 1])
+_powers: dict[int, np.ndarray] = {}
+
+
+def _power(base: int, n: int) -> np.ndarray:
+    """base ** 0 .. base ** (n - 1) modulo 2 ** 64."""
+    if base not in _powers or len(_powers[base]) < n:
+        full = np.full(max(n, 1 << 16), np.uint64(base))
+        full[0] = 1
+        _powers[base] = np.multiply.accumulate(full)
+    return _powers[base][:n]
+
+
+class _Hashes:
+    """Hashes of any substrings of a buffer, from sums over its beginnings."""
+
+    def __init__(self, data: np.ndarray):
+        self.n = len(data)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(_BASE, self.n))])
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self.sums[ends] - self.sums[starts]) * _power(_INVERSE, self.n + 1)[starts] + (ends - starts).astype(np.uint64))
+
+    def rolling(self, size: int) -> np.ndarray:
+        """Of the ``size`` bytes from each place, as far as they reach."""
+        m = self.n - size + 1
+        if m <= 0:
+            return np.zeros(0, np.uint64)
+        return mix((self.sums[size:] - self.sums[:-size]) * _power(_INVERSE, m) + np.uint64(size))
 
 
 def _window_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -64,13 +85,14 @@ class Shard:
     """Texts one after the other: bytes, document ids, and which places start a whole string."""
 
     def __init__(self, table: pa.Table):
-        texts = table.column("text").combine_chunks()
-        texts = pa.array(texts, pa.string()) if not isinstance(texts, pa.Array) else texts
+        texts = pa.concat_arrays(table.column("text").cast(pa.large_binary()).chunks)
         self.ids = table.column("doc_id").to_numpy()
-        raw = [t.encode() for t in texts.to_pylist()]
-        self.sizes = np.array([len(b) for b in raw], np.int64)
-        self.data = np.frombuffer(b"".join(raw), np.uint8)
+        _, offsets, data = texts.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        self.sizes = np.diff(offsets)
+        self.data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None and data.size else np.zeros(0, np.uint8)
         self.ends = np.cumsum(self.sizes)
+        self.hashes = _Hashes(self.data)
 
     def starts(self) -> np.ndarray:
         """True for places from which a whole string lies in one document."""
@@ -84,7 +106,7 @@ class Shard:
 
     def keys(self) -> np.ndarray:
         """For each place the least gram hash of the string that starts there."""
-        return _window_least(_rolling(self.data, GRAM), LENGTH - GRAM + 1)
+        return _window_least(self.hashes.rolling(GRAM), LENGTH - GRAM + 1)
 
     def document_of(self, places: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.ends, places, side="right")
@@ -174,52 +196,78 @@ def common_prefixes(order: np.ndarray, words: np.ndarray, most: int) -> np.ndarr
     return out
 
 
-def _repeated_here(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """Keys that more than one document of the shard holds."""
-    order = np.lexsort((docs, keys))
-    k, d = keys[order], docs[order]
-    return np.unique(k[1:][(k[1:] == k[:-1]) & (d[1:] != d[:-1])])
-
-
 def _runs(shard: Shard) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of starts that share a key: first place, one past the last, key."""
+    """Runs of starts that share a key: first place, one past the last, key. Longer ones, of repetitive text, are cut."""
     ok, keys = shard.starts(), shard.keys()
     edge = np.concatenate([[True], (keys[1:] != keys[:-1]) | (ok[1:] != ok[:-1])]) if len(keys) else np.zeros(0, bool)
     a = np.flatnonzero(edge)
     # A document's last start and the next one's first are apart by at least one place that starts nothing.
     b = np.concatenate([a[1:], [len(keys)]]) if len(a) else a
     live = ok[a] if len(a) else np.zeros(0, bool)
-    return a[live], b[live], keys[a[live]]
-
-
-def _strings(shard: Shard, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct strings below wanted keys: fingerprints (ascending), smallest ids, whether several documents hold them."""
-    a, b, keys = _runs(shard)
-    docs = shard.document_of(a)
-    take = np.isin(keys, wanted) | np.isin(keys, _repeated_here(keys, shard.ids[docs]))
-    a, b, docs = a[take], b[take], docs[take]
-    none = np.zeros(0, np.uint64)
-    if not len(a):
-        return none, np.zeros(0, np.int64), np.zeros(0, bool)
-    # Runs that touch are one segment; each segment brings the bytes of its strings, and a separator follows it.
-    new = np.concatenate([[True], (a[1:] != b[:-1]) | (docs[1:] != docs[:-1])])
-    lo, hi = a[new], b[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(b) - 1]])]
-    sizes = hi - lo + LENGTH
+    a, b = a[live], b[live]
+    pieces = -(-(b - a) // LONGEST_RUN)
+    run = np.repeat(np.arange(len(a)), pieces)
+    start = a[run] + LONGEST_RUN * (np.arange(len(run)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    return start, np.minimum(start + LONGEST_RUN, b[run]), keys[start]
+
+
+def _firsts(*columns: np.ndarray) -> np.ndarray:
+    """Places in sorted columns where a new row of values begins."""
+    if not len(columns[0]):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([c[1:] != c[:-1] for c in columns])]))
+
+
+class Contexts:
+    """The distinct contexts of a shard by key: place of one run, smallest and largest id, and how many a key has."""
+
+    def __init__(self, shard: Shard):
+        a, b, keys = _runs(shard)
+        ids, same = shard.ids[shard.document_of(a)], shard.hashes.of(a, b + LENGTH - 1)
+        order = np.argsort(same, kind="stable")
+        first = _firsts(same[order])
+        least, most = [f.reduceat(ids[order], first) if len(first) else ids for f in (np.minimum, np.maximum)]
+        one = order[first]
+        by = np.argsort(keys[one], kind="stable")
+        one, self.least, self.most = one[by], least[by], most[by]
+        self.a, self.b, self.keys, self.hash = a[one], b[one], keys[one], same[one]
+        self.key_first = _firsts(self.keys)
+        self.per_key = np.diff(np.concatenate([self.key_first, [len(first)]]))
+        self.key_of = np.repeat(np.arange(len(self.key_first)), self.per_key)
+        self.several = np.zeros(0, bool)
+        if len(first):
+            self.several = np.minimum.reduceat(self.least, self.key_first) != np.maximum.reduceat(self.most, self.key_first)
+
+
+def _code(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket and low 32 bits of keys, as buckets know them."""
+    return _bucketed(keys, buckets).astype(np.uint64) << np.uint64(32) | keys & np.uint64(0xFFFFFFFF)
+
+
+def _gathered(data: np.ndarray, a: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of several substrings one after the other, and the place each comes from."""
     ends = np.cumsum(sizes)
-    source = np.repeat(lo - (ends - sizes), sizes) + np.arange(ends[-1])
-    buffer = shard.data[np.minimum(source, len(shard.data) - 1)].copy()
-    buffer[ends - 1] = SEPARATOR
-    starts = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes) < np.repeat(hi - lo, sizes)
+    source = np.repeat(a - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+    return data[source], source
+
+
+def _strings(data: np.ndarray, a: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every start in contexts at ``a`` with so many ``starts``: the context, the place in it, the string's number.
+
+    Equal strings have one number; they stand together.
+    """
+    sizes = starts + LENGTH  # a byte more than the strings, for the separator
+    ends = np.cumsum(sizes)
+    buffer = np.full(int(ends[-1]), SEPARATOR, np.uint8)
+    owner = np.repeat(np.arange(len(a)), sizes)
+    inside = np.arange(len(buffer)) - (ends - sizes)[owner]
+    text = inside < sizes[owner] - 1
+    buffer[text] = data[(a[owner] + inside)[text]]
     order, words = suffix_array(buffer, DEPTH)
     group = np.cumsum(common_prefixes(order, words, DEPTH) < LENGTH)
-    valid = starts[order]
-    group, at = group[valid], source[order][valid]
-    ids = shard.ids[shard.document_of(at)]
-    first = np.flatnonzero(np.concatenate([[True], np.diff(group) != 0]))
-    least, most = np.minimum.reduceat(ids, first), np.maximum.reduceat(ids, first)
-    prints = _rolling(shard.data, LENGTH)[at[first]]
-    by = np.argsort(prints, kind="stable")
-    return prints[by], least[by], (least != most)[by]
+    valid = (inside < starts[owner])[order]
+    at = order[valid]
+    return owner[at], inside[at], group[valid]
 
 
 def _text_shards(docs: DataFrame) -> tuple[DataFrame, int]:
@@ -239,75 +287,218 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     rows, buckets = _text_shards(docs)
     shards = rows.groupBy("shard")
 
+    def rows_of(table: pa.Table, kind: int, cuts: np.ndarray, columns: list) -> pa.Table:
+        """A row for each bucket that gets something; ``columns`` are functions from a slice to bytes."""
+        some = [(k, int(x), int(y)) for k, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
+        shard = table.column("shard")[0].as_py()
+        fixed = [pa.array(v, pa.int32()) for v in ([kind] * len(some), [k for k, _, _ in some], [shard] * len(some))]
+        return pa.table([*fixed, *[pa.array([f(x, y) for _, x, y in some], pa.binary()) for f in columns]], schema=sent)
+
     def send_keys(table: pa.Table) -> pa.Table:
-        keys = np.unique(_runs(Shard(table))[2])
-        cuts, low = _cuts(keys, buckets), (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        return pa.table({"bucket": pa.array(np.arange(buckets), pa.int32()), "shard": pa.array([table.column("shard")[0].as_py()] * buckets, pa.int32()), "keys": pa.array([low[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
+        c = Contexts(Shard(table))
+        keys, mixed = c.keys[c.key_first], c.per_key > 1
+        low = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        context = (c.hash[c.key_first] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        return rows_of(table, 0, _cuts(keys, buckets), [lambda x, y: low[x:y].tobytes(), lambda x, y: np.packbits(mixed[x:y]).tobytes(), lambda x, y: context[x:y].tobytes(), *[lambda x, y: b""] * 2])
 
     def meet(table: pa.Table) -> pa.Table:
-        lists = [np.frombuffer(b, np.uint32) for b in table.column("keys").to_pylist()]
-        every = np.sort(np.concatenate([np.unique(x) for x in lists]))
-        common = np.unique(every[1:][every[1:] == every[:-1]])
-        return pa.table({"shard": table.column("shard"), "keys": pa.array([x[np.isin(x, common)].tobytes() for x in lists], pa.binary())})
-
-    def send_strings(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ("bucket", "shard", "prints", "least", "several")
+        """Low bits that several shards have, and how to take them: by strings, by contexts, or as one same context."""
+        lists = [np.frombuffer(x, np.uint32) for x in table.column("a").to_pylist()]
+        sizes = [len(x) for x in lists]
+        flags = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8))[:n] for x, n in zip(table.column("b").to_pylist(), sizes, strict=True)]).astype(bool)
+        every, owner = np.concatenate(lists), np.repeat(np.arange(len(lists)), sizes)
+        contexts = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("c").to_pylist()])
+        order = np.argsort(every, kind="stable")
+        first = _firsts(every[order])
+        count = np.diff(np.concatenate([first, [len(every)]]))
+        twice = np.concatenate([[False], (every[order][1:] == every[order][:-1]) & (owner[order][1:] == owner[order][:-1])])
+        mixed = np.logical_or.reduceat(flags[order] | twice, first)
+        alike = np.minimum.reduceat(contexts[order], first) == np.maximum.reduceat(contexts[order], first)
+        shared, way = np.zeros(len(every), bool), np.zeros(len(every), np.uint8)
+        shared[order], way[order] = np.repeat(count > 1, count), np.repeat(np.where(mixed, BY_STRING, np.where(alike, SAME, BY_CONTEXT)), count)
+        ends = np.cumsum([0, *sizes])
+        out = [(x[shared[i:j]], way[i:j][shared[i:j]]) for x, i, j in zip(lists, ends[:-1], ends[1:], strict=True)]
+        return pa.table({"shard": table.column("shard"), "bucket": table.column("bucket"), "keys": pa.array([x.tobytes() for x, _ in out], pa.binary()), "ways": pa.array([w.tobytes() for _, w in out], pa.binary())})
+
+    def send(left: pa.Table, right: pa.Table) -> pa.Table:
+        """What may be repeated, as contexts (kind 0), strings (kind 1) and fingerprints of same contexts (kind 2)."""
         if not left.num_rows:
-            return pa.table([pa.array([], t) for t in (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())], names=names)
+            return sent.empty_table()
         shard = Shard(left)
-        low = np.unique(np.concatenate([np.zeros(0, np.uint32), *[np.frombuffer(b, np.uint32) for b in right.column("keys").to_pylist()]]))
-        keys = np.unique(_runs(shard)[2])
-        wanted = keys[np.isin((keys & np.uint64(0xFFFFFFFF)).astype(np.uint32), low)]
-        prints, least, several = _strings(shard, wanted)
-        cuts = list(zip(*[c.tolist() for c in (_cuts(prints, buckets)[:-1], _cuts(prints, buckets)[1:])], strict=True))
-        columns = [[f(x[a:b]) for a, b in cuts] for x, f in ((prints, _planes), (least, _planes), (several, lambda x: np.packbits(x).tobytes()))]
-        return pa.table([pa.array(np.arange(buckets), pa.int32()), pa.array([left.column("shard")[0].as_py()] * buckets, pa.int32()), *[pa.array(c, pa.binary()) for c in columns]], names=names)
-
-    def merge(table: pa.Table) -> pa.Table:
-        prints = [_unplanes(b) for b in table.column("prints").to_pylist()]
-        least = [_unplanes(b).astype(np.int64) for b in table.column("least").to_pylist()]
-        several = [np.unpackbits(np.frombuffer(b, np.uint8))[: len(p)].astype(bool) for b, p in zip(table.column("several").to_pylist(), prints, strict=True)]
+        c = Contexts(shard)
+        if not len(c.keys):
+            return sent.empty_table()
+        codes = [np.zeros(0, np.uint64), *[np.frombuffer(x, np.uint32).astype(np.uint64) | np.uint64(k) << np.uint64(32) for x, k in zip(right.column("keys").to_pylist(), right.column("bucket").to_pylist(), strict=True)]]
+        ways = np.concatenate([np.zeros(0, np.uint8), *[np.frombuffer(w, np.uint8) for w in right.column("ways").to_pylist()]])
+        codes = np.concatenate(codes)
+        order = np.argsort(codes, kind="stable")
+        codes, ways = codes[order], ways[order]
+        own = _code(c.keys[c.key_first], buckets)
+        place = np.minimum(np.searchsorted(codes, own), max(0, len(codes) - 1))
+        shared = codes[place] == own if len(codes) else np.zeros(len(own), bool)
+        way = np.where(c.per_key > 1, BY_STRING, np.where(shared, ways[place] if len(codes) else SAME, SAME))
+        live, way = (shared | c.several)[c.key_of], way[c.key_of]
+
+        same = np.flatnonzero(live & (way == SAME))
+        same = same[np.argsort(c.hash[same], kind="stable")]
+        twice = (c.least != c.most)[same]
+        third = rows_of(left, 2, _cuts(c.hash[same], buckets), [
+            lambda x, y: _planes(c.hash[same[x:y]]), lambda x, y: b"", lambda x, y: b"", lambda x, y: _planes(c.least[same[x:y]]), lambda x, y: np.packbits(twice[x:y]).tobytes(),
+        ])
+
+        whole = np.flatnonzero(live & (way == BY_CONTEXT))  # in the order of keys
+        counts = (c.b - c.a)[whole]
+        text, _ = _gathered(shard.data, c.a[whole], counts + LENGTH - 1)
+        ends = np.concatenate([[0], np.cumsum(counts + LENGTH - 1)])
+        several = (c.least != c.most)[whole]
+        first = rows_of(left, 0, _cuts(c.keys[whole], buckets), [
+            lambda x, y: _planes(c.keys[whole[x:y]]), lambda x, y: counts[x:y].astype(np.uint8).tobytes(), lambda x, y: text[ends[x] : ends[y]].tobytes(),
+            lambda x, y: _planes(c.least[whole[x:y]]), lambda x, y: np.packbits(several[x:y]).tobytes(),
+        ])
+
+        parts = np.flatnonzero(live & (way == BY_STRING))
+        if not len(parts):
+            return pa.concat_tables([first, third])
+        context, inside, group = _strings(shard.data, c.a[parts], (c.b - c.a)[parts])
+        begin = _firsts(group)
+        least, most = np.minimum.reduceat(c.least[parts][context], begin), np.maximum.reduceat(c.most[parts][context], begin)
+        places = c.a[parts][context[begin]] + inside[begin]
+        prints = shard.hashes.of(places, places + LENGTH)
+        by = np.argsort(prints, kind="stable")
+        prints, least, several_strings = prints[by], least[by], (least != most)[by]
+        second = rows_of(left, 1, _cuts(prints, buckets), [
+            lambda x, y: _planes(prints[x:y]), lambda x, y: b"", lambda x, y: b"", lambda x, y: _planes(least[x:y]), lambda x, y: np.packbits(several_strings[x:y]).tobytes(),
+        ])
+        return pa.concat_tables([first, second, third])
+
+    def merge(key: tuple, table: pa.Table) -> pa.Table:
+        kind = key[0].as_py()
+        return merge_prints(kind, table) if kind else merge_contexts(table)
+
+    def merge_prints(kind: int, table: pa.Table) -> pa.Table:
+        prints = [_unplanes(x) for x in table.column("a").to_pylist()]
+        least = [_unplanes(x).astype(np.int64) for x in table.column("d").to_pylist()]
+        several = [np.unpackbits(np.frombuffer(x, np.uint8))[: len(p)].astype(bool) for x, p in zip(table.column("e").to_pylist(), prints, strict=True)]
         union = np.unique(np.concatenate(prints))
         smallest, count = np.full(len(union), LAST_ID), np.zeros(len(union), np.int64)
         places = [np.searchsorted(union, p) for p in prints]
         for at, ids, more in zip(places, least, several, strict=True):
             smallest[at] = np.minimum(smallest[at], ids)
             count[at] += 1 + more
-        back = [(p[count[at] > 1], smallest[at][count[at] > 1]) for p, at in zip(prints, places, strict=True)]
-        return pa.table({"shard": table.column("shard"), "prints": pa.array([_planes(p) for p, _ in back], pa.binary()), "least": pa.array([_planes(s) for _, s in back], pa.binary())})
+        back = []
+        for p, at, ids, more in zip(prints, places, least, several, strict=True):
+            useful = (count[at] > 1) & (more | (smallest[at] < ids))
+            back.append((p[useful], smallest[at][useful]))
+        return answer(table, kind, [_planes(p) for p, _ in back], [b""] * len(back), [_planes(i) for _, i in back])
+
+    def answer(table: pa.Table, kind: int, a: list[bytes], b: list[bytes], d: list[bytes]) -> pa.Table:
+        return pa.table({"kind": pa.array([kind] * len(a), pa.int32()), "shard": table.column("shard"), "a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "d": pa.array(d, pa.binary())})
+
+    def merge_contexts(table: pa.Table) -> pa.Table:
+        keys = [_unplanes(x) for x in table.column("a").to_pylist()]
+        sizes = [len(k) for k in keys]
+        counts = np.concatenate([np.frombuffer(x, np.uint8) for x in table.column("b").to_pylist()]).astype(np.int64)
+        data = np.frombuffer(b"".join(table.column("c").to_pylist()), np.uint8)
+        least = np.concatenate([_unplanes(x).astype(np.int64) for x in table.column("d").to_pylist()])
+        several = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8))[:n] for x, n in zip(table.column("e").to_pylist(), sizes, strict=True)]).astype(bool)
+        keys, ends = np.concatenate(keys), np.cumsum(counts + LENGTH - 1)
+        starts = ends - (counts + LENGTH - 1)
+        same = _Hashes(data).of(starts, ends)
+        order = np.lexsort((same, keys))
+        first = _firsts(keys[order], same[order])
+        number = np.empty(len(keys), np.int64)  # of the distinct context
+        number[order] = np.repeat(np.arange(len(first)), np.diff(np.concatenate([first, [len(keys)]])))
+        smallest = np.minimum.reduceat(least[order], first)
+        repeated = (np.diff(np.concatenate([first, [len(keys)]])) > 1) | np.logical_or.reduceat(several[order], first)
+        one = order[first]
+        key_first = _firsts(keys[one])
+        alone = np.repeat(np.diff(np.concatenate([key_first, [len(one)]])) == 1, np.diff(np.concatenate([key_first, [len(one)]])))
+
+        # Parts of distinct contexts with the smallest id of their strings: whole ones, and those told apart by strings.
+        whole = np.flatnonzero(alone & repeated)
+        part = [(whole, np.zeros(len(whole), np.int64), counts[one[whole]], smallest[whole])]
+        differ = np.flatnonzero(~alone)
+        if len(differ):
+            context, inside, group = _strings(data, starts[one[differ]], counts[one[differ]])
+            begin = _firsts(group)
+            length = np.diff(np.concatenate([begin, [len(group)]]))
+            ids = np.repeat(np.minimum.reduceat(smallest[differ][context], begin), length)
+            often = np.repeat((length > 1) | np.logical_or.reduceat(repeated[differ][context], begin), length)
+            context, inside, ids = context[often], inside[often], ids[often]
+            by = np.lexsort((inside, context))
+            context, inside, ids = context[by], inside[by], ids[by]
+            begin = np.flatnonzero(np.concatenate([[True], (context[1:] != context[:-1]) | (inside[1:] != inside[:-1] + 1) | (ids[1:] != ids[:-1])])) if len(ids) else np.zeros(0, np.int64)
+            part.append((differ[context[begin]], inside[begin], np.diff(np.concatenate([begin, [len(ids)]])), ids[begin]))
+        which, offset, length, ids = [np.concatenate(x) for x in zip(*part, strict=True)]
+        by = np.argsort(which, kind="stable")
+        which, offset, length, ids = which[by], offset[by], length[by], ids[by]
+
+        back, at = [], np.cumsum([0, *sizes])
+        for i, j in zip(at[:-1], at[1:], strict=True):
+            lo, hi = np.searchsorted(which, number[i:j]), np.searchsorted(which, number[i:j], side="right")
+            entry = np.repeat(np.arange(i, j), hi - lo)
+            segment = np.arange(int((hi - lo).sum())) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + np.repeat(lo, hi - lo)
+            useful = several[entry] | (ids[segment] < least[entry])
+            entry, segment = entry[useful], segment[useful]
+            back.append((_planes(same[entry]), np.stack([offset[segment], length[segment]], 1).astype(np.uint8).tobytes(), _planes(ids[segment])))
+        return answer(table, 0, [x for x, _, _ in back], [x for _, x, _ in back], [x for _, _, x in back])
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
         schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
         if not left.num_rows:
             return schema.empty_table()
         shard = Shard(left)
-        prints = np.concatenate([np.zeros(0, np.uint64), *[_unplanes(b) for b in right.column("prints").to_pylist()]])
-        least = np.concatenate([np.zeros(0, np.int64), *[_unplanes(b).astype(np.int64) for b in right.column("least").to_pylist()]])
-        by = np.argsort(prints, kind="stable")
-        prints, least = prints[by], least[by]
-        gone = np.zeros(len(shard.data) + 1, np.int32)
+        told = list(zip(*(right.column(c).to_pylist() for c in ("kind", "a", "b", "d")), strict=True))
+        n = len(shard.data) + 1
+        gone = np.zeros(n, np.int64)
+
+        def cover(starts: np.ndarray, lengths: np.ndarray | int) -> None:
+            gone[:] += np.bincount(starts, minlength=n) - np.bincount(starts + lengths - 1 + LENGTH, minlength=n)
+
+        prints = np.concatenate([np.zeros(0, np.uint64), *[_unplanes(a) for kind, a, _, _ in told if kind == 1]])
+        least = np.concatenate([np.zeros(0, np.int64), *[_unplanes(d).astype(np.int64) for kind, _, _, d in told if kind == 1]])
         if len(prints):
+            by = np.argsort(prints, kind="stable")
+            prints, least = prints[by], least[by]
             there = np.zeros(1 << 22, bool)
             there[prints >> np.uint64(42)] = True
-            own = _rolling(shard.data, LENGTH)
-            at = np.flatnonzero(shard.starts() & there[own >> np.uint64(42)])
-            place = np.minimum(np.searchsorted(prints, own[at]), len(prints) - 1)
-            hit = (prints[place] == own[at]) & (least[place] < shard.ids[shard.document_of(at)])
-            gone[at[hit]] += 1
-            gone[at[hit] + LENGTH] -= 1
+            own = shard.hashes.of(at := np.flatnonzero(shard.starts()), at + LENGTH)
+            some = there[own >> np.uint64(42)]
+            at, own = at[some], own[some]
+            place = np.minimum(np.searchsorted(prints, own), len(prints) - 1)
+            cover(at[(prints[place] == own) & (least[place] < shard.ids[shard.document_of(at)])], 1)
+
+        some = [t for t in told if t[0] != 1]
+        if some:
+            same = np.concatenate([_unplanes(a) for _, a, _, _ in some])
+            ids = np.concatenate([_unplanes(d).astype(np.int64) for _, _, _, d in some])
+            # Of a same context every start is meant, of others those told.
+            spans = np.concatenate([np.frombuffer(b, np.uint8).reshape(-1, 2).astype(np.int64) if kind == 0 else np.tile([0, LONGEST_RUN], (len(a) // 8, 1)) for kind, a, b, _ in some])
+            a, b, _ = _runs(shard)
+            own = shard.hashes.of(a, b + LENGTH - 1)
+            by = np.argsort(own, kind="stable")
+            lo, hi = np.searchsorted(own[by], same), np.searchsorted(own[by], same, side="right")
+            reply = np.repeat(np.arange(len(same)), hi - lo)
+            run = by[np.arange(int((hi - lo).sum())) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + np.repeat(lo, hi - lo)]
+            later = shard.ids[shard.document_of(a[run])] > ids[reply]
+            run, reply = run[later], reply[later]
+            cover(a[run] + spans[reply, 0], np.minimum(spans[reply, 1], b[run] - a[run]))
+
         gone = np.cumsum(gone[:-1]) > 0
         before = shard.ends - shard.sizes
         removed = np.concatenate([[0], np.cumsum(gone)])
         opens = gone & ~np.concatenate([[False], gone[:-1]])
         opens[before[shard.sizes > 0]] = gone[before[shard.sizes > 0]]
-        spans = np.concatenate([[0], np.cumsum(opens)])
+        opened = np.concatenate([[0], np.cumsum(opens)])
         kept, n_removed = shard.data[~gone].tobytes(), removed[shard.ends] - removed[before]
         cuts = np.concatenate([[0], np.cumsum(shard.sizes - n_removed)]).tolist()
-        return pa.table([pa.array(x) for x in (shard.ids, shard.sizes, n_removed, spans[shard.ends] - spans[before])] + [pa.array([kept[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], schema=schema)
-
-    keys = shards.applyInArrow(send_keys, "bucket int, shard int, keys binary")
-    shared = keys.groupBy("bucket").applyInArrow(meet, "shard int, keys binary")
-    strings = shards.cogroup(shared.groupBy("shard")).applyInArrow(send_strings, "bucket int, shard int, prints binary, least binary, several binary")
-    repeated = strings.groupBy("bucket").applyInArrow(merge, "shard int, prints binary, least binary")
+        return pa.table([pa.array(x) for x in (shard.ids, shard.sizes, n_removed, opened[shard.ends] - opened[before])] + [pa.array([kept[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], schema=schema)
+
+    sent = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("shard", pa.int32()), *[(c, pa.binary()) for c in "abcde"]])
+    sent_sql = "kind int, bucket int, shard int, a binary, b binary, c binary, d binary, e binary"
+    keys = shards.applyInArrow(send_keys, sent_sql)
+    shared = keys.select("bucket", "shard", "a", "b", "c").groupBy("bucket").applyInArrow(meet, "shard int, bucket int, keys binary, ways binary")
+    parts = shards.cogroup(shared.groupBy("shard")).applyInArrow(send, sent_sql)
+    repeated = parts.groupBy("kind", "bucket").applyInArrow(merge, "kind int, shard int, a binary, b binary, d binary")
     out = shards.cogroup(repeated.groupBy("shard")).applyInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != LAST_ID, F.col("doc_id")))
