@@ -32,7 +32,7 @@ LENGTH = 50
 DEPTH = 64
 GRAM = 24
 LONGEST_RUN = 64
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 #: Text whose strings meet in one bucket.
 BUCKET_BYTES = 4 << 20
 SEPARATOR = 255  # no byte of UTF-8
