@@ -85,6 +85,7 @@ class Shard:
     """Texts one after the other: bytes, document ids, and which places start a whole string."""
 
     def __init__(self, table: pa.Table):
+        pa.default_memory_pool().release_unused()  # of the group before
         texts = pa.concat_arrays(table.column("text").cast(pa.large_binary()).chunks)
         self.ids = table.column("doc_id").to_numpy()
         _, offsets, data = texts.buffers()
@@ -372,6 +373,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
         return pa.concat_tables([first, second, third])
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
+        pa.default_memory_pool().release_unused()  # of the group before
         kind = key[0].as_py()
         return merge_prints(kind, table) if kind else merge_contexts(table)
 
