@@ -32,9 +32,11 @@ LENGTH = 50
 DEPTH = 64
 GRAM = 24
 LONGEST_RUN = 64
-SHARD_BYTES = 1 << 20
+#: Bytes of contexts over which one suffix array is built.
+AT_ONCE = 1 << 18
+SHARD_BYTES = 2 << 20
 #: Text whose strings meet in one bucket.
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 2 << 20
 SEPARATOR = 255  # no byte of UTF-8
 #: How a key is taken.
 SAME, BY_CONTEXT, BY_STRING = 0, 1, 2
@@ -252,11 +254,24 @@ def _gathered(data: np.ndarray, a: np.ndarray, sizes: np.ndarray) -> tuple[np.nd
     return data[source], source
 
 
-def _strings(data: np.ndarray, a: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _strings(data: np.ndarray, a: np.ndarray, starts: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Every start in contexts at ``a`` with so many ``starts``: the context, the place in it, the string's number.
 
-    Equal strings have one number; they stand together.
+    Equal strings have one number; they stand together. Contexts come in order of their keys; as strings with different
+    keys differ, one array is built at a time, over the keys that fill ``AT_ONCE`` bytes.
     """
+    first = _firsts(keys)
+    part = np.cumsum(starts + LENGTH)[np.maximum(first - 1, 0)] // AT_ONCE
+    cuts = [*first[_firsts(part)].tolist(), len(a)]
+    found, number = [], 0
+    for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+        context, inside, group = _sorted_strings(data, a[x:y], starts[x:y])
+        found.append((context + x, inside, group + number))
+        number += int(group[-1]) + 1
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def _sorted_strings(data: np.ndarray, a: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sizes = starts + LENGTH  # a byte more than the strings, for the separator
     ends = np.cumsum(sizes)
     buffer = np.full(int(ends[-1]), SEPARATOR, np.uint8)
@@ -360,7 +375,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
         parts = np.flatnonzero(live & (way == BY_STRING))
         if not len(parts):
             return pa.concat_tables([first, third])
-        context, inside, group = _strings(shard.data, c.a[parts], (c.b - c.a)[parts])
+        context, inside, group = _strings(shard.data, c.a[parts], (c.b - c.a)[parts], c.keys[parts])
         begin = _firsts(group)
         least, most = np.minimum.reduceat(c.least[parts][context], begin), np.maximum.reduceat(c.most[parts][context], begin)
         places = c.a[parts][context[begin]] + inside[begin]
@@ -421,7 +436,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
         part = [(whole, np.zeros(len(whole), np.int64), counts[one[whole]], smallest[whole])]
         differ = np.flatnonzero(~alone)
         if len(differ):
-            context, inside, group = _strings(data, starts[one[differ]], counts[one[differ]])
+            context, inside, group = _strings(data, starts[one[differ]], counts[one[differ]], keys[one[differ]])
             begin = _firsts(group)
             length = np.diff(np.concatenate([begin, [len(group)]]))
             ids = np.repeat(np.minimum.reduceat(smallest[differ][context], begin), length)
