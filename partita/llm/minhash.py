@@ -6,10 +6,9 @@ sketches if they share those shingles in that order, which follows their edit si
 banded alignment of their shingles matches M of them in order with M / (n1 + n2 - M) >= ``SIMILARITY``; a match further
 from the diagonal than the band cannot be part of such an alignment, so the band loses nothing.
 
-Exact copies are one text. Of the texts in a bucket each is compared with the bucket's first, so a bucket of any size
-gives as many pairs as it has members. Members that fail are grouped again, twice, by two sketches that they share, with
-a new first; so a passage that many documents share does not hide links between others. A link is found unless its
-documents are kept apart by their firsts in all buckets that they share: similar ones share a third of ``BANDS``.
+Exact copies are one text. Each text is compared with the first of one of its buckets. Buckets whose members are not in
+one class by then are exhausted: each two members are compared unless they are in one class already, block by block, so
+that a hot bucket is spread over tasks. A link is found whenever its documents share a bucket.
 
 Linked texts form classes; a class is named by its smallest document id.
 """
@@ -30,8 +29,9 @@ from partita.llm.shingles import labelled, mix, shingle_hashes
 BANDS = 32
 PICKED = 6
 SIMILARITY = 0.8
-#: How often members that are not like their bucket's first are grouped again.
-ROUNDS = 2
+#: Texts and bytes of a block of a bucket; each two blocks are compared in one group.
+BLOCK = 256
+BLOCK_BYTES = 8 << 20
 #: Shingles for which all hash functions are computed at once.
 AT_ONCE = 1 << 16
 
@@ -119,30 +119,72 @@ def _with_first(members: DataFrame) -> DataFrame:
     return members.join(firsts, "bucket").where(F.col("node") > F.col("first"))
 
 
-def _labels(linked: DataFrame) -> DataFrame:
-    """node and label: the end of each node's links (one to a smaller node each), followed over eight steps at least.
+def _shared(grouped: DataFrame, known: DataFrame) -> DataFrame:
+    """bucket, node, class, n of the buckets that still hold texts of different classes, by the links of ``known``.
 
-    Nodes of one label are in one class; a class may have several labels.
+    Buckets of the same members count once, and two texts that ``known`` holds already not at all.
     """
-    state = linked.groupBy("node").agg(F.min("first").alias("label"))
-    for _ in range(3):
-        over = state.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        state = state.join(over, "label", "left").select("node", F.coalesce("next", "label").alias("label"))
-    return materialise(state)
+    named = components(known.where("linked").select("first", "node"))
+    every = grouped.select("bucket", "node").union(grouped.select("bucket", F.col("first").alias("node"))).distinct()
+    members = materialise(every.join(named, "node", "left").select("bucket", "node", F.coalesce("class", "node").alias("class")))
+    marks = [F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"mark{k}") for k in range(2)]
+    sets = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high"), F.min("node").alias("first"), F.max("node").alias("last"), *marks)
+    mixed = sets.where(F.col("low") < F.col("high")).groupBy("n", "first", "last", "mark0", "mark1").agg(F.min("bucket").alias("bucket"))
+    compared = known.select("first", F.col("node").alias("last"), F.lit(2).cast("long").alias("n"))
+    return materialise(members.join(mixed.join(compared, ["first", "last", "n"], "left_anti").select("bucket", "n"), "bucket"))
 
 
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (first, node) that are not yet known to be in one class."""
-    a, b = [labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label")) for c in ("first", "node")]
-    joined = pairs.join(a, "first", "left").join(b, "node", "left")
-    return joined.where(F.coalesce("first_label", "first") != F.coalesce("node_label", "node")).select("first", "node")
+def _compared(block: pa.Table) -> pa.Table:
+    """first, node: links between two blocks of a bucket, or inside one. Each two texts that are not in one class by then are compared.
+
+    Counts of common shingles bound the similarity, so only what may reach it is aligned.
+    """
+    ids, names, own, i, j = (block.column(c).to_numpy() for c in ("node", "class", "own", "i", "j"))
+    made = [labelled(shingle_hashes(t)) for t in block.column("text").to_pylist()]
+    sizes = np.array([len(m) for m in made])
+    kinds, place = np.unique(np.concatenate(made), return_inverse=True)
+    whose, ends = np.repeat(np.arange(len(made)), sizes), np.cumsum([0, *sizes])
+    _, group = np.unique(names, return_inverse=True)
+    within, found = i[0] == j[0], []
+    for a in np.flatnonzero(own == i):
+        others = (own == j) & (group != group[a])
+        if within:
+            others[: a + 1] = False
+        if not others.any():
+            continue
+        has = np.zeros(len(kinds), bool)
+        has[place[ends[a] : ends[a + 1]]] = True
+        common = np.bincount(whose[has[place]], minlength=len(made))
+        for b in np.flatnonzero(others & (common >= SIMILARITY * (sizes + sizes[a]) / (1 + SIMILARITY) - 1e-9)):
+            if group[a] != group[b] and similar(made[a], made[b]):
+                found.append(sorted((int(ids[a]), int(ids[b]))))
+                group[group == group[b]] = group[a]
+    return pa.table({"first": pa.array([x for x, _ in found], pa.int64()), "node": pa.array([x for _, x in found], pa.int64())})
+
+
+def _exhausted(shared: DataFrame, texts: DataFrame) -> DataFrame:
+    """first, node: links among all texts of each bucket.
+
+    A bucket is dealt into blocks of at most about ``BLOCK`` texts and ``BLOCK_BYTES`` bytes, and each two blocks are one
+    group, so a hot bucket is spread over many tasks; two blocks of one and the same class have nothing to compare.
+    """
+    words = texts.select(F.col("doc_id").alias("node"), "text")
+    sized = materialise(shared.join(words.select("node", F.octet_length("text").alias("size")), "node"))
+    parts = sized.groupBy("bucket").agg(F.greatest(F.ceil(F.max("n") / BLOCK), F.ceil(F.sum(F.col("size").cast("long")) / BLOCK_BYTES)).alias("parts"))
+    dealt = sized.join(parts, "bucket").select("bucket", "node", "class", F.pmod(F.xxhash64("node"), F.greatest("parts", F.lit(1))).alias("own"))
+    blocks = dealt.groupBy("bucket", "own").agg(F.min("class").alias("low"), F.max("class").alias("high"))
+    left, right = [blocks.select("bucket", F.col("own").alias(c), F.col("low").alias(f"{c}_low"), F.col("high").alias(f"{c}_high")) for c in ("i", "j")]
+    pairs = left.join(right, "bucket").where((F.col("i") <= F.col("j")) & (F.least("i_low", "j_low") < F.greatest("i_high", "j_high"))).select("bucket", "i", "j")
+    sides = pairs.withColumn("own", F.col("i")).union(pairs.where("i < j").withColumn("own", F.col("j")))
+    rows = dealt.join(sides, ["bucket", "own"]).join(words, "node").select("bucket", "i", "j", "own", "node", "class", "text")
+    return rows.groupBy("bucket", "i", "j").applyInArrow(_compared, "first long, node long")
 
 
 def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """first, node: pairs of similar texts, by the ids that stand for them. ``nodes`` has node and bands.
 
-    Each node is first compared with the text it shares most buckets with; pairs that are in one class by then need no
-    comparison any more, so a large class costs a few for each member.
+    Each node is first compared with the text it shares most buckets with; a bucket whose members are in one class by
+    then is done, so a large class costs a comparison for each member. In all others every pair of classes is compared.
     """
     members = nodes.select("node", F.posexplode("bands").alias("band", "value")).select("node", F.xxhash64("band", "value").alias("bucket"))
     grouped = materialise(_with_first(members))
@@ -153,28 +195,7 @@ def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     texts = materialise(rows.join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     best = pairs.groupBy("node").agg(F.max(F.struct("shared", (-F.col("first")).alias("first"))).alias("b")).select((-F.col("b.first")).alias("first"), "node")
     known = materialise(_verified(best, texts))
-    labels = _labels(known.where("linked"))
-    others = materialise(_verified(_apart(pairs.select("first", "node").join(known, ["first", "node"], "left_anti"), labels), texts))
-    found = [known.where("linked").select("first", "node"), others.where("linked").select("first", "node")]
-    failed = known.where(~F.col("linked")).union(others.where(~F.col("linked")))
-    for again in range(ROUNDS):
-        # Members that are not like their bucket's first meet again by two buckets that both are in.
-        left = grouped.join(failed, ["first", "node"], "left_semi").select("bucket", "node")
-        both = left.join(left.select(F.col("bucket").alias("other"), "node"), "node").where(F.col("bucket") < F.col("other"))
-        grouped = materialise(_with_first(left if again else both.select("node", F.xxhash64("bucket", "other").alias("bucket"))))
-        if grouped.isEmpty():
-            break
-        known = materialise(_verified(_apart(grouped.select("first", "node").distinct(), labels), texts))
-        found.append(known.where("linked").select("first", "node"))
-        failed = known.where(~F.col("linked"))
-    return _all(found)
-
-
-def _all(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.union(part)
-    return out.distinct()
+    return known.where("linked").select("first", "node").union(materialise(_exhausted(_shared(grouped, known), texts))).distinct()
 
 
 def components(pairs: DataFrame) -> DataFrame:

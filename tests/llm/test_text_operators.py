@@ -133,6 +133,21 @@ def test_minhash_finds_every_link(spark, texts):
     assert len(set(got.values())) < len(texts) - 5
 
 
+@pytest.mark.parametrize("block", [2, 256])
+def test_minhash_exhausts_a_bucket(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    rng = np.random.default_rng(4)
+    first = words(rng, 40)
+    second = f"{first} {words(rng, 4)}"
+    texts = [first, second, f"{second} {words(rng, 6)}"]  # neighbours in this order are alike, the ends are not
+    for _ in range(5):
+        texts.append(words(rng, 40))
+    texts += [f"{t} {words(rng, 2)}" for t in texts[3:]]
+    nodes = spark.createDataFrame([(k, [7]) for k in range(len(texts))], "node long, bands array<long>")
+    found = minhash.components(minhash.links(nodes, table(spark, texts)))
+    assert {r.node: r["class"] for r in found.collect()} == {0: 0, 1: 0, 2: 0} | {k + d: k for k in range(3, 8) for d in (0, 5)}
+
+
 def test_similarity_is_that_of_a_full_alignment():
     rng = np.random.default_rng(0)
     for _ in range(200):
