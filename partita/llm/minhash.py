@@ -8,7 +8,8 @@ from the diagonal than the band cannot be part of such an alignment, so the band
 
 Exact copies are one text. Each text is compared with the first of one of its buckets. Buckets whose members are not in
 one class by then are exhausted: each two members are compared unless they are in one class already, block by block, so
-that a hot bucket is spread over tasks. A link is found whenever its documents share a bucket.
+that a hot bucket is spread over tasks. A link is found whenever its documents share a bucket. Texts of few shingles,
+which a sketch of six tells apart too well, have keys by which similar ones always share a bucket.
 
 Linked texts form classes; a class is named by its smallest document id.
 """
@@ -29,6 +30,8 @@ from partita.llm.shingles import labelled, mix, shingle_hashes
 BANDS = 32
 PICKED = 6
 SIMILARITY = 0.8
+#: Texts of at most so many shingles have exact keys as well.
+SHORT = 12
 #: Texts and bytes of a block of a bucket; each two blocks are compared in one group.
 BLOCK = 256
 BLOCK_BYTES = 8 << 20
@@ -40,25 +43,48 @@ def _multipliers() -> np.ndarray:
     return mix(np.arange(1, BANDS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
+def exact_keys(shingles: np.ndarray) -> np.ndarray:
+    """Keys that a text of at most ``SHORT`` labelled shingles shares with every similar one.
+
+    They are of all its shingles, and of all but one or two. Similar texts of n1 + n2 shingles differ by at most
+    (n1 + n2) / 9 of them, left out of either: none up to 8 together, one up to 17, two up to 26.
+    """
+    n = len(shingles)
+    kept = [np.arange(n)]
+    if n >= 5:
+        kept += [np.delete(np.arange(n), i) for i in range(n)]
+    if n >= 10:
+        kept += [np.delete(np.arange(n), [i, j]) for i in range(n) for j in range(i)]
+    out = []
+    for places in kept:
+        key = np.full(1, np.uint64(BANDS))
+        for k in places:
+            key = mix(key + shingles[k : k + 1])
+        out.append(key)
+    return np.unique(np.concatenate(out)).view(np.int64)
+
+
 def sketch(shingles: np.ndarray) -> np.ndarray:
-    """The sketches of a text from its labelled shingles: one 64-bit number for each hash function."""
+    """The sketches of a text from its labelled shingles: one 64-bit number for each hash function.
+
+    A short text has exact keys, and sketches besides only if longer ones than ``SHORT`` may be similar to it.
+    """
     n, by = len(shingles), _multipliers()
     if n == 0:
         return np.zeros(0, np.int64)
-    if n <= PICKED:
-        places = np.broadcast_to(np.arange(n), (BANDS, n))
-    else:
-        parts = []
-        for some in np.array_split(by, 1 if n <= AT_ONCE else BANDS):
-            h = some[:, None] * shingles[None, :]
-            h ^= h >> np.uint64(29)
-            h *= np.uint64(0xBF58476D1CE4E5B9)
-            parts.append(np.argpartition(h, PICKED - 1, axis=1)[:, :PICKED])
-        places = np.sort(np.concatenate(parts), axis=1)
+    if n <= SHORT and SIMILARITY * (n + SHORT + 1) / (1 + SIMILARITY) > n + 1e-9:
+        return exact_keys(shingles)
+    parts = []
+    for some in np.array_split(by, 1 if n <= AT_ONCE else BANDS):
+        h = some[:, None] * shingles[None, :]
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        parts.append(np.argpartition(h, PICKED - 1, axis=1)[:, :PICKED])
+    places = np.sort(np.concatenate(parts), axis=1)
     out = np.arange(BANDS, dtype=np.uint64)
     for k in range(places.shape[1]):
         out = mix(out + shingles[places[:, k]])
-    return out.view(np.int64)
+    return np.concatenate([out.view(np.int64), exact_keys(shingles)]) if n <= SHORT else out.view(np.int64)
 
 
 def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
@@ -186,7 +212,7 @@ def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     Each node is first compared with the text it shares most buckets with; a bucket whose members are in one class by
     then is done, so a large class costs a comparison for each member. In all others every pair of classes is compared.
     """
-    members = nodes.select("node", F.posexplode("bands").alias("band", "value")).select("node", F.xxhash64("band", "value").alias("bucket"))
+    members = nodes.select("node", F.explode("bands").alias("bucket"))
     grouped = materialise(_with_first(members))
     pairs = materialise(grouped.groupBy("first", "node").agg(F.count("*").alias("shared")))
     wanted = pairs.select("node").union(pairs.select(F.col("first").alias("node"))).distinct().withColumnRenamed("node", "doc_id")

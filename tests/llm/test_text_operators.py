@@ -133,6 +133,23 @@ def test_minhash_finds_every_link(spark, texts):
     assert len(set(got.values())) < len(texts) - 5
 
 
+def test_minhash_links_short_texts(spark):
+    rng = np.random.default_rng(12)
+    texts = []
+    for n in [*range(1, 15)] * 3:
+        text = words(rng, n)
+        texts += [text, f"{text} {words(rng, 1)}", f"{words(rng, 1)} {text}", f"{words(rng, 1)} {text} {words(rng, 1)}", " ".join([*text.split()[1:], *words(rng, 1).split()])]
+    shingles = [labelled(shingle_hashes(t)) for t in texts]
+    pairs = [(j, i) for i in range(len(texts)) for j in range(i) if texts[i] == texts[j] or minhash.similar(shingles[i], shingles[j])]
+    assert {(len(shingles[j]), len(shingles[i])) for j, i in pairs} >= {(4, 5), (5, 6), (8, 10), (9, 9), (10, 10)}
+    for j, i in pairs:
+        assert set(minhash.sketch(shingles[i])) & set(minhash.sketch(shingles[j]))
+    want = {k: k for k in range(len(texts))}
+    for j, i in pairs * 8:
+        want[i] = want[j] = min(want[i], want[j])
+    assert {r.doc_id: r.class_id for r in minhash.classes(table(spark, texts)).collect()} == want
+
+
 @pytest.mark.parametrize("block", [2, 256])
 def test_minhash_exhausts_a_bucket(spark, monkeypatch, block):
     monkeypatch.setattr(minhash, "BLOCK", block)
