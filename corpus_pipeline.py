@@ -36,9 +36,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_ids and ids; ``sentencepiece_codec.decode`` gives the texts back."""
-    coded = sentencepiece_codec.encode(docs)
-    return coded.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_ids"), "ids")
+    """doc_id, n_ids, ids and round_trip: each text is encoded, and decoded again and compared."""
+    coded = sentencepiece_codec.round_trip(docs)
+    return coded.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_ids"), "ids", "round_trip")
 
 
 STAGES = [("toxicity", drop_toxic), ("line dedup", drop_repeated_lines), ("near-dedup", drop_near_copies), ("mixing", mix_sources), ("sentencepiece", encode)]

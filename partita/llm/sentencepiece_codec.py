@@ -302,3 +302,24 @@ def decode(encoded: DataFrame, *, model: str = MODEL) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in encoded.dtypes if c != "decoded") + ", decoded string")
+
+
+def round_trip(docs: DataFrame, *, model: str = MODEL) -> DataFrame:
+    """doc_id, ids and round_trip: whether a text's ids stand for it again, the mark of a space read as a space.
+
+    Texts are decoded one at a time within the batch that encodes them, so no second copy of a batch is kept.
+    """
+    tables = _Tables(docs.sparkSession, model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = _of(tables)
+        for batch in slices(batches):
+            texts = batch.column("text").to_pylist()
+            codes = vocabulary.encode(texts)
+            same = [t is None if c is None else vocabulary.decode(np.frombuffer(c, np.int32)) == t.replace(SPACE, " ") for c, t in zip(codes, texts, strict=True)]
+            ends = np.cumsum([0] + [len(c or b"") // 4 for c in codes], dtype=np.int64)
+            values = pa.array(np.frombuffer(b"".join([c or b"" for c in codes]), np.int32))
+            ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values, mask=pa.array([c is None for c in codes]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, pa.array(same, pa.bool_())], ["doc_id", "ids", "round_trip"])
+
+    return documents(docs).mapInArrow(run, "doc_id long, ids array<int>, round_trip boolean")

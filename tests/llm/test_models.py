@@ -209,3 +209,12 @@ def test_pipeline_stages(spark, data_dir, docs):
     last = corpus_pipeline.encode(spark, kept, data_dir)
     back = sentencepiece_codec.decode(last)
     assert sorted((r.doc_id, r.decoded) for r in back.collect()) == sorted((r.doc_id, r.text) for r in kept.collect())
+
+
+def test_last_stage_decodes_what_it_encodes(spark):
+    texts = ["plain words", "", None, "  a \u2581 b ", "\u6f22\u5b57 \U0001f600\n\ttabs"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    said = corpus_pipeline.encode(spark, rows, "").collect()
+    assert len(said) == len(texts) and all(r.round_trip for r in said)
+    want = {r.doc_id: r.ids for r in sentencepiece_codec.encode(rows).collect()}
+    assert {r.doc_id: (r.ids, r.n_ids) for r in said} == {k: (v, len(v or [])) for k, v in want.items()}
