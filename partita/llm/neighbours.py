@@ -3,8 +3,8 @@
 1. On the driver, from a sample of at most ``SAMPLE`` vectors (the smallest hashes of their ids): the graph of nearest
    neighbours is cut into balanced parts by recursive bisection (a spectral split at the median, then exchanges of the
    best pairs), and a small network is trained to tell a vector's part.
-2. Every row is indexed under its likeliest part. A part is dealt into blocks of about ``BLOCK`` rows by id hash, so
-   that neither a popular part nor a vector that a third of the rows share lands in one task.
+2. Every row is indexed under its likeliest part. A part is dealt into blocks of about ``BLOCK`` rows by hash, so
+   that neither a popular part nor a vector that a third of the rows share lands in one task. Repeated rows count once.
 3. A query goes to its likeliest parts, to all their blocks, and is compared there in double precision. Of equal
    vectors a block keeps the few smallest ids only, which are all that can be among the nearest.
 
@@ -155,6 +155,7 @@ def build(vectors: DataFrame, *, k: int = 5, sample: int = SAMPLE) -> tuple[Inde
     The sample has at most ``sample`` vectors; every usable row is indexed.
     """
     clean = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
+    clean = materialise(clean.distinct())  # a row that is repeated counts once
     rows = clean.count()
     drawn = clean.orderBy(hash60("vec_id"), "vec_id").limit(sample).select("embedding").collect()
     if not drawn:
@@ -179,7 +180,7 @@ def build(vectors: DataFrame, *, k: int = 5, sample: int = SAMPLE) -> tuple[Inde
 
 
 def _best(queries: tuple[np.ndarray, np.ndarray], rows: tuple[np.ndarray, np.ndarray], k: int) -> pd.DataFrame:
-    """The k nearest rows of a block for each query, by exact cosines."""
+    """The k nearest ids of a block for each query, by exact cosines; an id is as near as the nearest of its vectors."""
     (qid, q), (rid, r) = queries, rows
     order = np.argsort(rid, kind="stable")
     rid, r = rid[order], np.ascontiguousarray(r[order])
@@ -190,16 +191,18 @@ def _best(queries: tuple[np.ndarray, np.ndarray], rows: tuple[np.ndarray, np.nda
     rank = np.arange(len(by)) - np.maximum.accumulate(np.where(start, np.arange(len(by)), 0))
     keep = np.sort(by[rank <= k])
     rid, r = rid[keep], r[keep]
+    heads = np.flatnonzero(np.concatenate([[True], np.diff(rid) != 0]))
     rn, qn = np.sqrt((r * r).sum(1)), np.sqrt((q * q).sum(1))
     found = []
     for a in range(0, len(q), QUERIES_AT_ONCE):
         s = (q[a : a + QUERIES_AT_ONCE] / qn[a : a + QUERIES_AT_ONCE, None]) @ (r / rn[:, None]).T
         s[qid[a : a + QUERIES_AT_ONCE, None] == rid[None, :]] = -np.inf
-        least = np.partition(s, max(0, s.shape[1] - k), axis=1)[:, max(0, s.shape[1] - k)]
+        each = np.maximum.reduceat(s, heads, axis=1)  # of an id's vectors, the nearest
+        least = np.partition(each, max(0, each.shape[1] - k), axis=1)[:, max(0, each.shape[1] - k)]
         at, of = np.nonzero((s >= least[:, None] - 1e-9) & (s > -np.inf))
         exact = (q[a + at] * r[of]).sum(1) / (qn[a + at] * rn[of])
         found.append(pd.DataFrame({"query_id": qid[a + at], "vec_id": rid[of], "score": exact}))
-    every = pd.concat(found).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
+    every = pd.concat(found).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).drop_duplicates(["query_id", "vec_id"])
     return every[every.groupby("query_id").cumcount() < k]
 
 
@@ -211,15 +214,16 @@ def search(vectors: DataFrame, queries: Column, *, k: int = 5, sample: int = SAM
     """
     index, made = build(vectors, k=k, sample=sample)
     rows = materialise(made)
-    counts = {r.part: r["count"] for r in rows.groupBy("part").count().collect()}  # a row for each part, 256 at most
+    held_by = rows.groupBy("part").agg(F.count("*").alias("n"), F.count_distinct("vec_id").alias("ids")).collect()  # a row for each part, 256 at most
+    counts, ids = {r.part: r.n for r in held_by}, {r.part: r.ids for r in held_by}
     parts, probes, held = (index.parts, index.probes, 0) if index else (1, 1, 0)
-    for p, n in enumerate(sorted(counts.get(j, 0) for j in range(parts)), 1):
+    for p, n in enumerate(sorted(ids.get(j, 0) for j in range(parts)), 1):
         held += n
         if held > k or p == parts:
             probes = max(probes, p)
             break
     blocks = F.array(*[F.lit(-(-counts.get(j, 0) // BLOCK)).cast("int") for j in range(parts)])
-    dealt = rows.select("vec_id", "v", "part", F.pmod(F.xxhash64("vec_id"), F.greatest(blocks[F.col("part")], F.lit(1))).cast("int").alias("block"))
+    dealt = rows.select("vec_id", "v", "part", F.pmod(F.xxhash64("vec_id", "v"), F.greatest(blocks[F.col("part")], F.lit(1))).cast("int").alias("block"))
     asked = rows.where(queries).dropDuplicates(["vec_id"]).select("vec_id", "v", F.explode(F.slice("probe", 1, probes)).alias("part")).where(blocks[F.col("part")] > 0)
     asked = asked.select("vec_id", "v", "part", F.explode(F.sequence(F.lit(0), blocks[F.col("part")] - 1)).alias("block"))
 

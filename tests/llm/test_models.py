@@ -196,6 +196,24 @@ def test_neighbours(spark):
     assert neighbours.search(df.where("vec_id >= 5000"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_neighbours_of_repeated_rows(spark):
+    rng = np.random.default_rng(15)
+    x = rng.normal(size=(60, 8))
+    x[1:9] = x[0] + 0.01 * np.arange(1, 9)[:, None] * rng.normal(size=(8, 8))
+    rows = [(i, [float(v) for v in x[i]]) for i in range(60) for _ in range(6 if i < 9 else 1)]
+    rows += [(1, [float(v) for v in x[0] + 1e-4 * (k + 1) * x[20]]) for k in range(10)]  # one id, several vectors
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.vec_id, r["rank"], r.score) for r in neighbours.search(df, F.col("vec_id") == 0).orderBy("rank").collect()]
+    unit = lambda v: np.array(v) / np.sqrt((np.array(v) ** 2).sum())
+    best = {}
+    for i, v in rows:
+        if i:
+            best[i] = max(best.get(i, -9), float(unit(v) @ unit(x[0])))
+    want = sorted(best, key=lambda i: -best[i])[:5]
+    assert [i for i, _, _ in got] == want and [r for _, r, _ in got] == [1, 2, 3, 4, 5]
+    assert np.allclose([s for _, _, s in got], [best[i] for i in want])
+
+
 def test_pipeline_stages(spark, data_dir, docs):
     labels = spark.read.parquet(f"{data_dir}/labels.parquet")
     docs = docs.limit(120)
