@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from partita.llm.common import documents, hash60, let, materialise
+from partita.llm.common import LAST_ID, documents, hash60, let, materialise
 
 #: The base patterns. The last two find the same runs as without their least lengths, since a run is
 #: taken whole or not at all.
@@ -28,7 +28,7 @@ TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
 ORDINARY = r"[A-Za-z0-9+/_=-]{4,}"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_.=-"
 LEAST_VALUE = 8
-#: Documents from which the two models are counted: those with the smallest hashes of their ids.
+#: Documents from which either model is counted: those with the smallest hashes of their ids.
 SAMPLE = 5000
 LEAST_MEAN = 0.5
 LEAST_TOTAL = 12.0
@@ -86,18 +86,25 @@ def _counted(tokens: DataFrame) -> dict[int, int]:
     return {r["pair"]: r["n"] for r in tokens.select(F.explode(_pairs(F.col("token"))).alias("pair")).groupBy("pair").agg(F.count("*").alias("n")).collect()}
 
 
+def _drawn(rows: DataFrame, sample: int) -> DataFrame:
+    """The texts of the ``sample`` ids with the smallest hashes; so many ids are broadcast, no more."""
+    chosen = materialise(rows.select("doc_id").dropDuplicates().orderBy(hash60("doc_id"), "doc_id").limit(sample))
+    return materialise(rows.join(F.broadcast(chosen), "doc_id", "left_semi").select("text"))
+
+
 def train(docs: DataFrame, *, sample: int = SAMPLE) -> list[float]:
     """Log-likelihood ratio of each pair of characters, random string over ordinary identifier.
 
-    At most ``sample`` documents are counted. Without any secret in them both models are even and no token is reported.
+    At most ``sample`` documents are counted for either: of those that hold what a base pattern finds, and of all.
+    Without any secret in the table both models are even and no token is reported.
     """
-    chosen = docs.select("doc_id").dropDuplicates().orderBy(hash60("doc_id"), "doc_id").limit(sample)
-    # ``sample`` ids are broadcast, no more.
-    rows = materialise(docs.join(F.broadcast(chosen), "doc_id", "left_semi").select(F.coalesce("text", F.lit("")).alias("text")))
     text = F.col("text")
+    filled = docs.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    holds = F.exists(F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(1)), lambda v: F.length(v) >= LEAST_VALUE) | text.rlike(ACCESS) | text.rlike(HEX)
+    secret, rows = _drawn(filled.where(holds), sample), _drawn(filled, sample)
     base = _base(text)
     values = F.concat(F.transform(base["assign"], lambda m: F.regexp_extract(m["match"], ASSIGN, 1)), F.transform(base["access"], lambda m: m["match"]), F.transform(base["hex"], lambda m: m["match"]))
-    random = _counted(rows.where(text.rlike(ASSIGN) | text.rlike(ACCESS) | text.rlike(HEX)).select(F.explode(F.array_distinct(values)).alias("token")))
+    random = _counted(secret.select(F.explode(F.array_distinct(values)).alias("token")))
     rest = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, ASSIGN, " "), ACCESS, " "), HEX, " ")
     ordinary = _counted(rows.select(F.explode(F.regexp_extract_all(rest, F.lit(ORDINARY), F.lit(0))).alias("token")))
     n = len(ALPHABET) + 1

@@ -206,6 +206,18 @@ def test_secrets(spark):
     assert got[66].spans == ""
 
 
+def test_secrets_that_are_rare_still_train_the_model(spark):
+    rng = np.random.default_rng(6)
+    digits = lambda n: "".join(rng.choice(list("0123456789abcdef"), n))
+    last = max(range(200), key=lambda k: hashlib.md5(str(k).encode()).hexdigest()[:15])
+    texts = [f"{words(rng, 30)} {digits(28) if k == 7 else ''}" for k in range(200)]
+    texts[last] = " ".join(f"password={digits(24)} {digits(40)}" for _ in range(60))
+    got = {r.doc_id: r.spans for r in secrets.scan(table(spark, texts), sample=20).collect()}
+    assert [s.kind for s in got[7]] == [3]
+    missing = secrets.scan(table(spark, texts, ids=[None if k == last else k + 1 for k in range(200)]), sample=20).where("doc_id = 8").first()
+    assert [s.kind for s in missing.spans] == [3]
+
+
 def test_secrets_are_built_in_functions_only(spark, texts):
     plan = secrets.digest(secrets.scan(table(spark, texts)))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
