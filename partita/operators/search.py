@@ -1,8 +1,8 @@
 """Search for a better partition by batches of moves, merges, splits and swaps.
 
 Each operator ranks its moves by the gains of single units and proposes whole partitions (run_id, unit_id, cluster). All
-proposals of a level are scored exactly in one job, and the best is accepted only if it raises the score by more than
-``TOLERANCE``; so the score never falls. Level 1 collects and splits single clusters, 2 works across all clusters, 3
+proposals of a batch are scored exactly in one job, and the best is accepted only if it raises the score by more than
+``TOLERANCE``; so the score never falls. A level counts as exhausted when no batch of it raises the score. Level 1 collects and splits single clusters, 2 works across all clusters, 3
 swaps two units. After a gain the search goes back to level 1; it ends when no level improves.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,8 +21,10 @@ from partita.operators.encode import Dataset
 from partita.sources.scratch import written
 
 TOLERANCE = 1e-10
-#: Proposals of one operator that are scored exactly.
+#: Groups (clusters or pairs of them) of one operator whose proposals are scored at once; the next follow if none gains.
 PROPOSALS = 8
+#: Units of either cluster of a pair that are tried in swaps.
+SWAPPED = 4
 
 
 @dataclass
@@ -71,7 +74,17 @@ def _lengths(n: int) -> list[int]:
     return sorted({min(n, 1 << p) for p in range(max(1, n).bit_length())} | {n}) if n else []
 
 
-def collect_from_cluster(at: _Position, top: int = PROPOSALS, units: int = 0) -> DataFrame:
+def _part(groups: list, batch: int | None, size: int) -> list:
+    """The groups of a batch, or all."""
+    return groups if batch is None else groups[batch * size : (batch + 1) * size]
+
+
+def _batch(ranked: DataFrame, batch: int | None) -> DataFrame:
+    """The rows of a batch by run_id, from 1, or all."""
+    return ranked if batch is None else ranked.where(F.col("run_id").between(batch * PROPOSALS + 1, (batch + 1) * PROPOSALS))
+
+
+def collect_from_cluster(at: _Position, batch: int | None = None, units: int = 0) -> DataFrame:
     """For pairs of clusters: the units of one that gain most in the other, as far as gains add up; or all, a merge.
 
     ``units`` > 0 fixes how many are moved.
@@ -84,8 +97,7 @@ def collect_from_cluster(at: _Position, top: int = PROPOSALS, units: int = 0) ->
     if units:
         usable = usable.where(F.col("rank") == F.least(F.lit(units), F.col("n")))
     best = usable.groupBy("source", "target").agg(F.max(F.struct("guess", (-F.col("rank")).alias("less"))).alias("b"))
-    chosen = best.orderBy(F.desc("b.guess"), "source", "target").limit(top)
-    named = chosen.select("source", "target", (-F.col("b.less")).alias("length"), F.row_number().over(Window.orderBy(F.desc("b.guess"), "source", "target")).alias("run_id"))
+    named = _batch(best.select("source", "target", (-F.col("b.less")).alias("length"), F.row_number().over(Window.orderBy(F.desc("b.guess"), "source", "target")).alias("run_id")), batch)
     return _moved(at, rows.join(named, ["source", "target"]).where(F.col("rank") <= F.col("length")).select("run_id", "unit_id", "target"))
 
 
@@ -110,14 +122,14 @@ def _prefixes(at: _Position, ranked: DataFrame, sizes: dict[int, int], target: i
     return _moved(at, ranked.join(runs, "group").where(F.col("rank") <= F.col("length")).select("run_id", "unit_id", F.lit(target).alias("target")))
 
 
-def _largest(at: _Position) -> dict[int, int]:
-    """Sizes of the clusters that are tried for a split: at most ``PROPOSALS``, the largest."""
-    return {r.cluster: r.n for r in at.sizes.where("n > 1").orderBy(F.desc("n"), "cluster").limit(PROPOSALS).collect()}
+def _largest(at: _Position, batch: int | None) -> dict[int, int]:
+    """Sizes of the clusters of a batch that are tried for a split, the largest first."""
+    return {r.cluster: r.n for r in _part(at.sizes.where("n > 1").orderBy(F.desc("n"), "cluster").collect(), batch, PROPOSALS)}
 
 
-def split_cluster(at: _Position, units: int = 0) -> DataFrame | None:
+def split_cluster(at: _Position, batch: int | None = None, units: int = 0) -> DataFrame | None:
     """New clusters out of one cluster each: its worst fitting unit with those nearest to it."""
-    sizes = _largest(at)
+    sizes = _largest(at, batch)
     if not sizes:
         return None
     inside = at.own.where(F.col("cluster").isin(list(sizes)))
@@ -126,9 +138,12 @@ def split_cluster(at: _Position, units: int = 0) -> DataFrame | None:
     return _prefixes(at, ranked, {g: min(units, n - 1) if units else n - 1 for g, n in sizes.items()}, at.k + 1)
 
 
-def collect_from_all(at: _Position) -> DataFrame:
-    """For each of the clusters that gain most: units of any other cluster, by gain, in prefixes."""
-    best = at.gains.where(F.col("gain") > 0).groupBy("target").agg(F.sum("gain").alias("t"), F.count("*").alias("n")).orderBy(F.desc("t"), "target").limit(PROPOSALS // 2).collect()
+def collect_from_all(at: _Position, batch: int | None = None) -> DataFrame | None:
+    """For each cluster that gains, from the one that gains most: units of any other cluster, by gain, in prefixes."""
+    gaining = at.gains.where(F.col("gain") > 0).groupBy("target").agg(F.sum("gain").alias("t"), F.count("*").alias("n")).orderBy(F.desc("t"), "target").collect()
+    best = _part(gaining, batch, PROPOSALS // 2)
+    if not best:
+        return None
     plans = [(run, t, n) for run, (t, n) in enumerate([(r.target, n) for r in best for n in _lengths(r.n)], 1)]
     runs = at.partition.sparkSession.createDataFrame(plans, "run_id int, target int, length int")
     order = Window.partitionBy("target").orderBy(F.desc("gain"), "unit_id")
@@ -136,8 +151,10 @@ def collect_from_all(at: _Position) -> DataFrame:
     return _moved(at, chosen.join(runs, "target").where(F.col("rank") <= F.col("length")).select("run_id", "unit_id", "target"))
 
 
-def create_from_all(at: _Position) -> DataFrame | None:
+def create_from_all(at: _Position, batch: int | None = None) -> DataFrame | None:
     """A new cluster from units of any cluster: the worst fitting unit with those nearest to it, no cluster emptied."""
+    if batch:
+        return None
     several = at.own.join(at.sizes.where("n > 1"), "cluster")
     seed = several.orderBy("own", "unit_id").limit(1).first()
     if seed is None:
@@ -149,12 +166,13 @@ def create_from_all(at: _Position) -> DataFrame | None:
     return _prefixes(at, ranked, {1: max(0, members.count() // 2)}, at.k + 1)
 
 
-def swap_units(at: _Position, top: int = PROPOSALS) -> DataFrame:
-    """Exchanges of the best unit of each ordered pair of clusters with that of the turned pair."""
-    best = assign.best_move_per_unit(at.gains)
+def swap_units(at: _Position, batch: int | None = None) -> DataFrame:
+    """Exchanges of each of the ``SWAPPED`` best units of an ordered pair of clusters with each of the turned pair."""
+    ranked = Window.partitionBy("source", "target").orderBy(F.desc("gain"), "unit_id")
+    best = at.gains.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= SWAPPED).select("source", "target", "unit_id", "gain")
     turned = best.select(F.col("target").alias("source"), F.col("source").alias("target"), F.col("unit_id").alias("other"), F.col("gain").alias("more"))
-    both = best.where(F.col("source") < F.col("target")).join(turned, ["source", "target"]).withColumn("sum", F.col("gain") + F.col("more")).orderBy(F.desc("sum"), "source", "target").limit(top)
-    named = both.withColumn("run_id", F.row_number().over(Window.orderBy(F.desc("sum"), "source", "target")))
+    both = best.where(F.col("source") < F.col("target")).join(turned, ["source", "target"]).withColumn("sum", F.col("gain") + F.col("more"))
+    named = _batch(both.withColumn("run_id", F.row_number().over(Window.orderBy(F.desc("sum"), "source", "target", "unit_id", "other"))), batch)
     moves = named.select("run_id", "unit_id", "target").union(named.select("run_id", F.col("other").alias("unit_id"), F.col("source").alias("target")))
     return _moved(at, moves)
 
@@ -174,8 +192,8 @@ def search(data: Dataset, init: DataFrame, hyper: DataFrame, g: tuple[float, flo
         at = _position(data, partition, hyper, g)
         accepted = False
         while not accepted and level < len(LEVELS):
-            best = _best_proposal(at, level, hyper, g, max_clusters)
-            if best is not None and best[0] > score + TOLERANCE:
+            best = _best_proposal(at, level, hyper, g, max_clusters, score)
+            if best is not None:
                 score, partition, accepted = best[0], written(_compact(best[1])), True
                 history.append(score)
             else:
@@ -190,24 +208,25 @@ def search(data: Dataset, init: DataFrame, hyper: DataFrame, g: tuple[float, flo
     return Result(partition, score, model.states(scores, model.classify_attributes(scores)), history)
 
 
-def _best_proposal(at: _Position, level: int, hyper: DataFrame, g: tuple[float, float, float], most: int | None) -> tuple[float, DataFrame] | None:
-    found = []
-    for k, operator in enumerate(LEVELS[level]):
-        if at.k == 1 and operator in (collect_from_cluster, collect_from_all, swap_units):
-            continue
-        if (made := operator(at)) is not None:
-            found.append(made.withColumn("run_id", F.col("run_id") * 10 + k))
-    if not found:
-        return None
-    proposals = found[0] if len(found) == 1 else found[0].unionByName(found[1])
-    if most is not None:
-        fit = proposals.groupBy("run_id").agg(F.count_distinct("cluster").alias("k")).where(F.col("k") <= max(most, at.k)).select("run_id")
-        proposals = proposals.join(fit, "run_id", "left_semi")
-    proposals = written(proposals)
-    best = model.best_of(model.score_many(at.data, proposals, hyper, g)).first()
-    if best is None or best.score is None or math.isnan(best.score):
-        return None
-    return best.score, proposals.where(F.col("run_id") == best.run_id).select("unit_id", "cluster")
+def _best_proposal(at: _Position, level: int, hyper: DataFrame, g: tuple[float, float, float], most: int | None, score: float) -> tuple[float, DataFrame] | None:
+    """The best proposal of the first batch that has one above ``score``; None once no operator has further ones."""
+    operators = [(k, f) for k, f in enumerate(LEVELS[level]) if at.k > 1 or f not in (collect_from_cluster, collect_from_all, swap_units)]
+    batch = 0
+    while operators:
+        made = [(k, f, p) for k, f in operators if (p := f(at, batch)) is not None]
+        if not made:
+            return None
+        proposals = written(reduce(DataFrame.unionByName, [p.withColumn("run_id", F.col("run_id") * 10 + k) for k, _, p in made]))
+        left = {r.k for r in proposals.select((F.col("run_id") % 10).alias("k")).distinct().collect()}
+        operators = [(k, f) for k, f, _ in made if k in left]
+        if most is not None:
+            fit = proposals.groupBy("run_id").agg(F.count_distinct("cluster").alias("k")).where(F.col("k") <= max(most, at.k)).select("run_id")
+            proposals = proposals.join(fit, "run_id", "left_semi")
+        best = model.best_of(model.score_many(at.data, proposals, hyper, g)).first() if operators else None
+        if best is not None and best.score is not None and not math.isnan(best.score) and best.score > score + TOLERANCE:
+            return best.score, proposals.where(F.col("run_id") == best.run_id).select("unit_id", "cluster")
+        batch += 1
+    return None
 
 
 def _compact(partition: DataFrame) -> DataFrame:

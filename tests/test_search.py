@@ -73,3 +73,24 @@ def test_stream_profile_equals_batch(spark, tmp_path):
     running.stop()
     batch = profile_sites(value_counts(from_table(rows, "id", ["a", "b"])))
     assert sorted(profile.current_sites(spark.table("profile_test")).collect()) == sorted(batch.collect())
+
+
+def test_a_level_goes_on_to_later_batches(spark, monkeypatch):
+    data, truth = _planted(spark, 45, 10)
+    hyper = written(model.default_hyper(data))
+    at = search._position(data, written(truth), hyper, model.CLASS_PROBABILITIES)
+    monkeypatch.setattr(search, "PROPOSALS", 1)
+    assert [len(search._largest(at, b)) for b in range(4)] == [1, 1, 1, 0]
+    assert {r.run_id for r in search.collect_from_cluster(at).select("run_id").distinct().collect()} == set(range(1, 7))
+    assert {r.run_id for r in search.collect_from_cluster(at, 3).select("run_id").distinct().collect()} == {4}
+    assert search.swap_units(at).select("run_id").distinct().count() == 3 * search.SWAPPED**2
+    tried = []
+    better = written(truth.select("unit_id", "cluster"))
+
+    def late(at, batch=None):
+        tried.append(batch)
+        return better.withColumn("run_id", F.lit(1)) if batch < 3 else None
+
+    monkeypatch.setattr(search, "LEVELS", ((late,),))
+    score = model.score_partition(data, better, hyper).first().score
+    assert search._best_proposal(at, 0, hyper, model.CLASS_PROBABILITIES, None, score) is None and tried == [0, 1, 2, 3]
