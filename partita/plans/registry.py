@@ -313,13 +313,13 @@ def k_medoids_embeddings(spark: SparkSession, d: str) -> DataFrame:
 @_query("candidate_cuts_customer")
 def candidate_cuts_customer(spark: SparkSession, d: str) -> DataFrame:
     """Units of each cluster of each cut of a dendrogram of a sample, extended to all customers."""
-    return distance.candidate_cuts(dataset(spark, d, "customer"), sample=100).groupBy("run_id", "cluster").agg(F.count("*").alias("n"))
+    return distance.candidate_cuts(dataset(spark, d, "customer")).groupBy("run_id", "cluster").agg(F.count("*").alias("n"))
 
 
 @_query("initial_partition_customer")
 def initial_partition_customer(spark: SparkSession, d: str) -> DataFrame:
     data = dataset(spark, d, "customer")
-    return distance.initial_partition(data, model.default_hyper(data), k_set=[2, 3, 4, 5], sample=100)
+    return distance.initial_partition(data, model.default_hyper(data))
 
 
 # Search
@@ -345,10 +345,10 @@ for _operator in (search.collect_from_cluster, search.split_cluster, search.coll
 
 @_query("search_documents")
 def search_documents(spark: SparkSession, d: str) -> DataFrame:
-    """Units and scores of the clusters that a search of two rounds from the languages ends with."""
+    """Units and scores of the clusters that a search from the languages ends with."""
     at = _at(spark, d, "documents")
     hyper = written(model.default_hyper(at.data))
-    found = search.search(at.data, at.partition, hyper, max_rounds=2)
+    found = search.search(at.data, at.partition, hyper)
     return counts.cluster_sizes(found.partition).withColumn("score", _round(F.lit(found.score), 3)).withColumn("rounds", F.lit(len(found.history) - 1))
 
 
@@ -381,9 +381,9 @@ def bipnmf_objective_part(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("bipnmf_fit_part")
 def bipnmf_fit_part(spark: SparkSession, d: str) -> DataFrame:
-    """Row clusters after five rounds of updates."""
+    """Row clusters of a fit that goes on to its tolerance."""
     data = dataset(spark, d, "part")
-    w, _, _ = cocluster.fit(cocluster.entries_of(data), *_factors(data), max_iter=5)
+    w, _, _ = cocluster.fit(cocluster.entries_of(data), *_factors(data))
     return cocluster.assign_argmax(w, "unit_id", "w")
 
 

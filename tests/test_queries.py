@@ -38,3 +38,23 @@ def test_entry_points():
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(registry.QUERIES) <= set(entry.queries())
+
+
+def test_queries_run_operators_with_their_defaults(spark, data_dir, monkeypatch):
+    said = {}
+
+    def noted(module, name, given):
+        def run(*args, **options):
+            said[name] = options
+            raise StopIteration
+
+        monkeypatch.setattr(module, given, run)
+
+    registry_uses = {"candidate_cuts_customer": (registry.distance, "candidate_cuts"), "initial_partition_customer": (registry.distance, "initial_partition"), "search_documents": (registry.search, "search"), "bipnmf_fit_part": (registry.cocluster, "fit")}
+    monkeypatch.setattr(registry, "_at", lambda spark, d, name: registry.search._Position(*[registry.dataset(spark, d, name)] * 7, 1))
+    monkeypatch.setattr(registry, "written", lambda x: x)
+    for query, (module, given) in registry_uses.items():
+        noted(module, query, given)
+        with pytest.raises(StopIteration):
+            registry.QUERIES[query](spark, data_dir)
+    assert said == {query: {} for query in registry_uses}
