@@ -1,12 +1,15 @@
 """SentencePiece encoding and decoding by a streaming Viterbi pass.
 
 The model is of the BPE kind, for which the admissible path is not the one of the largest sum of scores but the one
-that the merges would leave. For every position the pass keeps one backpointer: the only vocabulary piece that can end
-there next to the piece before it (``_Vocabulary.stays_apart`` says if merges ever cross the boundary of two pieces).
-No piece is longer than ``window``, so only that many positions survive; whenever the paths from all of them meet in
-one boundary, the ids before it are committed and forgotten. White space starts a piece and never ends one after other
-characters, so paths always meet in front of it; what lies between two such points is encoded once per worker and
-remembered, up to ``REMEMBERED`` entries; between a letter and a mark that no piece has after letters, paths meet as well.
+that the merges would leave. The pass goes over a text character by character. For every position it keeps one
+backpointer: the only vocabulary piece that can end there next to the piece before it (``_Vocabulary.stays_apart``
+says if merges ever cross the boundary of two pieces). What survives are the positions from which a piece may still
+grow, each with its place in the trie of all pieces: no more than the longest piece has characters. As soon as the
+paths from all of them meet in one boundary, the ids before it are committed and forgotten.
+
+Which positions survive depends on the state and the next character alone, so transitions are remembered by those
+two. The commonest meeting is in front of a space or a line end, with one state; ids from one such boundary to the next
+are remembered by their characters as well. Either memory is bounded and makes room for what is used again.
 
 Ids equal those of the sentencepiece library; decoding gives the text back, except that U+2581, by which the format
 itself writes a space, comes back as a space.
@@ -14,6 +17,7 @@ itself writes a space, comes back as a space.
 
 from __future__ import annotations
 
+import gc
 import heapq
 import re
 from array import array
@@ -28,8 +32,13 @@ from partita.llm.common import documents, slices
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 NEVER = float("inf")
-ONE = (1,)
-REMEMBERED = 200_000
+#: Characters in front of which paths mostly meet, and what follows up to the next of them.
+STOPS = (SPACE, "\n")
+AHEAD = re.compile(f".[^{SPACE}\n]*", re.DOTALL)
+#: Parts and transitions that a worker remembers, and the longest such part.
+REMEMBERED = 150_000
+TRANSITIONS = 400_000
+LONGEST = 48
 
 
 def read_vocabulary(path: str = MODEL) -> dict:
@@ -44,7 +53,7 @@ def read_vocabulary(path: str = MODEL) -> dict:
     made = {}
     for piece in ids:
         parts: list[tuple[str, str]] = []
-        if len(piece) > 1 and SPACE * 2 not in piece and merge(piece, ranks, parts) == [piece]:
+        if len(piece) > 1 and merge(piece, ranks, parts) == [piece]:
             made[piece] = parts[-1]
     raw = {int(model.id_to_piece(i)[3:5], 16): i for i in range(n) if model.is_byte(i)}
     return {"ids": ids, "ranks": ranks, "made": made, "raw": raw, "unknown": model.unk_id(), "pieces": _pieces(model, known, n)}
@@ -79,30 +88,40 @@ def merge(text: str, ranks: dict[str, float], parts: list | None = None) -> list
     return [s for s in symbols if s]
 
 
+class _Node:
+    """A place in the trie of all pieces."""
+
+    __slots__ = ("apart", "below", "ids", "text", "whole")
+
+    def __init__(self, text: str, ids: bytes = b""):
+        self.text, self.ids, self.below, self.whole, self.apart = text, ids, {}, len(text) == 1, {}
+
+
 class _Vocabulary:
     """The tables of one model, with what a worker has remembered."""
 
     def __init__(self, tables: dict):
         self.ids, self.ranks, self.made, self.raw = tables["ids"], tables["ranks"], tables["made"], tables["raw"]
         self.unknown, self.pieces = tables["unknown"], tables["pieces"]
-        self.window = max(map(len, self.made), default=1)
-        ending: dict[str, set[int]] = {}
-        for p in self.made:
-            ending.setdefault(p[-2:], {1}).add(len(p))
-        #: By the last two characters: how long pieces that end so can be, the longest first.
-        self.lengths = {end: tuple(sorted(n, reverse=True)) for end, n in ending.items()}
+        self.window = max(map(len, self.ranks), default=1)
+        self.root = _Node("")
+        for piece in self.ranks:
+            at = self.root
+            for k, c in enumerate(piece, 1):
+                if c not in at.below:
+                    at.below[c] = _Node(piece[:k], self._ids(piece[:k]))
+                at = at.below[c]
+            at.whole = at.whole or piece in self.made
         self.formed: dict[str, float] = {}
         self.spines: tuple[dict, dict] = ({}, {})
-        self.apart: dict[str, dict[str, bool]] = {}
-        self.answers = 0
+        self.states: dict[tuple, dict] = {}
+        self.answers = self.meetings = self.widest = 0
         self.known: dict[str, bytes] = {}
-        inside = {c for p in self.ids if len(p) > 1 for c in p}
-        stops = "".join(c for c in "\n\t\r" if c not in inside)
-        joined = {p[k + 1] for p in self.made for k in range(len(p) - 1) if p[k].isalpha()}
-        marks = "".join(re.escape(c) for c in ".,;:!?)\"" if c not in joined)  # that no piece has after a letter
-        self.parts = re.compile((f"{SPACE}*+[^\\W\\d_]++(?=[{marks}{SPACE}{stops}]|$)|" if marks else "") + f"{SPACE}*[^{SPACE}{stops}]+|{SPACE}+" + (f"|[{stops}]" if stops else ""))
+        self.older: dict[str, bytes] = {}
+        self.start = self._state(((None, self.root),))
         # A byte below 128 is a character by itself; longer ones are put together from runs of byte pieces.
-        self.pieces = [chr(b) if (b := back.get(i, 255)) < 128 else p for i, p in enumerate(self.pieces)] if (back := {i: b for b, i in self.raw.items()}) else self.pieces
+        back = {i: b for b, i in self.raw.items()}
+        self.pieces = [chr(b) if (b := back.get(i, 255)) < 128 else p for i, p in enumerate(self.pieces)] if back else self.pieces
         self.bytes_of = {i: b for i, b in back.items() if b >= 128}
         self.is_byte = np.isin(np.arange(len(self.pieces)), list(self.bytes_of))
 
@@ -127,8 +146,11 @@ class _Vocabulary:
         """True if merges that make both pieces are all done before any could join them across their boundary.
 
         Both sides grow merge by merge; the lower rank goes first, the leftmost of equals, and a merge waits for the
-        part it joins. The pair is broken if a piece made across the boundary has its turn before both are whole.
+        part it joins. The pair is broken if a piece made across the boundary has its turn before both are whole. Runs
+        of spaces have equal ranks throughout, so of two of them the leftmost merge goes first, as the definition has it.
         """
+        if left[-1] == right[-1] == SPACE:
+            return merge(left + right, self.ranks) == [left, right]
         lefts, rights, ranks = self.spine(left, 1), self.spine(right, 0), self.ranks
         i = j = 0
         clock = -1.0
@@ -151,89 +173,140 @@ class _Vocabulary:
                 j += 1
                 clock = max(clock, b)
 
-    def viterbi(self, text: str, last: dict[int, str] | None = None, start_at: int = 0) -> list[str]:
-        """Pieces of a text, committed as soon as all surviving paths agree on a boundary.
+    def _state(self, walks: tuple) -> dict:
+        """The transitions of a state by character; ``None`` has the state itself.
 
-        ``last`` has, by position, the piece that ends there, which is its backpointer; what it has up to ``start_at``
-        is taken over from a text with the same beginning. Agreement is looked for once in a window, so that no more
-        than two windows are ever kept.
+        A state is what may still grow: the piece that ends before it, and its place in the trie, the longest first.
+        """
+        if (state := self.states.get(walks)) is None:
+            state = self.states[walks] = {None: walks}
+        return state
+
+    def _step(self, state: dict, c: str) -> tuple[dict, int, bytes, bool]:
+        """State after a character, length and ids of the piece that ends there, and if all paths meet in front of it."""
+        grown, piece, ids, meet = [], None, b"", True
+        for left, node in state[None]:
+            if (below := node.below.get(c)) is None:
+                continue
+            meet = meet and node is self.root
+            if piece is None and below.whole and (left is None or self._apart(left, below)):
+                piece, ids = below.text, below.ids
+            if below.below:
+                grown.append((left, below))
+        if piece is None:
+            piece, ids = c, self._ids(c)
+        if meet:  # no piece reaches across, so what is before says nothing about what follows
+            grown = [(None, below) for _, below in grown]
+        after = self._state((*grown, (piece, self.root)))
+        said = state[c] = (after, len(piece), ids, meet)
+        self.answers += 1
+        return said
+
+    def _apart(self, left: str, node: _Node) -> bool:
+        if (said := node.apart.get(left)) is None:
+            said = node.apart[left] = self.stays_apart(left, node.text)
+        return said
+
+    def _meets(self, state: dict) -> bool:
+        """True if paths meet at the end of a text that leads to a state, whatever stop follows."""
+        if (said := state.get("")) is None:
+            said = state[""] = all((state.get(c) or self._step(state, c))[3] for c in STOPS)
+        return said
+
+    def _walk(self, text: str, at: int) -> tuple[bytes, int, dict]:
+        """Ids from a boundary on to the next one before a space or line end, that boundary, and the state there.
+
+        ``back`` has length and ids of the piece that ends at each place since the last boundary. If no boundary came
+        for two windows, the paths of all that survive are followed back to where they meet.
         """
-        done: list[str] = []
-        last = {0: ""} if last is None else last
-        base, window, made, apart, lengths = 0, self.window, self.made, self.apart, self.lengths
-        for end in range(start_at + 1, len(text) + 1):
-            for n in lengths.get(text[max(0, end - 2) : end], ONE):
-                start = end - n
-                if start < base or (before := last.get(start)) is None:
-                    continue
-                piece = text[start:end]
-                if n == 1 or piece in made:
-                    if start:
-                        rights = apart.get(before)
-                        if rights is None:
-                            rights = apart[before] = {}
-                        ok = rights.get(piece)
-                        if ok is None:
-                            ok = rights[piece] = self.stays_apart(before, piece)
-                            self.answers += 1
-                        if not ok:
-                            continue
-                    last[end] = piece
-                    break
-            if end - base >= 2 * window:
-                alive = [p for p in range(end - window + 1, end + 1) if p in last]
-                common = set(self._path(alive[0], base, last)).intersection(*(self._path(p, base, last) for p in alive[1:]))
-                if (meet := max(common)) > base:
-                    done += [last[p] for p in reversed(self._path(meet, base, last)[:-1])]
-                    last = {p: x for p, x in last.items() if p >= meet}
-                    base = meet
-        return done + [last[p] for p in reversed(self._path(len(text), base, last)[:-1])]
+        state, base, out, back = self.start, at, [], []
+        for at in range(at, len(text)):
+            c = text[at]
+            after, length, ids, meet = state.get(c) or self._step(state, c)
+            if meet and at > base:
+                out += self._committed(back, at - base)
+                base, back = at, []
+                if c in STOPS:
+                    return b"".join(out), at, state
+            elif len(back) >= 2 * self.window:
+                alive = [len(back) - len(node.text) for _, node in state[None]]
+                common = set.intersection(*(set(self._path(back, p)) for p in alive))
+                if (met := max(common)) > 0:
+                    out += self._committed(back, met)
+                    base, back = base + met, back[met:]
+            back.append((length, ids))
+            state = after
+        return b"".join(out + self._committed(back, len(back))), len(text), state
+
+    def _committed(self, back: list, at: int) -> list[bytes]:
+        """The ids of the path up to a place on which all that survive agree."""
+        self.meetings += 1
+        self.widest = max(self.widest, len(back))
+        out = []
+        while at > 0:
+            length, ids = back[at - 1]
+            out.append(ids)
+            at -= length
+        return out[::-1]
 
     @staticmethod
-    def _path(at: int, base: int, last: dict[int, str]) -> list[int]:
+    def _path(back: list, at: int) -> list[int]:
         path = [at]
-        while at > base:
-            at -= len(last[at])
+        while at > 0:
+            at -= back[at - 1][0]
             path.append(at)
         return path
 
-    def _ids(self, pieces: list[str]) -> bytes:
-        ids: list[int] = []
-        for p in pieces:
-            if (i := self.ids.get(p)) is not None:
-                ids.append(i)
-            else:
-                ids += [self.raw.get(b, self.unknown) for b in p.encode()]
-        return array("i", ids).tobytes()
-
-    def learn(self, parts: list[str]) -> None:
-        """Encodes parts in order of their letters: backpointers of a common beginning are those of the part before."""
-        before, last = "", {0: ""}
-        for part in sorted(parts):
-            if part.startswith(SPACE * 2):  # runs of spaces have equal ranks, so their merges follow the definition
-                self.known[part] = self._ids(merge(part, self.ranks))
-                continue
-            if len(part) >= 2 * self.window:
-                self.known[part] = self._ids(self.viterbi(part))
-                continue
-            same, most = 0, min(len(part), len(before))
-            while same < most and part[same] == before[same]:
-                same += 1
-            last = {p: x for p, x in last.items() if p <= same}
-            self.known[part] = self._ids(self.viterbi(part, last, same))
-            before = part
+    def _ids(self, piece: str) -> bytes:
+        if (i := self.ids.get(piece)) is not None:
+            return array("i", [i]).tobytes()
+        return array("i", [self.raw.get(b, self.unknown) for b in piece.encode()]).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes | None]:
         """Ids of each text as 32-bit numbers."""
-        split = [self.parts.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        if self.answers > REMEMBERED:
-            self.apart.clear()
-            self.answers = 0
-        self.learn(list(set().union(*split).difference(self.known)))
-        get = self.known.__getitem__
-        return [None if t is None else b"".join(map(get, s)) for t, s in zip(texts, split, strict=True)]
+        if self.answers > TRANSITIONS:
+            self._forget()
+        collects = gc.isenabled()
+        gc.disable()  # nothing below makes garbage in circles, and what is remembered is much to go through
+        try:
+            return [None if t is None else self._encode(SPACE + t.replace(" ", SPACE)) if t else b"" for t in texts]
+        finally:
+            if collects:
+                gc.enable()
+
+    def _forget(self) -> None:
+        for state in self.states.values():
+            state.clear()  # states know each other
+        self.states, self.spines, self.answers = {}, ({}, {}), 0
+        nodes = [self.root]
+        while nodes:
+            node = nodes.pop()
+            node.apart = {}
+            nodes += node.below.values()
+        self.start = self._state(((None, self.root),))
+
+    def _encode(self, text: str) -> bytes:
+        """All ids of a text: from boundary to boundary, by what is remembered or by a walk."""
+        out, done, past = [], 0, 0
+        for part in AHEAD.findall(text):
+            if done >= past:  # else a walk went on through this part
+                ids = self.known.get(part)
+                if ids is None:
+                    ids, past = self._learned(part, text, done)
+                out.append(ids)
+            done += len(part)
+        return b"".join(out)
+
+    def _learned(self, part: str, text: str, at: int) -> tuple[bytes, int]:
+        """Ids from a boundary on and where they end; remembered if paths meet after ``part`` whatever stop follows."""
+        if (ids := self.older.get(part)) is None:
+            ids, end, state = self._walk(text, at)
+            if end != at + len(part) or len(part) > LONGEST or not self._meets(state):
+                return ids, end
+        if len(self.known) >= REMEMBERED:
+            self.older, self.known = self.known, {}
+        self.known[part] = ids
+        return ids, at + len(part)
 
     def decode(self, ids: np.ndarray) -> str:
         pieces = self.pieces
@@ -290,7 +363,11 @@ def encode(docs: DataFrame, *, model: str = MODEL) -> DataFrame:
 
 
 def decode(encoded: DataFrame, *, model: str = MODEL) -> DataFrame:
-    """The columns of ``encoded`` and ``decoded``, the text that its ids stand for (null for null)."""
+    """The columns of ``encoded`` and ``decoded``, the text that its ids stand for (null for null).
+
+    A column of that name is replaced.
+    """
+    encoded = encoded.drop("decoded")
     tables = _Tables(encoded.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,7 +378,7 @@ def decode(encoded: DataFrame, *, model: str = MODEL) -> DataFrame:
             texts = [None if null[k] else vocabulary.decode(values[ends[k] : ends[k + 1]]) for k in range(len(column))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
-    return encoded.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in encoded.dtypes if c != "decoded") + ", decoded string")
+    return encoded.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in encoded.dtypes) + ", decoded string")
 
 
 def round_trip(docs: DataFrame, *, model: str = MODEL) -> DataFrame:

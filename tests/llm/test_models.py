@@ -126,6 +126,43 @@ def test_sentencepiece_equals_the_library(spark, docs):
         assert r.decoded == r.text
 
 
+def test_streaming_pass_commits_where_paths_meet():
+    library = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.MODEL)
+    known = sentencepiece_codec._Vocabulary(sentencepiece_codec.read_vocabulary())
+    ids = lambda t: np.frombuffer(known.encode([t])[0], np.int32).tolist()
+    rng = np.random.default_rng(21)
+    pieces = [*"ab th\n\t\r.,;e▁éin漢", "  ", "   ", "the", "er", " " * 14, " " * 16, "\r\n", "😀"]
+    for _ in range(600):
+        text = "".join(rng.choice(pieces, int(rng.integers(1, 40))))
+        assert ids(text) == library.encode(text)
+    for text in ("abcdefghij" * 100_000, " " * 5000, "x" * 5000, "no stops, but;meetings:everywhere" * 3000):
+        known.meetings = known.widest = 0
+        assert ids(text) == library.encode(text)
+        assert known.meetings > len(text) / 100 and known.widest <= 2 * known.window
+    known.meetings, text = 0, "one two three"
+    known.known.clear()
+    assert ids(text) == library.encode(text) and known.meetings >= 3
+
+
+def test_remembered_parts_and_states_are_bounded(monkeypatch):
+    monkeypatch.setattr(sentencepiece_codec, "REMEMBERED", 50)
+    monkeypatch.setattr(sentencepiece_codec, "TRANSITIONS", 300)
+    library = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.MODEL)
+    known = sentencepiece_codec._Vocabulary(sentencepiece_codec.read_vocabulary())
+    rng = np.random.default_rng(22)
+    for _ in range(60):
+        text = " ".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(30))
+        assert np.frombuffer(known.encode([text])[0], np.int32).tolist() == library.encode(text)
+        assert len(known.known) <= 50 and len(known.older) <= 50
+
+
+def test_decoding_replaces_a_column_of_its_name(spark):
+    rows = spark.createDataFrame([(1, "a b", [1], "old"), (1, "a b", [1], "old"), (2, None, None, "old")], "doc_id long, text string, ids array<int>, decoded string")
+    coded = sentencepiece_codec.encode(rows).withColumn("decoded", F.lit(5))
+    assert sorted((r.doc_id, r.decoded) for r in sentencepiece_codec.decode(coded).collect()) == [(1, "a b"), (1, "a b"), (2, None)]
+    assert sentencepiece_codec.decode(sentencepiece_codec.encode(rows.limit(0))).count() == 0
+
+
 def test_language_of_held_out_rows(spark, docs):
     said = language.identify(docs, sample=60).join(docs.select("doc_id", "lang", "text"), "doc_id").where("held_out")
     row = said.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double")).alias("right"), F.count("*").alias("n")).first()
