@@ -36,9 +36,11 @@ NEVER = float("inf")
 STOPS = (SPACE, "\n")
 AHEAD = re.compile(f".[^{SPACE}\n]*", re.DOTALL)
 #: Parts and transitions that a worker remembers, and the longest such part.
-REMEMBERED = 150_000
-TRANSITIONS = 400_000
+REMEMBERED = 200_000
+TRANSITIONS = 300_000
 LONGEST = 48
+#: Pieces below a place in the trie up to which states that differ in nothing that matters are one.
+FEW = 32
 
 
 def read_vocabulary(path: str = MODEL) -> dict:
@@ -89,12 +91,35 @@ def merge(text: str, ranks: dict[str, float], parts: list | None = None) -> list
 
 
 class _Node:
-    """A place in the trie of all pieces."""
+    """A place in the trie of all pieces, with what is known of the pieces before it."""
 
-    __slots__ = ("apart", "below", "ids", "text", "whole")
+    __slots__ = ("apart", "below", "ends", "firsts", "ids", "kinds", "text", "whole")
 
     def __init__(self, text: str, ids: bytes = b""):
-        self.text, self.ids, self.below, self.whole, self.apart = text, ids, {}, len(text) == 1, {}
+        self.text, self.ids, self.below, self.whole = text, ids, {}, len(text) == 1
+        self.ends: list[_Node] | None = None
+        self.forget()
+
+    def forget(self) -> None:
+        self.apart: dict[str, bool] = {}
+        self.kinds: dict[str, str] = {}
+        self.firsts: dict[tuple, str] = {}
+
+
+class _State(dict):
+    """Transitions by character: state after it, length and ids of the piece that ends there, and if paths meet before.
+
+    ``walks`` is what may still grow: the piece that ends before it, and its place in the trie, the longest first.
+    """
+
+    __slots__ = ("meets", "of", "walks")
+
+    def __init__(self, of: _Vocabulary, walks: tuple):
+        self.of, self.walks, self.meets = of, walks, None
+
+    def __missing__(self, c: str) -> tuple[_State, int, bytes, bool]:
+        said = self[c] = self.of.step(self, c)
+        return said
 
 
 class _Vocabulary:
@@ -114,11 +139,11 @@ class _Vocabulary:
             at.whole = at.whole or piece in self.made
         self.formed: dict[str, float] = {}
         self.spines: tuple[dict, dict] = ({}, {})
-        self.states: dict[tuple, dict] = {}
+        self.states: dict[tuple, _State] = {}
         self.answers = self.meetings = self.widest = 0
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.start = self._state(((None, self.root),))
+        self.start = self._state((None, self.root))
         # A byte below 128 is a character by itself; longer ones are put together from runs of byte pieces.
         back = {i: b for b, i in self.raw.items()}
         self.pieces = [chr(b) if (b := back.get(i, 255)) < 128 else p for i, p in enumerate(self.pieces)] if back else self.pieces
@@ -173,19 +198,14 @@ class _Vocabulary:
                 j += 1
                 clock = max(clock, b)
 
-    def _state(self, walks: tuple) -> dict:
-        """The transitions of a state by character; ``None`` has the state itself.
-
-        A state is what may still grow: the piece that ends before it, and its place in the trie, the longest first.
-        """
+    def _state(self, *walks: tuple) -> _State:
         if (state := self.states.get(walks)) is None:
-            state = self.states[walks] = {None: walks}
+            state = self.states[walks] = _State(self, walks)
         return state
 
-    def _step(self, state: dict, c: str) -> tuple[dict, int, bytes, bool]:
-        """State after a character, length and ids of the piece that ends there, and if all paths meet in front of it."""
+    def step(self, state: _State, c: str) -> tuple[_State, int, bytes, bool]:
         grown, piece, ids, meet = [], None, b"", True
-        for left, node in state[None]:
+        for left, node in state.walks:
             if (below := node.below.get(c)) is None:
                 continue
             meet = meet and node is self.root
@@ -195,65 +215,80 @@ class _Vocabulary:
                 grown.append((left, below))
         if piece is None:
             piece, ids = c, self._ids(c)
-        if meet:  # no piece reaches across, so what is before says nothing about what follows
-            grown = [(None, below) for _, below in grown]
-        after = self._state((*grown, (piece, self.root)))
-        said = state[c] = (after, len(piece), ids, meet)
+        # Where no piece reaches across, what is before says nothing about what follows.
+        grown = [(None if meet else self._kind(left, below), below) for left, below in grown]
         self.answers += 1
-        return said
+        return self._state(*grown, (piece, self.root)), len(piece), ids, meet
 
     def _apart(self, left: str, node: _Node) -> bool:
         if (said := node.apart.get(left)) is None:
             said = node.apart[left] = self.stays_apart(left, node.text)
         return said
 
-    def _meets(self, state: dict) -> bool:
+    def _kind(self, left: str | None, node: _Node) -> str | None:
+        """Of the pieces before a place, one that stays apart from the same pieces below it, if those are few."""
+        if node.ends is None:
+            node.ends, todo = [], list(node.below.values())
+            while todo:
+                at = todo.pop()
+                todo += at.below.values()
+                if at.whole:
+                    node.ends.append(at)
+            if len(node.ends) > FEW:
+                node.ends = []
+        if left is None or not node.ends:
+            return left
+        if (kind := node.kinds.get(left)) is None:
+            kind = node.kinds[left] = node.firsts.setdefault(tuple([self._apart(left, end) for end in node.ends]), left)
+        return kind
+
+    def _meets(self, state: _State) -> bool:
         """True if paths meet at the end of a text that leads to a state, whatever stop follows."""
-        if (said := state.get("")) is None:
-            said = state[""] = all((state.get(c) or self._step(state, c))[3] for c in STOPS)
-        return said
+        if state.meets is None:
+            state.meets = all(state[c][3] for c in STOPS)
+        return state.meets
 
-    def _walk(self, text: str, at: int) -> tuple[bytes, int, dict]:
+    def _walk(self, text: str, at: int) -> tuple[bytes, int, _State]:
         """Ids from a boundary on to the next one before a space or line end, that boundary, and the state there.
 
-        ``back`` has length and ids of the piece that ends at each place since the last boundary. If no boundary came
-        for two windows, the paths of all that survive are followed back to where they meet.
+        ``back`` has the transition to each place since the last boundary. If no boundary came for two windows, the
+        paths of all that survive are followed back to where they meet.
         """
-        state, base, out, back = self.start, at, [], []
+        state, base, out, back, most = self.start, at, [], [], 2 * self.window
         for at in range(at, len(text)):
-            c = text[at]
-            after, length, ids, meet = state.get(c) or self._step(state, c)
-            if meet and at > base:
+            said = state[text[at]]
+            if said[3] and at > base:
                 out += self._committed(back, at - base)
-                base, back = at, []
-                if c in STOPS:
+                if text[at] in STOPS:
                     return b"".join(out), at, state
-            elif len(back) >= 2 * self.window:
-                alive = [len(back) - len(node.text) for _, node in state[None]]
-                common = set.intersection(*(set(self._path(back, p)) for p in alive))
-                if (met := max(common)) > 0:
+                base, back = at, []
+            elif len(back) >= most:
+                alive = [len(back) - len(node.text) for _, node in state.walks]
+                if (met := max(set.intersection(*(set(self._path(back, p)) for p in alive)))) > 0:
                     out += self._committed(back, met)
                     base, back = base + met, back[met:]
-            back.append((length, ids))
-            state = after
+            back.append(said)
+            state = said[0]
         return b"".join(out + self._committed(back, len(back))), len(text), state
 
     def _committed(self, back: list, at: int) -> list[bytes]:
         """The ids of the path up to a place on which all that survive agree."""
         self.meetings += 1
-        self.widest = max(self.widest, len(back))
+        if len(back) > self.widest:
+            self.widest = len(back)
         out = []
         while at > 0:
-            length, ids = back[at - 1]
+            _, length, ids, _ = back[at - 1]
             out.append(ids)
             at -= length
-        return out[::-1]
+        out.reverse()
+        return out
 
     @staticmethod
     def _path(back: list, at: int) -> list[int]:
         path = [at]
         while at > 0:
-            at -= back[at - 1][0]
+            at -= back[at - 1][1]
             path.append(at)
         return path
 
@@ -281,9 +316,9 @@ class _Vocabulary:
         nodes = [self.root]
         while nodes:
             node = nodes.pop()
-            node.apart = {}
+            node.forget()
             nodes += node.below.values()
-        self.start = self._state(((None, self.root),))
+        self.start = self._state((None, self.root))
 
     def _encode(self, text: str) -> bytes:
         """All ids of a text: from boundary to boundary, by what is remembered or by a walk."""

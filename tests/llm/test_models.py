@@ -135,7 +135,7 @@ def test_streaming_pass_commits_where_paths_meet():
     for _ in range(600):
         text = "".join(rng.choice(pieces, int(rng.integers(1, 40))))
         assert ids(text) == library.encode(text)
-    for text in ("abcdefghij" * 100_000, " " * 5000, "x" * 5000, "no stops, but;meetings:everywhere" * 3000):
+    for text in ("abcdefghij" * 100_000, " " * 5000, "x" * 5000, "nostops,but;meetings:everywhere" * 3000):
         known.meetings = known.widest = 0
         assert ids(text) == library.encode(text)
         assert known.meetings > len(text) / 100 and known.widest <= 2 * known.window
