@@ -36,7 +36,7 @@ NEVER = float("inf")
 STOPS = (SPACE, "\n")
 AHEAD = re.compile(f".[^{SPACE}\n]*", re.DOTALL)
 #: Parts and transitions that a worker remembers, and the longest such part.
-REMEMBERED = 200_000
+REMEMBERED = 150_000
 TRANSITIONS = 300_000
 LONGEST = 48
 #: Pieces below a place in the trie up to which states that differ in nothing that matters are one.
@@ -356,6 +356,18 @@ class _Vocabulary:
         return text.replace(SPACE, " ").removeprefix(" ")
 
 
+    def decode_all(self, column: pa.ListArray) -> list[str | None]:
+        values, ends, null = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy(), column.is_null().to_numpy(zero_copy_only=False)
+        return [None if null[k] else self.decode(values[ends[k] : ends[k + 1]]) for k in range(len(column))]
+
+
+def _listed(codes: list[bytes | None]) -> pa.ListArray:
+    """Ids as an Arrow column."""
+    ends = np.cumsum([0] + [len(c or b"") // 4 for c in codes], dtype=np.int64)
+    values = pa.array(np.frombuffer(b"".join([c or b"" for c in codes]), np.int32))
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values, mask=pa.array([c is None for c in codes]))
+
+
 _loaded: dict[int, _Vocabulary] = {}
 
 
@@ -388,10 +400,7 @@ def encode(docs: DataFrame, *, model: str = MODEL) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _of(tables)
         for batch in slices(batches):
-            codes = vocabulary.encode(batch.column("text").to_pylist())
-            ends = np.cumsum([0] + [len(c or b"") // 4 for c in codes], dtype=np.int64)
-            values = pa.array(np.frombuffer(b"".join([c or b"" for c in codes]), np.int32))
-            ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values, mask=pa.array([c is None for c in codes]))
+            ids = _listed(vocabulary.encode(batch.column("text").to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), ids], ["doc_id", "text", "ids"])
 
     return documents(docs).mapInArrow(run, "doc_id long, text string, ids array<int>")
@@ -408,18 +417,17 @@ def decode(encoded: DataFrame, *, model: str = MODEL) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _of(tables)
         for batch in slices(batches):
-            column = batch.column("ids")
-            values, ends, null = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy(), column.is_null().to_numpy(zero_copy_only=False)
-            texts = [None if null[k] else vocabulary.decode(values[ends[k] : ends[k + 1]]) for k in range(len(column))]
+            texts = vocabulary.decode_all(batch.column("ids"))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in encoded.dtypes) + ", decoded string")
 
 
 def round_trip(docs: DataFrame, *, model: str = MODEL) -> DataFrame:
-    """doc_id, ids and round_trip: whether a text's ids stand for it again, the mark of a space read as a space.
+    """doc_id, ids, decoded and round_trip: whether a text's ids stand for it again, the mark of a space read as a space.
 
-    Texts are decoded one at a time within the batch that encodes them, so no second copy of a batch is kept.
+    Texts are decoded within the batch that encodes them, so one process does both and the text is sent once. Null texts
+    have null ids and come back as null.
     """
     tables = _Tables(docs.sparkSession, model)
 
@@ -427,11 +435,9 @@ def round_trip(docs: DataFrame, *, model: str = MODEL) -> DataFrame:
         vocabulary = _of(tables)
         for batch in slices(batches):
             texts = batch.column("text").to_pylist()
-            codes = vocabulary.encode(texts)
-            same = [t is None if c is None else vocabulary.decode(np.frombuffer(c, np.int32)) == t.replace(SPACE, " ") for c, t in zip(codes, texts, strict=True)]
-            ends = np.cumsum([0] + [len(c or b"") // 4 for c in codes], dtype=np.int64)
-            values = pa.array(np.frombuffer(b"".join([c or b"" for c in codes]), np.int32))
-            ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values, mask=pa.array([c is None for c in codes]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, pa.array(same, pa.bool_())], ["doc_id", "ids", "round_trip"])
-
-    return documents(docs).mapInArrow(run, "doc_id long, ids array<int>, round_trip boolean")
+            ids = _listed(vocabulary.encode(texts))
+            back = vocabulary.decode_all(ids)
+            same = [d == (t if t is None else t.replace(SPACE, " ")) for d, t in zip(back, texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, pa.array(back, pa.string()), pa.array(same, pa.bool_())], ["doc_id", "ids", "decoded", "round_trip"])
+
+    return documents(docs).mapInArrow(run, "doc_id long, ids array<int>, decoded string, round_trip boolean")
