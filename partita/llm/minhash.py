@@ -7,8 +7,11 @@ banded alignment of their shingles matches M of them in order with M / (n1 + n2
 from the diagonal than the band cannot be part of such an alignment, so the band loses nothing.
 
 Exact copies are one text. Each text is compared with the first of one of its buckets. Buckets whose members are not in
-one class by then are exhausted: each two members are compared unless they are in one class already, block by block, so
-that a hot bucket is spread over tasks. A link is found whenever its documents share a bucket. Texts of few shingles,
+one class by then are exhausted: each two members are compared unless they are in one class already. A bucket of more
+than ``BLOCK`` texts, as common passages make them, is refined first, without loss: of similar texts each has at least
+four fifths of its shingles in common with the other, so in any one order of all shingles they share one of the first
+fifth (and one more) of either. The order is from rare to common, so passages that many texts hold lead nowhere. What
+is still large is compared block by block, spread over tasks. A link is found whenever its documents share a bucket. Texts of few shingles,
 which a sketch of six tells apart too well, have keys by which similar ones always share a bucket.
 
 Linked texts form classes; a class is named by its smallest document id.
@@ -32,9 +35,11 @@ PICKED = 6
 SIMILARITY = 0.8
 #: Texts of at most so many shingles have exact keys as well.
 SHORT = 12
-#: Texts and bytes of a block of a bucket; each two blocks are compared in one group.
+#: Texts and bytes of a block of a bucket; each two blocks are compared in one group. Buckets of more are refined first.
 BLOCK = 256
 BLOCK_BYTES = 8 << 20
+#: Cells in which shingles are counted, to tell rare from common ones.
+CELLS = 1 << 16
 #: Shingles for which all hash functions are computed at once.
 AT_ONCE = 1 << 16
 
@@ -145,19 +150,59 @@ def _with_first(members: DataFrame) -> DataFrame:
     return members.join(firsts, "bucket").where(F.col("node") > F.col("first"))
 
 
+def _mixed(members: DataFrame) -> DataFrame:
+    """bucket, n, first, last of the buckets of ``members`` (bucket, node, class) that hold several classes.
+
+    Buckets of the same members count once.
+    """
+    marks = [F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"mark{k}") for k in range(2)]
+    sets = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high"), F.min("node").alias("first"), F.max("node").alias("last"), *marks)
+    return sets.where(F.col("low") < F.col("high")).groupBy("n", "first", "last", "mark0", "mark1").agg(F.min("bucket").alias("bucket"))
+
+
 def _shared(grouped: DataFrame, known: DataFrame) -> DataFrame:
     """bucket, node, class, n of the buckets that still hold texts of different classes, by the links of ``known``.
 
-    Buckets of the same members count once, and two texts that ``known`` holds already not at all.
+    Two texts that ``known`` holds already do not count.
     """
     named = components(known.where("linked").select("first", "node"))
     every = grouped.select("bucket", "node").union(grouped.select("bucket", F.col("first").alias("node"))).distinct()
     members = materialise(every.join(named, "node", "left").select("bucket", "node", F.coalesce("class", "node").alias("class")))
-    marks = [F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"mark{k}") for k in range(2)]
-    sets = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high"), F.min("node").alias("first"), F.max("node").alias("last"), *marks)
-    mixed = sets.where(F.col("low") < F.col("high")).groupBy("n", "first", "last", "mark0", "mark1").agg(F.min("bucket").alias("bucket"))
     compared = known.select("first", F.col("node").alias("last"), F.lit(2).cast("long").alias("n"))
-    return materialise(members.join(mixed.join(compared, ["first", "last", "n"], "left_anti").select("bucket", "n"), "bucket"))
+    return materialise(members.join(_mixed(members).join(compared, ["first", "last", "n"], "left_anti").select("bucket", "n"), "bucket"))
+
+
+def first_shingles(shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Of a text's shingles, from rare to common, those of which every similar text has one among its own."""
+    n = len(shingles)
+    order = np.lexsort((shingles, counts[shingles % np.uint64(CELLS)]))
+    return shingles[order[: n - int(np.ceil(SIMILARITY * n - 1e-9)) + 1]]
+
+
+def _refined(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """bucket, node, class, n: texts by the rare shingles they share, for the members (node, class) of large buckets."""
+    rows = materialise(texts.select(F.col("doc_id").alias("node"), "text").join(members.hint("merge"), "node"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.int64)
+        for batch in slices(batches):
+            for t in batch.column("text").to_pylist():
+                total += np.bincount((labelled(shingle_hashes(t)) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total)), pa.array(total[total > 0])], ["cell", "n"])
+
+    counts = np.zeros(CELLS, np.int64)
+    for r in rows.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # at most ``CELLS`` rows
+        counts[r.cell] = r.n
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            keys = [first_shingles(labelled(shingle_hashes(t)), counts).view(np.int64) for t in batch.column("text").to_pylist()]
+            ends = np.cumsum([0, *map(len, keys)], dtype=np.int32)
+            listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("class"), listed], ["node", "class", "keys"])
+
+    keyed = materialise(rows.mapInArrow(run, "node long, class long, keys array<long>").select("node", "class", F.explode("keys").alias("bucket")))
+    return materialise(keyed.join(_mixed(keyed).select("bucket", "n"), "bucket").select("bucket", "node", "class", "n"))
 
 
 def _compared(block: pa.Table) -> pa.Table:
@@ -189,7 +234,14 @@ def _compared(block: pa.Table) -> pa.Table:
 
 
 def _exhausted(shared: DataFrame, texts: DataFrame) -> DataFrame:
-    """first, node: links among all texts of each bucket.
+    """first, node: links among all texts of each bucket."""
+    large = materialise(shared.where(F.col("n") > BLOCK).select("node", "class").distinct())
+    small = _in_blocks(shared.where(F.col("n") <= BLOCK), texts)
+    return small if large.isEmpty() else small.union(_in_blocks(_refined(large, texts), texts))
+
+
+def _in_blocks(shared: DataFrame, texts: DataFrame) -> DataFrame:
+    """first, node: links among all texts of each bucket, compared in blocks.
 
     A bucket is dealt into blocks of at most about ``BLOCK`` texts and ``BLOCK_BYTES`` bytes, and each two blocks are one
     group, so a hot bucket is spread over many tasks; two blocks of one and the same class have nothing to compare.

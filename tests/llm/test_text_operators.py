@@ -150,6 +150,41 @@ def test_minhash_links_short_texts(spark):
     assert {r.doc_id: r.class_id for r in minhash.classes(table(spark, texts)).collect()} == want
 
 
+def test_minhash_keeps_drifting_families_whole(spark):
+    rng = np.random.default_rng(30)
+    texts = []
+    for _ in range(30):  # each version moves on by ten of its 110 words
+        long = words(rng, 110 + 10 * 23).split(" ")
+        texts += [" ".join(long[10 * k : 10 * k + 110]) for k in range(24)]
+    order = rng.permutation(len(texts))
+    shingles = [labelled(shingle_hashes(t)) for t in texts]
+    assert all(minhash.similar(shingles[k], shingles[k + 1]) for k in range(len(texts) - 1) if k % 24 < 23)
+    for ids in (list(range(len(texts))), [int(k) for k in order]):
+        got = {r.doc_id: r.class_id for r in minhash.classes(table(spark, texts, ids=ids)).collect()}
+        assert got == {i: min(ids[k // 24 * 24 : k // 24 * 24 + 24]) for k, i in enumerate(ids)}
+
+
+def test_minhash_of_forms_with_a_common_passage(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    rng = np.random.default_rng(31)
+    form = words(rng, 70)  # most of every text, yet no two of different fillings are similar
+    texts = []
+    for _ in range(60):
+        own = words(rng, 40).split(" ")
+        texts += [f"{form} {' '.join(own)}", f"{form} {' '.join(own[:-2])} {words(rng, 2)}"]
+    want = {k: k // 2 * 2 for k in range(len(texts))}
+    counts = np.zeros(minhash.CELLS, np.int64)
+    shingles = [labelled(shingle_hashes(t)) for t in texts]
+    for s in shingles:
+        counts += np.bincount((s % np.uint64(minhash.CELLS)).astype(int), minlength=minhash.CELLS)
+    firsts = [set(minhash.first_shingles(s, counts)) for s in shingles]
+    assert not any(minhash.similar(shingles[i], shingles[j]) for i in range(0, 40, 2) for j in range(i))
+    assert sum(bool(firsts[i] & firsts[j]) for i in range(len(texts)) for j in range(i)) < 80
+    nodes = spark.createDataFrame([(k, [7]) for k in range(len(texts))], "node long, bands array<long>")
+    found = minhash.components(minhash.links(nodes, table(spark, texts)))
+    assert {r.node: r["class"] for r in found.collect()} == want
+
+
 @pytest.mark.parametrize("block", [2, 256])
 def test_minhash_exhausts_a_bucket(spark, monkeypatch, block):
     monkeypatch.setattr(minhash, "BLOCK", block)
