@@ -1,8 +1,8 @@
 """Line dedup by a deletion-neighbourhood join. Built-in functions only.
 
-Two lines are near when at most one character is inserted, deleted or replaced (``MAX_EDITS``); lines shorter than
-``SHORTEST`` characters are near only if equal. Of lines that are near, the earliest (by document id, then line number)
-is kept: a line is removed when the same line, or a near one, occurs earlier. Blank lines are always kept.
+Two lines are near when at most one character is inserted, deleted or replaced (``MAX_EDITS``), however short they are.
+Of lines that are near, the earliest (by document id, then line number) is kept: a line is removed when the same line,
+or a near one, occurs earlier. Blank lines are always kept.
 
 1. Equal lines are counted together first, by 128 hash bits, so a line that a third of all documents hold is one row
    after the map-side combine.
@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 from partita.llm.common import LAST_ID, documents, let, materialise
 
 MAX_EDITS = 1
-SHORTEST = 16
 PLACE, VARIANT, ITSELF = 0, 1, 2
 
 
@@ -74,9 +73,9 @@ def near_lines(lines: DataFrame) -> DataFrame:
     ``lines`` has doc_id, line_no, line, h1, h2, one row for each place.
     """
     n = F.length("line")
-    halves = F.when(n >= SHORTEST, _halves(F.col("line"), n))
+    halves = _halves(F.col("line"), n)
     first = F.min(F.struct("doc_id", "line_no")).alias("at")
-    distinct = materialise(lines.select("h1", "h2", "doc_id", "line_no", halves.alias("halves")).where(F.col("halves").isNotNull()).groupBy("h1", "h2").agg(first, F.first("halves").alias("halves")))
+    distinct = materialise(lines.select("h1", "h2", "doc_id", "line_no", halves.alias("halves")).groupBy("h1", "h2").agg(first, F.first("halves").alias("halves")))
     keys = distinct.select("at", F.posexplode("halves").alias("which", "half"))
     # A half shared by two distinct lines has two different first places.
     shared = keys.groupBy("half").agg(F.min("at").alias("a"), F.max("at").alias("b")).where(F.col("a") != F.col("b")).select("half")

@@ -81,7 +81,7 @@ def edit_one(a, b):
 
 def test_lines(spark):
     rng = np.random.default_rng(9)
-    pool = [words(rng, 6) for _ in range(25)] + ["aaaaaaaaaaaaaaaaaaaa", "short one", ""]
+    pool = [words(rng, 6) for _ in range(25)] + ["aaaaaaaaaaaaaaaaaaaa", "short one", "", "a", "b", "ab", "xyz", "é", "two", "1.", "12"]
     texts = []
     for _ in range(60):
         picked = []
@@ -98,7 +98,8 @@ def test_lines(spark):
         for k, s in enumerate((t or "").split("\n")):
             if s.strip(" "):
                 first.setdefault(s, (i, k))
-    near = {s for s in first if len(s) >= lines.SHORTEST and any(first[o] < first[s] and len(o) >= lines.SHORTEST and edit_one(s, o) for o in first if o != s)}
+    near = {s for s in first if any(first[o] < first[s] and edit_one(s, o) for o in first if o != s)}
+    assert {"b"} < {s for s in near if len(s) < 16}
     assert len(near) > 20
     for r in lines.dedup_lines(table(spark, texts)).collect():
         if texts[r.doc_id] is None:
