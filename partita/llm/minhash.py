@@ -7,11 +7,13 @@ banded alignment of their shingles matches M of them in order with M / (n1 + n2
 from the diagonal than the band cannot be part of such an alignment, so the band loses nothing.
 
 Exact copies are one text. Each text is compared with the first of one of its buckets. Buckets whose members are not in
-one class by then are exhausted: each two members are compared unless they are in one class already. A bucket of more
-than ``BLOCK`` texts, as common passages make them, is refined first, without loss: of similar texts each has at least
-four fifths of its shingles in common with the other, so in any one order of all shingles they share one of the first
-fifth (and one more) of either. The order is from rare to common, so passages that many texts hold lead nowhere. What
-is still large is compared block by block, spread over tasks. A link is found whenever its documents share a bucket. Texts of few shingles,
+one class by then are exhausted: each two members are compared unless they are in one class already. While a bucket has
+more than ``BLOCK`` texts outside its largest class, its members meet another one of them first, as copies of one text
+soon are one class so. If as many are left, as common passages make them, it is refined, without loss: of similar texts
+each has at least four fifths of its shingles in common with the other, so in any one order of all shingles they share
+one of the first fifth (and one more) of either. The order is from rare to common, so passages that many texts hold lead
+nowhere. The rest is compared block by block, spread over tasks, the largest class of a bucket in blocks of its own. A
+link is found whenever its documents share a bucket. Texts of few shingles,
 which a sketch of six tells apart too well, have keys by which similar ones always share a bucket.
 
 Linked texts form classes; a class is named by its smallest document id.
@@ -37,6 +39,8 @@ SIMILARITY = 0.8
 SHORT = 12
 #: Texts and bytes of a block of a bucket; each two blocks are compared in one group. Buckets of more are refined first.
 BLOCK = 256
+#: Rounds in which members of large buckets meet one of them, before what is left is exhausted.
+ROUNDS = 6
 BLOCK_BYTES = 8 << 20
 #: Cells in which shingles are counted, to tell rare from common ones.
 CELLS = 1 << 16
@@ -151,25 +155,40 @@ def _with_first(members: DataFrame) -> DataFrame:
 
 
 def _mixed(members: DataFrame) -> DataFrame:
-    """bucket, n, first, last of the buckets of ``members`` (bucket, node, class) that hold several classes.
+    """bucket, n, first, last, major (its largest class) and others (texts outside it) of buckets that hold several classes.
 
-    Buckets of the same members count once.
+    ``members`` has bucket, node, class. Buckets of the same members count once.
     """
     marks = [F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"mark{k}") for k in range(2)]
-    sets = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high"), F.min("node").alias("first"), F.max("node").alias("last"), *marks)
-    return sets.where(F.col("low") < F.col("high")).groupBy("n", "first", "last", "mark0", "mark1").agg(F.min("bucket").alias("bucket"))
+    parts = members.groupBy("bucket", "class").agg(F.count("*").alias("c"), F.min("node").alias("first"), F.max("node").alias("last"), *marks)
+    most = F.max(F.struct("c", "class")).alias("most")
+    sets = parts.groupBy("bucket").agg(F.count("*").alias("classes"), F.sum("c").alias("n"), most, F.min("first").alias("first"), F.max("last").alias("last"), *[F.bit_xor(f"mark{k}").alias(f"mark{k}") for k in range(2)])
+    one = F.min(F.struct("bucket", F.col("most.class").alias("major"), (F.col("n") - F.col("most.c")).alias("others"))).alias("b")
+    return sets.where("classes > 1").groupBy("n", "first", "last", "mark0", "mark1").agg(one).select("n", "first", "last", "b.*")
 
 
 def _shared(grouped: DataFrame, known: DataFrame) -> DataFrame:
-    """bucket, node, class, n of the buckets that still hold texts of different classes, by the links of ``known``.
+    """bucket, node, class, major, others of the buckets that still hold texts of different classes, by the links of ``known``.
 
     Two texts that ``known`` holds already do not count.
     """
     named = components(known.where("linked").select("first", "node"))
     every = grouped.select("bucket", "node").union(grouped.select("bucket", F.col("first").alias("node"))).distinct()
     members = materialise(every.join(named, "node", "left").select("bucket", "node", F.coalesce("class", "node").alias("class")))
-    compared = known.select("first", F.col("node").alias("last"), F.lit(2).cast("long").alias("n"))
-    return materialise(members.join(_mixed(members).join(compared, ["first", "last", "n"], "left_anti").select("bucket", "n"), "bucket"))
+    compared = known.select(F.least("first", "node").alias("first"), F.greatest("first", "node").alias("last"), F.lit(2).cast("long").alias("n")).distinct()
+    return materialise(members.join(_mixed(members).join(compared, ["first", "last", "n"], "left_anti").select("bucket", "major", "others"), "bucket"))
+
+
+def _met(large: DataFrame, turn: int) -> DataFrame:
+    """first, node: every member with one of another class that is the chosen one of most of its buckets in this turn."""
+    chosen = large.groupBy("bucket").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), F.col("node").alias("first"), F.col("class").alias("of"))).alias("c")).select("bucket", "c.first", "c.of")
+    pairs = large.join(chosen, "bucket").where(F.col("class") != F.col("of")).groupBy("first", "node").agg(F.count("*").alias("shared"))
+    return _best(pairs)
+
+
+def _best(pairs: DataFrame) -> DataFrame:
+    best = pairs.groupBy("node").agg(F.max(F.struct("shared", (-F.col("first")).alias("first"))).alias("b"))
+    return best.select((-F.col("b.first")).alias("first"), "node")
 
 
 def first_shingles(shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -180,7 +199,7 @@ def first_shingles(shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def _refined(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """bucket, node, class, n: texts by the rare shingles they share, for the members (node, class) of large buckets."""
+    """bucket, node, class, major, others: texts by the rare shingles they share, for the members (node, class) of large buckets."""
     rows = materialise(texts.select(F.col("doc_id").alias("node"), "text").join(members.hint("merge"), "node"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +221,7 @@ def _refined(members: DataFrame, texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("class"), listed], ["node", "class", "keys"])
 
     keyed = materialise(rows.mapInArrow(run, "node long, class long, keys array<long>").select("node", "class", F.explode("keys").alias("bucket")))
-    return materialise(keyed.join(_mixed(keyed).select("bucket", "n"), "bucket").select("bucket", "node", "class", "n"))
+    return materialise(keyed.join(_mixed(keyed).select("bucket", "major", "others"), "bucket"))
 
 
 def _compared(block: pa.Table) -> pa.Table:
@@ -235,21 +254,26 @@ def _compared(block: pa.Table) -> pa.Table:
 
 def _exhausted(shared: DataFrame, texts: DataFrame) -> DataFrame:
     """first, node: links among all texts of each bucket."""
-    large = materialise(shared.where(F.col("n") > BLOCK).select("node", "class").distinct())
-    small = _in_blocks(shared.where(F.col("n") <= BLOCK), texts)
+    large = materialise(shared.where(F.col("others") > BLOCK).select("node", "class").distinct())
+    small = _in_blocks(shared.where(F.col("others") <= BLOCK), texts)
     return small if large.isEmpty() else small.union(_in_blocks(_refined(large, texts), texts))
 
 
 def _in_blocks(shared: DataFrame, texts: DataFrame) -> DataFrame:
     """first, node: links among all texts of each bucket, compared in blocks.
 
-    A bucket is dealt into blocks of at most about ``BLOCK`` texts and ``BLOCK_BYTES`` bytes, and each two blocks are one
-    group, so a hot bucket is spread over many tasks; two blocks of one and the same class have nothing to compare.
+    The largest class of a bucket and all other members are dealt into blocks of at most about ``BLOCK`` texts and
+    ``BLOCK_BYTES`` bytes each, and each two blocks are one group, so a hot bucket is spread over many tasks. Two blocks
+    of one and the same class have nothing to compare.
     """
     words = texts.select(F.col("doc_id").alias("node"), "text")
-    sized = materialise(shared.join(words.select("node", F.octet_length("text").alias("size")), "node"))
-    parts = sized.groupBy("bucket").agg(F.greatest(F.ceil(F.max("n") / BLOCK), F.ceil(F.sum(F.col("size").cast("long")) / BLOCK_BYTES)).alias("parts"))
-    dealt = sized.join(parts, "bucket").select("bucket", "node", "class", F.pmod(F.xxhash64("node"), F.greatest("parts", F.lit(1))).alias("own"))
+    is_major = F.col("class") == F.col("major")
+    sized = materialise(shared.join(words.select("node", F.octet_length("text").cast("long").alias("size")), "node"))
+    needed = lambda which: F.ceil(F.greatest(F.count(F.when(which, 1)) / BLOCK, F.coalesce(F.sum(F.when(which, F.col("size"))), F.lit(0)) / BLOCK_BYTES))
+    parts = sized.groupBy("bucket").agg(needed(is_major).alias("p"), needed(~is_major).alias("q"))
+    h = F.xxhash64("node")
+    own = F.when(is_major, F.pmod(h, F.greatest("p", F.lit(1)))).otherwise(F.col("p") + F.pmod(h, F.greatest("q", F.lit(1))))
+    dealt = sized.join(parts, "bucket").select("bucket", "node", "class", own.alias("own"))
     blocks = dealt.groupBy("bucket", "own").agg(F.min("class").alias("low"), F.max("class").alias("high"))
     left, right = [blocks.select("bucket", F.col("own").alias(c), F.col("low").alias(f"{c}_low"), F.col("high").alias(f"{c}_high")) for c in ("i", "j")]
     pairs = left.join(right, "bucket").where((F.col("i") <= F.col("j")) & (F.least("i_low", "j_low") < F.greatest("i_high", "j_high"))).select("bucket", "i", "j")
@@ -271,9 +295,15 @@ def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     rows = documents(docs).select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     # The wanted ids grow with the table, so both sides are shuffled at any size.
     texts = materialise(rows.join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    best = pairs.groupBy("node").agg(F.max(F.struct("shared", (-F.col("first")).alias("first"))).alias("b")).select((-F.col("b.first")).alias("first"), "node")
-    known = materialise(_verified(best, texts))
-    return known.where("linked").select("first", "node").union(materialise(_exhausted(_shared(grouped, known), texts))).distinct()
+    known = materialise(_verified(_best(pairs), texts))
+    shared = _shared(grouped, known)
+    for turn in range(ROUNDS):
+        large = shared.where(F.col("others") > BLOCK)
+        if large.isEmpty():
+            break
+        known = materialise(known.union(_verified(_met(large, turn), texts)))
+        shared = _shared(grouped, known)
+    return known.where("linked").select("first", "node").union(materialise(_exhausted(shared, texts))).distinct()
 
 
 def components(pairs: DataFrame) -> DataFrame:
