@@ -6,6 +6,8 @@ plus the sum of (w1 - w0) over the unit's ones. Units without ones keep the firs
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,9 @@ from partita.functions.special import log_of
 from partita.operators.encode import Dataset
 from partita.operators.model import CLASS_PROBABILITIES, beta_bernoulli, class_priors, state_priors
 
+#: Clusters whose differences stand side by side in a row.
+ABREAST = 64
+
 
 def effective(scores: DataFrame, states: DataFrame) -> DataFrame:
     """cluster, attr_id, n, n1, k, state and the a, b of the state the attribute is in; all four pairs beside them."""
@@ -51,11 +56,20 @@ def unit_own_score(data: Dataset, partition: DataFrame, rows: DataFrame) -> Data
 
 
 def _per_cluster(data: Dataset, weights: DataFrame, name: str) -> DataFrame:
-    base = weights.groupBy("cluster").agg(F.sum("w0").alias("base"))
-    delta = weights.select("attr_id", "cluster", (F.col("w1") - F.col("w0")).alias("d"))
-    sums = data.ones.join(delta, "attr_id").groupBy("unit_id", "cluster").agg(F.sum("d").alias("d"))
-    grid = data.units.select("unit_id").crossJoin(base)
-    return grid.join(sums, ["unit_id", "cluster"], "left").select("unit_id", "cluster", (F.col("base") + F.coalesce("d", F.lit(0.0))).alias(name))
+    """Sums over a unit's ones for every cluster. An attribute has one row with its differences in ``ABREAST`` clusters,
+    so a one of a unit stays one row up to the sum, however many clusters there are."""
+    clusters = sorted(weights.groupBy("cluster").agg(F.sum("w0").alias("base")).collect())  # a row for each cluster
+    if not clusters:
+        return data.units.select("unit_id", F.lit(None).cast("int").alias("cluster"), F.lit(None).cast("double").alias(name)).limit(0)
+    kind, out = weights.schema["cluster"].dataType, []
+    for at in range(0, len(clusters), ABREAST):
+        some = clusters[at : at + ABREAST]
+        difference = F.col("w1") - F.col("w0")
+        delta = weights.groupBy("attr_id").agg(*[F.sum(F.when(F.col("cluster") == r.cluster, difference)).alias(f"d{k}") for k, r in enumerate(some)])
+        sums = data.ones.join(delta, "attr_id").groupBy("unit_id").agg(*[F.sum(f"d{k}").alias(f"d{k}") for k in range(len(some))])
+        scores = F.array(*[F.struct(F.lit(r.cluster).cast(kind).alias("cluster"), (F.lit(r.base) + F.coalesce(f"d{k}", F.lit(0.0))).alias(name)) for k, r in enumerate(some)])
+        out.append(data.units.select("unit_id").join(sums, "unit_id", "left").select("unit_id", F.inline(scores)))
+    return reduce(DataFrame.union, out)
 
 
 def unit_cluster_scores(data: Dataset, rows: DataFrame) -> DataFrame:

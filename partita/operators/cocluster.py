@@ -14,8 +14,11 @@ from partita.operators.encode import Dataset
 from partita.sources.scratch import written
 
 TINY = float(np.finfo(float).eps)
-#: Attributes up to which the Gram matrix is decomposed on the driver.
+#: Attributes up to which the Gram matrix is decomposed on the driver; wider data go by subspace iteration.
 WIDEST = 2000
+#: Rounds of subspace iteration at most, and the change of the singular values at which it ends.
+ITERATIONS = 100
+SETTLED = 1e-9
 
 
 def entries_of(data: Dataset) -> DataFrame:
@@ -118,10 +121,46 @@ def discretise(vectors: DataFrame, key: str, column: str, *, max_iter: int = 100
 
 
 def svd_init(data: Dataset, row_clusters: int, column_clusters: int) -> tuple[DataFrame, DataFrame]:
-    """W and H to start from: discretised leading singular vectors of the ones, by the Gram matrix of the attributes."""
+    """W and H to start from: discretised leading singular vectors of the ones."""
     ids = [r.attr_id for r in data.attributes.select("attr_id").orderBy("attr_id").limit(WIDEST + 1).collect()]
-    if len(ids) > WIDEST:
-        raise ValueError(f"more than {WIDEST} attributes")
+    most = max(row_clusters, column_clusters)
+    right, sigma = _by_gram(data, ids, most) if len(ids) <= WIDEST else _by_subspace(data, most)
+    scaled = right.withColumn("h", F.array(*[F.col("h")[k] / float(sigma[k]) for k in range(row_clusters)]))
+    u = _filled(data.units.select("unit_id"), project(entries_of(data), scaled, "attr_id", "h", "unit_id", "w"), "unit_id", "w", row_clusters)
+    return discretise(u, "unit_id", "w"), discretise(right.withColumn("h", F.slice("h", 1, column_clusters)), "attr_id", "h")
+
+
+def _by_subspace(data: Dataset, most: int) -> tuple[DataFrame, np.ndarray]:
+    """Right singular vectors (attr_id, h) and singular values of the ones: X'X is applied to ``most`` + 4 vectors and
+    the result made orthonormal, until the values settle. Only matrices as wide as the vectors come to the driver."""
+    width, entries = most + 4, entries_of(data)
+    h = written(data.attributes.select("attr_id", F.array(*[F.pmod(F.xxhash64("attr_id", F.lit(k)), F.lit(2001)) / 1000.0 - 1.0 for k in range(width)]).alias("h")))
+    old = np.zeros(width)
+    for _ in range(ITERATIONS):
+        values, vectors = np.linalg.eigh(gram(h, "h", "h"))
+        h = _turned(h, vectors[:, values > 1e-12 * max(values.max(), TINY)] / np.sqrt(values[values > 1e-12 * max(values.max(), TINY)]))
+        width = _width(h, "h")
+        w = written(project(entries, h, "attr_id", "h", "unit_id", "w"))
+        values, vectors = np.linalg.eigh(gram(w, "w", "w"))  # of X H, so H turned by them has the singular directions
+        turn = vectors[:, np.argsort(-values)]
+        sigma = np.sqrt(np.maximum(np.sort(values)[::-1], 1e-12))
+        h = _turned(h, turn)
+        if len(old) == len(sigma) and np.abs(sigma - old)[:most].max() <= SETTLED * sigma[0]:
+            break
+        old = sigma
+        product = project(entries, project(entries, h, "attr_id", "h", "unit_id", "w"), "unit_id", "w", "attr_id", "x")
+        h = written(_filled(h.select("attr_id"), product, "attr_id", "x", width).withColumnRenamed("x", "h"))
+    sums = h.agg(*[F.sum(F.col("h")[k]).alias(f"s{k}") for k in range(width)]).first()
+    signs = np.diag([-1.0 if sums[f"s{k}"] < 0 else 1.0 for k in range(width)])[:, : min(most, width)]
+    padded = np.concatenate([signs, np.zeros((width, max(0, most - width)))], 1)
+    return _turned(h, padded), np.concatenate([sigma, np.full(most, 1e-6)])[:most]
+
+
+def _turned(h: DataFrame, matrix: np.ndarray) -> DataFrame:
+    return written(h.select("attr_id", F.array(*_times("h", matrix)).alias("h")))
+
+
+def _by_gram(data: Dataset, ids: list[int], most: int) -> tuple[DataFrame, np.ndarray]:
     left = data.ones.withColumnRenamed("attr_id", "a")
     common = left.join(data.ones.withColumnRenamed("attr_id", "b"), "unit_id").groupBy("a", "b").agg(F.count("*").alias("n")).collect()
     place, square = {a: k for k, a in enumerate(ids)}, np.zeros((len(ids), len(ids)))
@@ -129,11 +168,6 @@ def svd_init(data: Dataset, row_clusters: int, column_clusters: int) -> tuple[Da
         square[place[r.a], place[r.b]] = r.n
     values, vectors = np.linalg.eigh(square)
     order = np.argsort(-values)
-    most = max(row_clusters, column_clusters)
     v = vectors[:, order[:most]] * np.where(vectors[:, order[:most]].sum(0) < 0, -1, 1)
     sigma = np.sqrt(np.maximum(values[order[:most]], 1e-12))
-    spark = data.ones.sparkSession
-    right = spark.createDataFrame([(a, [float(x) for x in v[k]]) for a, k in place.items()], "attr_id int, h array<double>")
-    scaled = right.withColumn("h", F.array(*[F.col("h")[k] / float(sigma[k]) for k in range(row_clusters)]))
-    u = _filled(data.units.select("unit_id"), project(entries_of(data), scaled, "attr_id", "h", "unit_id", "w"), "unit_id", "w", row_clusters)
-    return discretise(u, "unit_id", "w"), discretise(right.withColumn("h", F.slice("h", 1, column_clusters)), "attr_id", "h")
+    return data.ones.sparkSession.createDataFrame([(a, [float(x) for x in v[k]]) for a, k in place.items()], "attr_id int, h array<double>"), sigma

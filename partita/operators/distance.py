@@ -6,8 +6,6 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import MinHashLSH
-from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,17 +39,21 @@ def pairwise_distance(data: Dataset) -> DataFrame:
     return grid.join(common, ["i", "j"], "left").select("i", "j", _distance().alias("d"))
 
 
-def near_pairs(data: Dataset, threshold: float, tables: int = 16, seed: int = 1) -> DataFrame:
+def near_pairs(data: Dataset, threshold: float, tables: int = 32, together: int = 2, seed: int = 1) -> DataFrame:
     """i, j, d for pairs at most ``threshold`` apart: candidates by min-hashing, distances exact.
 
-    Units without ones are in no pair. What hashing misses depends on ``tables``.
+    Two units are compared if ``together`` least hashes of one of ``tables`` tables agree. Units without ones are in no
+    pair. What hashing misses depends on ``tables``: at a distance of 0.4, one pair in a million.
     """
-    m = data.attributes.agg(F.max("attr_id").alias("m")).first().m or 0
-    vector = F.udf(lambda at: SparseVector(m + 1, sorted(at), [1.0] * len(at)), VectorUDT())
-    vectors = data.ones.groupBy("unit_id").agg(F.collect_set("attr_id").alias("at")).select("unit_id", vector("at").alias("v"))
-    model = MinHashLSH(inputCol="v", outputCol="h", numHashTables=tables, seed=seed).fit(vectors)
-    found = model.approxSimilarityJoin(vectors, vectors, threshold + 1e-9, "d")
-    return found.select(F.col("datasetA.unit_id").alias("i"), F.col("datasetB.unit_id").alias("j"), "d").where(F.col("i") < F.col("j")).distinct()
+    least = [F.min(F.xxhash64("attr_id", F.lit(seed * 10_000 + k))).alias(f"h{k}") for k in range(tables * together)]
+    units = written(data.ones.groupBy("unit_id").agg(F.collect_set("attr_id").alias("at"), *least))
+    keys = F.array(*[F.xxhash64(F.lit(t), *[f"h{t * together + k}" for k in range(together)]) for t in range(tables)])
+    hashed = units.select("unit_id", F.explode(keys).alias("key"))
+    met = hashed.withColumnRenamed("unit_id", "i").join(hashed.withColumnRenamed("unit_id", "j"), "key").where(F.col("i") < F.col("j")).select("i", "j").distinct()
+    sides = [units.select(F.col("unit_id").alias(c), F.col("at").alias(f"{c}_at")) for c in ("i", "j")]
+    common = F.size(F.array_intersect("i_at", "j_at"))
+    d = 1 - common / (F.size("i_at") + F.size("j_at") - common)
+    return met.join(sides[0], "i").join(sides[1], "j").select("i", "j", d.alias("d")).where(F.col("d") <= threshold + 1e-9)
 
 
 def nearest_medoid(data: Dataset, medoids: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:

@@ -10,6 +10,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from partita.sources.scratch import written
+
 #: Letters of sequence files in the order of their codes, from 1.
 SEQUENCE_LETTERS = ("a", "c", "g", "t", "u", "r", "y", "k", "m", "s", "w", "b", "d", "h", "v", "n", "x", "-", "e", "f", "i", "l", "o", "p", "q", "z", "*", "j")
 #: Letters that usually stand for missing data.
@@ -80,14 +82,17 @@ def one_hot(cells: DataFrame, attributes: DataFrame) -> DataFrame:
 
 
 def encode(cells: DataFrame, units: DataFrame | None = None, *, codes: str = "values") -> Dataset:
-    """A data set from clean cells; ``codes`` is ``values`` (all values in order) or ``sequence`` (fixed letters)."""
-    counts = value_counts(cells)
-    sites = profile_sites(counts)
+    """A data set from clean cells; ``codes`` is ``values`` (all values in order) or ``sequence`` (fixed letters).
+
+    Counts, attributes and ones are written once; the cells are read for the counts and for the ones, and no more.
+    """
+    counts = written(value_counts(cells))
+    sites = written(profile_sites(counts))
     letters = alphabet(counts) if codes == "values" else sequence_alphabet(counts)
-    attributes = attribute_dictionary(counts, sites, letters)
+    attributes = written(attribute_dictionary(counts, sites, letters))
     if units is None:
         units = cells.select("unit_id").distinct().select("unit_id", F.col("unit_id").cast("string").alias("uid"))
-    return Dataset(units, sites, attributes, one_hot(cells, attributes))
+    return Dataset(units, sites, attributes, written(one_hot(cells, attributes)))
 
 
 def decode(data: Dataset) -> DataFrame:
@@ -98,9 +103,12 @@ def decode(data: Dataset) -> DataFrame:
 
 
 def validate(cells: DataFrame, *, letters: tuple[str, ...] | None = None, least_units: int = 2) -> DataFrame:
-    """problem, unit_id, detail: units with another number of cells than most, letters outside the alphabet, too few units."""
+    """problem, unit_id, detail: units with another number of cells than most, letters outside the alphabet, too few units.
+
+    Of numbers of cells that are equally common the smallest decides.
+    """
     sizes = cells.groupBy("unit_id").agg(F.count("*").alias("n"))
-    usual = sizes.agg(F.mode("n").alias("usual"), F.count("*").alias("units"))
+    usual = sizes.agg(F.mode("n", True).alias("usual"), F.count("*").alias("units"))
     uneven = sizes.crossJoin(usual).where(F.col("n") != F.col("usual")).select(F.lit("length").alias("problem"), "unit_id", F.format_string("%d cells, others have %d", "n", "usual").alias("detail"))
     few = usual.where(F.col("units") < least_units).select(F.lit("units").alias("problem"), F.lit(None).cast("long").alias("unit_id"), F.format_string("%d units", "units").alias("detail"))
     out = uneven.union(few)

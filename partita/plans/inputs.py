@@ -19,9 +19,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def document_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which letters a document has: a site for each of ``LETTERS``, value 1 or 0."""
-    text = F.lower(F.coalesce("text", F.lit("")))
-    flags = F.array(*[F.when(F.instr(text, c) > 0, "1").otherwise("0") for c in LETTERS])
-    long = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("unit_id"), F.posexplode(flags).alias("at", "value"))
+    flags = F.array(*[F.when(F.col("lowered").contains(c), "1").otherwise("0") for c in LETTERS])
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("unit_id"), F.lower(F.coalesce("text", F.lit(""))).alias("lowered"))
+    long = rows.select("unit_id", F.posexplode(flags).alias("at", "value"))
     return long.select("unit_id", (F.col("at") + 1).alias("pos"), "value")
 
 

@@ -58,16 +58,13 @@ for _name in ("aligned", "part"):
 
 @_query(
     "validate_texts",
-    """WITH sized AS (SELECT doc_id AS unit_id, len(coalesce(text, '')) AS n FROM documents WHERE len(coalesce(text, '')) > 0),
+    """WITH sized AS (SELECT doc_id AS unit_id, len(text) AS n FROM documents WHERE len(text) > 0),
     usual AS (SELECT n AS usual FROM sized GROUP BY n ORDER BY count(*) DESC, n LIMIT 1)
-    SELECT 'length' AS problem, unit_id FROM sized, usual WHERE n <> usual AND (SELECT count(*) FROM sized) > 0 AND (SELECT max(c) FROM (SELECT count(*) AS c FROM sized GROUP BY n)) > 0""",
+    SELECT 'length' AS problem, unit_id, n || ' cells, others have ' || usual AS detail FROM sized, usual WHERE n <> usual""",
 )
 def validate_texts(spark: SparkSession, d: str) -> DataFrame:
-    """Documents as sequences of unequal length: all but those of the commonest length are reported."""
-    sizes = table(spark, d, "documents").select(F.col("doc_id").alias("unit_id"), F.length(F.coalesce("text", F.lit(""))).alias("n")).where("n > 0")
-    # The commonest length, the smallest of equals, decides; validate() itself takes any of them.
-    usual = sizes.groupBy("n").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "n").limit(1).select(F.col("n").alias("usual"))
-    return sizes.join(usual, F.col("n") != F.col("usual")).select(F.lit("length").alias("problem"), "unit_id")
+    """Whole documents as sequences of unequal length: all but those of the commonest length are reported."""
+    return encode.validate(tables.from_strings(table(spark, d, "documents"), "doc_id", "text"))
 
 
 @_query("validate_orders", f"{encode_sql('orders')} SELECT 'letters' AS problem, unit_id, string_agg(value, '' ORDER BY value) AS detail FROM (SELECT DISTINCT unit_id, value FROM cells WHERE value NOT IN ('o', 'f')) WHERE true GROUP BY unit_id")
@@ -287,7 +284,7 @@ def pairwise_distance_embeddings(spark: SparkSession, d: str) -> DataFrame:
     return distance.pairwise_distance(dataset(spark, d, "embeddings")).select("i", "j", _round("d").alias("d"))
 
 
-@_query("near_pairs_embeddings")
+@_query("near_pairs_embeddings", f"{_DISTANCE_SQL} SELECT i, j, round(d, 6) AS d FROM square WHERE i < j AND d <= 0.4 + 1e-9")
 def near_pairs_embeddings(spark: SparkSession, d: str) -> DataFrame:
     return distance.near_pairs(dataset(spark, d, "embeddings"), 0.4).select("i", "j", _round("d").alias("d"))
 

@@ -47,18 +47,22 @@ def read_fasta(spark: SparkSession, path: str, miss: tuple[str, ...] = ()) -> tu
     """
     raw = spark.read.option("lineSep", "\n>").text(path).select("value", *_placed())
     # Ids may be indented: such records are still joined to the one before.
-    records = raw.select("file", "block", F.posexplode(F.split("value", r"\r?\n[ \t]*>")).alias("inner", "record"))
+    records = raw.select("file", "block", F.explode(F.split("value", r"\r?\n[ \t]*>")).alias("record"))
     split = records.select("file", "block", F.split(F.col("record"), r"\r?\n", 2).alias("parts"))
-    trimmed = F.transform(F.split(F.coalesce(F.get("parts", F.lit(1)), F.lit("")), r"\r?\n"), lambda x: F.trim(x))
-    rows = split.select("file", "block", F.trim(F.get("parts", F.lit(0))).alias("head"), F.lower(F.array_join(trimmed, "")).alias("sequence"))
-    first = spark.read.text(path).where(F.trim("value") != "").limit(1).first()
-    if first is None or not first.value.strip().startswith(">"):
+    bare = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    trimmed = F.transform(F.split(F.coalesce(F.get("parts", F.lit(1)), F.lit("")), r"\r?\n"), bare)
+    rows = split.select("file", "block", bare(F.get("parts", F.lit(0))).alias("head"), F.lower(F.array_join(trimmed, "")).alias("sequence"))
+    first = spark.read.text(path).where(bare(F.col("value")) != "").limit(1).first()
+    if first is None or not first.value.lstrip().startswith(">"):
         raise ValueError("the first line of a sequence file must be an id")
     rows = rows.where((F.col("head") != "") | (F.col("sequence") != ""))
-    numbered = _numbered(rows, ["head", "sequence"]).withColumn("uid", F.regexp_replace("head", "^>", ""))
+    numbered = _numbered(rows, ["file", "head", "sequence"])
     cells = from_strings(numbered, "unit_id", "sequence", miss=miss)
     require_valid(cells, letters=SEQUENCE_LETTERS)
-    return cells, numbered.select("unit_id", F.trim("uid").alias("uid"))
+    # The separator takes the ``>`` of every id but a file's first.
+    opening = numbered.groupBy("file").agg(F.min("unit_id").alias("unit_id")).select("unit_id", F.lit(True).alias("opens"))
+    stripped = F.when(F.col("unit_id") == 1, F.lit(first.value.strip()[1:])).when(F.col("opens"), F.regexp_replace("head", "^>", "")).otherwise(F.col("head"))
+    return cells, numbered.join(opening, "unit_id", "left").select("unit_id", bare(stripped).alias("uid"))
 
 
 def read_csv(spark: SparkSession, path: str, header: bool = False, ids: bool = False, miss: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:

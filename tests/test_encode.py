@@ -48,6 +48,11 @@ def test_validate_names_units(spark):
         encode.require_valid(cells, letters=encode.SEQUENCE_LETTERS)
 
 
+def test_validate_takes_the_smallest_of_equally_common_lengths(spark):
+    cells = spark.createDataFrame([(u, k, "a") for u, n in ((1, 3), (2, 2), (3, 3), (4, 2), (5, 1)) for k in range(n)], "unit_id long, pos int, value string")
+    assert {(r.unit_id, r.detail) for r in encode.validate(cells).collect()} == {(1, "3 cells, others have 2"), (3, "3 cells, others have 2"), (5, "1 cells, others have 2")}
+
+
 def test_fasta_and_csv(spark, tmp_path):
     (tmp_path / "x.fa").write_text("\n>one\nAC-T\n  >two \nac\n\nGT\n>three\nTTTT\n")
     cells, units = tables.read_fasta(spark, str(tmp_path / "x.fa"), miss=("-",))
@@ -56,6 +61,10 @@ def test_fasta_and_csv(spark, tmp_path):
     for r in cells.orderBy("unit_id", "pos").collect():
         got[r.unit_id] = got.get(r.unit_id, "") + (r.value or ".")
     assert got == {1: "ac.t", 2: "acgt", 3: "tttt"}
+    (tmp_path / "dos.fa").write_bytes(b"\r\n>>one\r\nAC-T\t\r\n>two\r\n\tac\r\n\r\nGT\r\n>>three \r\nTTTT\r\n")
+    cells, units = tables.read_fasta(spark, str(tmp_path / "dos.fa"), miss=("-",))
+    assert [r.uid for r in units.orderBy("unit_id").collect()] == [">one", "two", ">three"]
+    assert "".join(r.value or "." for r in cells.orderBy("unit_id", "pos").collect()) == "ac.tacgttttt"
     (tmp_path / "bad.fa").write_text("ACGT\n")
     with pytest.raises(ValueError):
         tables.read_fasta(spark, str(tmp_path / "bad.fa"))
