@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partita.llm.common import documents
+from partita.llm.common import documents, slices
 
 UNIT = 576
 BANDS = ((1, 5), (6, 63))
@@ -30,6 +30,8 @@ MCU = 6 * 64
 MAX_MCU_ROWS = 4095
 #: Payloads whose arrays are prepared at once.
 TOGETHER = 64
+#: Rows whose files and tensors a task holds at once.
+ROWS = 128
 #: Codes of DC difference categories 0 to 9: a short one for those that nearly all have. Fixed values of this encoder.
 DC_LENGTHS = {8: 1, 7: 2, 6: 3, 5: 4, 4: 5, 3: 6, 2: 7, 1: 8, 0: 9, 9: 10}
 
@@ -482,7 +484,7 @@ def store(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, ROWS):
             raw = [(t or "").encode() for t in batch.column("text").to_pylist()]
             padded = [b + b"\xff" * ((-len(b) % UNIT) if b else UNIT) for b in raw]
             media = [m for k in range(0, len(raw), TOGETHER) for m in encode_jpegs(padded[k : k + TOGETHER])]
@@ -491,23 +493,27 @@ def store(docs: DataFrame) -> DataFrame:
     return documents(docs).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
+def _read(data: bytes | None, tensors: bool) -> tuple:
+    """payload, feature, height, width and rgb of a file; nulls if it cannot be read."""
+    try:
+        image = Image(data)
+        rgb = image.rgb()
+        return image.payload(), feature(rgb), image.height, image.width, rgb.tobytes() if tensors else None
+    except (TypeError, ValueError, IndexError, KeyError, AttributeError, StopIteration, struct.error):
+        return (None,) * 5
+
+
 def load(stored: DataFrame, *, tensors: bool = True) -> DataFrame:
     """The columns of ``stored`` with payload (binary), feature, height, width and, if ``tensors``, rgb (height x width x 3 bytes).
 
-    Null media give nulls.
+    Null media give nulls, and so do files that are broken or of another kind; columns of those names are replaced.
     """
+    stored = stored.drop("payload", "feature", "height", "width", "rgb")
     extra = [("payload", "binary"), ("feature", "string"), ("height", "int"), ("width", "int"), *([("rgb", "binary")] if tensors else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for data in batch.column("media").to_pylist():
-                if data is None:
-                    rows.append((None,) * 5)
-                    continue
-                image = Image(data)
-                rgb = image.rgb()
-                rows.append((image.payload(), feature(rgb), image.height, image.width, rgb.tobytes() if tensors else None))
+        for batch in slices(batches, ROWS):
+            rows = [_read(data, tensors) for data in batch.column("media").to_pylist()]
             kinds = (pa.binary(), pa.string(), pa.int32(), pa.int32(), pa.binary())
             more = [pa.array([r[k] for r in rows], kinds[k]) for k in range(len(extra))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, *[n for n, _ in extra]])

@@ -323,6 +323,14 @@ def components(pairs: DataFrame) -> DataFrame:
         state = state.select("node", "class")
 
 
+def _named(made: DataFrame, docs: DataFrame) -> DataFrame:
+    """h1, h2, node and class of every distinct text with words: its smallest id, and that of its class."""
+    worded = made.where(F.size("bands") > 0)
+    distinct = materialise(worded.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")))
+    found = components(links(distinct.select("node", "bands"), docs))
+    return distinct.select("h1", "h2", "node").join(found, "node", "left").select("h1", "h2", "node", F.coalesce("class", "node").alias("class"))
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id and class_id of every document; class_id is the smallest document id of its class.
 
@@ -331,10 +339,24 @@ def classes(docs: DataFrame) -> DataFrame:
     an id count as one document in links, and rows with equal texts always are in one class.
     """
     made = materialise(sketches(docs))
-    worded = made.where(F.size("bands") > 0)
-    distinct = materialise(worded.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")))
-    found = components(links(distinct.select("node", "bands"), docs))
-    named = distinct.select("h1", "h2", "node").join(found, "node", "left").select("h1", "h2", F.coalesce("class", "node").alias("class"))
+    named = _named(made, docs).drop("node")
     joined = made.withColumn("worded", F.size("bands") > 0).drop("bands").join(named, ["h1", "h2"], "left")
     out = joined.select("doc_id", F.when(F.col("worded"), F.col("class")).otherwise(F.col("doc_id")).alias("class_id"))
     return out.select(*[F.when(F.col(c) != LAST_ID, F.col(c)).alias(c) for c in ("doc_id", "class_id")])
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (with doc_id and text) but for copies: of each class one row stays, with its smallest id.
+
+    Texts without words all stay. Of rows that share that id and the text, the first by their other columns stays.
+    """
+    made = materialise(sketches(docs))
+    named = _named(made, docs)
+    worded = made.where(F.size("bands") > 0).groupBy("doc_id", "h1", "h2").agg(F.count("*").alias("n"))
+    marked = materialise(worded.join(named, ["h1", "h2"]).select("doc_id", "h1", "h2", "n", ((F.col("node") == F.col("class")) & (F.col("doc_id") == F.col("node"))).alias("stays")))
+    rows = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h1"), F.xxhash64(F.lit(1), F.coalesce("text", F.lit(""))).alias("_h2"))
+    key = lambda t: t.select(F.col("doc_id").alias("_id"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"))
+    on = ["_id", "_h1", "_h2"]
+    alone = rows.join(materialise(key(marked.where(~F.col("stays") | (F.col("n") > 1)))), on, "left_anti").select(docs.columns)
+    several = rows.join(materialise(key(marked.where(F.col("stays") & (F.col("n") > 1)))), on, "left_semi")
+    return alone.union(several.groupBy(*on).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*"))

@@ -188,8 +188,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Model:
     """
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
     chosen = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(hash60("doc_id"), "doc_id").limit(sample)
-    # ``sample`` ids and flags are broadcast, no more.
-    rows = materialise(docs.where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").select("text", "toxic").dropDuplicates(["text"]))
+    # ``sample`` ids and flags are broadcast, no more. Of equal texts with several labels, one that says toxic counts.
+    rows = materialise(docs.where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic")))
     words = rows.select("toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))).alias("word"))
     total = rows.agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).first()
     toxic, clean = float(total.t or 0), float(total.n - (total.t or 0))
@@ -213,7 +213,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Model:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id and score (0 to 1) of every whole text; null and empty texts are scored as texts without a hit."""
+    """The columns of ``docs`` and toxicity (0 to 1) of every whole text; a column of that name is replaced.
+
+    Null and empty texts are scored as texts without a hit; rows stay one to one.
+    """
+    docs = docs.drop("toxicity")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +231,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def trained(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Model:
     """A model from the labelled rows that are not held out."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return fit(rows.where(~held_out()), labels, sample=sample)
+    return fit(rows.where(~held_out()), labels.where(~held_out()), sample=sample)
 
 
 def rate(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> DataFrame:

@@ -1,11 +1,14 @@
 """Round trips, held-out accuracy and recall."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from partita.llm import language, media, neighbours, sentencepiece_codec, toxicity
+from partita.llm import language, media, minhash, mixing, neighbours, sentencepiece_codec, toxicity
+from partita.llm.shingles import labelled, shingle_hashes
 
 sentencepiece = pytest.importorskip("sentencepiece")
 
@@ -251,19 +254,86 @@ def test_neighbours_of_repeated_rows(spark):
     assert np.allclose([s for _, _, s in got], [best[i] for i in want])
 
 
-def test_pipeline_stages(spark, data_dir, docs):
+def test_every_stage_against_a_plain_version(spark, data_dir, docs):
+    """What each stage keeps of what the one before it kept, by scores, edit distances, alignments, budgets and the library."""
     labels = spark.read.parquet(f"{data_dir}/labels.parquet")
     docs = docs.limit(120)
-    kept = corpus_pipeline.drop_toxic(spark, docs, data_dir)
+    kept = corpus_pipeline.drop_toxic(spark, docs, data_dir).cache()
     scores = {r.doc_id: r.score for r in toxicity.rate(docs, labels).collect()}
     assert {r.doc_id for r in kept.collect()} == {i for i, s in scores.items() if s < 0.5}
-    for name, stage in corpus_pipeline.STAGES[1:-1]:
-        kept = stage(spark, kept, data_dir).cache()
-        assert kept.columns == docs.columns, name
-        assert kept.count() > 0
-    last = corpus_pipeline.encode(spark, kept, data_dir)
-    back = sentencepiece_codec.decode(last)
-    assert sorted((r.doc_id, r.decoded) for r in back.collect()) == sorted((r.doc_id, r.text) for r in kept.collect())
+
+    def near(a, b):
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b, strict=True)) <= 1
+        a, b = sorted((a, b), key=len)
+        return len(b) - len(a) == 1 and any(b[:k] + b[k + 1 :] == a for k in range(len(b)))
+
+    before = sorted(kept.collect())
+    kept = corpus_pipeline.drop_repeated_lines(spark, kept, data_dir).cache()
+    seen, want = [], {}
+    for r in before:
+        lines = []
+        for line in (r.text or "").split("\n"):
+            if not line.strip(" "):
+                lines.append(line)
+                continue
+            if not any(abs(len(line) - len(o)) <= 1 and near(line, o) for o in seen):
+                lines.append(line)
+            seen.append(line)
+        want[r.doc_id] = "\n".join(lines)
+    assert {r.doc_id: r.text for r in kept.collect()} == want
+
+    before = sorted(kept.collect())
+    kept = corpus_pipeline.drop_near_copies(spark, kept, data_dir).cache()
+    shingles = {r.doc_id: labelled(shingle_hashes(r.text or "")) for r in before}
+    named = {i: i for i in shingles}
+    for i in shingles:
+        for j in shingles:
+            if j < i and len(shingles[i]) and minhash.similar(shingles[i], shingles[j]):
+                a, b = sorted((named[i], named[j]))
+                named = {k: a if v == b else v for k, v in named.items()}
+    assert {r.doc_id for r in kept.collect()} == {i for i, v in named.items() if i == v}
+
+    budget = {}
+    for r in mixing.mix(kept).collect():
+        budget[r.source] = budget.get(r.source, 0) + r.whole * r["size"] + r.extra
+    mixed = corpus_pipeline.mix_sources(spark, kept, data_dir).cache()
+    texts, words = {r.doc_id: r.text for r in kept.collect()}, {}
+    for r in mixed.collect():
+        assert texts[r.doc_id].startswith(r.text) and r.n_chars == len(r.text)
+        words[r.source] = words.get(r.source, 0) + len(re.findall(r"[^\x20\x09-\x0D]+", r.text))
+    assert words == {s: n for s, n in budget.items() if n}
+
+    library = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.MODEL)
+    got = sorted((r.doc_id, list(r.ids)) for r in corpus_pipeline.encode(spark, mixed, data_dir).collect())
+    assert got == sorted((r.doc_id, library.encode(r.text)) for r in mixed.collect())
+
+
+def test_one_row_of_each_class_stays(spark):
+    text = " ".join(f"word{k}" for k in range(60))
+    near, other = text.replace("word7 ", "word7 more "), " ".join(f"other{k}" for k in range(30))
+    rows = [(1, text, "b"), (1, text, "a"), (2, near, "a"), (3, text, "a"), (2, other, "a"), (4, None, "a"), (5, "", "a"), (4, None, "a"), (None, other, "z")]
+    kept = minhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("class", F.lit("clash"))).collect()
+    said = sorted((r.doc_id, r.text or "", r.source) for r in kept)
+    assert said == sorted([(1, text, "a"), (4, "", "a"), (5, "", "a"), (4, "", "a")] + [(r.doc_id, other, r.source) for r in kept if r.text == other])
+    assert minhash.one_of_each(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_broken_files_and_clashing_columns_of_media(spark):
+    good = media.encode_jpeg(b"abc" + b"\xff" * 573)
+    rows = spark.createDataFrame([(1, good, "x"), (2, good[:40], "x"), (3, b"", "x"), (4, b"no file", "x"), (5, None, "x")], "doc_id long, media binary, feature string")
+    got = {r.doc_id: r for r in media.load(rows).collect()}
+    assert bytes(got[1].payload)[:3] == b"abc" and got[1].feature != "x"
+    assert all(got[k].payload is None and got[k].feature is None for k in (2, 3, 4, 5))
+    assert media.load(media.store(spark.createDataFrame([], "doc_id long, text string, media string"))).count() == 0
+
+
+def test_labels_that_disagree_and_clashing_score(spark):
+    docs = spark.createDataFrame([(k, "you stupid idiot" if k % 2 else "a fine day out") for k in range(60)], "doc_id long, text string").withColumn("toxicity", F.lit(7))
+    labels = spark.createDataFrame([(k, int(k % 2 == 1 and k % 3 > 0)) for k in range(60)], "doc_id long, toxic int")
+    first, again = [sorted((r.doc_id, r.score) for r in toxicity.rate(d, labels).collect()) for d in (docs, docs.repartition(5))]
+    assert first == again
+    assert toxicity.score(docs, toxicity.trained(docs, labels)).columns == ["doc_id", "text", "toxicity"]
 
 
 def test_last_stage_decodes_what_it_encodes(spark):
