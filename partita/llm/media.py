@@ -523,10 +523,11 @@ def load(stored: DataFrame, *, tensors: bool = True) -> DataFrame:
 
 
 def digest(loaded: DataFrame) -> DataFrame:
-    """The row hashes of media that were read back."""
+    """The row hashes of media that were read back; with tensors also their height, width and hash."""
     payload = F.col("payload")
+    tensor = ["height", "width", F.sha2("rgb", 256).alias("tensor_sha256")] if "rgb" in loaded.columns else []
     return loaded.select(
         "doc_id", "n_bytes", F.length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_sha256"),
         F.crc32(F.substring(payload, -32, 32)).alias("tail_crc32"), F.length("media").cast("long").alias("media_bytes"),
-        F.sha2(F.col("media"), 256).alias("media_sha256"), "feature",
+        F.sha2(F.col("media"), 256).alias("media_sha256"), "feature", *tensor,
     )

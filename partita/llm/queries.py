@@ -16,7 +16,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.digest(media.load(media.store(_table(spark, sf_dir, "documents")), tensors=False))
+    return media.digest(media.load(media.store(_table(spark, sf_dir, "documents"))))
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
