@@ -53,24 +53,18 @@ def _multipliers() -> np.ndarray:
 
 
 def exact_keys(shingles: np.ndarray) -> np.ndarray:
-    """Keys that a text of at most ``SHORT`` labelled shingles shares with every similar one.
+    """Keys of which a text of at most ``SHORT`` labelled shingles shares one with every similar one.
 
-    They are of all its shingles, and of all but one or two. Similar texts of n1 + n2 shingles differ by at most
-    (n1 + n2) / 9 of them, left out of either: none up to 8 together, one up to 17, two up to 26.
+    Of n shingles a similar text has at least c = 0.8 n, so the two smallest that they have in common, by hash, are among
+    the n - c + 2 smallest of either. Each two of those are a key: six at most. A single shingle is a key by itself.
     """
     n = len(shingles)
-    kept = [np.arange(n)]
-    if n >= 5:
-        kept += [np.delete(np.arange(n), i) for i in range(n)]
-    if n >= 10:
-        kept += [np.delete(np.arange(n), [i, j]) for i in range(n) for j in range(i)]
-    out = []
-    for places in kept:
-        key = np.full(1, np.uint64(BANDS))
-        for k in places:
-            key = mix(key + shingles[k : k + 1])
-        out.append(key)
-    return np.unique(np.concatenate(out)).view(np.int64)
+    c = int(np.ceil(SIMILARITY * n - 1e-9))
+    first = mix(np.sort(shingles)[: n - c + min(2, c)] + np.uint64(BANDS))
+    if c < 2:
+        return first.view(np.int64)
+    i, j = np.triu_indices(len(first), 1)
+    return np.unique(mix(first[i] * np.uint64(3) + first[j])).view(np.int64)
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
