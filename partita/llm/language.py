@@ -4,8 +4,8 @@ A text is its counts of hashed character 1- to 3-grams over the whole text, norm
 families votes for a family, and one per pair of languages inside it for the language. The families are those of
 ``FAMILY``; a language that is not listed forms a family of its own.
 
-The machines are fitted on the driver from at most ``SAMPLE`` labelled rows of each language, those with the smallest
-hashes of their ids: that bound holds however large the table is. Every text is then scored whole, on the executors.
+The machines are fitted on the driver from at most ``SAMPLE`` labelled rows of each language and ``TOTAL`` in all, those
+with the smallest hashes of their ids: that bound holds however large the table is. Every text is then scored whole, on the executors.
 """
 
 from __future__ import annotations
@@ -29,6 +29,10 @@ FAMILY = {
 
 DIMENSIONS = 2048
 SAMPLE = 600
+#: Rows of all languages together: with more than ``TOTAL / SAMPLE`` languages each has its equal share, one at least.
+TOTAL = 12000
+#: Shares of a language whose ids are ranked apart.
+SALTS = 64
 EPOCHS = 12
 REGULARISATION = 1e-5
 UNKNOWN = "und"
@@ -128,15 +132,20 @@ def held_out() -> Column:
 
 
 def fit(labelled: DataFrame, *, sample: int = SAMPLE) -> Model:
-    """A model from rows with ``text`` and ``lang``; at most ``sample`` rows of each language are used.
+    """A model from rows with ``text`` and ``lang``; at most ``sample`` rows of each language, ``TOTAL`` of all, are used.
 
-    Rows with a null or letterless text or a null language teach nothing; without any row every text is ``und``.
+    Rows that share an id and a language count once, by the smallest of their texts.
+    Rows with a null or letterless text, a null id or a null language teach nothing; without any row every text is ``und``.
     """
-    first = Window.partitionBy("lang").orderBy("h", "doc_id")
-    usable = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    # The ids are ranked without their texts, and Spark keeps the best of each language before it shuffles. What is
-    # broadcast is these ids: ``sample`` of each language.
-    ids = usable.select("doc_id", "lang", hash60("doc_id").alias("h")).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= sample).select("doc_id", "lang")
+    usable = labelled.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    languages = usable.agg(F.count_distinct("lang").alias("n")).first().n
+    most = max(1, min(sample, TOTAL // max(1, languages)))
+    ids = usable.select("doc_id", "lang", hash60("doc_id").alias("h")).distinct()
+    # The ids are ranked without their texts, first within each of ``SALTS`` shares of a language, so that a frequent
+    # one is spread over as many groups. What is broadcast is ``most`` ids of each language.
+    for by in (["lang", F.pmod("h", F.lit(SALTS))], ["lang"]):
+        first = Window.partitionBy(*by).orderBy("h", "doc_id")
+        ids = ids.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= most).drop("rank")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -145,7 +154,9 @@ def fit(labelled: DataFrame, *, sample: int = SAMPLE) -> Model:
             vectors = [_features(t).astype(np.float32).tobytes() for t, g in zip(texts, good, strict=True) if g]
             yield pa.RecordBatch.from_arrays([batch.column("lang").filter(pa.array(good)), pa.array(vectors, pa.binary())], ["lang", "v"])
 
-    rows = usable.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").select("lang", "text").mapInArrow(run, "lang string, v binary").collect()
+    # An id that many rows share teaches one text, so what is collected keeps to the bound.
+    taught = usable.join(F.broadcast(ids.select("doc_id", "lang")), ["doc_id", "lang"], "left_semi").groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    rows = taught.select("lang", "text").mapInArrow(run, "lang string, v binary").collect()
     rows = sorted(rows, key=lambda r: (r.lang, r.v))
     languages = sorted({r.lang for r in rows})
     x = np.array([np.frombuffer(r.v, np.float32) for r in rows], float).reshape(-1, DIMENSIONS)

@@ -174,6 +174,22 @@ def test_language_of_held_out_rows(spark, docs):
     assert {r.lang_pred for r in language.identify(none).collect()} == {"und"}
 
 
+def test_language_learns_a_bounded_sample(spark, monkeypatch):
+    """Repeated ids teach one text, and the bound on all languages is shared; the salt changes nothing."""
+    rows = [(1, f"mot {k}", "fr") for k in range(40)] + [(k, f"wort {k}", "de") for k in range(2, 42)]
+    rows += [(90, "slovo", "cs"), (90, "slovo", "cs"), (91, None, "cs"), (92, "", "pl"), (None, "ord", "sv")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("rank", F.lit("clash"))
+    seen = []
+    monkeypatch.setattr(language, "Model", lambda names, x, y: seen.append({g: int((y == k).sum()) for k, g in enumerate(names)}))
+    language.fit(df)
+    assert seen[-1] == {"cs": 1, "de": 40, "fr": 1}
+    monkeypatch.setattr(language, "TOTAL", 15)
+    for salts in (1, 7):
+        monkeypatch.setattr(language, "SALTS", salts)
+        language.fit(df)
+        assert seen[-1] == {"cs": 1, "de": 3, "fr": 1}
+
+
 def test_levenshtein_trie_against_distances():
     def distance(a, b):
         row = list(range(len(b) + 1))
