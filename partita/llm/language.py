@@ -31,8 +31,8 @@ DIMENSIONS = 2048
 SAMPLE = 600
 #: Rows of all languages together: with more than ``TOTAL / SAMPLE`` languages each has its equal share, one at least.
 TOTAL = 12000
-#: Shares of a language whose ids are ranked apart.
-SALTS = 64
+#: Shares of a language whose ids are ranked apart, in turn: the last ranking of a language sees few of them.
+SALTS = (64, 8, 1)
 EPOCHS = 12
 REGULARISATION = 1e-5
 UNKNOWN = "und"
@@ -141,10 +141,10 @@ def fit(labelled: DataFrame, *, sample: int = SAMPLE) -> Model:
     languages = usable.agg(F.count_distinct("lang").alias("n")).first().n
     most = max(1, min(sample, TOTAL // max(1, languages)))
     ids = usable.select("doc_id", "lang", hash60("doc_id").alias("h")).distinct()
-    # The ids are ranked without their texts, first within each of ``SALTS`` shares of a language, so that a frequent
-    # one is spread over as many groups. What is broadcast is ``most`` ids of each language.
-    for by in (["lang", F.pmod("h", F.lit(SALTS))], ["lang"]):
-        first = Window.partitionBy(*by).orderBy("h", "doc_id")
+    # The ids are ranked without their texts, first within shares of a language, so that a frequent one is spread over
+    # many groups; a language's best ids are among the best of its shares. What is broadcast is ``most`` ids of each.
+    for salts in SALTS:
+        first = Window.partitionBy("lang", F.pmod("h", F.lit(salts))).orderBy("h", "doc_id")
         ids = ids.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= most).drop("rank")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -184,7 +184,7 @@ def test_language_learns_a_bounded_sample(spark, monkeypatch):
     language.fit(df)
     assert seen[-1] == {"cs": 1, "de": 40, "fr": 1}
     monkeypatch.setattr(language, "TOTAL", 15)
-    for salts in (1, 7):
+    for salts in ((1,), (7, 1), (7, 3, 1)):
         monkeypatch.setattr(language, "SALTS", salts)
         language.fit(df)
         assert seen[-1] == {"cs": 1, "de": 3, "fr": 1}
