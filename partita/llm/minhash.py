@@ -39,8 +39,10 @@ SIMILARITY = 0.8
 SHORT = 12
 #: Texts and bytes of a block of a bucket; each two blocks are compared in one group. Buckets of more are refined first.
 BLOCK = 256
-#: Rounds in which members of large buckets meet one of them, before what is left is exhausted.
+#: Rounds in which members of large buckets meet one of them, before what is left is exhausted. They end sooner once a
+#: smaller share than ``LEAST_LINKED`` of those that met are linked: what is left is exhausted in any case.
 ROUNDS = 6
+LEAST_LINKED = 0.1
 BLOCK_BYTES = 8 << 20
 #: Cells in which shingles are counted, to tell rare from common ones.
 CELLS = 1 << 16
@@ -295,7 +297,10 @@ def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
         large = shared.where(F.col("others") > BLOCK)
         if large.isEmpty():
             break
-        known = materialise(known.union(_verified(_met(large, turn), texts)))
+        met = materialise(_verified(_met(large, turn), texts))
+        known = known.union(met)
+        if (met.agg(F.avg(F.col("linked").cast("int"))).first()[0] or 0.0) < LEAST_LINKED:
+            break
         shared = _shared(grouped, known)
     return known.where("linked").select("first", "node").union(materialise(_exhausted(shared, texts))).distinct()
 
