@@ -163,12 +163,21 @@ def _mixed(members: DataFrame) -> DataFrame:
     return sets.where("classes > 1").groupBy("n", "first", "last", "mark0", "mark1").agg(one).select("n", "first", "last", "b.*")
 
 
-def _shared(grouped: DataFrame, known: DataFrame) -> DataFrame:
-    """bucket, node, class, major, others of the buckets that still hold texts of different classes, by the links of ``known``.
+def _joined(named: DataFrame, found: DataFrame) -> DataFrame:
+    """node and class of ``named`` once the links of ``found`` (first, node) join classes: of all links, only new ones are walked."""
+    sides = [named.select(F.col("node").alias(side), F.col("class").alias(f"{side}_class")) for side in ("first", "node")]
+    ends = [F.coalesce(f"{side}_class", side) for side in ("first", "node")]
+    between = found.join(sides[0], "first", "left").join(sides[1], "node", "left").select(F.least(*ends).alias("first"), F.greatest(*ends).alias("node"))
+    over = components(between.where(F.col("first") < F.col("node")))
+    old = named.join(over.select(F.col("node").alias("class"), F.col("class").alias("next")), "class", "left").select("node", F.coalesce("next", "class").alias("class"))
+    return materialise(old.union(over.join(named, "node", "left_anti")))
+
+
+def _shared(grouped: DataFrame, known: DataFrame, named: DataFrame) -> DataFrame:
+    """bucket, node, class, major, others of the buckets that still hold texts of different classes, by ``named`` (node, class).
 
     Two texts that ``known`` holds already do not count.
     """
-    named = components(known.where("linked").select("first", "node"))
     every = grouped.select("bucket", "node").union(grouped.select("bucket", F.col("first").alias("node"))).distinct()
     members = materialise(every.join(named, "node", "left").select("bucket", "node", F.coalesce("class", "node").alias("class")))
     compared = known.select(F.least("first", "node").alias("first"), F.greatest("first", "node").alias("last"), F.lit(2).cast("long").alias("n")).distinct()
@@ -292,7 +301,8 @@ def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     # The wanted ids grow with the table, so both sides are shuffled at any size.
     texts = materialise(rows.join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     known = materialise(_verified(_best(pairs), texts))
-    shared = _shared(grouped, known)
+    named = components(known.where("linked").select("first", "node"))
+    shared = _shared(grouped, known, named)
     for turn in range(ROUNDS):
         large = shared.where(F.col("others") > BLOCK)
         if large.isEmpty():
@@ -301,7 +311,8 @@ def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
         known = known.union(met)
         if (met.agg(F.avg(F.col("linked").cast("int"))).first()[0] or 0.0) < LEAST_LINKED:
             break
-        shared = _shared(grouped, known)
+        named = _joined(named, met.where("linked").select("first", "node"))
+        shared = _shared(grouped, known, named)
     return known.where("linked").select("first", "node").union(materialise(_exhausted(shared, texts))).distinct()
 
 
