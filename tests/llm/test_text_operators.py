@@ -223,6 +223,18 @@ def test_components_of_a_chain(spark):
     assert set(got.values()) == {0, 100} and all(got[i] == 0 for i in range(41))
 
 
+def test_classes_joined_by_new_links_are_those_of_all_links(spark):
+    rng = np.random.default_rng(41)
+    links = [tuple(sorted(map(int, rng.choice(60, 2, replace=False)))) for _ in range(45)]
+    old, new = (spark.createDataFrame(some, "first long, node long") for some in (links[:25], links[25:]))
+    nothing = old.limit(0)
+    rows = lambda t: sorted(map(tuple, t.select("node", "class").collect()))
+    named = minhash.components(old)
+    assert rows(minhash._joined(named, new)) == rows(minhash.components(old.union(new)))
+    assert rows(minhash._joined(named, nothing)) == rows(named)
+    assert rows(minhash._joined(minhash.components(nothing), new)) == rows(minhash.components(new))
+
+
 def test_secrets(spark):
     rng = np.random.default_rng(3)
     hexes = ["".join(rng.choice(list("0123456789abcdef"), 40)) for _ in range(60)]
