@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from partita.llm import language, lines, media, minhash, mixing, neighbours, secrets, sentencepiece_codec, substrings, toxicity
+from partita.llm import collocations, language, lines, media, minhash, mixing, neighbours, secrets, sentencepiece_codec, substrings, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,9 +98,41 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+worded AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM worded GROUP BY lang),
+grams AS (
+  SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, k
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM worded, (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k)),
+counts AS (SELECT lang, phrase, k, count(*)::BIGINT AS a FROM grams GROUP BY lang, phrase, k HAVING count(*) >= 100),
+candidates AS (SELECT *, string_split(phrase, ' ') AS w FROM counts WHERE k > 1),
+inner_ AS (
+  SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT lang, w, a, m, unnest(range(1, k - m + 2)) AS i FROM candidates, (SELECT unnest(range(2, 5)) AS m) WHERE m < k)
+  GROUP BY ALL),
+free AS (SELECT c.* FROM candidates c LEFT JOIN inner_ i USING (lang, phrase) WHERE i.longer IS NULL OR 100 * i.longer < 100 * c.a),
+cuts AS (SELECT lang, phrase, a, w, unnest(range(1, k)) AS cut FROM free),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, h.a AS l, t.a AS r, n, cut, ((1000::HUGEINT * c.a * n) // (h.a::HUGEINT * t.a))::BIGINT AS score
+  FROM cuts c JOIN counts h ON h.lang = c.lang AND h.phrase = array_to_string(w[1:cut], ' ')
+  JOIN counts t ON t.lang = c.lang AND t.phrase = array_to_string(w[cut + 1:], ' ') JOIN totals n ON n.lang = c.lang),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media, "op2_language": op2_language, "op3_toxicity": op3_toxicity, "op4_substrings": op4_substrings,
     "op5_mixing": op5_mixing, "op6_lines": op6_lines, "op7_neighbours": op7_neighbours, "op8_minhash": op8_minhash,
-    "op9_secrets": op9_secrets, "op10_sentencepiece": op10_sentencepiece, "pipeline": corpus_pipeline.run,
+    "op9_secrets": op9_secrets, "op10_sentencepiece": op10_sentencepiece, "op11_collocations": op11_collocations, "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {"op5_mixing": OP5_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+ORACLES: dict[str, str] = {"op5_mixing": OP5_SQL, "op11_collocations": OP11_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
