@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from partita.llm import collocations, language, lines, media, minhash, mixing, neighbours, secrets, sentencepiece_codec, substrings, toxicity
+from partita.llm import collocations, language, licenses, lines, media, minhash, mixing, neighbours, secrets, sentencepiece_codec, substrings, toxicity, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -130,9 +130,18 @@ SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
 """
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan(_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media, "op2_language": op2_language, "op3_toxicity": op3_toxicity, "op4_substrings": op4_substrings,
     "op5_mixing": op5_mixing, "op6_lines": op6_lines, "op7_neighbours": op7_neighbours, "op8_minhash": op8_minhash,
-    "op9_secrets": op9_secrets, "op10_sentencepiece": op10_sentencepiece, "op11_collocations": op11_collocations, "pipeline": corpus_pipeline.run,
+    "op9_secrets": op9_secrets, "op10_sentencepiece": op10_sentencepiece, "op11_collocations": op11_collocations, "op12_whitening": op12_whitening,
+    "op13_licenses": op13_licenses, "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {"op5_mixing": OP5_SQL, "op11_collocations": OP11_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
