@@ -4,12 +4,12 @@ Every word of a piece starts a window: its lead columns are the next words, up t
 piece ends. Only these longest windows are counted; Spark's ROLLUP sums them to the counts of all shorter phrases, since
 a phrase occurs as often as a window starts with it. No n-gram of another length is ever made.
 
-A phrase that occurs ``LEAST`` times has words and pairs of words that do. So a first pass counts hashes of words and
-of adjacent pairs, and those that occur often set bits of a table of fixed size (``BITS``). A window is padded from the
-first word or pair on whose bit is not set. This loses nothing: hashes that meet only keep a window longer, and the
-counts are taken afterwards, from words.
+A phrase that occurs ``LEAST`` times has words, pairs and triples of words that do. So a first pass counts hashes of
+words and of adjacent pairs, a second those of triples of frequent pairs, and what occurs often sets a bit of a table of
+fixed size (``BITS``). A window is padded from the first word, pair or triple on whose bit is not set. This loses
+nothing: hashes that meet only keep a window longer, and the counts are taken afterwards, from words.
 
-Both passes read texts in parts of some ``CHUNK`` bytes that end where a piece ends, and count within them before
+All passes read texts in parts of some ``CHUNK`` bytes that end where a piece ends, and count within them before
 anything is shuffled. Counts by lang and phrase are sums with a map-side combine, joins with the counts of parts of a
 phrase are salted, and the first of a language are found by salt before they are ranked.
 """
@@ -39,8 +39,8 @@ SALT = 16
 NO_LANGUAGE = "und"
 
 BREAKS = b".,;:!?\n\x0b\x0c\r"
-_TOKEN = re.compile(rb"[^ \t.,;:!?\n-\r]+|[.,;:!?\n-\r]")
 _BREAK = re.compile(rb"[.,;:!?\n-\r]")
+_SPACED = bytes(10 if b in BREAKS else 32 if b == 9 else b for b in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 WORDS = [f"w{k}" for k in range(1, LENGTH + 1)]
 
@@ -66,10 +66,12 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
 
 def _words(data: bytes) -> tuple[np.ndarray, list[bytes]]:
     """Numbers of the words in order, -1 where a piece ends, and the distinct words."""
-    found = _TOKEN.findall(data.lower())  # of bytes, only A-Z are lowered
-    place = {w: k for k, w in enumerate(w for w in dict.fromkeys(found) if len(w) > 1 or w not in BREAKS)}
-    number = place | {bytes([b]): -1 for b in BREAKS}
-    return np.fromiter(map(number.__getitem__, found), np.int64, len(found)), list(place)
+    # Of bytes, lower() changes A-Z only. Ends of pieces become words of their own; of two spaces, an empty one is left.
+    found = data.lower().translate(_SPACED).replace(b"\n", b" \n ").split(b" ")
+    words = list(dict.fromkeys(found))
+    number = {w: k for k, w in enumerate(w for w in words if w and w != b"\n")}
+    ids = np.fromiter(map((number | {b"\n": -1, b"": -2}).__getitem__, found), np.int64, len(found))
+    return ids[ids != -2], list(number)
 
 
 def _hashes(lang: str, words: list[bytes]) -> np.ndarray:
@@ -82,6 +84,11 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mixed ^ (mixed >> np.uint64(32))
 
 
+def _counted(keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(keys), 65536):
+        yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 65536].view(np.int64)), pa.array(counts[at : at + 65536])], ["h", "c"])
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """h, c: how often the words and the adjacent pairs with a hash occur in a part."""
     for lang, data in _parts(batches):
@@ -92,23 +99,53 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, right = ids[:-1], ids[1:]
         near = (left >= 0) & (right >= 0)
         pairs, often = np.unique(left[near] * len(words) + right[near], return_counts=True)
-        keys = np.concatenate([h, _pair(h[pairs // len(words)], h[pairs % len(words)])])
-        counts = np.concatenate([np.bincount(ids[ids >= 0], minlength=len(words)), often])
-        for at in range(0, len(keys), 65536):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 65536].view(np.int64)), pa.array(counts[at : at + 65536])], ["h", "c"])
+        yield from _counted(h, np.bincount(ids[ids >= 0], minlength=len(words)))
+        yield from _counted(_pair(h[pairs // len(words)], h[pairs % len(words)]), often)
 
 
-def frequent_bits(texts: DataFrame, least: int, bits: int) -> np.ndarray:
-    """The table: a bit for each hash of a word or pair that occurs ``least`` times; 2 ** ``bits`` bits at any size."""
-    counted = texts.mapInArrow(_sketch, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
-    place = F.col("h").bitwiseAND(2**bits - 1)
-    set_bits = counted.select(F.shiftright(place, 6).alias("slot"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"))
-    slots = set_bits.groupBy("slot").agg(F.bit_or("bit").alias("held")).toArrow()
+class _Linked:
+    """A part's words with what the table tells: which are frequent, and where a word may be followed by the next."""
+
+    def __init__(self, lang: str, data: bytes, table: np.ndarray):
+        self.ids, self.words = _words(data)
+        self.h = _hashes(lang, self.words)
+        self.good = (self.ids >= 0) & _set(table, self.h)[self.ids] if self.words else np.zeros(len(self.ids), bool)
+        self.pair = np.zeros(len(self.ids) + LENGTH, bool)
+        both = np.flatnonzero(self.good[:-1] & self.good[1:])
+        self.pair[both] = _set(table, _pair(self.h[self.ids[both]], self.h[self.ids[both + 1]]))
+
+    def triples(self) -> np.ndarray:
+        """Where three words begin whose two pairs are frequent."""
+        return np.flatnonzero(self.pair[:-1] & self.pair[1:])
+
+    def triple_hashes(self, at: np.ndarray) -> np.ndarray:
+        a, b, c = (self.h[self.ids[at + k]] for k in range(3))
+        return _pair(_pair(a, b), c)
+
+
+def _sketch_triples(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for lang, data in _parts(batches):
+        part = _Linked(lang, data, table)
+        yield from _counted(*np.unique(part.triple_hashes(part.triples()), return_counts=True))
+
+
+def _bits(counted: DataFrame, least: int, bits: int) -> np.ndarray:
+    """The table: a bit for each hash (h) whose counts (c) reach ``least``; 2 ** ``bits`` bits at any size of the input."""
+    often = counted.groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
+    slot = F.shiftright(F.col("h").bitwiseAND(2**bits - 1), 6).alias("slot")
+    slots = often.select(slot, F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("held")).toArrow()
     table = np.zeros(2 ** (bits - 6), np.int64)
     table[slots.column("slot").to_numpy()] = slots.column("held").to_numpy()
     return table.view(np.uint64)
 
 
+def frequent_bits(texts: DataFrame, least: int, bits: int) -> np.ndarray:
+    """Bits of all words, adjacent pairs and triples that occur ``least`` times, and of few others."""
+    pairs = _bits(texts.mapInArrow(_sketch, "h long, c long"), least, bits)
+    shared = texts.sparkSession.sparkContext.broadcast(pairs)
+    return pairs | _bits(texts.mapInArrow(lambda batches: _sketch_triples(batches, shared.value), "h long, c long"), least, bits)
+
+
 def _set(table: np.ndarray, h: np.ndarray) -> np.ndarray:
     place = h & np.uint64(len(table) * 64 - 1)
     return (table[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
@@ -116,21 +153,18 @@ def _set(table: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 def _windows(lang: str, data: bytes, table: np.ndarray) -> pa.RecordBatch | None:
     """lang, w1 to w5 (empty where padded) and c: the distinct longest windows of a part and their counts."""
-    ids, words = _words(data)
-    v = len(words)
+    part = _Linked(lang, data, table)
+    ids, words, v = part.ids, part.words, len(part.words)
     if not v:
         return None
-    h = _hashes(lang, words)
-    common = _set(table, h)
-    good = (ids >= 0) & common[ids]
-    link = np.zeros(len(ids) + LENGTH, bool)  # link[i]: word i + 1 may follow word i in a phrase that is frequent
-    both = np.flatnonzero(good[:-1] & good[1:])
-    link[both] = _set(table, _pair(h[ids[both]], h[ids[both + 1]]))
-    single = np.bincount(ids[good & ~link[: len(ids)]], minlength=v)
-    start = np.flatnonzero(link)
-    columns, open_ = [ids[start]], np.ones(len(start), bool)
-    for k in range(1, LENGTH):
-        open_ &= link[start + k - 1]
+    triple = np.zeros_like(part.pair)
+    at = part.triples()
+    triple[at] = _set(table, part.triple_hashes(at))
+    single = np.bincount(ids[part.good & ~part.pair[: len(ids)]], minlength=v)
+    start = np.flatnonzero(part.pair)
+    columns, open_ = [ids[start], ids[start + 1]], np.ones(len(start), bool)
+    for k in range(2, LENGTH):
+        open_ &= triple[start + k - 2]
         columns.append(np.where(open_, ids[np.minimum(start + k, len(ids) - 1)], v))
     key = columns[0]
     for more in columns[1:]:  # numbers of distinct prefixes, so that keys stay small
@@ -138,7 +172,7 @@ def _windows(lang: str, data: bytes, table: np.ndarray) -> pa.RecordBatch | None
         key = key * (v + 1) + more
     _, first, often = np.unique(key, return_index=True, return_counts=True)
     alone = np.flatnonzero(single)
-    rare = int((ids >= 0).sum() - good.sum())
+    rare = int((ids >= 0).sum() - part.good.sum())
     names = pa.array([*words, b""], pa.binary())
     arrays = []
     for k, column in enumerate(columns):

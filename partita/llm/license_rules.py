@@ -51,7 +51,7 @@ TEXT = r"""
 2|gnu general public license|gpl-2.0|gnu general public license version 2 as published by the free software foundation
 2|gnu general public license|gpl-3.0|(?:released|licensed|distributed|available|published|provided) under (?:the )?(?:terms of the )?gnu general public license(?: gpl)? (?:version |v)?3(?: 0)?
 2|gnu general public license|gpl-2.0|(?:released|licensed|distributed|available|published|provided) under (?:the )?(?:terms of the )?gnu general public license(?: gpl)? (?:version |v)?2(?: 0)?
-2|you should have received a copy of the gnu general|gpl|you should have received a copy of the gnu general public license along with this (?:program|file|library|package)
+2|gnu general public license along with|gpl|you should have received a copy of the gnu general public license along with this (?:program|file|library|package)
 3|general public license|gpl-3.0|(?:gnu )?general public license(?: gpl)? (?:version |v)?3(?: 0)?
 3|general public license|gpl-2.0|(?:gnu )?general public license(?: gpl)? (?:version |v)?2(?: 0)?
 3|general public license|gpl-1.0|(?:gnu )?general public license(?: gpl)? version 1(?: 0)?
@@ -120,7 +120,7 @@ TEXT = r"""
 1|identifier mpl 2|mpl-2.0|spdx license identifier mpl 2 0
 1|identifier mpl 1|mpl-1.1|spdx license identifier mpl 1 1
 1|mozilla org mpl 2|mpl-2.0|mozilla org mpl 2 0
-2|source code form is subject to the terms|mpl-2.0|this source code form is subject to the terms of the mozilla public license v 2 0
+2|terms of the mozilla public license|mpl-2.0|this source code form is subject to the terms of the mozilla public license v 2 0
 2|subject to the mozilla public license|mpl-1.1|the contents of this file are subject to the mozilla public license version 1 1
 3|mozilla public license|mpl-2.0|mozilla public license(?: version| v)? 2(?: 0)?
 3|mozilla public license|mpl-1.1|mozilla public license(?: version| v)? 1 1
@@ -136,9 +136,9 @@ TEXT = r"""
 3|eclipse distribution license|bsd-3-clause|eclipse distribution license(?: version| v)?(?: 1 0)?
 4|eclipse public license|epl|eclipse public license
 1|identifier cddl|cddl-1.0|spdx license identifier cddl 1 [01]
-3|common development and distribution|cddl-1.1|common development and distribution license(?: cddl)?(?: version| v)? 1 1
-3|common development and distribution|cddl-1.0|common development and distribution license(?: cddl)?(?: version| v)? 1 0
-4|common development and distribution|cddl|common development and distribution license
+3|common development and distribution license|cddl-1.1|common development and distribution license(?: cddl)?(?: version| v)? 1 1
+3|common development and distribution license|cddl-1.0|common development and distribution license(?: cddl)?(?: version| v)? 1 0
+4|common development and distribution license|cddl|common development and distribution license
 1|identifier isc|isc|spdx license identifier isc
 2|with or without fee is hereby granted provided|isc|permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice
 4|isc license|isc|isc license
@@ -254,7 +254,7 @@ TEXT = r"""
 4|libpng license|libpng|libpng license
 4|curl license|curl|curl license
 4|openrail|openrail|(?:bigscience |creativeml )?openrail(?: m)?(?: license)?
-4|llama community license|llama|llama(?: [23])? community license(?: agreement)?
+4|community license|llama|llama(?: [23])? community license(?: agreement)?
 2|all rights reserved|proprietary|copyright (?:c )?(?:[0-9]{4} ){1,4}(?:by )?(?:[^ ]+ ){1,8}?all rights reserved
 3|proprietary and confidential|proprietary|proprietary and confidential
 """
@@ -263,7 +263,7 @@ TEXT = r"""
 STEMS = (
     "licen", "identifier", "granted", "apache", "gpl", "bsd", "commons", "attribution", "domain", "mozilla", "mpl 2 0", "eclipse", "x11", "portions", "classpath",
     "promote", "redistribution", "mentioning", "express", "misrepresented", "unencumbered", "wtfpl", "waived", "cc0", "perl", "scripts", "beerware", "openrail",
-    "reserved", "proprietary", "zlib", "cc by",
+    "reserved", "proprietary", "zlib", "w3c", "cc by",
 )
 
 

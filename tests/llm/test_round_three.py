@@ -130,15 +130,19 @@ def test_whitening_of_little(spark):
     assert {r.deviation for r in vast if r.vec_id != 3} == {None} and all(np.isfinite(r.whitened) for r in vast)
 
 
-@given(st.data())
-@settings(max_examples=400, deadline=None, suppress_health_check=list(HealthCheck))
-def test_a_rule_is_tried_wherever_it_matches(data):
-    tier, keyword, label, regex = data.draw(st.sampled_from(rules()))
-    plain = re.sub(r"\(\?[!=].*\)$", "", regex)
-    found = data.draw(st.from_regex(re.compile(plain, re.ASCII), fullmatch=True))
-    assert keyword in found
-    assert any(s in keyword for s in STEMS), keyword
-    assert tier in licenses.CONFIDENCE and label
+def test_a_rule_is_tried_wherever_it_matches():
+    assert len(rules()) > 200
+    for tier, keyword, label, regex in rules():
+        assert any(s in keyword for s in STEMS), keyword
+        assert tier in licenses.CONFIDENCE and label
+        plain = re.sub(r"\(\?[!=].*\)$", "", regex)
+
+        @given(st.from_regex(re.compile(plain, re.ASCII), fullmatch=True))
+        @settings(max_examples=10, deadline=None, database=None, suppress_health_check=list(HealthCheck))
+        def holds(found):
+            assert keyword in found  # noqa: B023
+
+        holds()
 
 
 def _licences(text):
