@@ -1,30 +1,46 @@
 """Search for a better partition by batches of moves, merges, splits and swaps.
 
-Each operator ranks its moves by the gains of single units and proposes whole partitions (run_id, unit_id, cluster). All
-proposals of a batch are scored exactly in one job, and the best is accepted only if it raises the score by more than
-``TOLERANCE``; so the score never falls. A level counts as exhausted when no batch of it raises the score. Level 1 collects and splits single clusters, 2 works across all clusters, 3
-swaps two units. After a gain the search goes back to level 1; it ends when no level improves.
+Units stay packed (unit_id, cluster, at: places of their ones) and go by once for each question; a partition's model
+(``likelihood.Model``) goes to them, as centres do in k-means. What comes back are sums by cluster:
+
+1. ``pair_sums``: what units gain in every other cluster, summed by pair of clusters.
+2. Proposals. Clusters of at most ``EXACT`` cells are grown or emptied unit by unit in one task each, with gains taken
+   anew after each unit. Of larger ones, all units above a gain are moved; the gains come from histograms, no unit is
+   ranked. ``swaps`` finds the best exchange of each pair of clusters exactly, pruned by an upper bound.
+3. A proposal is known by the counts of what it moves, so its score is found from these alone, exactly. Proposals that
+   touch different clusters are accepted together if that scores better than the best of them.
+4. What is accepted is written, the model is counted anew from it, and the score must have risen by ``TOLERANCE``.
+
+A level counts as exhausted when no batch of it raises the score. Level 1 collects and splits single clusters, 2 works
+across all clusters, 3 swaps two units. After a gain the search goes back to level 1; it ends when no level improves.
 """
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass
-from functools import reduce
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from partita.operators import assign, model
-from partita.operators.counts import cluster_sizes, order_by_size
+from partita.operators import model
+from partita.operators.counts import order_by_size
 from partita.operators.encode import Dataset
-from partita.sources.scratch import written
+from partita.operators.likelihood import Model, other_logs, own_logs
+from partita.sources.scratch import Tables, written
 
 TOLERANCE = 1e-10
-#: Groups (clusters or pairs of them) of one operator whose proposals are scored at once; the next follow if none gains.
+#: Groups (targets, seeds or pairs of clusters) whose proposals are scored at once; the next follow if none gains.
 PROPOSALS = 8
-#: Units of either cluster of a pair that are tried in swaps.
-SWAPPED = 4
+#: Units times attributes of a cluster that one task takes whole.
+EXACT = 4_000_000
+#: Clusters times attributes of the model that goes to the tasks.
+CELLS = 1 << 26
+ROWS = 1024
+EVERY = -1
 
 
 @dataclass
@@ -38,195 +54,685 @@ class Result:
 
 
 @dataclass
-class _Position:
-    """A partition with what the operators rank moves by."""
-
-    data: Dataset
-    partition: DataFrame
-    sizes: DataFrame
-    states: DataFrame
-    own: DataFrame
-    gains: DataFrame
-    phi: DataFrame
-    k: int
-
+class Proposal:
+    """Units that go to ``target``: those named, or those above a gain. ``moved``: units and ones by source."""
 
-def _position(data: Dataset, partition: DataFrame, hyper: DataFrame, g: tuple[float, float, float]) -> _Position:
-    scores = written(model.state_scores(data, partition, hyper, g))
-    states = written(model.states(scores, model.classify_attributes(scores)))
-    rows = written(assign.effective(scores, states))
-    own = written(assign.unit_own_score(data, partition, rows))
-    gains = written(assign.move_gains(own, assign.unit_cluster_scores(data, rows)))
-    sizes = written(cluster_sizes(partition))
-    k = sizes.count()
-    phi = assign.merge_term(k, g, states) if k > 1 else sizes.select("cluster", F.lit(0.0).alias("phi"))
-    return _Position(data, partition, sizes, states, own, gains, phi, k)
+    target: int
+    moved: dict[int, tuple[int, np.ndarray]]
+    units: np.ndarray | None = None
+    rule: tuple[_Rule, Columns] | None = None
+    swap: tuple[int, int] | None = None
+    score: float = float("nan")
 
+    def changes(self, target: int) -> dict[int, tuple[int, np.ndarray]]:
+        out = {s: (-n, -n1) for s, (n, n1) in self.moved.items()}
+        if self.swap is None:
+            out[target] = (sum(n for n, _ in self.moved.values()), sum(n1 for _, n1 in self.moved.values()))
+        return out
 
-def _moved(at: _Position, moves: DataFrame) -> DataFrame:
-    """Whole partitions from moves (run_id, unit_id, target)."""
-    runs = moves.select("run_id").distinct()
-    every = runs.crossJoin(at.partition)
-    return every.join(moves, ["run_id", "unit_id"], "left").select("run_id", "unit_id", F.coalesce("target", "cluster").alias("cluster"))
-
-
-def _lengths(n: int) -> list[int]:
-    return sorted({min(n, 1 << p) for p in range(max(1, n).bit_length())} | {n}) if n else []
 
+@dataclass
+class _Rule:
+    """Units of ``source`` (or of every cluster) whose gain in a column is at least ``low``; ``stay`` are kept out."""
 
-def _part(groups: list, batch: int | None, size: int) -> list:
-    """The groups of a batch, or all."""
-    return groups if batch is None else groups[batch * size : (batch + 1) * size]
+    column: int
+    source: int
+    target: int
+    low: float
+    stay: tuple[int, ...] = ()
 
 
-def _batch(ranked: DataFrame, batch: int | None) -> DataFrame:
-    """The rows of a batch by run_id, from 1, or all."""
-    return ranked if batch is None else ranked.where(F.col("run_id").between(batch * PROPOSALS + 1, (batch + 1) * PROPOSALS))
+@dataclass
+class Columns:
+    """Places that units are weighed for: a sum for a unit without ones, and what each one adds."""
 
+    base: np.ndarray
+    more: np.ndarray
 
-def collect_from_cluster(at: _Position, batch: int | None = None, units: int = 0) -> DataFrame:
-    """For pairs of clusters: the units of one that gain most in the other, as far as gains add up; or all, a merge.
 
-    ``units`` > 0 fixes how many are moved.
+@dataclass
+class _Position:
+    """A partition: packed members, attribute ids in order, and the model."""
+
+    members: DataFrame
+    ids: np.ndarray
+    a: np.ndarray
+    b: np.ndarray
+    g: tuple[float, float, float]
+    model: Model
+    sums: dict = field(default_factory=dict)
+
+    def clusters(self) -> Columns:
+        base, more = self.model.other_weights()
+        return Columns(base, more)
+
+
+# Packed units
+
+
+def pack(data: Dataset, partition: DataFrame, ids: np.ndarray) -> DataFrame:
+    """unit_id, cluster (from 0) and the places of a unit's ones among ``ids``, in order."""
+    kept = data.ones.sparkSession.sparkContext.broadcast(ids)
+    gathered = data.ones.groupBy("unit_id").agg(F.array_sort(F.collect_list("attr_id")).alias("attrs"))
+    rows = partition.join(gathered, "unit_id", "left").select(F.col("unit_id").cast("long").alias("unit_id"), F.col("cluster").cast("int").alias("cluster"), F.coalesce("attrs", F.expr("cast(array() as array<int>)")).cast("array<long>").alias("attrs"))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            attrs = batch.column("attrs")
+            at = np.searchsorted(kept.value, attrs.flatten().to_numpy()).astype(np.int32)
+            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(attrs).to_numpy())]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("unit_id"), batch.column("cluster"), pa.ListArray.from_arrays(pa.array(ends), pa.array(at))], ["unit_id", "cluster", "at"])
+
+    return rows.mapInArrow(place, "unit_id long, cluster int, at array<int>")
+
+
+class _Units:
+    """Some packed units as arrays."""
+
+    def __init__(self, batch: pa.RecordBatch | pa.Table):
+        take = lambda c: (x.combine_chunks() if isinstance(x := batch.column(c), pa.ChunkedArray) else x)
+        self.ids, self.cluster, lists = take("unit_id").to_numpy(zero_copy_only=False), take("cluster").to_numpy(zero_copy_only=False), take("at")
+        self.flat = lists.flatten().to_numpy(zero_copy_only=False)
+        self.lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]]).astype(np.int64)
+        self.row = np.repeat(np.arange(len(self.ids)), self.lengths)
+
+    def summed(self, values: np.ndarray) -> np.ndarray:
+        """Sums over each unit's ones of a value (or row of values) for each one."""
+        out = np.zeros((len(self.ids), *values.shape[1:]))
+        some = self.lengths > 0
+        if some.any():
+            out[some] = np.add.reduceat(values, self.starts[some], axis=0)
+        return out
+
+    def gains(self, columns: Columns, own: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """What each unit gains in each column over its own cluster, rounded so that sums in any order agree."""
+        here = own[0][self.cluster] + self.summed(own[1][self.cluster[self.row], self.flat])
+        return np.round(columns.base + self.summed(columns.more.T[self.flat]) - here[:, None], 9)
+
+    def dense(self, m: int) -> np.ndarray:
+        y = np.zeros((len(self.ids), m))
+        y[self.row, self.flat] = 1
+        return y
+
+    def obey(self, rule: _Rule, gains: np.ndarray) -> np.ndarray:
+        there = (self.cluster != rule.target) & (gains[:, rule.column] >= rule.low)
+        if rule.source != EVERY:
+            there &= self.cluster == rule.source
+        return there & ~np.isin(self.ids, rule.stay) if rule.stay else there
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Units]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield _Units(batch.slice(at, ROWS))
+
+
+def _table(kinds: list[pa.DataType], names: list[str], rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [[] for _ in names]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names)
+
+
+def _counted(members: DataFrame, groups: Callable[[_Units], list[tuple[int, np.ndarray]]], m: int) -> dict[tuple[int, int], tuple[int, np.ndarray]]:
+    """Units and ones by group and cluster. ``groups`` gives (group, which units) for some units."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], np.ndarray] = {}
+        for units in _blocks(batches):
+            for group, which in groups(units):
+                for cluster in np.unique(units.cluster[which]):
+                    some = which & (units.cluster == cluster)
+                    counts = np.concatenate([np.bincount(units.flat[some[units.row]], minlength=m), [some.sum()]])
+                    key = (group, int(cluster))
+                    held[key] = held[key] + counts if key in held else counts
+        for (group, cluster), counts in held.items():
+            at = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), group, np.int32)), pa.array(np.full(len(at), cluster, np.int32)), pa.array(at.astype(np.int32)), pa.array(counts[at].astype(np.int64))], ["group", "cluster", "at", "n"])
+
+    sums = members.mapInArrow(run, "group int, cluster int, at int, n long").groupBy("group", "cluster", "at").agg(F.sum("n").alias("n")).toArrow()
+    out: dict[tuple[int, int], tuple[int, np.ndarray]] = {}
+    for group, cluster, at, n in zip(*(sums.column(c).to_pylist() for c in ("group", "cluster", "at", "n"))):
+        units, ones = out.get((group, cluster), (0, np.zeros(m, np.int64)))
+        if at < m:
+            ones[at] = n
+        out[group, cluster] = (n, ones) if at == m else (units, ones)
+    return out
+
+
+def model_of(members: DataFrame, a: np.ndarray, b: np.ndarray, g: tuple[float, float, float]) -> Model:
+    counts = _counted(members, lambda units: [(0, np.ones(len(units.ids), bool))], a.shape[1])
+    order = sorted(counts)
+    if [c for _, c in order] != list(range(len(order))):
+        raise ValueError("clusters are not numbered without gaps")
+    return Model(np.array([counts[key][0] for key in order]), np.array([counts[key][1] for key in order]).reshape(len(order), a.shape[1]), a, b, g)
+
+
+def position(data: Dataset, partition: DataFrame, hyper: DataFrame, g: tuple[float, float, float] = model.CLASS_PROBABILITIES, tables: Tables | None = None) -> _Position:
+    """The partition, its clusters numbered from 0 in their order, with its model."""
+    rows = sorted(hyper.collect(), key=lambda r: r.attr_id)  # a row for each attribute
+    ids = np.array([r.attr_id for r in rows], np.int64)
+    a, b = (np.array([[r[f"{x}{s}"] for r in rows] for s in range(1, 5)], float).reshape(4, len(rows)) for x in "ab")
+    compact = _compact(partition).select("unit_id", (F.col("cluster") - 1).alias("cluster"))
+    members = (tables or Tables()).written(pack(data, compact, ids))
+    made = model_of(members, a, b, g)
+    if made.k * made.m > CELLS:
+        raise ValueError(f"{made.k} clusters of {made.m} attributes are more than the {CELLS} cells that go to tasks")
+    return _Position(members, ids, a, b, g, made)
+
+
+# Questions to the units
+
+
+def pair_sums(at: _Position) -> list[tuple[int, int, int, float, float]]:
+    """source, target, units that gain, the sum of their gains, and the sum over all units of the source."""
+    columns, own, k = at.clusters(), at.model.own_weights(), at.model.k
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, gain, every = np.zeros((k, k), np.int64), np.zeros((k, k)), np.zeros((k, k))
+        for units in _blocks(batches):
+            gains = units.gains(columns, own)
+            np.add.at(n, units.cluster, gains > 0)
+            np.add.at(gain, units.cluster, np.maximum(gains, 0))
+            np.add.at(every, units.cluster, gains)
+        rows = [(s, t, int(n[s, t]), float(gain[s, t]), float(every[s, t])) for s in range(k) for t in range(k) if s != t and every[s].any()]
+        yield _table([pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.float64()], ["source", "target", "n", "gain", "every"], rows)
+
+    sums = at.members.mapInArrow(run, "source int, target int, n long, gain double, every double")
+    return [tuple(r) for r in sums.groupBy("source", "target").agg(F.sum("n"), F.sum("gain"), F.sum("every")).collect()]  # a row for each pair of clusters
+
+
+def _order_key(x: np.ndarray) -> np.ndarray:
+    """Whole numbers in the order of doubles: their highest 20 bits."""
+    bits = (x + 0.0).view(np.int64)
+    return np.where(bits < 0, ~bits | np.int64(-(2**63)), bits) >> 44
+
+
+def _low_edge(key: int) -> float:
+    bits = np.array([key], np.int64) << 44
+    return float(np.where(bits < 0, ~(bits & np.int64(2**63 - 1)), bits).view(np.float64)[0])
+
+
+def histograms(at: _Position, columns: Columns, asked: list[_Rule]) -> list[list[tuple[float, int]]]:
+    """For each rule the units it holds for, from the highest gain on: (least gain, how many have it or more)."""
+    own = at.model.own_weights()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], int] = {}
+        for units in _blocks(batches):
+            gains = units.gains(columns, own)
+            for i, rule in enumerate(asked):
+                keys, often = np.unique(_order_key(gains[units.obey(rule, gains), rule.column]), return_counts=True)
+                for key, n in zip(keys.tolist(), often.tolist()):
+                    held[i, key] = held.get((i, key), 0) + n
+        yield _table([pa.int32(), pa.int64(), pa.int64()], ["rule", "key", "n"], [(i, key, n) for (i, key), n in held.items()])
+
+    rows = at.members.mapInArrow(run, "rule int, key long, n long").groupBy("rule", "key").agg(F.sum("n").alias("n")).collect()  # as many as there are keys
+    out: list[list[tuple[float, int]]] = [[] for _ in asked]
+    for r in sorted(rows, key=lambda r: -r.key):
+        before = out[r.rule][-1][1] if out[r.rule] else 0
+        out[r.rule].append((_low_edge(r.key), before + r.n))
+    return out
+
+
+def _prefixes(steps: list[tuple[float, int]], most: int) -> list[float]:
+    """Least gains of the first 1, 2, 4, ... units, up to ``most``; units with nearly equal gains go together."""
+    out, wanted = [], 1
+    for low, n in steps:
+        if n > most:
+            break
+        if n >= wanted or n == most:
+            out.append(low)
+            while wanted <= n:
+                wanted *= 2
+    last = [low for low, n in steps if n <= most][-1:]
+    return out + [low for low in last if low not in out]
+
+
+def _by_rules(at: _Position, columns: Columns, rules: list[_Rule]) -> list[Proposal]:
+    if not rules:
+        return []
+    own = at.model.own_weights()
+
+    def groups(units: _Units) -> list[tuple[int, np.ndarray]]:
+        gains = units.gains(columns, own)
+        return [(i, which) for i, rule in enumerate(rules) if (which := units.obey(rule, gains)).any()]
+
+    counts = _counted(at.members, groups, at.model.m)
+    moved: dict[int, dict[int, tuple[int, np.ndarray]]] = {}
+    for (i, cluster), value in counts.items():
+        moved.setdefault(i, {})[cluster] = value
+    return [Proposal(rules[i].target, m, rule=(rules[i], columns)) for i, m in sorted(moved.items())]
+
+
+def _edges(at: _Position) -> list[tuple[int, int, float, list[int], int]]:
+    """cluster, worst fitting unit, its score, the places of its ones, best fitting unit; of clusters of two or more."""
+    own, several = at.model.own_weights(), at.model.n > 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worst: dict[int, tuple] = {}
+        best: dict[int, tuple] = {}
+        for units in _blocks(batches):
+            score = np.round(own[0][units.cluster] + units.summed(own[1][units.cluster[units.row], units.flat]), 9)
+            order = np.lexsort((units.ids, score))
+            for i in order[np.unique(units.cluster[order], return_index=True)[1]]:
+                c = int(units.cluster[i])
+                low = (float(score[i]), int(units.ids[i]), units.flat[units.starts[i] : units.starts[i] + units.lengths[i]].tolist())
+                worst[c] = min(worst.get(c, low), low)
+            order = np.lexsort((units.ids, -score))
+            for i in order[np.unique(units.cluster[order], return_index=True)[1]]:
+                c, high = int(units.cluster[i]), (-float(score[i]), int(units.ids[i]))
+                best[c] = min(best.get(c, high), high)
+        rows = [(c, *worst[c], *best[c]) for c in worst if several[c]]
+        yield _table([pa.int32(), pa.float64(), pa.int64(), pa.list_(pa.int32()), pa.float64(), pa.int64()], ["cluster", "low", "seed", "at", "high", "stay"], rows)
+
+    ends = at.members.mapInArrow(run, "cluster int, low double, seed long, at array<int>, high double, stay long")
+    least = ends.groupBy("cluster").agg(F.min(F.struct("low", "seed", "at")).alias("w"), F.min(F.struct("high", "stay")).alias("b"))
+    return sorted(((r.cluster, r.w.seed, r.w.low, r.w.at, r.b.stay) for r in least.collect()), key=lambda e: (e[2], e[1]))  # a row for each cluster
+
+
+# Clusters that one task takes whole
+
+
+def _grow(n: int, totals: Callable[[np.ndarray, list[int]], np.ndarray], last: float, least_left: int) -> tuple[float, list[int]]:
+    """Moves one unit after the other, always the one with the highest total, and gives the best total and its units.
+
+    ``last`` is added when none is left. It ends when a total below zero falls faster than it did a step before.
     """
-    ranked = Window.partitionBy("source", "target").orderBy(F.desc("gain"), "unit_id")
-    rows = at.gains.withColumn("rank", F.row_number().over(ranked)).withColumn("sum", F.sum("gain").over(ranked.rowsBetween(Window.unboundedPreceding, 0)))
-    sized = rows.join(at.sizes.select(F.col("cluster").alias("source"), "n"), "source").join(at.phi.withColumnRenamed("cluster", "source"), "source")
-    guess = F.col("sum") + F.when(F.col("rank") == F.col("n"), F.col("phi")).otherwise(0.0)
-    usable = sized.withColumn("guess", guess)
-    if units:
-        usable = usable.where(F.col("rank") == F.least(F.lit(units), F.col("n")))
-    best = usable.groupBy("source", "target").agg(F.max(F.struct("guess", (-F.col("rank")).alias("less"))).alias("b"))
-    named = _batch(best.select("source", "target", (-F.col("b.less")).alias("length"), F.row_number().over(Window.orderBy(F.desc("b.guess"), "source", "target")).alias("run_id")), batch)
-    return _moved(at, rows.join(named, ["source", "target"]).where(F.col("rank") <= F.col("length")).select("run_id", "unit_id", "target"))
-
-
-def _from_seeds(at: _Position, seeds: DataFrame, members: DataFrame) -> DataFrame:
-    """group, unit_id, rank: members (group, unit_id) of each seed's group from the nearest to the seed on."""
-    theirs = at.data.ones.join(seeds.select("group", F.col("seed").alias("unit_id")), "unit_id").select("group", "attr_id")
-    common = at.data.ones.join(members, "unit_id").join(theirs, ["group", "attr_id"]).groupBy("group", "unit_id").agg(F.count("*").alias("shared"))
-    size = at.data.ones.groupBy("unit_id").agg(F.count("*").alias("size"))
-    near = members.join(common, ["group", "unit_id"], "left").join(size, "unit_id", "left").join(seeds, "group")
-    share = F.coalesce(F.col("shared") / F.col("size"), F.lit(0.0))
-    order = Window.partitionBy("group").orderBy((F.col("unit_id") != F.col("seed")).cast("int"), F.desc(share), "unit_id")
-    return near.select("group", "unit_id", F.row_number().over(order).alias("rank"))
-
-
-def _prefixes(at: _Position, ranked: DataFrame, sizes: dict[int, int], target: int) -> DataFrame | None:
-    """Proposals that move the first 1, 2, 4, ... units of each group to one new cluster."""
-    spark = at.partition.sparkSession
-    plans = [(run, group, n) for run, (group, n) in enumerate([(g, n) for g, most in sorted(sizes.items()) for n in _lengths(most)], 1)]
-    if not plans:
+    left, order = np.ones(n, bool), []
+    best, size, before, fall = 0.0, 0, 0.0, -np.inf
+    while left.sum() > least_left:
+        values = np.where(left, totals(left, order), -np.inf)
+        i = int(values.argmax())
+        left[i] = False
+        order.append(i)
+        total = float(values[i]) + (last if not left.any() else 0.0)
+        if total > best + TOLERANCE:
+            best, size = total, len(order)
+        change = total - before
+        if total < 0 and change < 0 and change < fall:
+            break
+        before, fall = total, change
+    return best, order[:size]
+
+
+def _collected(y: np.ndarray, m: Model, k: int, t: int, merged: float) -> tuple[float, list[int]]:
+    """Units (rows of y) of cluster k that go to t."""
+    a, b = m.effective()
+    state = {"n": [int(m.n[k]), int(m.n[t])], "n1": [m.n1[k].copy(), m.n1[t].copy()], "sum": 0.0, "last": None}
+
+    def totals(left: np.ndarray, order: list[int]) -> np.ndarray:
+        if order:
+            state["sum"] += state["last"][order[-1]]
+            state["n"] = [state["n"][0] - 1, state["n"][1] + 1]
+            state["n1"] = [state["n1"][0] - y[order[-1]], state["n1"][1] + y[order[-1]]]
+        stay, come = own_logs(a[k], b[k], state["n"][0], state["n1"][0]), other_logs(a[t], b[t], state["n"][1], state["n1"][1])
+        state["last"] = come[0].sum() - stay[0].sum() + y @ (come[1] - come[0] - stay[1] + stay[0])
+        return state["sum"] + state["last"]
+
+    return _grow(len(y), totals, merged, 0)
+
+
+def _split(y: np.ndarray, m: Model, k: int) -> tuple[float, list[int]]:
+    """Units of cluster k that make a new cluster, whose states are chosen anew with each unit."""
+    a, b = m.effective()
+    constant = m.split_constant()
+    state = {"n": int(m.n[k]), "n1": m.n1[k].copy(), "new": np.zeros(m.m), "gone": 0.0, "last": None}
+
+    def totals(left: np.ndarray, order: list[int]) -> np.ndarray:
+        if order:
+            state["gone"] = state["last"][order[-1]]
+            state["n"], state["n1"], state["new"] = state["n"] - 1, state["n1"] - y[order[-1]], state["new"] + y[order[-1]]
+        stay = own_logs(a[k], b[k], state["n"], state["n1"])
+        state["last"] = state["gone"] + stay[0].sum() + y @ (stay[1] - stay[0])
+        size = len(order) + 1
+        without, with_one = m.new_values(size, state["new"]), m.new_values(size, state["new"] + 1)
+        return constant + without.sum() + y @ (with_one - without) - state["last"]
+
+    return _grow(len(y), totals, 0.0, 1)
+
+
+def _whole_clusters(at: _Position, targets: dict[int, list[int]], splits: set[int]) -> list[Proposal]:
+    """Exact proposals of small clusters: units for each of their targets, and for a new cluster."""
+    wanted = sorted(set(targets) | splits)
+    if not wanted:
+        return []
+    shared = at.members.sparkSession.sparkContext.broadcast((at.model, at.model.merge_constants()))
+
+    def run(table: pa.Table) -> pa.Table:
+        m, merged = shared.value
+        order = pc.sort_indices(table.column("unit_id"))
+        units = _Units(table.take(order))
+        k, y, rows = int(units.cluster[0]), units.dense(m.m), []
+        for t in [*targets.get(k, []), *([m.k] if k in splits else [])]:
+            gain, chosen = _split(y, m, k) if t == m.k else _collected(y, m, k, t, merged[k])
+            if chosen:
+                rows.append((k, t, gain, units.ids[chosen].tolist(), y[chosen].sum(0).astype(np.int64).tolist()))
+        return pa.Table.from_batches([_table([pa.int32(), pa.int32(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64())], ["source", "target", "gain", "units", "ones"], rows)])
+
+    some = at.members.where(F.col("cluster").isin(wanted))
+    found = some.groupBy("cluster").applyInArrow(run, "source int, target int, gain double, units array<long>, ones array<long>").collect()
+    return [Proposal(r.target, {r.source: (len(r.units), np.array(r.ones, np.int64))}, units=np.array(r.units, np.int64)) for r in sorted(found, key=lambda r: (r.source, r.target))]
+
+
+# Operators: the proposals of a batch, or None if there is no such batch
+
+
+def _small(at: _Position, k: int) -> bool:
+    return int(at.model.n[k]) * at.model.m <= EXACT
+
+
+def _cut(groups: list, batch: int | None) -> list | None:
+    if batch is None:
+        return groups or None
+    return groups[batch * PROPOSALS : (batch + 1) * PROPOSALS] or None
+
+
+def collect_from_cluster(at: _Position, batch: int | None = None) -> list[Proposal] | None:
+    """Units of one cluster that go to another, or all of them, a merge; for each pair, the likeliest first."""
+    if "pairs" not in at.sums:
+        merged, pairs = at.model.merge_constants(), {}
+        for s, t, n, gain, every in pair_sums(at):
+            pairs.setdefault(s, []).append((max(gain, every + merged[s]), n, t))
+        at.sums["pairs"] = {s: sorted(v, key=lambda x: (-x[0], x[2])) for s, v in pairs.items()}
+    per = max(1, PROPOSALS // 2)  # targets of every source at once
+    some = {s: v if batch is None else v[batch * per : (batch + 1) * per] for s, v in at.sums["pairs"].items()}
+    if not any(some.values()):
+        return None
+    exact = _whole_clusters(at, {s: [t for _, _, t in v] for s, v in some.items() if v and _small(at, s)}, set())
+    large = [(s, t, n) for s, v in some.items() if not _small(at, s) for _, n, t in v]
+    return exact + _thresholds(at, at.clusters(), [_Rule(t, s, t, 0.0) for s, t, n in large if n], [_Rule(t, s, t, -np.inf) for s, t, _ in large])
+
+
+def _thresholds(at: _Position, columns: Columns, rules: list[_Rule], more: list[_Rule] | None = None, most: Callable[[_Rule], int] | None = None) -> list[Proposal]:
+    """Proposals of growing sizes from each rule, and those of the rules in ``more`` as they are."""
+    sized = []
+    for rule, steps in zip(rules, histograms(at, columns, rules) if rules else []):
+        for low in _prefixes(steps, most(rule) if most else steps[-1][1] if steps else 0):
+            sized.append(_Rule(rule.column, rule.source, rule.target, max(low, np.nextafter(0, 1)) if rule.low == 0 else low, rule.stay))
+    return _by_rules(at, columns, sized + (more or []))
+
+
+def _seeds(at: _Position, some: list[tuple]) -> Columns:
+    """A column for each seed: what a unit adds to a new cluster of that seed and itself."""
+    m, base, more = at.model, [], []
+    for _, _, low, ones, _ in some:
+        y = np.zeros(m.m)
+        y[ones] = 1
+        without, with_one = m.new_values(2, y), m.new_values(2, y + 1)
+        base.append(m.split_constant() + without.sum() - low)
+        more.append(with_one - without)
+    return Columns(np.array(base), np.array(more).reshape(len(some), m.m))
+
+
+def split_cluster(at: _Position, batch: int | None = None) -> list[Proposal] | None:
+    """A new cluster out of one: exact where it is small, else those nearest to its worst fitting unit, in prefixes."""
+    order = sorted(np.flatnonzero(at.model.n > 1).tolist(), key=lambda k: (-at.model.n[k], k))
+    some = order if batch is None else _cut(order, batch)
+    if not some:
         return None
-    runs = spark.createDataFrame(plans, "run_id int, group int, length int")
-    return _moved(at, ranked.join(runs, "group").where(F.col("rank") <= F.col("length")).select("run_id", "unit_id", F.lit(target).alias("target")))
+    exact = _whole_clusters(at, {}, {k for k in some if _small(at, k)})
+    large = {k for k in some if not _small(at, k)}
+    if not large:
+        return exact
+    edges = [e for e in _edges(at) if e[0] in large]
+    rules = [_Rule(i, e[0], at.model.k, -np.inf, (e[4],)) for i, e in enumerate(edges)]
+    return exact + _thresholds(at, _seeds(at, edges), rules, most=lambda r: int(at.model.n[r.source]) // 2)
+
+
+def collect_from_all(at: _Position, batch: int | None = None) -> list[Proposal] | None:
+    """Units of any other cluster that gain in one, in prefixes by gain; the clusters that gain most first."""
+    if "pairs" not in at.sums:
+        collect_from_cluster(at, 1 << 30)
+    gaining: dict[int, int] = {}
+    for v in at.sums["pairs"].values():
+        for _, n, t in v:
+            gaining[t] = gaining.get(t, 0) + n
+    some = _cut([t for t, n in sorted(gaining.items(), key=lambda x: (-x[1], x[0])) if n], batch)
+    if not some:
+        return None
+    return _thresholds(at, at.clusters(), [_Rule(t, EVERY, t, 0.0) for t in some])
+
 
+def create_from_all(at: _Position, batch: int | None = None) -> list[Proposal] | None:
+    """A new cluster from units of any cluster: those that add most to one of the worst fitting units; a cluster's best
+    fitting unit stays, so none is emptied."""
+    if "edges" not in at.sums:
+        at.sums["edges"] = _edges(at)
+    edges = at.sums["edges"]
+    some = _cut(edges, batch)
+    if not some:
+        return None
+    stay = tuple(e[4] for e in edges)
+    rules = [_Rule(i, EVERY, at.model.k, -np.inf, stay + tuple(int(u) for u in _singletons(at))) for i in range(len(some))]
+    return _thresholds(at, _seeds(at, some), rules, most=lambda r: int(at.model.n.sum()) // 2)
+
+
+def _singletons(at: _Position) -> list[int]:
+    alone = np.flatnonzero(at.model.n == 1).tolist()
+    if not alone:
+        return []
+    if "alone" not in at.sums:
+        at.sums["alone"] = [r.unit_id for r in at.members.where(F.col("cluster").isin(alone)).select("unit_id").collect()]
+    return at.sums["alone"]
+
+
+def _swap_logs(m: Model) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray, np.ndarray]:
+    """For clusters that one member leaves: weights of a unit that comes, if the member has no one; what each one of the
+    member changes them by; and what each one that both have takes off again (never above zero)."""
+    a, b = m.effective()
+    n, n1 = m.n[:, None], m.n1
+    rest = np.log(a + b + n - 1)
+    without, with_one = np.log(np.where(n1 < n, b + n - 1 - n1, 1.0)), np.log(a + n1)
+    left_without, left_with = np.log(b + n - n1), np.log(np.where(n1 > 0, a + n1 - 1, 1.0))
+    d0, d1 = np.where(n1 > 0, left_without - without, 0.0), np.where(n1 > 0, left_with - with_one, 0.0)
+    return ((without - rest).sum(1), with_one - without), d0, d1 - d0
+
+
+def _exchanged(first: tuple[_Units, np.ndarray], second: tuple[_Units, np.ndarray], shared: tuple[np.ndarray, np.ndarray]) -> tuple[float, int, int]:
+    """The best exchange between two lots of units with their bounds: those with high bounds first, until none is left
+    that could do better."""
+    (u, bu), (w, bw) = first, second
+    m = len(shared[0])
+    both, best = shared[0] + shared[1], (-np.inf, 0, 0)
+    yu, yw = u.dense(m), w.dense(m)
+    right = np.lexsort((w.ids, -bw))
+    for i in np.lexsort((u.ids, -bu)):
+        bound = bu[i] + bw[right]
+        some = right[bound > best[0] + TOLERANCE]
+        if not len(some):
+            break
+        gain = np.round(bu[i] + bw[some] + yw[some] @ (yu[i] * both), 9)
+        j = int(np.lexsort((w.ids[some], -gain))[0])
+        if gain[j] > best[0]:
+            best = (float(gain[j]), i, int(some[j]))
+    return best
 
-def _largest(at: _Position, batch: int | None) -> dict[int, int]:
-    """Sizes of the clusters of a batch that are tried for a split, the largest first."""
-    return {r.cluster: r.n for r in _part(at.sizes.where("n > 1").orderBy(F.desc("n"), "cluster").collect(), batch, PROPOSALS)}
 
+def swaps(at: _Position, pairs: list[tuple[int, int]] | None = None) -> list[tuple[float, int, int, int, int, list[int], list[int]]]:
+    """gain, source, unit, target, other and the ones of both, for each pair of clusters (source < target): the exchange
+    that gains most with states held, of those that gain.
 
-def split_cluster(at: _Position, batch: int | None = None, units: int = 0) -> DataFrame | None:
-    """New clusters out of one cluster each: its worst fitting unit with those nearest to it."""
-    sizes = _largest(at, batch)
-    if not sizes:
+    A unit's bound is what it gains, less its own score, if the other has no one in common with it. A unit takes part
+    only if its bound and the highest of the other cluster are above zero together; what is left meets in blocks.
+    """
+    m = at.model
+    own, (come, d0, drop) = m.own_weights(), _swap_logs(m)
+    several = [(k, w) for k in range(m.k) for w in range(k + 1, m.k)] if pairs is None else pairs
+    apart = {p for k, w in several for p in ((k, w), (w, k))}
+    if not apart:
+        return []
+
+    def bounds(units: _Units) -> np.ndarray:
+        here = own[0][units.cluster] + units.summed(own[1][units.cluster[units.row], units.flat])
+        leaves = units.summed(d0[units.cluster[units.row], units.flat])
+        return come[0] + units.summed(come[1].T[units.flat]) - here[:, None] + leaves[:, None]
+
+    def highest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top = np.full((m.k, m.k), -np.inf)
+        for units in _blocks(batches):
+            np.maximum.at(top, units.cluster, bounds(units))
+        rows = [(s, t, float(top[s, t])) for s, t in sorted(apart) if top[s, t] > -np.inf]
+        yield _table([pa.int32(), pa.int32(), pa.float64()], ["source", "target", "top"], rows)
+
+    tops = {(r.source, r.target): r.top for r in at.members.mapInArrow(highest, "source int, target int, top double").groupBy("source", "target").agg(F.max("top").alias("top")).collect()}
+    live = sorted(p for p in apart if p in tops and p[::-1] in tops and tops[p] + tops[p[::-1]] > TOLERANCE)
+    if not live:
+        return []
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for units in _blocks(batches):
+            bound, rows = bounds(units), []
+            for s, t in live:
+                for i in np.flatnonzero((units.cluster == s) & (bound[:, t] + tops[t, s] > TOLERANCE)):
+                    rows.append((s, t, int(units.ids[i]), s, float(bound[i, t]), units.flat[units.starts[i] : units.starts[i] + units.lengths[i]].tolist()))
+            yield _table([pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.float64(), pa.list_(pa.int32())], ["source", "target", "unit_id", "cluster", "bound", "at"], rows)
+
+    some = written(at.members.mapInArrow(candidates, "source int, target int, unit_id long, cluster int, bound double, at array<int>"))
+    held = {(r.source, r.target): r["count"] for r in some.groupBy("source", "target").count().collect()}
+    block = max(1, EXACT // max(1, m.m))
+    blocks = {p: -(-n // block) for p, n in held.items()}
+    of = lambda turned: F.coalesce(*[F.when((F.col("source") == s) & (F.col("target") == t), blocks.get((t, s) if turned else (s, t), 1)) for s, t in live])
+    dealt = some.withColumn("own", F.pmod(F.xxhash64("unit_id"), of(False)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), of(True) - 1)))
+    left = dealt.where("source < target").select(F.col("source").alias("k"), F.col("target").alias("w"), F.col("own").alias("p"), F.col("other").alias("q"), "unit_id", "cluster", "bound", "at")
+    right = dealt.where("source > target").select(F.col("target").alias("k"), F.col("source").alias("w"), F.col("other").alias("p"), F.col("own").alias("q"), "unit_id", "cluster", "bound", "at")
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        rows = []
+        if a.num_rows and b.num_rows:
+            u, w = _Units(a), _Units(b)
+            k, t = int(u.cluster[0]), int(w.cluster[0])
+            gain, i, j = _exchanged((u, a.column("bound").to_numpy()), (w, b.column("bound").to_numpy()), (drop[k], drop[t]))
+            if gain > TOLERANCE:
+                ones = lambda x, i: x.flat[x.starts[i] : x.starts[i] + x.lengths[i]].tolist()
+                rows.append((k, t, gain, int(u.ids[i]), int(w.ids[j]), ones(u, i), ones(w, j)))
+        kinds = [pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+        return pa.Table.from_batches([_table(kinds, ["k", "w", "gain", "unit_id", "other", "ones", "others"], rows)])
+
+    schema = "k int, w int, gain double, unit_id long, other long, ones array<int>, others array<int>"
+    found = left.groupBy("k", "w", "p", "q").cogroup(right.groupBy("k", "w", "p", "q")).applyInArrow(meet, schema)
+    best = found.groupBy("k", "w").agg(F.min(F.struct((-F.col("gain")).alias("loss"), "unit_id", "other", "ones", "others")).alias("b")).collect()
+    return sorted(((-r.b.loss, r.k, r.b.unit_id, r.w, r.b.other, r.b.ones, r.b.others) for r in best), key=lambda x: (-x[0], x[1], x[3]))
+
+
+def swap_units(at: _Position, batch: int | None = None) -> list[Proposal] | None:
+    """The best exchange of each pair of clusters."""
+    if batch:
         return None
-    inside = at.own.where(F.col("cluster").isin(list(sizes)))
-    seeds = inside.groupBy(F.col("cluster").alias("group")).agg(F.min(F.struct("own", "unit_id")).alias("m")).select("group", F.col("m.unit_id").alias("seed"))
-    ranked = written(_from_seeds(at, seeds, inside.select(F.col("cluster").alias("group"), "unit_id")))
-    return _prefixes(at, ranked, {g: min(units, n - 1) if units else n - 1 for g, n in sizes.items()}, at.k + 1)
+    out = []
+    for _, k, unit, w, other, ones, others in swaps(at):
+        change = np.bincount(ones, minlength=at.model.m) - np.bincount(others, minlength=at.model.m)
+        out.append(Proposal(w, {k: (0, change), w: (0, -change)}, units=np.array([unit, other]), swap=(k, w)))
+    return out or None
 
 
-def collect_from_all(at: _Position, batch: int | None = None) -> DataFrame | None:
-    """For each cluster that gains, from the one that gains most: units of any other cluster, by gain, in prefixes."""
-    gaining = at.gains.where(F.col("gain") > 0).groupBy("target").agg(F.sum("gain").alias("t"), F.count("*").alias("n")).orderBy(F.desc("t"), "target").collect()
-    best = _part(gaining, batch, PROPOSALS // 2)
-    if not best:
-        return None
-    plans = [(run, t, n) for run, (t, n) in enumerate([(r.target, n) for r in best for n in _lengths(r.n)], 1)]
-    runs = at.partition.sparkSession.createDataFrame(plans, "run_id int, target int, length int")
-    order = Window.partitionBy("target").orderBy(F.desc("gain"), "unit_id")
-    chosen = at.gains.where(F.col("target").isin([r.target for r in best])).withColumn("rank", F.row_number().over(order))
-    return _moved(at, chosen.join(runs, "target").where(F.col("rank") <= F.col("length")).select("run_id", "unit_id", "target"))
+LEVELS = ((collect_from_cluster, split_cluster), (collect_from_all, create_from_all), (swap_units,))
 
 
-def create_from_all(at: _Position, batch: int | None = None) -> DataFrame | None:
-    """A new cluster from units of any cluster: the worst fitting unit with those nearest to it, no cluster emptied."""
-    if batch:
-        return None
-    several = at.own.join(at.sizes.where("n > 1"), "cluster")
-    seed = several.orderBy("own", "unit_id").limit(1).first()
-    if seed is None:
-        return None
-    stays = several.groupBy("cluster").agg(F.max(F.struct("own", (-F.col("unit_id")).alias("u"))).alias("m")).select((-F.col("m.u")).alias("unit_id"))
-    members = several.join(stays.where(F.col("unit_id") != seed.unit_id), "unit_id", "left_anti").select(F.lit(1).alias("group"), "unit_id")
-    seeds = at.partition.sparkSession.createDataFrame([(1, seed.unit_id)], "group int, seed long")
-    ranked = written(_from_seeds(at, seeds, members))
-    return _prefixes(at, ranked, {1: max(0, members.count() // 2)}, at.k + 1)
+# The search
 
 
-def swap_units(at: _Position, batch: int | None = None) -> DataFrame:
-    """Exchanges of each of the ``SWAPPED`` best units of an ordered pair of clusters with each of the turned pair."""
-    ranked = Window.partitionBy("source", "target").orderBy(F.desc("gain"), "unit_id")
-    best = at.gains.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= SWAPPED).select("source", "target", "unit_id", "gain")
-    turned = best.select(F.col("target").alias("source"), F.col("source").alias("target"), F.col("unit_id").alias("other"), F.col("gain").alias("more"))
-    both = best.where(F.col("source") < F.col("target")).join(turned, ["source", "target"]).withColumn("sum", F.col("gain") + F.col("more"))
-    named = _batch(both.withColumn("run_id", F.row_number().over(Window.orderBy(F.desc("sum"), "source", "target", "unit_id", "other"))), batch)
-    moves = named.select("run_id", "unit_id", "target").union(named.select("run_id", F.col("other").alias("unit_id"), F.col("source").alias("target")))
-    return _moved(at, moves)
+def scored(at: _Position, proposals: list[Proposal], most: int | None = None) -> list[Proposal]:
+    """The proposals with their scores, the best first; without those that would make too many clusters."""
+    out = []
+    for p in proposals:
+        p.score, k = at.model.rescored(p.changes(p.target))
+        if most is None or k <= max(most, at.model.k):
+            out.append(p)
+    return sorted(out, key=lambda p: -p.score if p.score == p.score else np.inf)
 
 
-LEVELS = ((collect_from_cluster, split_cluster), (collect_from_all, create_from_all), (swap_units,))
+def _together(at: _Position, ranked: list[Proposal], score: float, most: int | None) -> tuple[float, list[tuple[int, Proposal]]]:
+    """The best proposal, or the best number of the first that touch different clusters, with their targets."""
+    touched: set[int] = set()
+    changes: dict[int, tuple[int, np.ndarray]] = {}
+    new, chosen, best = at.model.k, [], (ranked[0].score, [(ranked[0].target, ranked[0])])
+    for p in ranked:
+        if not p.score > score + TOLERANCE:
+            break
+        own = set(p.moved) | ({p.target} if p.target < at.model.k else set())
+        if own & touched:
+            continue
+        target = new if p.target >= at.model.k else p.target
+        more = changes | p.changes(target)
+        value, k = at.model.rescored(more)
+        if most is not None and k > max(most, at.model.k):
+            continue
+        touched, changes, chosen, new = touched | own, more, [*chosen, (target, p)], new + (target == new)
+        if value > best[0] + TOLERANCE:
+            best = (value, list(chosen))
+    return best
+
+
+def _applied(at: _Position, chosen: list[tuple[int, Proposal]]) -> DataFrame:
+    """Members after the proposals, clusters numbered without gaps in their order."""
+    left = {c: n for c, n in enumerate(at.model.n.tolist())}
+    for target, p in chosen:
+        for c, (n, _) in p.changes(target).items():
+            left[c] = left.get(c, 0) + n
+    number = np.full(max(left) + 1, -1, np.int32)
+    kept = [c for c in sorted(left) if left[c] > 0]
+    number[kept] = np.arange(len(kept))
+    own = at.model.own_weights()
+    ruled = [(target, *p.rule) for target, p in chosen if p.rule is not None]
+    named = sorted((int(u), (p.swap[1 - i] if p.swap else target)) for target, p in chosen if p.units is not None for i, u in enumerate(p.units))
+    ids, to = np.array([u for u, _ in named], np.int64), np.array([t for _, t in named], np.int32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                units = _Units(part)
+                cluster = units.cluster.copy()
+                for target, rule, columns in ruled:
+                    cluster[units.obey(rule, units.gains(columns, own))] = target
+                if len(ids):
+                    place = np.minimum(np.searchsorted(ids, units.ids), len(ids) - 1)
+                    cluster = np.where(ids[place] == units.ids, to[place], cluster)
+                yield pa.RecordBatch.from_arrays([part.column("unit_id"), pa.array(number[cluster], pa.int32()), part.column("at")], ["unit_id", "cluster", "at"])
+
+    return at.members.mapInArrow(run, "unit_id long, cluster int, at array<int>")
+
+
+def improved(at: _Position, level: int, most: int | None = None) -> list[tuple[int, Proposal]] | None:
+    """What the first batch of a level that raises the score proposes; None once no operator has a further batch."""
+    score, batch = at.model.score(), 0
+    operators = [f for f in LEVELS[level] if at.model.k > 1 or f in (split_cluster, create_from_all)]
+    while operators:
+        made = [(f, p) for f in operators if (p := f(at, batch)) is not None]
+        operators = [f for f, _ in made]
+        ranked = scored(at, [x for _, p in made for x in p], most)
+        if ranked and ranked[0].score > score + TOLERANCE:
+            return _together(at, ranked, score, most)[1]
+        batch += 1
+    return None
 
 
-def search(data: Dataset, init: DataFrame, hyper: DataFrame, g: tuple[float, float, float] = model.CLASS_PROBABILITIES, *, max_clusters: int | None = None, max_rounds: int = 50, keep: str | None = None) -> Result:
+def search(data: Dataset, init: DataFrame, hyper: DataFrame, g: tuple[float, float, float] = model.CLASS_PROBABILITIES, *, max_clusters: int | None = None, max_rounds: int | None = None, keep: str | None = None) -> Result:
     """The partition that the search ends with, clusters numbered from the largest.
 
-    ``keep`` names a folder to which every accepted round is written; ``resume`` reads the last of them.
+    It ends by itself when no level improves, or after ``max_rounds``. ``keep`` names a folder to which every accepted
+    round is written; ``resume`` reads the last of them.
     """
-    partition = written(_compact(init))
-    score = model.score_partition(data, partition, hyper, g).first().score
-    history, level = [score], 0
-    for _ in range(max_rounds):
-        at = _position(data, partition, hyper, g)
-        accepted = False
-        while not accepted and level < len(LEVELS):
-            best = _best_proposal(at, level, hyper, g, max_clusters, score)
-            if best is not None:
-                score, partition, accepted = best[0], written(_compact(best[1])), True
-                history.append(score)
-            else:
-                level += 1
-        if not accepted:
-            break
+    tables = Tables()
+    at = position(data, init, hyper, g, tables)
+    history, level = [at.model.score()], 0
+    while level < len(LEVELS) and (max_rounds is None or len(history) <= max_rounds):
+        chosen = improved(at, level, max_clusters)
+        if chosen is None:
+            level += 1
+            continue
+        members = tables.written(_applied(at, chosen))
+        at = _Position(members, at.ids, at.a, at.b, g, model_of(members, at.a, at.b, g))
+        if not at.model.score() > history[-1]:
+            raise RuntimeError("a round that was accepted did not raise the score")
+        history.append(at.model.score())
         level = 0
         if keep:
-            partition.withColumn("round", F.lit(len(history) - 1)).write.mode("append").parquet(keep)
-    partition = written(order_by_size(partition))
+            members.select("unit_id", (F.col("cluster") + 1).alias("cluster"), F.lit(len(history) - 1).alias("round")).write.mode("append").parquet(keep)
+    partition = written(order_by_size(at.members.select("unit_id", (F.col("cluster") + 1).alias("cluster"))))
+    tables.drop()
     scores = model.state_scores(data, partition, hyper, g)
-    return Result(partition, score, model.states(scores, model.classify_attributes(scores)), history)
-
-
-def _best_proposal(at: _Position, level: int, hyper: DataFrame, g: tuple[float, float, float], most: int | None, score: float) -> tuple[float, DataFrame] | None:
-    """The best proposal of the first batch that has one above ``score``; None once no operator has further ones."""
-    operators = [(k, f) for k, f in enumerate(LEVELS[level]) if at.k > 1 or f not in (collect_from_cluster, collect_from_all, swap_units)]
-    batch = 0
-    while operators:
-        made = [(k, f, p) for k, f in operators if (p := f(at, batch)) is not None]
-        if not made:
-            return None
-        proposals = written(reduce(DataFrame.unionByName, [p.withColumn("run_id", F.col("run_id") * 10 + k) for k, _, p in made]))
-        left = {r.k for r in proposals.select((F.col("run_id") % 10).alias("k")).distinct().collect()}
-        operators = [(k, f) for k, f, _ in made if k in left]
-        if most is not None:
-            fit = proposals.groupBy("run_id").agg(F.count_distinct("cluster").alias("k")).where(F.col("k") <= max(most, at.k)).select("run_id")
-            proposals = proposals.join(fit, "run_id", "left_semi")
-        best = model.best_of(model.score_many(at.data, proposals, hyper, g)).first() if operators else None
-        if best is not None and best.score is not None and not math.isnan(best.score) and best.score > score + TOLERANCE:
-            return best.score, proposals.where(F.col("run_id") == best.run_id).select("unit_id", "cluster")
-        batch += 1
-    return None
+    return Result(partition, history[-1], model.states(scores, model.classify_attributes(scores)), history)
 
 
 def _compact(partition: DataFrame) -> DataFrame:

@@ -324,14 +324,15 @@ def initial_partition_customer(spark: SparkSession, d: str) -> DataFrame:
 
 def _at(spark: SparkSession, d: str, name: str) -> search._Position:
     data = dataset(spark, d, name)
-    data = Dataset(*[written(x) for x in (data.units, data.sites, data.attributes, data.ones)])
-    return search._position(data, written(partition(spark, d, name)), written(model.default_hyper(data)), model.CLASS_PROBABILITIES)
+    return search.position(data, partition(spark, d, name), model.default_hyper(data))
 
 
 def _proposed(operator):
     def run(spark: SparkSession, d: str) -> DataFrame:
+        """What an operator proposes from the languages, with the scores of the proposals."""
         at = _at(spark, d, "documents")
-        return operator(at).groupBy("run_id", "cluster").agg(F.count("*").alias("n"))
+        rows = [(p.target + 1, s + 1, int(n), p.score) for p in search.scored(at, operator(at) or []) for s, (n, _) in sorted(p.moved.items())]
+        return spark.createDataFrame(rows, "target int, source int, n long, score double").withColumn("score", _round("score", 3))
 
     return run
 
@@ -340,12 +341,21 @@ for _operator in (search.collect_from_cluster, search.split_cluster, search.coll
     _query(f"propose_{_operator.__name__}")(_proposed(_operator))
 
 
+@_query("move_sums_documents", f"""{model_sql('documents')} SELECT source, target, count(*) FILTER (round(gain, 9) > 0) AS n, round(coalesce(sum(gain) FILTER (gain > 0), 0), 4) AS gain, round(sum(gain), 4) AS "every"
+FROM (SELECT source::INTEGER AS source, target::INTEGER AS target, gain FROM gains) GROUP BY source, target""")
+def move_sums_documents(spark: SparkSession, d: str) -> DataFrame:
+    """For each pair of clusters: units that gain, what they gain, and what a move of all would."""
+    rows = [(s + 1, t + 1, n, gain, every) for s, t, n, gain, every in search.pair_sums(_at(spark, d, "documents"))]
+    made = spark.createDataFrame(rows, 'source int, target int, n long, gain double, every double')
+    return made.select("source", "target", "n", _round("gain", 4).alias("gain"), _round("every", 4).alias("every"))
+
+
 @_query("search_documents")
 def search_documents(spark: SparkSession, d: str) -> DataFrame:
     """Units and scores of the clusters that a search from the languages ends with."""
-    at = _at(spark, d, "documents")
-    hyper = written(model.default_hyper(at.data))
-    found = search.search(at.data, at.partition, hyper)
+    data = dataset(spark, d, "documents")
+    hyper = written(model.default_hyper(data))
+    found = search.search(data, partition(spark, d, "documents"), hyper)
     return counts.cluster_sizes(found.partition).withColumn("score", _round(F.lit(found.score), 3)).withColumn("rounds", F.lit(len(found.history) - 1))
 
 

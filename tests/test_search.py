@@ -1,22 +1,146 @@
+import math
+import os
+from functools import reduce
+
 import numpy as np
+import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from test_model import _planted
 
-from partita.operators import cocluster, distance, model, search
-from partita.sources.scratch import written
+from partita.operators import assign, cocluster, distance, model, search
+from partita.sources.scratch import Tables, written
 from partita.sources.tables import from_table
 from partita.streaming import profile
 
 
-def test_search_never_lowers_the_score_and_finds_planted_clusters(spark, tmp_path):
+@pytest.mark.parametrize("exact", [4_000_000, 0])  # 0: every cluster counts as large, gains come from histograms
+def test_search_never_lowers_the_score_and_finds_planted_clusters(spark, tmp_path, monkeypatch, exact):
+    monkeypatch.setattr(search, "EXACT", exact)
     data, truth = _planted(spark, 45, 10)
     hyper = written(model.default_hyper(data))
     start = written(truth.select("unit_id", F.when(F.col("unit_id") % 15 == 0, F.col("cluster") % 3 + 1).otherwise(F.col("cluster")).alias("cluster")))
-    found = search.search(data, start, hyper, max_rounds=4, keep=str(tmp_path / "rounds"))
+    found = search.search(data, start, hyper, keep=str(tmp_path / "rounds"))
     assert all(b > a for a, b in zip(found.history, found.history[1:], strict=False)) and len(found.history) > 1
+    assert found.score >= model.score_partition(data, truth, hyper).first().score - 1e-9
     again = model.score_partition(data, found.partition, hyper).first().score
     assert abs(again - found.score) < 1e-6
-    assert search.resume(spark, str(tmp_path / "rounds")).count() == 45
+    last = search.resume(spark, str(tmp_path / "rounds"))
+    assert last.count() == 45 and abs(model.score_partition(data, last, hyper).first().score - found.score) < 1e-6
+
+
+def _start(spark, n=45):
+    data, truth = _planted(spark, n, 6)
+    hyper = written(model.default_hyper(data))
+    part = written(truth.select("unit_id", F.when(F.col("unit_id") % 9 < 2, 4).when(F.col("unit_id") == n - 1, 5).otherwise(F.col("cluster")).alias("cluster")))
+    return data, hyper, part, search.position(data, part, hyper)
+
+
+@pytest.mark.parametrize("exact", [4_000_000, 0])
+def test_scores_of_proposals_equal_those_of_whole_partitions(spark, monkeypatch, exact):
+    monkeypatch.setattr(search, "EXACT", exact)
+    data, hyper, part, at = _start(spark)
+    assert abs(at.model.score() - model.score_partition(data, part, hyper).first().score) < 1e-9
+    scores = model.state_scores(data, part, hyper)
+    for r in model.states(scores, model.classify_attributes(scores)).collect():
+        assert at.model.states()[r.cluster - 1, np.searchsorted(at.ids, r.attr_id)] == r.state
+    for level in search.LEVELS:
+        proposals = search.scored(at, [p for f in level for p in f(at) or []])
+        assert proposals or level == search.LEVELS[2]
+        runs = [search._applied(at, [(p.target, p)]).withColumn("run_id", F.lit(i)).select("run_id", "unit_id", "cluster") for i, p in enumerate(proposals[:12])]
+        if runs:
+            every = written(reduce(DataFrame.unionByName, runs))
+            for r in model.score_many(data, every, hyper).collect():
+                assert abs(r.score - proposals[r.run_id].score) < 1e-9
+    chosen = search._together(at, search.scored(at, search.collect_from_cluster(at) + search.split_cluster(at)), at.model.score(), None)
+    whole = written(search._applied(at, chosen[1]))
+    assert abs(model.score_partition(data, whole, hyper).first().score - chosen[0]) < 1e-9
+    assert sorted(r.cluster for r in whole.select("cluster").distinct().collect()) == list(range(whole.select("cluster").distinct().count()))
+
+
+def _dense(data, part):
+    ones, units = {}, sorted((r.unit_id, r.cluster - 1) for r in part.collect())
+    for r in data.ones.collect():
+        ones.setdefault(r.unit_id, set()).add(r.attr_id)
+    return ones, units
+
+
+def _own(at, y, k, n, n1):
+    a, b = at.model.effective()
+    return sum(math.log(a[k, j] + n1[j] if y[j] else b[k, j] + n - n1[j]) - math.log(a[k, j] + b[k, j] + n) for j in range(len(y)))
+
+
+def test_exchanges_equal_all_pairs(spark, monkeypatch):
+    data, hyper, part, at = _start(spark, 24)
+    ones, units = _dense(data, part)
+    ys = {u: np.array([int(a in ones.get(u, ())) for a in at.ids]) for u, _ in units}
+    want = {}
+    for i, k in units:
+        for j, w in units:
+            if k < w:
+                nk, nw, sk, sw = at.model.n[k] - 1, at.model.n[w] - 1, at.model.n1[k] - ys[i], at.model.n1[w] - ys[j]
+                gain = _own(at, ys[i], w, nw, sw) + _own(at, ys[j], k, nk, sk) - _own(at, ys[i], k, nk, sk) - _own(at, ys[j], w, nw, sw)
+                if gain > 1e-8:
+                    want[k, w] = max(want.get((k, w), 0), gain)
+    assert want
+    for block in (4_000_000, 3 * at.model.m):  # all in one block, and three units in a block
+        monkeypatch.setattr(search, "EXACT", block)
+        got = {(k, w): gain for gain, k, _, w, *_ in search.swaps(at)}
+        assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-8 for p in want)
+
+
+def test_single_gains_are_those_of_the_dataframe_operators(spark):
+    data, hyper, part, at = _start(spark)
+    scores = model.state_scores(data, part, hyper)
+    rows = written(assign.effective(scores, model.states(scores, model.classify_attributes(scores))))
+    gains = assign.move_gains(assign.unit_own_score(data, part, rows), assign.unit_cluster_scores(data, rows))
+    want = {(r.source - 1, r.target - 1): (r.n, r.gain, r.every) for r in gains.groupBy("source", "target").agg(F.sum((F.col("gain") > 1e-9).cast("int")).alias("n"), F.sum(F.greatest("gain", F.lit(0.0))).alias("gain"), F.sum("gain").alias("every")).collect()}
+    got = {(s, t): (n, gain, every) for s, t, n, gain, every in search.pair_sums(at)}
+    assert got.keys() == want.keys() and all(got[p][0] == want[p][0] and np.allclose(got[p], want[p], atol=1e-6) for p in want)
+
+
+def test_histograms_give_prefixes_by_gain(spark):
+    _, _, _, at = _start(spark)
+    columns, own = at.clusters(), at.model.own_weights()
+    units = search._Units(at.members.toArrow())
+    gains = units.gains(columns, own)[:, 1][units.cluster != 1]
+    (steps,) = search.histograms(at, columns, [search._Rule(1, search.EVERY, 1, -np.inf)])
+    assert steps[-1][1] == len(gains) and [n for _, n in steps] == sorted({n for _, n in steps})
+    for low, n in steps:
+        assert (gains >= low).sum() == n
+    assert [sum(g >= low for g in gains) for low in search._prefixes(steps, 10)] == sorted({n for n in [next((n for _, n in steps if n >= t), 99) for t in (1, 2, 4, 8)] + [max(n for _, n in steps if n <= 10)] if n <= 10})
+
+
+def test_growth_by_hand():
+    """The best prefix is found beyond a fall, a fall that gets steeper below zero ends it, the last unit adds a term."""
+    def by(gains):
+        return lambda left, order: np.array([sum(gains[i] for i in order) + g for g in gains], float)
+
+    assert search._grow(4, by([3, 1, -1, -5]), 0.0, 0) == (4.0, [0, 1])
+    assert search._grow(3, by([-1, -2, 9]), 0.0, 0) == (9.0, [2])
+    assert search._grow(3, by([-1, -2, -4]), 20.0, 0) == (0.0, [])  # ends before the term could count
+    assert search._grow(2, by([-1, -1]), 20.0, 0) == (18.0, [0, 1])
+    assert search._grow(2, by([5, 5]), 0.0, 1) == (5.0, [0])
+
+
+def test_two_planted_in_one_are_split_exactly(spark):
+    data, truth = _planted(spark, 36, 12)
+    joined = written(truth.select("unit_id", F.least("cluster", F.lit(2)).alias("cluster")))
+    at = search.position(data, joined, written(model.default_hyper(data)))
+    best = search.scored(at, search.split_cluster(at))[0]
+    moved = {r.unit_id for r in search._applied(at, [(best.target, best)]).where("cluster = 2").collect()}
+    parts = [{r.unit_id for r in truth.where(f"cluster = {c}").collect()} for c in (2, 3)]
+    assert list(best.moved) == [1] and moved in parts
+
+
+def test_limits_of_the_search(spark):
+    data, hyper, part, at = _start(spark)
+    assert search.search(data, part, hyper, max_clusters=5).partition.select("cluster").distinct().count() <= 5
+    assert len(search.search(data, part, hyper, max_rounds=1).history) <= 2
+    one = search.search(data, part.withColumn("cluster", F.lit(7)), hyper)
+    assert one.score >= one.history[0]
+    single = search.search(data, part.withColumn("cluster", F.col("unit_id").cast("int")), hyper)
+    assert single.score > single.history[0] and single.partition.select("cluster").distinct().count() < 45
 
 
 def test_distances_and_medoids(spark):
@@ -80,21 +204,23 @@ def test_stream_profile_equals_batch(spark, tmp_path):
 
 
 def test_a_level_goes_on_to_later_batches(spark, monkeypatch):
-    data, truth = _planted(spark, 45, 10)
-    hyper = written(model.default_hyper(data))
-    at = search._position(data, written(truth), hyper, model.CLASS_PROBABILITIES)
-    monkeypatch.setattr(search, "PROPOSALS", 1)
-    assert [len(search._largest(at, b)) for b in range(4)] == [1, 1, 1, 0]
-    assert {r.run_id for r in search.collect_from_cluster(at).select("run_id").distinct().collect()} == set(range(1, 7))
-    assert {r.run_id for r in search.collect_from_cluster(at, 3).select("run_id").distinct().collect()} == {4}
-    assert search.swap_units(at).select("run_id").distinct().count() == 3 * search.SWAPPED**2
+    _, _, _, at = _start(spark)
     tried = []
-    better = written(truth.select("unit_id", "cluster"))
 
     def late(at, batch=None):
         tried.append(batch)
-        return better.withColumn("run_id", F.lit(1)) if batch < 3 else None
+        return [] if batch < 3 else None
 
     monkeypatch.setattr(search, "LEVELS", ((late,),))
-    score = model.score_partition(data, better, hyper).first().score
-    assert search._best_proposal(at, 0, hyper, model.CLASS_PROBABILITIES, None, score) is None and tried == [0, 1, 2, 3]
+    assert search.improved(at, 0) is None and tried == [0, 1, 2, 3]
+    monkeypatch.setattr(search, "PROPOSALS", 2)
+    assert [len(search._cut([1, 2, 3], b) or []) for b in range(3)] == [2, 1, 0]
+
+
+def test_tables_of_an_iteration_are_removed(spark):
+    tables = Tables(keep=2)
+    made = [tables.written(spark.range(k + 1)) for k in range(4)]
+    assert len(tables.paths) == 2 and made[-1].count() == 4 and made[-2].count() == 3
+    there = [os.path.exists(p.removeprefix("file://")) for p in tables.paths]
+    tables.drop()
+    assert there == [True, True] and tables.paths == []
