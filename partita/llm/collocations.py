@@ -35,6 +35,8 @@ ABSORBED = 100
 #: Binary logarithm of the bits of the table of frequent words and pairs: 8 MB.
 BITS = 26
 CHUNK = 4_000_000
+#: Windows that a task holds before it combines them, and passes them on if half as many are left.
+HELD = 2_000_000
 SALT = 16
 NO_LANGUAGE = "und"
 
@@ -151,34 +153,67 @@ def _set(table: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (table[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
 
 
-def _windows(lang: str, data: bytes, table: np.ndarray) -> pa.RecordBatch | None:
-    """lang, w1 to w5 (empty where padded) and c: the distinct longest windows of a part and their counts."""
-    part = _Linked(lang, data, table)
-    ids, words, v = part.ids, part.words, len(part.words)
-    if not v:
-        return None
-    triple = np.zeros_like(part.pair)
-    at = part.triples()
-    triple[at] = _set(table, part.triple_hashes(at))
-    single = np.bincount(ids[part.good & ~part.pair[: len(ids)]], minlength=v)
-    start = np.flatnonzero(part.pair)
-    columns, open_ = [ids[start], ids[start + 1]], np.ones(len(start), bool)
-    for k in range(2, LENGTH):
-        open_ &= triple[start + k - 2]
-        columns.append(np.where(open_, ids[np.minimum(start + k, len(ids) - 1)], v))
-    key = columns[0]
-    for more in columns[1:]:  # numbers of distinct prefixes, so that keys stay small
-        _, key = np.unique(key, return_inverse=True)
-        key = key * (v + 1) + more
-    _, first, often = np.unique(key, return_index=True, return_counts=True)
-    alone = np.flatnonzero(single)
-    rare = int((ids >= 0).sum() - part.good.sum())
-    names = pa.array([*words, b""], pa.binary())
-    arrays = []
-    for k, column in enumerate(columns):
-        arrays.append(names.take(pa.array(np.concatenate([column[first], alone if k == 0 else np.full(len(alone), v), [v]]))))
-    counts = pa.array(np.concatenate([often, single[alone], [rare]]).astype(np.int64))
-    return pa.RecordBatch.from_arrays([pa.array([lang] * len(counts), pa.string()), *arrays, counts], ["lang", *WORDS, "c"])
+class _Windows:
+    """Longest windows of a task and their counts, as numbers: of the language and the words, 0 where padded."""
+
+    def __init__(self, table: np.ndarray):
+        self.table = table
+        self._clear()
+
+    def _clear(self) -> None:
+        self.number: dict[bytes, int] = {b"": 0}
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, lang: str, data: bytes) -> Iterator[pa.RecordBatch]:
+        part = _Linked(lang, data, self.table)
+        ids, v = part.ids, len(part.words)
+        if not v:
+            return
+        triple = np.zeros_like(part.pair)
+        at = part.triples()
+        triple[at] = _set(self.table, part.triple_hashes(at))
+        single = np.bincount(ids[part.good & ~part.pair[: len(ids)]], minlength=v)
+        alone, start = np.flatnonzero(single), np.flatnonzero(part.pair)
+        columns, open_ = [ids[start], ids[start + 1]], np.ones(len(start), bool)
+        for k in range(2, LENGTH):
+            open_ &= triple[start + k - 2]
+            columns.append(np.where(open_, ids[np.minimum(start + k, len(ids) - 1)], v))
+        used = np.unique(np.concatenate([alone, *columns]))
+        if len(self.number) + len(used) >= 1 << 21:
+            yield from self.emptied()
+        known = np.zeros(v + 1, np.int64)
+        known[used] = [self.number.setdefault(part.words[i], len(self.number)) if i < v else 0 for i in used.tolist()]
+        own = self.number.setdefault(b"\n" + lang.encode(), len(self.number))  # no word has a line feed
+        pad = np.zeros(len(alone) + 1, np.int64)
+        w = [known[c] for c in columns]
+        head, rest = (own << 42) + (w[0] << 21) + w[1], (w[2] << 42) + (w[3] << 21) + w[4]
+        lone = (own << 42) + (np.append(known[alone], 0) << 21)
+        rare = int((ids >= 0).sum() - part.good.sum())
+        self.held.append((np.concatenate([head, lone]), np.concatenate([rest, pad]), np.concatenate([np.ones(len(head), np.int64), single[alone], [rare]])))
+        self.size += len(head) + len(lone)
+        if self.size > HELD:
+            self._combine()
+            if self.size > HELD // 2:
+                yield from self.emptied()
+
+    def _combine(self) -> None:
+        head, rest, n = (np.concatenate(x) for x in zip(*self.held))
+        order = np.lexsort((rest, head))
+        head, rest, n = head[order], rest[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], (head[1:] != head[:-1]) | (rest[1:] != rest[:-1])]))
+        self.held, self.size = [(head[first], rest[first], np.add.reduceat(n, first))], len(first)
+
+    def emptied(self) -> Iterator[pa.RecordBatch]:
+        """lang, w1 to w5 (empty where padded) and c of the distinct windows so far."""
+        if self.held:
+            self._combine()
+            (head, rest, n), names, low = self.held[0], pa.array(list(self.number), pa.binary()), (1 << 21) - 1
+            for at in range(0, len(n), 65536):
+                h, r = head[at : at + 65536], rest[at : at + 65536]
+                places = [h >> 42, (h >> 21) & low, h & low, r >> 42, (r >> 21) & low, r & low]
+                yield pa.RecordBatch.from_arrays([*(names.take(pa.array(x)) for x in places), pa.array(n[at : at + 65536])], ["lang", *WORDS, "c"])
+        self._clear()
 
 
 def phrase_counts(docs: DataFrame, *, least: int = LEAST, bits: int = BITS) -> DataFrame:
@@ -188,13 +223,14 @@ def phrase_counts(docs: DataFrame, *, least: int = LEAST, bits: int = BITS) -> D
     table = texts.sparkSession.sparkContext.broadcast(frequent_bits(texts, least, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = _Windows(table.value)
         for lang, data in _parts(batches):
-            made = _windows(lang, data, table.value)
-            if made is not None:
-                yield from slices([made], 65536)
+            yield from windows.add(lang, data)
+        yield from windows.emptied()
 
-    schema = f"lang string, {', '.join(f'{w} binary' for w in WORDS)}, c long"
-    longest = texts.mapInArrow(run, schema).groupBy("lang", *WORDS).agg(F.sum("c").alias("c"))
+    schema = f"lang binary, {', '.join(f'{w} binary' for w in WORDS)}, c long"
+    made = texts.mapInArrow(run, schema).withColumn("lang", F.expr("substring(cast(lang as string), 2)"))
+    longest = made.groupBy("lang", *WORDS).agg(F.sum("c").alias("c"))
     rolled = longest.rollup("lang", *WORDS).agg(F.sum("c").alias("a"), F.grouping_id().alias("level"))
     length = (LENGTH - F.bit_count("level")).cast("int")  # summed-up columns have their bits set, from the last on
     sized = rolled.where(F.col("level") < 2**LENGTH).select("lang", length.alias("length"), F.array(*[F.col(w).cast("string") for w in WORDS]).alias("padded"), "a")
