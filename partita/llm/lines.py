@@ -27,10 +27,18 @@ MAX_EDITS = 1
 PLACE, VARIANT, ITSELF = 0, 1, 2
 
 
+def _text_key(text: str) -> Column:
+    """31 bits of a text, above its line numbers: they tell rows apart that share an id."""
+    return F.shiftleft(F.xxhash64(text).bitwiseAND(2**31 - 1), 32)
+
+
 def split_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no (from 0) and line of every line that is not blank; null texts have none."""
-    rows = docs.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc_id"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    return rows.where(F.trim("line") != "")
+    """doc_id, line_no and line of every line that is not blank; null texts have none.
+
+    ``line_no`` has the line's number (from 0) in its lower half and bits of the text above.
+    """
+    rows = docs.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc_id"), _text_key("text").alias("key"), F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
+    return rows.where(F.trim("line") != "").select("doc_id", (F.col("key") + F.col("at")).alias("line_no"), "line")
 
 
 def _keyed(lines: DataFrame) -> DataFrame:
@@ -104,14 +112,16 @@ def dedup_lines(docs: DataFrame, *, keep: tuple[str, ...] = ()) -> DataFrame:
     The columns in ``keep`` are passed on.
 
     A null text stays null (0 lines), an empty text has one blank line and stays empty. Null ids count as the last
-    ones, and rows that share an id as one document's: each keeps the lines that are first by id and line number.
+    ones. Rows that share an id follow each other by a hash of their texts; those with the same text too keep the same
+    lines.
     """
     rows = documents(docs, keep=keep)
     keyed = _keyed(split_lines(rows.select("doc_id", "text")))
     firsts = keyed.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("at")).select("at.doc_id", "at.line_no")
     kept = firsts.join(near_lines(keyed), ["doc_id", "line_no"], "left_anti")
-    by_doc = kept.groupBy("doc_id").agg(F.collect_set("line_no").alias("kept")).withColumnRenamed("doc_id", "kept_id")
-    joined = rows.join(by_doc, F.coalesce("doc_id", F.lit(LAST_ID)) == F.col("kept_id"), "left")
+    low = F.lit(2**32 - 1)
+    by_doc = kept.groupBy(F.col("doc_id").alias("kept_id"), F.col("line_no").bitwiseAND(F.lit(-(2**32))).alias("kept_key")).agg(F.collect_set(F.col("line_no").bitwiseAND(low).cast("int")).alias("kept"))
+    joined = rows.join(by_doc, (F.coalesce("doc_id", F.lit(LAST_ID)) == F.col("kept_id")) & (_text_key("text") == F.col("kept_key")), "left")
 
     def rejoin(lines: Column) -> Column:
         blank = F.filter(F.transform(lines, lambda line, i: F.when(F.trim(line) == "", i)), lambda i: i.isNotNull())
