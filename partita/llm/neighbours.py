@@ -116,7 +116,8 @@ class Index:
     """Router, number of parts, parts to probe for the wanted recall in the sample, and the dimension."""
 
     def __init__(self, sample: np.ndarray, rows: int, k: int):
-        x = sample / np.maximum(1e-300, np.sqrt((sample**2).sum(1, keepdims=True)))
+        x = _scaled(sample)
+        x = x / np.sqrt((x**2).sum(1, keepdims=True))
         x = np.unique(x, axis=0)  # a vector that many rows share counts once
         self.dimension = sample.shape[1]
         self.parts = max(1, min(MAX_PARTS, int(np.sqrt(rows) / 4), len(x) // 16))
@@ -145,6 +146,11 @@ def usable(embedding: Column) -> Column:
     return F.coalesce(embedding.isNotNull() & finite & F.exists(embedding, lambda v: v != 0), F.lit(False))
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two each, so that squares neither overflow nor vanish; cosines stay the same, bit by bit."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True, initial=0.0))[1])
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1)
 
@@ -168,7 +174,8 @@ def build(vectors: DataFrame, *, k: int = 5, sample: int = SAMPLE) -> tuple[Inde
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = batch.column("embedding").flatten().to_numpy().reshape(batch.num_rows, -1)
-            unit = x / np.sqrt((x**2).sum(1, keepdims=True))
+            even = _scaled(x)
+            unit = even / np.sqrt((even**2).sum(1, keepdims=True))
             scores = shared.value.router.scores(unit)
             ranked = np.argsort(-scores, axis=1, kind="stable").astype(np.int32)
             packed = pa.array([row.tobytes() for row in x], pa.binary())
@@ -190,7 +197,7 @@ def _best(queries: tuple[np.ndarray, np.ndarray], rows: tuple[np.ndarray, np.nda
     start = np.concatenate([[True], np.diff(kind[by]) != 0])
     rank = np.arange(len(by)) - np.maximum.accumulate(np.where(start, np.arange(len(by)), 0))
     keep = np.sort(by[rank <= k])
-    rid, r = rid[keep], r[keep]
+    rid, r, q = rid[keep], _scaled(r[keep]), _scaled(q)
     heads = np.flatnonzero(np.concatenate([[True], np.diff(rid) != 0]))
     rn, qn = np.sqrt((r * r).sum(1)), np.sqrt((q * q).sum(1))
     found = []
@@ -210,7 +217,8 @@ def search(vectors: DataFrame, queries: Column, *, k: int = 5, sample: int = SAM
     """query_id, rank, vec_id, score: for rows where ``queries`` holds, the k nearest found among all other rows.
 
     Nearest first, equal scores by smaller vec_id. Vectors that are null, zero, of another length than most, or hold
-    null or non-finite components take no part, nor do rows without an id; rows that share an id are one another's own.
+    null or non-finite components take no part, nor do rows without an id; rows that share an id are one another's own,
+    and as near as the nearest of their vectors, as queries too.
     """
     index, made = build(vectors, k=k, sample=sample)
     rows = materialise(made)
@@ -224,7 +232,7 @@ def search(vectors: DataFrame, queries: Column, *, k: int = 5, sample: int = SAM
             break
     blocks = F.array(*[F.lit(-(-counts.get(j, 0) // BLOCK)).cast("int") for j in range(parts)])
     dealt = rows.select("vec_id", "v", "part", F.pmod(F.xxhash64("vec_id", "v"), F.greatest(blocks[F.col("part")], F.lit(1))).cast("int").alias("block"))
-    asked = rows.where(queries).dropDuplicates(["vec_id"]).select("vec_id", "v", F.explode(F.slice("probe", 1, probes)).alias("part")).where(blocks[F.col("part")] > 0)
+    asked = rows.where(queries).select("vec_id", "v", F.explode(F.slice("probe", 1, probes)).alias("part")).where(blocks[F.col("part")] > 0)
     asked = asked.select("vec_id", "v", "part", F.explode(F.sequence(F.lit(0), blocks[F.col("part")] - 1)).alias("block"))
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -7,8 +7,9 @@ import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from partita.llm import collocations, licenses, whitening
+from partita.llm import collocations, licenses, lines, neighbours, whitening
 from partita.llm.license_rules import STEMS, rules
 
 DOCS = "doc_id long, text string, lang string, source string, phrase string, row int"
@@ -47,6 +48,7 @@ def _texts(n):
 @pytest.mark.parametrize("bits", [8, 26])  # 256 bits are nearly all set: windows get longer, results stay
 def test_collocations_equal_brute_force(spark, monkeypatch, bits):
     monkeypatch.setattr(collocations, "CHUNK", 700)
+    monkeypatch.setattr(collocations, "HELD", 300 if bits == 8 else 2_000_000)
     rows = _texts(60)
     docs = spark.createDataFrame([(k, t, lang, "s", "clash", k) for k, (t, lang) in enumerate(rows)], DOCS).repartition(3)
     got = {tuple(r) for r in collocations.collocations(docs, least=4, top=7, bits=bits).select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect()}
@@ -195,3 +197,51 @@ def test_licences_found(spark):
 def test_license_scan_has_no_python_workers(spark):
     plan = licenses.scan(spark.createDataFrame([(1, "MIT License", "en", "s", "", 0)], DOCS))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+@pytest.mark.parametrize("parts", [1, 3, 9])
+def test_lines_of_rows_that_share_an_id(spark, parts):
+    """A line goes if an earlier one is near, whatever the partitions: rows of one id follow by a hash of their texts."""
+    texts = [(1, "first line here\nabcdefgh"), (1, "other text\nabcdefgx"), (2, "abcdefgy"), (3, "first line hero"), (4, "something new\nother texts"), (1, "first line here\nabcdefgh")]
+    out = lines.dedup_lines(spark.createDataFrame([(k, t, "en", "s", "", i) for i, (k, t) in enumerate(texts)], DOCS).repartition(parts)).collect()
+    keys = {t: r.k for t in {t for _, t in texts} for r in [spark.createDataFrame([(t,)], "t string").select(F.xxhash64("t").bitwiseAND(2**31 - 1).alias("k")).first()]}
+    seen, want = [], Counter()
+    every = sorted((k, keys[t], n, line) for k, t in set(texts) for n, line in enumerate(t.split("\n")))
+    gone = set()
+    near = lambda a, b: a == b or (abs(len(a) - len(b)) <= 1 and _edits(a, b) <= 1)
+    for k, key, n, line in every:
+        if any(near(line, other) for other in seen):
+            gone.add((k, key, n))
+        seen.append(line)
+    for k, t in texts:
+        want[k, "\n".join(line for n, line in enumerate(t.split("\n")) if (k, keys[t], n) not in gone)] += 1
+    assert Counter((r.doc_id, r.text) for r in out) == want
+
+
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, before = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+    return row[-1]
+
+
+@pytest.mark.parametrize("parts", [1, 5, 9])
+def test_neighbours_of_a_query_with_two_vectors(spark, parts):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 6))
+    rows = [(k, [float(v) for v in x[k]], 0, 1) for k in range(300)] + [(0, [float(v) for v in -x[0]], 0, 1)]
+    got = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, n long").repartition(parts), F.col("vec_id") == 0)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    best = np.abs(unit[1:] @ unit[0])
+    assert [r.vec_id for r in got.orderBy("rank").collect()] == [int(k) + 1 for k in np.argsort(-best, kind="stable")[:5]]
+
+
+@pytest.mark.parametrize("scale", [1e200, 1e-200])
+def test_neighbours_of_very_large_and_small_vectors(spark, scale):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 4))
+    made = [neighbours.search(spark.createDataFrame([(k, [float(v * s) for v in x[k]], 0, 1) for k in range(60)], "vec_id long, embedding array<double>, label int, n long"), F.col("vec_id") % 50 == 0) for s in (1.0, scale)]
+    plain, scaled = ([(r.query_id, r["rank"], r.vec_id, round(r.score, 12)) for r in m.orderBy("query_id", "rank").collect()] for m in made)
+    assert plain == scaled and len(plain) == 10
