@@ -1,24 +1,32 @@
 """Co-clustering of rows and columns by a projective factorisation X ~ W W' X H H'.
 
-``entries`` has unit_id, attr_id, x; W is (unit_id, w) and H (attr_id, h) with arrays of r and c doubles. Products with
-X are joins with sums through r or c columns; r x c matrices are sums that come to the driver.
+``entries`` has unit_id, attr_id, x; W is (unit_id, w) and H (attr_id, h) with arrays of r and c doubles. Iterations keep
+a unit's entries packed beside its row of W; H goes to the tasks as centres do in k-means (up to ``CELLS`` numbers), and
+X'W comes back as sums. So a round is one pass, and the objective follows from matrices that are at hand by then. Wider
+factors are joined: products with X are then sums through r or c columns.
 """
 
 from __future__ import annotations
 
+import warnings
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from partita.operators.encode import Dataset
-from partita.sources.scratch import written
+from partita.sources.scratch import Tables, written
 
 TINY = float(np.finfo(float).eps)
-#: Attributes up to which the Gram matrix is decomposed on the driver; wider data go by subspace iteration.
-WIDEST = 2000
+#: Numbers of a factor over the attributes that go to every task: 128 MB.
+CELLS = 1 << 24
 #: Rounds of subspace iteration at most, and the change of the singular values at which it ends.
-ITERATIONS = 100
+ITERATIONS = 1000
 SETTLED = 1e-9
+ROWS = 4096
 
 
 def entries_of(data: Dataset) -> DataFrame:
@@ -74,19 +82,139 @@ def _updated(rows: DataFrame, key: str, column: str, product: str, up: np.ndarra
     return rows.select(key, F.array(*new).alias(column))
 
 
+class _Packed:
+    """Some packed units: entries as arrays, and rows of W."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        lists = batch.column("at")
+        self.flat, self.x = lists.flatten().to_numpy(), batch.column("x").flatten().to_numpy()
+        self.lengths = pc.list_value_length(lists).to_numpy()
+        self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]]).astype(np.int64)
+        self.row = np.repeat(np.arange(batch.num_rows), self.lengths)
+        self.w = batch.column("w").flatten().to_numpy().reshape(batch.num_rows, -1)
+
+    def times(self, h: np.ndarray) -> np.ndarray:
+        """X H of these units."""
+        out = np.zeros((len(self.lengths), h.shape[1]))
+        some = self.lengths > 0
+        if some.any():
+            out[some] = np.add.reduceat(self.x[:, None] * h[self.flat], self.starts[some], axis=0)
+        return out
+
+    def back(self, w: np.ndarray, m: int) -> np.ndarray:
+        """X' W of these units."""
+        return np.stack([np.bincount(self.flat, self.x * w[self.row, k], minlength=m) for k in range(w.shape[1])], 1)
+
+
+def _pack(entries: DataFrame, rows: DataFrame, ids: np.ndarray) -> DataFrame:
+    """unit_id, w, at (places of attributes among ``ids``) and x of the units in ``rows``; others and unknown attributes
+    have no part in a product."""
+    known = entries.sparkSession.createDataFrame([(int(a), k) for k, a in enumerate(ids)], f"attr_id {dict(entries.dtypes)['attr_id']}, at int")
+    placed = entries.join(known, "attr_id").groupBy("unit_id").agg(F.array_sort(F.collect_list(F.struct("at", F.col("x").cast("double").alias("x")))).alias("e"))
+    empty = F.expr("cast(array() as array<struct<at: int, x: double>>)")
+    joined = rows.join(placed, "unit_id", "left").select("unit_id", "w", F.coalesce("e", empty).alias("e"))
+    return joined.select("unit_id", "w", F.col("e.at").alias("at"), F.col("e.x").alias("x"))
+
+
+def _driver(factor: DataFrame, column: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids in order and the matrix of a factor over the attributes, of at most ``CELLS`` numbers."""
+    rows = sorted(factor.select("attr_id", column).collect(), key=lambda r: r.attr_id)
+    return np.array([r.attr_id for r in rows], np.int64), np.array([r[column] for r in rows], float).reshape(len(rows), -1)
+
+
+def _gathered(sums: DataFrame, shape: tuple[int, int]) -> np.ndarray:
+    """A matrix from the sums (at, v: one row of it) of all tasks."""
+    width = shape[1]
+    rows = sums.groupBy("at").agg(*[F.sum(F.col("v")[k]).alias(f"s{k}") for k in range(width)]).toArrow()
+    out = np.zeros(shape)
+    if rows.num_rows:
+        out[rows.column("at").to_numpy()] = np.stack([rows.column(f"s{k}").to_numpy() for k in range(width)], 1)
+    return out
+
+
+def _rows_of(matrix: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    ends = np.arange(len(matrix) + 1, dtype=np.int32) * matrix.shape[1]
+    return pa.array(np.arange(len(matrix), dtype=np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(matrix.ravel()))
+
+
+def _multiplied(factor: np.ndarray, product: np.ndarray, up: np.ndarray, own: np.ndarray, other: np.ndarray) -> np.ndarray:
+    return factor * ((product @ (2 * up)) / (factor @ own + product @ other + TINY)) ** 0.25
+
+
 def fit(entries: DataFrame, w: DataFrame, h: DataFrame, *, max_iter: int = 1000, tolerance: float = 1e-8) -> tuple[DataFrame, DataFrame, list[float]]:
-    """W, H and the objective after each round of multiplicative updates, until its relative change is small."""
+    """W, H and the objective after each round of multiplicative updates, until its relative change is small.
+
+    A round writes the new rows of W beside the sums for X'W and W'W, and reads the sums.
+    """
     r, c = _width(w, "w"), _width(h, "h")
+    if not r or not c or h.count() * max(r, c) > CELLS:
+        return _fit_joined(entries, w, h, max_iter, tolerance)
+    total, spark = entries.agg(F.sum(F.col("x") * F.col("x")).alias("t")).first().t or 0.0, entries.sparkSession
+    ids, hm = _driver(h, "h")
+    m, tables = len(ids), Tables()
+    rows = tables.written(_pack(entries, w, ids).select("*", F.lit(None).cast("int").alias("sum_at"), F.lit(None).cast("array<double>").alias("sum_v")))
+
+    def passed(update: tuple[np.ndarray, ...] | None) -> DataFrame:
+        """The rows after an update of W, and below them a task's sums: X'W, then W'W."""
+        shared = spark.sparkContext.broadcast((hm, update))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            factor, up = shared.value
+            sums = np.zeros((m + r, r))
+            for whole in batches:
+                for at in range(0, whole.num_rows, ROWS):
+                    batch = whole.slice(at, ROWS)
+                    units = _Packed(batch)
+                    new = units.w if up is None else _multiplied(units.w, units.times(factor), *up)
+                    sums[:m] += units.back(new, m)
+                    sums[m:] += new.T @ new
+                    n = batch.num_rows
+                    yield pa.RecordBatch.from_arrays([batch.column("unit_id"), _rows_of(new)[1], batch.column("at"), batch.column("x"), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.float64()))], names)
+            places, values = _rows_of(sums)
+            none = len(sums)
+            yield pa.RecordBatch.from_arrays([pa.nulls(none, pa.int64()), pa.nulls(none, pa.list_(pa.float64())), pa.nulls(none, pa.list_(pa.int32())), pa.nulls(none, pa.list_(pa.float64())), places, values], names)
+
+        names = ["unit_id", "w", "at", "x", "sum_at", "sum_v"]
+        schema = "unit_id long, w array<double>, at array<int>, x array<double>, sum_at int, sum_v array<double>"
+        source = rows.where("sum_at IS NULL").withColumn("unit_id", F.col("unit_id").cast("long"))
+        return tables.written(source.mapInArrow(run, schema))
+
+    def sums_of(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        both = _gathered(table.where("sum_at IS NOT NULL").select(F.col("sum_at").alias("at"), F.col("sum_v").alias("v")), (m + r, r))
+        return both[:m], both[m:]
+
+    rows = passed(None)
+    xw, ww = sums_of(rows)
+    values = [_value(total, xw.T @ hm, ww, hm.T @ hm)]
+    for _ in range(max_iter):
+        wxh, hh = xw.T @ hm, hm.T @ hm
+        rows = passed((wxh.T, wxh @ hh @ wxh.T, hh @ wxh.T @ ww))
+        xw, ww = sums_of(rows)
+        wxh = xw.T @ hm
+        hm = _multiplied(hm, xw, wxh, wxh.T @ ww @ wxh, ww @ wxh @ hh)
+        values.append(_value(total, xw.T @ hm, ww, hm.T @ hm))
+        if abs(values[-1] - values[-2]) < tolerance * abs(values[-2]):
+            break
+    kind = dict(w.dtypes)["unit_id"]
+    final = written(rows.where("sum_at IS NULL").select(F.col("unit_id").cast(kind).alias("unit_id"), "w"))
+    tables.drop()
+    return final, spark.createDataFrame([(int(i), row) for i, row in zip(ids, hm.tolist())], f"attr_id {dict(h.dtypes)['attr_id']}, h array<double>"), values
+
+
+def _fit_joined(entries: DataFrame, w: DataFrame, h: DataFrame, max_iter: int, tolerance: float) -> tuple[DataFrame, DataFrame, list[float]]:
+    """The same for factors that are too wide for the tasks: every product is a join."""
+    r, c, tables = _width(w, "w"), _width(h, "h"), Tables(keep=6)
     total = entries.agg(F.sum(F.col("x") * F.col("x")).alias("t")).first().t or 0.0
     values = [objective(entries, w, h)]
     for _ in range(max_iter):
-        w = written(_filled(w, project(entries, h, "attr_id", "h", "unit_id", "xh"), "unit_id", "xh", c))
+        w = tables.written(_filled(w, project(entries, h, "attr_id", "h", "unit_id", "xh"), "unit_id", "xh", c))
         wxh, ww, hh = gram(w, "w", "xh"), gram(w, "w", "w"), gram(h, "h", "h")
-        w = written(_updated(w, "unit_id", "w", "xh", wxh.T, wxh @ hh @ wxh.T, hh @ wxh.T @ ww))
-        h = written(_filled(h, project(entries, w, "unit_id", "w", "attr_id", "xw"), "attr_id", "xw", r))
+        w = tables.written(_updated(w, "unit_id", "w", "xh", wxh.T, wxh @ hh @ wxh.T, hh @ wxh.T @ ww))
+        h = tables.written(_filled(h, project(entries, w, "unit_id", "w", "attr_id", "xw"), "attr_id", "xw", r))
         wxh, ww = gram(h, "xw", "h"), gram(w, "w", "w")
-        h = written(_updated(h, "attr_id", "h", "xw", wxh, wxh.T @ ww @ wxh, ww @ wxh @ hh))
-        values.append(objective(entries, w, h))
+        new = tables.written(_updated(h, "attr_id", "h", "xw", wxh, wxh.T @ ww @ wxh, ww @ wxh @ hh))
+        values.append(_value(total, gram(h.drop("h").join(new, "attr_id"), "xw", "h"), ww, gram(new, "h", "h")))
+        h = new
         if abs(values[-1] - values[-2]) < tolerance * abs(values[-2]):
             break
     return w, h, values
@@ -122,52 +250,56 @@ def discretise(vectors: DataFrame, key: str, column: str, *, max_iter: int = 100
 
 def svd_init(data: Dataset, row_clusters: int, column_clusters: int) -> tuple[DataFrame, DataFrame]:
     """W and H to start from: discretised leading singular vectors of the ones."""
-    ids = [r.attr_id for r in data.attributes.select("attr_id").orderBy("attr_id").limit(WIDEST + 1).collect()]
-    most = max(row_clusters, column_clusters)
-    right, sigma = _by_gram(data, ids, most) if len(ids) <= WIDEST else _by_subspace(data, most)
+    right, sigma = leading_directions(data, max(row_clusters, column_clusters))
     scaled = right.withColumn("h", F.array(*[F.col("h")[k] / float(sigma[k]) for k in range(row_clusters)]))
     u = _filled(data.units.select("unit_id"), project(entries_of(data), scaled, "attr_id", "h", "unit_id", "w"), "unit_id", "w", row_clusters)
     return discretise(u, "unit_id", "w"), discretise(right.withColumn("h", F.slice("h", 1, column_clusters)), "attr_id", "h")
 
 
-def _by_subspace(data: Dataset, most: int) -> tuple[DataFrame, np.ndarray]:
-    """Right singular vectors (attr_id, h) and singular values of the ones: X'X is applied to ``most`` + 4 vectors and
-    the result made orthonormal, until the values settle. Only matrices as wide as the vectors come to the driver."""
-    width, entries = most + 4, entries_of(data)
-    h = written(data.attributes.select("attr_id", F.array(*[F.pmod(F.xxhash64("attr_id", F.lit(k)), F.lit(2001)) / 1000.0 - 1.0 for k in range(width)]).alias("h")))
-    old = np.zeros(width)
-    for _ in range(ITERATIONS):
-        values, vectors = np.linalg.eigh(gram(h, "h", "h"))
-        h = _turned(h, vectors[:, values > 1e-12 * max(values.max(), TINY)] / np.sqrt(values[values > 1e-12 * max(values.max(), TINY)]))
-        width = _width(h, "h")
-        w = written(project(entries, h, "attr_id", "h", "unit_id", "w"))
-        values, vectors = np.linalg.eigh(gram(w, "w", "w"))  # of X H, so H turned by them has the singular directions
-        turn = vectors[:, np.argsort(-values)]
-        sigma = np.sqrt(np.maximum(np.sort(values)[::-1], 1e-12))
-        h = _turned(h, turn)
-        if len(old) == len(sigma) and np.abs(sigma - old)[:most].max() <= SETTLED * sigma[0]:
+def leading_directions(data: Dataset, most: int) -> tuple[DataFrame, np.ndarray]:
+    """Right singular vectors (attr_id, h) and singular values of the ones, the largest first.
+
+    Subspace iteration: X'X is applied to ``most`` + 8 vectors in one pass over the units and the result made
+    orthonormal, until the values settle. As many numbers as attributes times vectors go to the tasks and come back; they
+    must be ``CELLS`` at most. A warning says so if ``ITERATIONS`` end before the values have settled.
+    """
+    ids = np.array(sorted(r.attr_id for r in data.attributes.select("attr_id").collect()), np.int64)
+    m, spark = len(ids), data.ones.sparkSession
+    width = min(most + 8, m)
+    if m * width > CELLS:
+        raise ValueError(f"{width} vectors of {m} attributes are more than the {CELLS} numbers that go to tasks")
+    empty = data.units.select("unit_id", F.expr("cast(array() as array<double>)").alias("w"))
+    rows = written(_pack(entries_of(data), empty, ids).select("at", "x", "w"))
+
+    def applied(h: np.ndarray) -> np.ndarray:
+        shared = spark.sparkContext.broadcast(h)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros(shared.value.shape)
+            for whole in batches:
+                for at in range(0, whole.num_rows, ROWS):
+                    units = _Packed(whole.slice(at, ROWS))
+                    sums += units.back(units.times(shared.value), m)
+            yield pa.RecordBatch.from_arrays(list(_rows_of(sums)), ["at", "v"])
+
+        return _gathered(rows.mapInArrow(run, "at int, v array<double>"), h.shape)
+
+    h = np.linalg.qr(np.random.default_rng(17).normal(size=(m, width)))[0]
+    old, settled = np.zeros(width), m == 0
+    for _ in range(ITERATIONS if m else 0):
+        product = applied(h)
+        squares, turn = np.linalg.eigh(h.T @ product)
+        sigma = np.sqrt(np.maximum(squares[::-1], 0.0))
+        if np.abs(sigma - old)[:most].max() <= SETTLED * max(sigma[0], TINY):
+            h, settled = h @ turn[:, ::-1], True
             break
         old = sigma
-        product = project(entries, project(entries, h, "attr_id", "h", "unit_id", "w"), "unit_id", "w", "attr_id", "x")
-        h = written(_filled(h.select("attr_id"), product, "attr_id", "x", width).withColumnRenamed("x", "h"))
-    sums = h.agg(*[F.sum(F.col("h")[k]).alias(f"s{k}") for k in range(width)]).first()
-    signs = np.diag([-1.0 if sums[f"s{k}"] < 0 else 1.0 for k in range(width)])[:, : min(most, width)]
-    padded = np.concatenate([signs, np.zeros((width, max(0, most - width)))], 1)
-    return _turned(h, padded), np.concatenate([sigma, np.full(most, 1e-6)])[:most]
-
-
-def _turned(h: DataFrame, matrix: np.ndarray) -> DataFrame:
-    return written(h.select("attr_id", F.array(*_times("h", matrix)).alias("h")))
-
-
-def _by_gram(data: Dataset, ids: list[int], most: int) -> tuple[DataFrame, np.ndarray]:
-    left = data.ones.withColumnRenamed("attr_id", "a")
-    common = left.join(data.ones.withColumnRenamed("attr_id", "b"), "unit_id").groupBy("a", "b").agg(F.count("*").alias("n")).collect()
-    place, square = {a: k for k, a in enumerate(ids)}, np.zeros((len(ids), len(ids)))
-    for r in common:
-        square[place[r.a], place[r.b]] = r.n
-    values, vectors = np.linalg.eigh(square)
-    order = np.argsort(-values)
-    v = vectors[:, order[:most]] * np.where(vectors[:, order[:most]].sum(0) < 0, -1, 1)
-    sigma = np.sqrt(np.maximum(values[order[:most]], 1e-12))
-    return data.ones.sparkSession.createDataFrame([(a, [float(x) for x in v[k]]) for a, k in place.items()], "attr_id int, h array<double>"), sigma
+        h = np.linalg.qr(product @ turn[:, ::-1])[0]
+    if not settled:
+        warnings.warn(f"singular values still change after {ITERATIONS} rounds", stacklevel=2)
+    full, values = np.zeros((m, most)), np.full(most, 1e-6)
+    n = min(most, width)
+    full[:, :n] = h[:, :n] * np.where(h[:, :n].sum(0) < 0, -1, 1)
+    values[:n] = np.maximum(sigma[:n], 1e-6) if m else values[:n]
+    kind = dict(data.attributes.dtypes)["attr_id"]
+    return spark.createDataFrame([(int(a), row) for a, row in zip(ids, full.tolist())], f"attr_id {kind}, h array<double>"), values

@@ -174,6 +174,8 @@ def test_cocluster_against_numpy(spark):
     entries = cocluster.entries_of(data)
     assert abs(cocluster.objective(entries, ws, hs) - ((x - w @ w.T @ x @ h @ h.T) ** 2).sum()) < 1e-6
     w2, h2, values = cocluster.fit(entries, ws, hs, max_iter=2)
+    w3, h3, joined = cocluster._fit_joined(entries, ws, hs, 2, 1e-8)
+    assert np.allclose(values, joined) and np.allclose([r.w for r in w3.orderBy("unit_id").collect()], [r.w for r in w2.orderBy("unit_id").collect()])
     for _ in range(2):
         wxh, ww, hh, xh, eps = w.T @ x @ h, w.T @ w, h.T @ h, x @ h, np.finfo(float).eps
         w = w * ((2 * xh @ wxh.T) / (w @ wxh @ hh @ wxh.T + xh @ hh @ wxh.T @ ww + eps)) ** 0.25
@@ -182,7 +184,8 @@ def test_cocluster_against_numpy(spark):
         h = h * ((2 * xw @ wxh) / (xw @ ww @ wxh @ hh + h @ wxh.T @ ww @ wxh + eps)) ** 0.25
     assert np.allclose([r.w for r in w2.orderBy("unit_id").collect()], w)
     assert np.allclose([r.h for r in h2.orderBy("attr_id").collect()], h)
-    right, sigma = cocluster._by_subspace(data, 3)
+    assert np.allclose(values[-1], ((x - w @ w.T @ x @ h @ h.T) ** 2).sum()) and len(values) == 3
+    right, sigma = cocluster.leading_directions(data, 3)
     assert np.allclose(sigma, np.linalg.svd(x)[1][:3], atol=1e-6)
     v = np.array([r.h for r in right.orderBy("attr_id").collect()])
     assert np.allclose(np.abs(np.diag(np.linalg.svd(x)[2][:3] @ v)), 1, atol=1e-4)
@@ -224,3 +227,27 @@ def test_tables_of_an_iteration_are_removed(spark):
     there = [os.path.exists(p.removeprefix("file://")) for p in tables.paths]
     tables.drop()
     assert there == [True, True] and tables.paths == []
+
+
+def test_cofactors_are_fitted_to_their_tolerance(spark):
+    data, _ = _planted(spark, 24, 5)
+    units, attrs = sorted(r.unit_id for r in data.units.collect()), sorted(r.attr_id for r in data.attributes.collect())
+    x = np.zeros((len(units), len(attrs)))
+    for r in data.ones.collect():
+        x[units.index(r.unit_id), attrs.index(r.attr_id)] = 1
+    rng = np.random.default_rng(5)
+    w, h = rng.random((len(units), 2)), rng.random((len(attrs), 2))
+    ws = spark.createDataFrame([(u, [float(v) for v in w[k]]) for k, u in enumerate(units)], "unit_id long, w array<double>").repartition(3)
+    hs = spark.createDataFrame([(a, [float(v) for v in h[k]]) for k, a in enumerate(attrs)], "attr_id int, h array<double>")
+    made, _, values = cocluster.fit(cocluster.entries_of(data), ws, hs, tolerance=1e-4)
+    own = [((x - w @ w.T @ x @ h @ h.T) ** 2).sum()]
+    while len(own) < 2 or abs(own[-1] - own[-2]) >= 1e-4 * abs(own[-2]):
+        wxh, ww, hh, xh, eps = w.T @ x @ h, w.T @ w, h.T @ h, x @ h, np.finfo(float).eps
+        w = w * ((2 * xh @ wxh.T) / (w @ wxh @ hh @ wxh.T + xh @ hh @ wxh.T @ ww + eps)) ** 0.25
+        xw = x.T @ w
+        wxh, ww = xw.T @ h, w.T @ w
+        h = h * ((2 * xw @ wxh) / (xw @ ww @ wxh @ hh + h @ wxh.T @ ww @ wxh + eps)) ** 0.25
+        own.append(((x - w @ w.T @ x @ h @ h.T) ** 2).sum())
+    assert len(values) == len(own) and np.allclose(values, own)
+    got = cocluster.assign_argmax(made, "unit_id", "w").orderBy("unit_id").collect()
+    assert [r.cluster - 1 for r in got] == list(w.argmax(1))
