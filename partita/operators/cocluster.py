@@ -27,6 +27,8 @@ CELLS = 1 << 24
 ITERATIONS = 1000
 SETTLED = 1e-9
 ROWS = 4096
+#: Rounds of a fit after which the rows of W are written.
+WRITTEN = 10
 
 
 def entries_of(data: Dataset) -> DataFrame:
@@ -144,59 +146,64 @@ def _multiplied(factor: np.ndarray, product: np.ndarray, up: np.ndarray, own: np
 def fit(entries: DataFrame, w: DataFrame, h: DataFrame, *, max_iter: int = 1000, tolerance: float = 1e-8) -> tuple[DataFrame, DataFrame, list[float]]:
     """W, H and the objective after each round of multiplicative updates, until its relative change is small.
 
-    A round writes the new rows of W beside the sums for X'W and W'W, and reads the sums.
+    A round is one pass over the units, from which the sums X'W and W'W come back. Rows of W are written every
+    ``WRITTEN`` rounds; between, a pass repeats the updates since then, which costs less than writing all units.
     """
     r, c = _width(w, "w"), _width(h, "h")
     if not r or not c or h.count() * max(r, c) > CELLS:
         return _fit_joined(entries, w, h, max_iter, tolerance)
     total, spark = entries.agg(F.sum(F.col("x") * F.col("x")).alias("t")).first().t or 0.0, entries.sparkSession
     ids, hm = _driver(h, "h")
-    m, tables = len(ids), Tables()
-    rows = tables.written(_pack(entries, w, ids).select("*", F.lit(None).cast("int").alias("sum_at"), F.lit(None).cast("array<double>").alias("sum_v")))
-
-    def passed(update: tuple[np.ndarray, ...] | None) -> DataFrame:
-        """The rows after an update of W, and below them a task's sums: X'W, then W'W."""
-        shared = spark.sparkContext.broadcast((hm, update))
+    m, tables, kind = len(ids), Tables(), dict(w.dtypes)["unit_id"]
+    rows = tables.written(_pack(entries, w, ids))
+    updates: list[tuple[np.ndarray, tuple[np.ndarray, ...]]] = []
+
+    def parts(batches: Iterator[pa.RecordBatch], since: list) -> Iterator[tuple[pa.RecordBatch, _Packed, np.ndarray]]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                units = _Packed(batch := whole.slice(at, ROWS))
+                new = units.w
+                for factor, update in since:
+                    new = _multiplied(new, units.times(factor), *update)
+                yield batch, units, new
+
+    def summed() -> tuple[np.ndarray, np.ndarray]:
+        shared = spark.sparkContext.broadcast(list(updates))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            factor, up = shared.value
             sums = np.zeros((m + r, r))
-            for whole in batches:
-                for at in range(0, whole.num_rows, ROWS):
-                    batch = whole.slice(at, ROWS)
-                    units = _Packed(batch)
-                    new = units.w if up is None else _multiplied(units.w, units.times(factor), *up)
-                    sums[:m] += units.back(new, m)
-                    sums[m:] += new.T @ new
-                    n = batch.num_rows
-                    yield pa.RecordBatch.from_arrays([batch.column("unit_id"), _rows_of(new)[1], batch.column("at"), batch.column("x"), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.float64()))], names)
-            places, values = _rows_of(sums)
-            none = len(sums)
-            yield pa.RecordBatch.from_arrays([pa.nulls(none, pa.int64()), pa.nulls(none, pa.list_(pa.float64())), pa.nulls(none, pa.list_(pa.int32())), pa.nulls(none, pa.list_(pa.float64())), places, values], names)
-
-        names = ["unit_id", "w", "at", "x", "sum_at", "sum_v"]
-        schema = "unit_id long, w array<double>, at array<int>, x array<double>, sum_at int, sum_v array<double>"
-        source = rows.where("sum_at IS NULL").withColumn("unit_id", F.col("unit_id").cast("long"))
-        return tables.written(source.mapInArrow(run, schema))
-
-    def sums_of(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        both = _gathered(table.where("sum_at IS NOT NULL").select(F.col("sum_at").alias("at"), F.col("sum_v").alias("v")), (m + r, r))
+            for _, units, new in parts(batches, shared.value):
+                sums[:m] += units.back(new, m)
+                sums[m:] += new.T @ new
+            yield pa.RecordBatch.from_arrays(list(_rows_of(sums)), ["at", "v"])
+
+        both = _gathered(rows.mapInArrow(run, "at int, v array<double>"), (m + r, r))
         return both[:m], both[m:]
 
-    rows = passed(None)
-    xw, ww = sums_of(rows)
+    def updated() -> DataFrame:
+        shared = spark.sparkContext.broadcast(list(updates))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch, _, new in parts(batches, shared.value):
+                yield pa.RecordBatch.from_arrays([batch.column("unit_id"), _rows_of(new)[1], batch.column("at"), batch.column("x")], ["unit_id", "w", "at", "x"])
+
+        return tables.written(rows.mapInArrow(run, f"unit_id {kind}, w array<double>, at array<int>, x array<double>"))
+
+    xw, ww = summed()
     values = [_value(total, xw.T @ hm, ww, hm.T @ hm)]
     for _ in range(max_iter):
         wxh, hh = xw.T @ hm, hm.T @ hm
-        rows = passed((wxh.T, wxh @ hh @ wxh.T, hh @ wxh.T @ ww))
-        xw, ww = sums_of(rows)
+        updates.append((hm, (wxh.T, wxh @ hh @ wxh.T, hh @ wxh.T @ ww)))
+        if len(updates) == WRITTEN:
+            rows = updated()
+            updates = []
+        xw, ww = summed()
         wxh = xw.T @ hm
         hm = _multiplied(hm, xw, wxh, wxh.T @ ww @ wxh, ww @ wxh @ hh)
         values.append(_value(total, xw.T @ hm, ww, hm.T @ hm))
         if abs(values[-1] - values[-2]) < tolerance * abs(values[-2]):
             break
-    kind = dict(w.dtypes)["unit_id"]
-    final = written(rows.where("sum_at IS NULL").select(F.col("unit_id").cast(kind).alias("unit_id"), "w"))
+    final = written(updated().select("unit_id", "w"))
     tables.drop()
     return final, spark.createDataFrame([(int(i), row) for i, row in zip(ids, hm.tolist())], f"attr_id {dict(h.dtypes)['attr_id']}, h array<double>"), values
 
