@@ -7,9 +7,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from partita.operators.ranks import ranked
 from partita.sources.scratch import written
 
 #: Letters of sequence files in the order of their codes, from 1.
@@ -56,8 +57,8 @@ def alphabet(counts: DataFrame) -> DataFrame:
     number = F.expr("try_cast(value AS double)")
     values = counts.where(F.col("value").isNotNull()).select("value").distinct()
     numeric = values.agg(F.coalesce(F.bool_and(number.isNotNull()), F.lit(False)).alias("numeric"))
-    order = Window.orderBy(F.when(F.col("numeric"), number), "value")
-    return values.crossJoin(numeric).select("value", F.row_number().over(order).alias("code"))
+    keyed = values.crossJoin(numeric).select("value", F.when(F.col("numeric"), number).alias("number"))  # one row beside each
+    return ranked(keyed, ["number", "value"], "code").select("value", "code")
 
 
 def sequence_alphabet(counts: DataFrame) -> DataFrame:
@@ -66,14 +67,10 @@ def sequence_alphabet(counts: DataFrame) -> DataFrame:
 
 
 def attribute_dictionary(counts: DataFrame, sites: DataFrame, codes: DataFrame) -> DataFrame:
-    """attr_id, site_key, pos, value, code: one for each value of each polymorphic site, by site and code.
-
-    The window runs over the dictionary, which has a row for each distinct (pos, value) only.
-    """
-    poly = sites.where("is_poly").select("pos")
-    seen = counts.where(F.col("value").isNotNull()).select("pos", "value").join(poly, "pos", "left_semi").join(codes, "value")
-    order = Window.orderBy("pos", "code")
-    return seen.select(F.row_number().over(order).alias("attr_id"), F.dense_rank().over(Window.orderBy("pos")).alias("site_key"), "pos", "value", F.col("code").cast("int").alias("code"))
+    """attr_id, site_key, pos, value, code: one for each value of each polymorphic site, by site and code."""
+    poly = ranked(sites.where("is_poly").select("pos"), ["pos"], "site_key")
+    seen = counts.where(F.col("value").isNotNull()).select("pos", "value").join(poly, "pos").join(codes, "value")
+    return ranked(seen, ["pos", "code"], "attr_id").select("attr_id", "site_key", "pos", "value", F.col("code").cast("int").alias("code"))
 
 
 def one_hot(cells: DataFrame, attributes: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from partita.operators.counts import cluster_sizes
 from partita.operators.encode import Dataset, decode
+from partita.operators.ranks import ranked
 
 
 def site_classes(states: DataFrame, data: Dataset) -> DataFrame:
@@ -53,9 +54,10 @@ def annotated_units(states: DataFrame, data: Dataset, partition: DataFrame) -> D
     widths = every.groupBy("cluster", "pos").agg(F.greatest(F.max(F.length("text")), F.lit(1)).alias("width"))
     padded = every.join(widths, ["cluster", "pos"]).select("cluster", "unit_id", "pos", F.expr("lpad(text, width, ' ')").alias("text"))
     rows = padded.groupBy("cluster", "unit_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "").alias("line"))
-    named = rows.join(data.units, "unit_id", "left")
-    place = F.row_number().over(Window.partitionBy("cluster").orderBy(F.col("unit_id").asc_nulls_first())) - 1
-    return named.select("cluster", place.alias("place"), F.concat("line", F.coalesce(F.concat(F.lit(" ; "), "uid"), F.lit(""))).alias("line"))
+    named = ranked(rows.join(data.units, "unit_id", "left").select("cluster", "unit_id", "uid", "line"), ["cluster", "unit_id"], "rank")
+    heads_at = named.where(F.col("unit_id").isNull()).select("cluster", F.col("rank").alias("first"))  # a row for each cluster
+    line = F.concat("line", F.coalesce(F.concat(F.lit(" ; "), "uid"), F.lit("")))
+    return named.join(heads_at, "cluster").select("cluster", (F.col("rank") - F.col("first")).cast("int").alias("place"), line.alias("line"))
 
 
 def cluster_summary(states: DataFrame, partition: DataFrame) -> DataFrame:
@@ -74,4 +76,5 @@ def write_report(path: str, *, partition: DataFrame, score: DataFrame, states: D
     if what >= 4:
         parts["annotated_units"] = annotated_units(states, data, partition).orderBy("cluster", "place")
     for name, df in parts.items():
-        df.write.mode("overwrite").option("header", True).csv(f"{path}/{name}")
+        # Lines are padded, and blanks at their ends are kept.
+        df.write.mode("overwrite").option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{path}/{name}")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from partita.operators.encode import Dataset
 from partita.plans import inputs
 from partita.plans.inputs import dataset, encode_sql, lgamma_mix, model_sql, partition, table
 from partita.sources import tables
-from partita.sources.scratch import written
+from partita.sources.scratch import shared_folder, written
 from partita.streaming import profile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +35,11 @@ def _round(column: str | Column, digits: int = 6) -> Column:
     return F.round(column, digits)
 
 
+def _folder(spark: SparkSession) -> str:
+    """A new folder below the shared one, for what a query writes and reads again."""
+    return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+
+
 # Cells and encoding
 
 
@@ -75,13 +81,45 @@ def validate_orders(spark: SparkSession, d: str) -> DataFrame:
 @_query("saved_dataset", f"{encode_sql('part')} SELECT unit_id, attr_id, pos, value FROM ones JOIN attributes USING (attr_id)")
 def saved_dataset(spark: SparkSession, d: str) -> DataFrame:
     """A data set after it was written to the shared folder and loaded again."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp"
-    path = f"{base.rstrip('/')}/dataset-{uuid.uuid4().hex}"
+    path = _folder(spark)
     tables.save_dataset(dataset(spark, d, "part"), path)
     data = tables.load_dataset(spark, path)
     return data.ones.join(data.attributes, "attr_id").select("unit_id", "attr_id", "pos", "value")
 
 
+SEQUENCE_SQL = "translate(lpad(p_partkey::VARCHAR, 8, '0') || lpad(p_size::VARCHAR, 3, '0'), '0123456789', 'acgturykmw')"
+
+
+@_query("fasta_part", f"SELECT 'part ' || p_partkey AS uid, pos, substr({SEQUENCE_SQL}, pos, 1) AS value FROM part, (SELECT unnest(range(1, 12))::INTEGER AS pos)")
+def fasta_part(spark: SparkSession, d: str) -> DataFrame:
+    """Keys and sizes of parts as sequences, written as a sequence file of two lines a sequence and read again."""
+    path = _folder(spark)
+    text = F.translate(F.concat(F.lpad(F.col("p_partkey").cast("string"), 8, "0"), F.lpad(F.col("p_size").cast("string"), 3, "0")), "0123456789", "ACGTURYKMW")
+    record = F.concat(F.lit(">part "), F.col("p_partkey"), F.lit("\n"), F.substring(text, 1, 6), F.lit("\n  "), F.substring(text, 7, 5), F.lit("\n"))
+    table(spark, d, "part").select(record.alias("value")).write.text(path)
+    cells, units = tables.read_fasta(spark, path)
+    return cells.join(units, "unit_id").select("uid", "pos", "value")
+
+
+@_query("csv_orders", f"{encode_sql('orders')} SELECT unit_id::VARCHAR AS uid, pos, value FROM cells")
+def csv_orders(spark: SparkSession, d: str) -> DataFrame:
+    """Columns of orders, written as CSV with a header and ids and read again."""
+    path = _folder(spark)
+    columns = ["o_orderstatus", "o_orderpriority", F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("m")]
+    table(spark, d, "orders").select("o_orderkey", *columns).write.option("header", True).csv(path)
+    cells, units = tables.read_csv(spark, path, header=True, ids=True)
+    return cells.join(units, "unit_id").select("uid", "pos", "value")
+
+
+@_query("partition_file_orders", "SELECT row_number() OVER (ORDER BY o_orderkey) AS unit_id, dense_rank() OVER (ORDER BY o_orderpriority)::DOUBLE AS label FROM orders")
+def partition_file_orders(spark: SparkSession, d: str) -> DataFrame:
+    """Labels written in the order of units, one a line, and read again: line i is unit i."""
+    path = _folder(spark)
+    part = written(partition(spark, d, "orders"))
+    tables.write_partition(part, path)
+    return tables.read_partition(spark, path, part.count())
+
+
 # Counts and labels
 
 for _name in ("documents", "orders", "part", "customer"):
@@ -265,7 +303,40 @@ def cluster_summary_documents(spark: SparkSession, d: str) -> DataFrame:
     return report.cluster_summary(states, part)
 
 
-@_query("annotated_orders")
+SHOWN = "CASE WHEN value = '-' THEN '+' ELSE upper(value) END"
+
+
+def _annotated_sql(name: str) -> str:
+    return f"""{model_sql(name)},
+own_values AS (SELECT cluster, pos, list_sort(list(DISTINCT {SHOWN})) AS vals FROM states JOIN attributes USING (attr_id) WHERE state = 4 GROUP BY cluster, pos),
+texts AS (SELECT p.cluster, c.unit_id, c.pos, CASE WHEN is_poly AND list_contains(vals, {SHOWN}) THEN {SHOWN} ELSE lower(coalesce(CASE WHEN is_poly THEN value END, '')) END AS text
+  FROM cells c JOIN sites USING (pos) JOIN partition p USING (unit_id) LEFT JOIN own_values o ON o.cluster = p.cluster AND o.pos = c.pos),
+heads AS (SELECT cluster, NULL::BIGINT AS unit_id, pos, CASE WHEN len(vals) = 1 THEN vals[1] WHEN len(vals) > 1 THEN len(vals)::VARCHAR ELSE '' END AS text
+  FROM (SELECT DISTINCT cluster FROM partition) CROSS JOIN (SELECT pos FROM sites) LEFT JOIN own_values USING (cluster, pos)),
+every_text AS (SELECT * FROM texts UNION ALL SELECT * FROM heads),
+widths AS (SELECT cluster, pos, greatest(max(len(text)), 1)::INTEGER AS width FROM every_text GROUP BY cluster, pos),
+lines AS (SELECT cluster, unit_id, string_agg(lpad(text, width, ' '), '' ORDER BY pos) AS line FROM every_text JOIN widths USING (cluster, pos) GROUP BY cluster, unit_id),
+annotated AS (SELECT cluster, (row_number() OVER (PARTITION BY cluster ORDER BY unit_id NULLS FIRST) - 1)::INTEGER AS place, line || coalesce(' ; ' || unit_id, '') AS line FROM lines)"""
+
+
+@_query("report_customer", f"""{_annotated_sql('customer')},
+marks AS (SELECT pos, cluster, bool_or(state = 4) AS mine, bool_or(state = 2) AS weak FROM states JOIN attributes USING (attr_id) GROUP BY pos, cluster),
+kinds AS (SELECT pos, cluster, CASE WHEN mine THEN 4 WHEN bool_or(mine) OVER (PARTITION BY pos) THEN 3 WHEN bool_or(weak) OVER (PARTITION BY pos) THEN 2 ELSE 1 END AS class FROM marks)
+SELECT 'partition' AS part, unit_id::VARCHAR AS place, cluster::VARCHAR AS cluster, NULL AS said FROM partition
+UNION ALL SELECT 'site_classes', s.pos::VARCHAR, c.cluster::VARCHAR, coalesce(class, 1)::VARCHAR FROM sites s CROSS JOIN sizes c LEFT JOIN kinds k ON k.pos = s.pos AND k.cluster = c.cluster
+UNION ALL SELECT 'characteristic_values', pos::VARCHAR, cluster::VARCHAR, {SHOWN} FROM states JOIN attributes USING (attr_id) WHERE state = 4
+UNION ALL SELECT 'annotated_units', place::VARCHAR, cluster::VARCHAR, line FROM annotated""")
+def report_customer(spark: SparkSession, d: str) -> DataFrame:
+    """A report of all four levels, written and read again."""
+    data, part, _, states = _states(spark, d, "customer")
+    path = _folder(spark)
+    report.write_report(path, partition=part, score=model.score_partition(data, part, model.default_hyper(data)), states=states, data=data, what=4)
+    read = lambda name, place, said: (lambda x: x.select(F.lit(name).alias("part"), F.col(place).alias("place"), "cluster", (F.col(said) if said else F.lit(None).cast("string")).alias("said")))(spark.read.option("header", True).option("ignoreLeadingWhiteSpace", False).csv(f"{path}/{name}"))
+    parts = [read("partition", "unit_id", None), read("site_classes", "pos", "class"), read("characteristic_values", "pos", "value"), read("annotated_units", "place", "line")]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@_query("annotated_orders", f"{_annotated_sql('orders')} SELECT cluster, place, line FROM annotated")
 def annotated_orders(spark: SparkSession, d: str) -> DataFrame:
     data, part, _, states = _states(spark, d, "orders")
     return report.annotated_units(states, data, part)
