@@ -36,7 +36,7 @@ ABSORBED = 100
 BITS = 26
 CHUNK = 4_000_000
 #: Windows that a task holds before it combines them, and passes them on if half as many are left.
-HELD = 2_000_000
+HELD = 1_000_000
 SALT = 16
 NO_LANGUAGE = "und"
 
