@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from partita.functions.special import log_of
+from partita.operators.counts import cluster_counts, cluster_sizes
 from partita.operators.encode import Dataset
-from partita.operators.model import CLASS_PROBABILITIES, best_of, score_many
+from partita.operators.likelihood import lgamma
+from partita.operators.model import CLASS_PROBABILITIES, best_of, class_priors, score_many
+from partita.operators.packed import Units, blocks, pack
 from partita.sources.scratch import written
 
 #: Units of which a dendrogram is made; every cut is extended to all units.
@@ -39,17 +46,26 @@ def pairwise_distance(data: Dataset) -> DataFrame:
     return grid.join(common, ["i", "j"], "left").select("i", "j", _distance().alias("d"))
 
 
-def near_pairs(data: Dataset, threshold: float, tables: int = 32, together: int = 2, seed: int = 1) -> DataFrame:
-    """i, j, d for pairs at most ``threshold`` apart: candidates by min-hashing, distances exact.
+def near_pairs(data: Dataset, threshold: float) -> DataFrame:
+    """i, j, d for all pairs at most ``threshold`` apart (below 1), exactly. Units without ones are in no pair.
 
-    Two units are compared if ``together`` least hashes of one of ``tables`` tables agree. Units without ones are in no
-    pair. What hashing misses depends on ``tables``: at a distance of 0.4, one pair in a million.
+    A unit's attributes are ordered from the rarest on. Two units that are near have so many in common that one is
+    among the first few of both, so only these are keys; common attributes hardly ever are. Of the pairs that meet,
+    those stay whose sizes, and what follows the place where they met, leave room for enough common attributes.
     """
-    least = [F.min(F.xxhash64("attr_id", F.lit(seed * 10_000 + k))).alias(f"h{k}") for k in range(tables * together)]
-    units = written(data.ones.groupBy("unit_id").agg(F.collect_set("attr_id").alias("at"), *least))
-    keys = F.array(*[F.xxhash64(F.lit(t), *[f"h{t * together + k}" for k in range(together)]) for t in range(tables)])
-    hashed = units.select("unit_id", F.explode(keys).alias("key"))
-    met = hashed.withColumnRenamed("unit_id", "i").join(hashed.withColumnRenamed("unit_id", "j"), "key").where(F.col("i") < F.col("j")).select("i", "j").distinct()
+    if not 0 <= threshold < 1:
+        raise ValueError("a threshold from 0 to below 1 is needed")
+    share = 1.0 - threshold - 1e-9
+    totals = data.ones.groupBy("attr_id").agg(F.count("*").alias("total"))
+    ordered = data.ones.join(totals, "attr_id").groupBy("unit_id").agg(F.array_sort(F.collect_list(F.struct("total", "attr_id"))).alias("o"))
+    units = written(ordered.select("unit_id", F.col("o.attr_id").alias("at"), F.size("o").alias("size")))
+    needed = lambda size: F.ceil(F.lit(share) * size)
+    keys = units.select("unit_id", "size", F.posexplode(F.slice("at", F.lit(1), (F.col("size") - needed(F.col("size")) + 1).cast("int"))).alias("place", "key"))
+    a, b = keys.alias("a"), keys.alias("b")
+    both = F.ceil(F.lit(share / (1 + share)) * (F.col("a.size") + F.col("b.size")) - 1e-9)
+    room = 1 + F.least(F.col("a.size") - F.col("a.place"), F.col("b.size") - F.col("b.place")) - 1
+    fits = (F.col("a.unit_id") < F.col("b.unit_id")) & (F.col("a.size") >= needed(F.col("b.size"))) & (F.col("b.size") >= needed(F.col("a.size"))) & (room >= both)
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & fits).select(F.col("a.unit_id").alias("i"), F.col("b.unit_id").alias("j")).distinct()
     sides = [units.select(F.col("unit_id").alias(c), F.col("at").alias(f"{c}_at")) for c in ("i", "j")]
     common = F.size(F.array_intersect("i_at", "j_at"))
     d = 1 - common / (F.size("i_at") + F.size("j_at") - common)
@@ -115,47 +131,175 @@ def _dendrogram_cuts(d: np.ndarray, most: int) -> np.ndarray:
     return cuts + 1
 
 
-def candidate_cuts(data: Dataset, *, sample: int = SAMPLE, seed: int = 0) -> DataFrame:
-    """run_id (the number of clusters), unit_id, cluster for every cut of a dendrogram of at most ``sample`` units.
+@dataclass
+class Tree:
+    """A dendrogram with all units in its leaves: (unit_id, leaf), the cluster of each leaf in each cut (run_id, leaf,
+    cluster), the nodes above each leaf (leaf, node), and for each node the cuts in which it is whole (from, to)."""
+
+    leaves: DataFrame
+    cuts: DataFrame
+    above: DataFrame
+    whole: list[tuple[int, int]]
+
+
+def _jaccard(sizes: np.ndarray, shared: np.ndarray, others: np.ndarray) -> np.ndarray:
+    union = sizes + others - shared
+    return np.where(union == 0, 0.0, 1.0 - shared / np.maximum(union, 1))
+
+
+def _split_nodes(cuts: np.ndarray, d: np.ndarray) -> tuple[list[tuple[int, int, int]], list[int], list[tuple[int, int]], np.ndarray]:
+    """Of cuts that differ by one split each: (node, left, right) of every split, each node's medoid (a place among the
+    units), the first and last cut in which it is whole, and the node of each cluster in each cut."""
+    most = len(cuts)
+    medoid = lambda members: int(members[np.argmin(np.round(d[np.ix_(members, members)].sum(1), 9))])
+    nodes, splits, whole = [medoid(np.arange(cuts.shape[1]))], [], [[1, most]]
+    at = np.zeros((most, most), int)
+    for k in range(1, most):
+        for c in range(1, k + 1):  # a cluster that goes on is the same node; the one that is split becomes two
+            parts = np.unique(cuts[k][cuts[k - 1] == c])
+            if len(parts) == 1:
+                at[k, parts[0] - 1] = at[k - 1, c - 1]
+                continue
+            parent = int(at[k - 1, c - 1])
+            whole[parent][1] = k
+            for p in parts:
+                at[k, p - 1] = len(nodes)
+                nodes.append(medoid(np.flatnonzero(cuts[k] == p)))
+                whole.append([k + 1, most])
+            splits.append((parent, len(nodes) - 2, len(nodes) - 1))
+    return splits, nodes, [tuple(w) for w in whole], at
+
 
-    Each cut is extended to all units by the nearest medoid of its clusters.
+def dendrogram(data: Dataset, *, sample: int = SAMPLE, seed: int = 0) -> Tree:
+    """Complete linkage of at most ``sample`` units, cut into 1, 2, ... clusters; all units are routed down the tree.
+
+    One task has the packed units of the sample. A unit starts at the root and goes, at each split, to the part with the
+    nearer medoid (the first of equals): it is compared with two medoids a level, and appears once.
     """
     n = data.units.count()
-    drawn = data.units.select("unit_id").orderBy(F.xxhash64("unit_id", F.lit(seed)), "unit_id").limit(sample)
-    some = Dataset(drawn, data.sites, data.attributes, data.ones.join(drawn, "unit_id", "left_semi"))
-    pairs = both_ways(pairwise_distance(some))
-    size = min(n, sample)
-    most = min(size, max(math.ceil(math.sqrt(n)), 100))
-
-    def cut(rows: pd.DataFrame) -> pd.DataFrame:
-        ids = np.sort(rows["i"].unique())
-        d = np.zeros((len(ids), len(ids)))
-        d[np.searchsorted(ids, rows["i"]), np.searchsorted(ids, rows["j"])] = rows["d"]
-        out = []
-        for k, labels in enumerate(_dendrogram_cuts(d, most), 1):
-            for c in range(1, k + 1):
-                members = np.flatnonzero(labels == c)
-                out.append((k, c, ids[members[np.argmin(d[np.ix_(members, members)].sum(1))]]))
-        return pd.DataFrame(out, columns=["run_id", "cluster", "unit_id"])
-
-    medoids = pairs.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(cut, "run_id int, cluster int, unit_id long")
-    return nearest_medoid(data, medoids, ("run_id",)).select("run_id", "unit_id", "cluster")
+    ids = np.array(sorted(r.attr_id for r in data.attributes.select("attr_id").collect()), np.int64)
+    packed = written(pack(data, data.units.select("unit_id", F.lit(0).alias("cluster")), ids))
+    drawn = packed.orderBy(F.xxhash64("unit_id", F.lit(seed)), "unit_id").limit(sample)
+    most = min(n, sample, max(math.ceil(math.sqrt(n)), 100))
+
+    def cut(table: pa.Table) -> pa.Table:
+        units = Units(table.take(pc.sort_indices(table.column("unit_id"))))
+        shared, size = np.zeros((len(units.ids),) * 2), units.lengths.astype(float)
+        for low in range(0, len(ids), 2048):
+            some = (units.flat >= low) & (units.flat < low + 2048)
+            y = np.zeros((len(units.ids), 2048), np.float32)
+            y[units.row[some], units.flat[some] - low] = 1
+            shared += y @ y.T
+        d = _jaccard(size[:, None], shared, size[None])
+        splits, nodes, whole, at = _split_nodes(_dendrogram_cuts(d, most), d)
+        children = {p: (left, right) for p, left, right in splits}
+        place = lambda v: [int(np.flatnonzero(at[k, : k + 1] == v)[0]) for k in range(whole[v][0] - 1, whole[v][1])]
+        rows = [(v, *children.get(v, (-1, -1)), *whole[v], units.flat[units.starts[u] : units.starts[u] + units.lengths[u]].tolist(), place(v)) for v, u in enumerate(nodes)]
+        kinds = [pa.int32()] * 5 + [pa.list_(pa.int32()), pa.list_(pa.int32())]
+        return pa.Table.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], ["node", "left", "right", "first", "last", "at", "place"])
+
+    schema = "node int, left int, right int, first int, last int, at array<int>, place array<int>"
+    nodes = sorted(drawn.groupBy("cluster").applyInArrow(cut, schema).collect())  # fewer than twice the sample
+    spark = data.units.sparkSession
+    medoids = np.zeros((len(nodes), len(ids)), bool)
+    for v in nodes:
+        medoids[v.node, v.at] = True
+    shared = spark.sparkContext.broadcast((np.array([(v.left, v.right) for v in nodes]).reshape(-1, 2), medoids))
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        children, ones = shared.value
+        sizes = ones.sum(1)
+        for units in blocks(batches):
+            at = np.zeros(len(units.ids), int)
+            while (going := children[at, 0] >= 0).any():
+                d = [_jaccard(units.lengths, units.summed(ones[children[at, side][units.row], units.flat].astype(float)), sizes[children[at, side]]) for side in (0, 1)]
+                at = np.where(going, np.where(np.round(d[1], 9) < np.round(d[0], 9), children[at, 1], children[at, 0]), at)
+            yield pa.RecordBatch.from_arrays([pa.array(units.ids), pa.array(at.astype(np.int32))], ["unit_id", "leaf"])
+
+    leaves = written(packed.mapInArrow(route, "unit_id long, leaf int"))
+    parent = {c: v.node for v in nodes for c in (v.left, v.right) if c >= 0}
+    above = []
+    for v in nodes:
+        if v.left < 0:
+            up = v.node
+            above.append((v.node, up))
+            while up in parent:
+                up = parent[up]
+                above.append((v.node, up))
+    cuts = [(v.first + i, leaf, c + 1) for leaf, node in above for v in [nodes[node]] for i, c in enumerate(v.place)]
+    return Tree(leaves, spark.createDataFrame(cuts, "run_id int, leaf int, cluster int"), spark.createDataFrame(above, "leaf int, node int"), [(v.first, v.last) for v in nodes])
+
+
+def candidate_cuts(data: Dataset, *, sample: int = SAMPLE, seed: int = 0) -> DataFrame:
+    """run_id (the number of clusters of the sample), unit_id, cluster for every cut of a dendrogram.
+
+    A part to which no unit is routed has no row.
+    """
+    tree = dendrogram(data, sample=sample, seed=seed)
+    return tree.leaves.join(tree.cuts, "leaf").select("run_id", "unit_id", "cluster")
+
+
+def score_cuts(data: Dataset, tree: Tree, hyper: DataFrame, g: tuple[float, float, float] = CLASS_PROBABILITIES) -> DataFrame:
+    """run_id and score of every cut, from one count for each leaf and attribute.
+
+    A node's marginals are the same in all cuts in which it is whole; a task has all nodes of some attributes and adds
+    them up by cut.
+    """
+    leaf = tree.leaves.withColumnRenamed("leaf", "cluster")
+    counts = cluster_counts(data.ones, leaf, data.attributes).join(cluster_sizes(leaf), "cluster").withColumnRenamed("cluster", "leaf")
+    by_node = counts.join(tree.above, "leaf").groupBy("attr_id", "node").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1")).join(hyper, "attr_id")
+    whole, logs = np.array(tree.whole), np.array(class_priors(g))
+    most = int(whole[:, 1].max())
+
+    def cut_scores(table: pa.Table) -> pa.Table:
+        node, n, n1 = (table.column(c).to_numpy() for c in ("node", "n", "n1"))
+        a, b = (np.array([table.column(f"{x}{s}")[0].as_py() for s in range(1, 5)])[:, None] for x in "ab")
+        parts = lgamma(a + b) - lgamma(a) - lgamma(b) + lgamma(a + n1) + lgamma(b + n - n1) - lgamma(a + b + n)
+        first, last = whole[node, 0], whole[node, 1]
+        best = np.zeros(most)
+        for k in range(1, most + 1):
+            here = (first <= k) & (last >= k)
+            held = int(here.sum())
+            third, fourth = log_of((held - 1) / held), -math.log(held)
+            h1, h2, h3 = parts[0, here].sum() + logs[0], parts[1, here].sum() + logs[1], np.maximum(parts[2, here] + third, parts[3, here] + fourth).sum() + logs[2]
+            best[k - 1] = h3 if h3 > h2 and h3 > h1 else h1 if h3 > h2 else h2 if h2 > h1 else h1
+        return pa.table({"run_id": pa.array(np.arange(1, most + 1, dtype=np.int32)), "best": pa.array(best)})
+
+    return by_node.groupBy("attr_id").applyInArrow(cut_scores, "run_id int, best double").groupBy("run_id").agg(F.sum("best").alias("score"))
+
+
+def nearest_of_first(data: Dataset, medoids: DataFrame, numbers: list[int]) -> DataFrame:
+    """run_id, unit_id, cluster: each unit with the nearest of the first k medoids, the first of equals, for each k."""
+    ids = np.array(sorted(r.attr_id for r in data.attributes.select("attr_id").collect()), np.int64)
+    packed = written(pack(data, data.units.select("unit_id", F.lit(0).alias("cluster")), ids))
+    order = [r.unit_id for r in medoids.orderBy("cluster").collect()]
+    ones = np.zeros((len(order), len(ids)))
+    for r in packed.where(F.col("unit_id").isin(order)).collect():
+        ones[[i for i, u in enumerate(order) if u == r.unit_id], :] = np.bincount(r["at"], minlength=len(ids))
+    shared = data.units.sparkSession.sparkContext.broadcast(ones)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for units in blocks(batches):
+            d = np.round(_jaccard(units.lengths[:, None], units.summed(shared.value.T[units.flat]), shared.value.sum(1)[None]), 9)
+            for k in numbers:
+                n = len(units.ids)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, k, np.int32)), pa.array(units.ids), pa.array((d[:, :k].argmin(1) + 1).astype(np.int32))], ["run_id", "unit_id", "cluster"])
+
+    return packed.mapInArrow(run, "run_id int, unit_id long, cluster int")
 
 
 def initial_partition(data: Dataset, hyper: DataFrame, g: tuple[float, float, float] = CLASS_PROBABILITIES, *, k_set: list[int] | None = None, sample: int = SAMPLE) -> DataFrame:
     """unit_id, cluster: the best of k-medoid partitions around the number of clusters whose cut scores best."""
     n = data.units.count()
     if k_set is None:
-        best = best_of(score_many(data, candidate_cuts(data, sample=sample), hyper, g)).first().run_id
+        best = best_of(score_cuts(data, dendrogram(data, sample=sample), hyper, g)).first().run_id
         k_set = list(range(max(1, best - 10), min(n - 1, best + 10) + 1))
     drawn = data.units.select("unit_id").orderBy(F.xxhash64("unit_id", F.lit(0)), "unit_id").limit(sample)
     pairs = pairwise_distance(Dataset(drawn, data.sites, data.attributes, data.ones.join(drawn, "unit_id", "left_semi")))
-    medoids = k_medoids(pairs, max(k_set))
     # Medoids are chosen one by one, so those of a smaller k are the first of them.
-    runs = data.units.sparkSession.createDataFrame([(k,) for k in k_set], "run_id int")
-    each = runs.join(medoids, F.col("cluster") <= F.col("run_id")).select("run_id", "cluster", "unit_id")
-    assigned = nearest_medoid(data, each, ("run_id",)).select("run_id", "unit_id", "cluster")
+    assigned = written(nearest_of_first(data, k_medoids(pairs, max(k_set)), k_set))
     best = best_of(score_many(data, assigned, hyper, g)).first().run_id
-    ranked = F.dense_rank().over(Window.orderBy("cluster"))
     kept = assigned.where(F.col("run_id") == best)
-    return kept.join(kept.select("cluster").distinct().select("cluster", ranked.alias("new")), "cluster").select("unit_id", F.col("new").alias("cluster"))
+    numbers = {c: k for k, c in enumerate(sorted(r.cluster for r in kept.select("cluster").distinct().collect()), 1)}  # a row for each cluster
+    renumbered = F.element_at(F.create_map(*[x for c, k in numbers.items() for x in (F.lit(c), F.lit(k))]), F.col("cluster"))
+    return kept.select("unit_id", renumbered.alias("cluster"))

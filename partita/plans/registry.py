@@ -360,6 +360,12 @@ def near_pairs_embeddings(spark: SparkSession, d: str) -> DataFrame:
     return distance.near_pairs(dataset(spark, d, "embeddings"), 0.4).select("i", "j", _round("d").alias("d"))
 
 
+@_query("near_pairs_by_threshold_embeddings", f"{_DISTANCE_SQL} SELECT threshold, i, j, round(d, 6) AS d FROM square, (SELECT unnest([0.2::DOUBLE, 0.4::DOUBLE, 0.6::DOUBLE]) AS threshold) WHERE i < j AND d <= threshold + 1e-9")
+def near_pairs_by_threshold_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    data = dataset(spark, d, "embeddings")
+    return reduce(DataFrame.unionByName, [distance.near_pairs(data, t).select(F.lit(t).alias("threshold"), "i", "j", _round("d").alias("d")) for t in (0.2, 0.4, 0.6)])
+
+
 @_query("nearest_medoid_embeddings", f"{_DISTANCE_SQL}, medoids AS (SELECT min(vec_id) AS j, label + 1 AS cluster FROM embeddings GROUP BY label) SELECT i AS unit_id, cluster::INTEGER AS cluster, round(d, 6) AS d FROM square JOIN medoids USING (j) QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, cluster) = 1")
 def nearest_medoid_embeddings(spark: SparkSession, d: str) -> DataFrame:
     medoids = table(spark, d, "embeddings").groupBy("label").agg(F.min("vec_id").alias("unit_id")).select((F.col("label") + 1).cast("int").alias("cluster"), "unit_id")
@@ -380,8 +386,12 @@ def k_medoids_embeddings(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("candidate_cuts_customer")
 def candidate_cuts_customer(spark: SparkSession, d: str) -> DataFrame:
-    """Units of each cluster of each cut of a dendrogram of a sample, extended to all customers."""
-    return distance.candidate_cuts(dataset(spark, d, "customer")).groupBy("run_id", "cluster").agg(F.count("*").alias("n"))
+    """Clusters of every cut and their units, with the scores of the cuts."""
+    data = dataset(spark, d, "customer")
+    tree = distance.dendrogram(data)
+    scores = distance.score_cuts(data, tree, model.default_hyper(data)).select("run_id", _round("score", 3).alias("score"))
+    units = tree.leaves.groupBy("leaf").agg(F.count("*").alias("n")).join(tree.cuts, "leaf").groupBy("run_id", "cluster").agg(F.sum("n").alias("n"))
+    return units.join(scores, "run_id")
 
 
 @_query("initial_partition_customer")

@@ -152,13 +152,28 @@ def test_distances_and_medoids(spark):
     for r in pairs.collect():
         assert abs(r.d - (1 - len(ones[r.i] & ones[r.j]) / len(ones[r.i] | ones[r.j]))) < 1e-12
     assert pairs.count() == 24 * 23 // 2
-    near = {(r.i, r.j) for r in distance.near_pairs(data, 0.4).collect()}
-    want = {(r.i, r.j) for r in pairs.where("d <= 0.4").collect()}
-    assert near == want
+    for t in (0.0, 0.2, 0.4, 0.75):
+        near = sorted((r.i, r.j) for r in distance.near_pairs(data, t).collect())
+        assert near == sorted((r.i, r.j) for r in pairs.where(f"d <= {t + 1e-9}").collect())
     part = distance.initial_partition(data, model.default_hyper(data), k_set=[2, 3, 4], sample=24)
     assert part.count() == 24
-    cuts = distance.candidate_cuts(data, sample=12)
-    assert cuts.groupBy("run_id").count().where("count != 24").count() == 0
+    cuts = written(distance.candidate_cuts(data, sample=12))
+    assert cuts.groupBy("run_id").count().where("count != 24").count() == 0 and cuts.agg(F.max("run_id")).first()[0] == 12
+    hyper = written(model.default_hyper(data))
+    scores = {r.run_id: r.score for r in distance.score_cuts(data, distance.dendrogram(data, sample=12), hyper).collect()}
+    for r in model.score_many(data, cuts, hyper).collect():
+        assert abs(r.score - scores[r.run_id]) < 1e-8
+    # Each cut splits one cluster of the one before, and the whole sample is cut as the dendrogram says.
+    by = {}
+    for r in distance.candidate_cuts(data, sample=24).collect():
+        by.setdefault(r.run_id, {}).setdefault(r.cluster, set()).add(r.unit_id)
+    for k in range(2, 25):
+        assert len({frozenset(x) for x in by[k].values()} - {frozenset(x) for x in by[k - 1].values()}) in (0, 1, 2)
+    chosen = distance.k_medoids(pairs, 5)
+    together = {(r.run_id, r.unit_id): r.cluster for r in distance.nearest_of_first(data, chosen, [2, 5]).collect()}
+    for k in (2, 5):
+        for r in distance.nearest_medoid(data, chosen.where(F.col("cluster") <= k)).collect():
+            assert together[k, r.unit_id] == r.cluster
 
 
 def test_cocluster_against_numpy(spark):
