@@ -147,6 +147,18 @@ def _jaccard(sizes: np.ndarray, shared: np.ndarray, others: np.ndarray) -> np.nd
     return np.where(union == 0, 0.0, 1.0 - shared / np.maximum(union, 1))
 
 
+def _matrix(table: pa.Table, m: int) -> tuple[Units, np.ndarray]:
+    """Packed units in the order of their ids, and the distances between all of them."""
+    units = Units(table.take(pc.sort_indices(table.column("unit_id"))))
+    shared, size = np.zeros((len(units.ids),) * 2), units.lengths.astype(float)
+    for low in range(0, m, 2048):
+        some = (units.flat >= low) & (units.flat < low + 2048)
+        y = np.zeros((len(units.ids), 2048), np.float32)
+        y[units.row[some], units.flat[some] - low] = 1
+        shared += y @ y.T
+    return units, _jaccard(size[:, None], shared, size[None])
+
+
 def _split_nodes(cuts: np.ndarray, d: np.ndarray) -> tuple[list[tuple[int, int, int]], list[int], list[tuple[int, int]], np.ndarray]:
     """Of cuts that differ by one split each: (node, left, right) of every split, each node's medoid (a place among the
     units), the first and last cut in which it is whole, and the node of each cluster in each cut."""
@@ -170,27 +182,44 @@ def _split_nodes(cuts: np.ndarray, d: np.ndarray) -> tuple[list[tuple[int, int,
     return splits, nodes, [tuple(w) for w in whole], at
 
 
+def _packed(data: Dataset) -> tuple[DataFrame, np.ndarray]:
+    ids = np.array(sorted(r.attr_id for r in data.attributes.select("attr_id").collect()), np.int64)
+    return written(pack(data, data.units.select("unit_id", F.lit(0).alias("cluster")), ids)), ids
+
+
+def _drawn(packed: DataFrame, sample: int, seed: int = 0) -> DataFrame:
+    """The ``sample`` units with the smallest hashes."""
+    return packed.orderBy(F.xxhash64("unit_id", F.lit(seed)), "unit_id").limit(sample)
+
+
+def sample_medoids(data: Dataset, k: int, *, sample: int = SAMPLE) -> DataFrame:
+    """cluster and unit_id of k medoids of at most ``sample`` units, chosen as by ``k_medoids``, in one task."""
+    packed, ids = _packed(data)
+
+    def build(table: pa.Table) -> pa.Table:
+        units, d = _matrix(table, len(ids))
+        chosen = [int(np.round(d.sum(0), 9).argmin())]
+        while len(chosen) < min(k, len(d)):
+            gain = np.round(np.maximum(d[chosen].min(0)[None] - d, 0.0).sum(1), 9)
+            gain[chosen] = -1.0
+            chosen.append(int(gain.argmax()))
+        return pa.table({"cluster": pa.array(np.arange(1, len(chosen) + 1, dtype=np.int32)), "unit_id": pa.array(units.ids[chosen])})
+
+    return _drawn(packed, sample).groupBy("cluster").applyInArrow(build, "cluster int, unit_id long")
+
+
 def dendrogram(data: Dataset, *, sample: int = SAMPLE, seed: int = 0) -> Tree:
     """Complete linkage of at most ``sample`` units, cut into 1, 2, ... clusters; all units are routed down the tree.
 
     One task has the packed units of the sample. A unit starts at the root and goes, at each split, to the part with the
     nearer medoid (the first of equals): it is compared with two medoids a level, and appears once.
     """
-    n = data.units.count()
-    ids = np.array(sorted(r.attr_id for r in data.attributes.select("attr_id").collect()), np.int64)
-    packed = written(pack(data, data.units.select("unit_id", F.lit(0).alias("cluster")), ids))
-    drawn = packed.orderBy(F.xxhash64("unit_id", F.lit(seed)), "unit_id").limit(sample)
+    n, (packed, ids) = data.units.count(), _packed(data)
+    drawn = _drawn(packed, sample, seed)
     most = min(n, sample, max(math.ceil(math.sqrt(n)), 100))
 
     def cut(table: pa.Table) -> pa.Table:
-        units = Units(table.take(pc.sort_indices(table.column("unit_id"))))
-        shared, size = np.zeros((len(units.ids),) * 2), units.lengths.astype(float)
-        for low in range(0, len(ids), 2048):
-            some = (units.flat >= low) & (units.flat < low + 2048)
-            y = np.zeros((len(units.ids), 2048), np.float32)
-            y[units.row[some], units.flat[some] - low] = 1
-            shared += y @ y.T
-        d = _jaccard(size[:, None], shared, size[None])
+        units, d = _matrix(table, len(ids))
         splits, nodes, whole, at = _split_nodes(_dendrogram_cuts(d, most), d)
         children = {p: (left, right) for p, left, right in splits}
         place = lambda v: [int(np.flatnonzero(at[k, : k + 1] == v)[0]) for k in range(whole[v][0] - 1, whole[v][1])]
@@ -270,8 +299,7 @@ def score_cuts(data: Dataset, tree: Tree, hyper: DataFrame, g: tuple[float, floa
 
 def nearest_of_first(data: Dataset, medoids: DataFrame, numbers: list[int]) -> DataFrame:
     """run_id, unit_id, cluster: each unit with the nearest of the first k medoids, the first of equals, for each k."""
-    ids = np.array(sorted(r.attr_id for r in data.attributes.select("attr_id").collect()), np.int64)
-    packed = written(pack(data, data.units.select("unit_id", F.lit(0).alias("cluster")), ids))
+    packed, ids = _packed(data)
     order = [r.unit_id for r in medoids.orderBy("cluster").collect()]
     ones = np.zeros((len(order), len(ids)))
     for r in packed.where(F.col("unit_id").isin(order)).collect():
@@ -294,10 +322,8 @@ def initial_partition(data: Dataset, hyper: DataFrame, g: tuple[float, float, fl
     if k_set is None:
         best = best_of(score_cuts(data, dendrogram(data, sample=sample), hyper, g)).first().run_id
         k_set = list(range(max(1, best - 10), min(n - 1, best + 10) + 1))
-    drawn = data.units.select("unit_id").orderBy(F.xxhash64("unit_id", F.lit(0)), "unit_id").limit(sample)
-    pairs = pairwise_distance(Dataset(drawn, data.sites, data.attributes, data.ones.join(drawn, "unit_id", "left_semi")))
     # Medoids are chosen one by one, so those of a smaller k are the first of them.
-    assigned = written(nearest_of_first(data, k_medoids(pairs, max(k_set)), k_set))
+    assigned = written(nearest_of_first(data, sample_medoids(data, max(k_set), sample=sample), k_set))
     best = best_of(score_many(data, assigned, hyper, g)).first().run_id
     kept = assigned.where(F.col("run_id") == best)
     numbers = {c: k for k, c in enumerate(sorted(r.cluster for r in kept.select("cluster").distinct().collect()), 1)}  # a row for each cluster

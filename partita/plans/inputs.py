@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from partita.operators.encode import Dataset, clean, encode
+from partita.operators.encode import Dataset, encode
 from partita.sources.tables import from_strings, from_table
 
 LETTERS = "abcdefghijklmnopqrstuvwxyzàâäæçèéêëîïôöœùûüßáíóúñ"
-ALIGNED = 64
-MISSING = ("-",)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,8 +24,9 @@ def document_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def aligned_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first characters of every document as an alignment."""
-    return from_strings(table(spark, sf_dir, "documents"), "doc_id", "text", ALIGNED, miss=MISSING)
+    """Codes of orders as an alignment: key, status, first letter of the priority and date, 18 characters each."""
+    code = F.concat(F.lpad(F.col("o_orderkey").cast("string"), 8, "0"), "o_orderstatus", F.substring("o_orderpriority", 1, 1), F.date_format("o_orderdate", "yyyyMMdd"))
+    return from_strings(table(spark, sf_dir, "orders").select("o_orderkey", code.alias("code")), "o_orderkey", "code")
 
 
 def order_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +52,7 @@ def embedding_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 CELLS = {"documents": document_cells, "aligned": aligned_cells, "orders": order_cells, "part": part_cells, "customer": customer_cells, "embeddings": embedding_cells}
 #: Table, id and column (SQL) that partitions its units.
 GROUPS = {
-    "documents": ("documents", "doc_id", "lang"), "aligned": ("documents", "doc_id", "lang"), "orders": ("orders", "o_orderkey", "o_orderpriority"),
+    "documents": ("documents", "doc_id", "lang"), "aligned": ("orders", "o_orderkey", "o_orderpriority"), "orders": ("orders", "o_orderkey", "o_orderpriority"),
     "part": ("part", "p_partkey", "p_type"), "customer": ("customer", "c_custkey", "c_nationkey % 5"), "embeddings": ("embeddings", "vec_id", "label"),
 }
 
@@ -72,10 +71,6 @@ def partition(spark: SparkSession, sf_dir: str, name: str, by: str | None = None
     return rows.join(ranked, "label").select("unit_id", "cluster")
 
 
-def missing_free(value):
-    return clean(value, MISSING)
-
-
 def _columns_sql(source: str, key: str, columns: list[str]) -> str:
     parts = [f"SELECT {key} AS unit_id, {k} AS pos, nullif(lower(trim(({c})::VARCHAR)), '') AS value FROM {source}" for k, c in enumerate(columns, 1)]
     return " UNION ALL ".join(parts)
@@ -83,7 +78,8 @@ def _columns_sql(source: str, key: str, columns: list[str]) -> str:
 
 CELLS_SQL = {
     "documents": f"SELECT doc_id AS unit_id, pos, CASE WHEN contains(lower(coalesce(text, '')), substr('{LETTERS}', pos, 1)) THEN '1' ELSE '0' END AS value FROM documents, (SELECT unnest(range(1, {len(LETTERS) + 1}))::INTEGER AS pos)",
-    "aligned": f"SELECT doc_id AS unit_id, pos, nullif(nullif(lower(trim(substr(rpad(substr(text, 1, {ALIGNED}), {ALIGNED}, '-'), pos, 1))), '-'), '') AS value FROM documents, (SELECT unnest(range(1, {ALIGNED + 1}))::INTEGER AS pos)",
+    "aligned": """SELECT unit_id, pos, nullif(lower(trim(substr(code, pos, 1))), '') AS value FROM (SELECT o_orderkey AS unit_id,
+      lpad(o_orderkey::VARCHAR, 8, '0') || o_orderstatus || substr(o_orderpriority, 1, 1) || strftime(o_orderdate, '%Y%m%d') AS code FROM orders), (SELECT unnest(range(1, 19))::INTEGER AS pos)""",
     "orders": _columns_sql("orders", "o_orderkey", ["o_orderstatus", "o_orderpriority", "year(o_orderdate)", "month(o_orderdate)"]),
     "part": _columns_sql("part", "p_partkey", ["p_name", "p_brand", "p_type", "p_size"]),
     "customer": _columns_sql("customer", "c_custkey", ["c_mktsegment", "c_nationkey", "floor(c_acctbal / 1000)::BIGINT"]),

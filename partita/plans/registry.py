@@ -495,10 +495,8 @@ def stream_profile_orders(spark: SparkSession, d: str) -> DataFrame:
     schema = table(spark, d, "orders").schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "orders*").parquet(d)
     records = stream.select("o_orderkey", "o_orderstatus", "o_orderpriority", F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("m"))
-    name = f"profile_{uuid.uuid4().hex}"
-    running = profile.start_profile(profile.stream_value_counts(records, "o_orderkey", cols=["o_orderstatus", "o_orderpriority", "y", "m"]), name)
+    kept, columns = profile.Profile(_folder(spark)), ["o_orderstatus", "o_orderpriority", "y", "m"]
+    running = kept.start(records, lambda batch: tables.from_table(batch, "o_orderkey", columns), _folder(spark))
     running.processAllAvailable()
     running.stop()
-    return profile.current_sites(spark.table(name))
-
-
+    return kept.sites(spark)

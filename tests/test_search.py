@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from test_model import _planted
 
 from partita.operators import assign, cocluster, distance, model, search
+from partita.operators.encode import profile_sites, value_counts
 from partita.sources.scratch import Tables, written
 from partita.sources.tables import from_table
 from partita.streaming import profile
@@ -170,6 +171,7 @@ def test_distances_and_medoids(spark):
     for k in range(2, 25):
         assert len({frozenset(x) for x in by[k].values()} - {frozenset(x) for x in by[k - 1].values()}) in (0, 1, 2)
     chosen = distance.k_medoids(pairs, 5)
+    assert sorted(distance.sample_medoids(data, 5).collect()) == sorted(chosen.collect())
     together = {(r.run_id, r.unit_id): r.cluster for r in distance.nearest_of_first(data, chosen, [2, 5]).collect()}
     for k in (2, 5):
         for r in distance.nearest_medoid(data, chosen.where(F.col("cluster") <= k)).collect():
@@ -208,17 +210,30 @@ def test_cocluster_against_numpy(spark):
     assert a.count() == 12 and all(sum(r.w) == 1 for r in a.collect()) and all(sum(r.h) == 1 for r in b.collect())
 
 
-def test_stream_profile_equals_batch(spark, tmp_path):
-    from partita.operators.encode import profile_sites, value_counts
-
+def test_stream_profile_counts_each_batch_once(spark, tmp_path):
+    """A stream that fails after a batch was written, before it was noted as done, ends equal to the batch profile."""
     rows = spark.createDataFrame([(i, str(i % 3), "x") for i in range(50)], "id long, a string, b string")
     rows.repartition(5).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    running = profile.start_profile(profile.stream_value_counts(stream, "id", cols=["a", "b"]), "profile_test")
-    running.processAllAvailable()
-    running.stop()
-    batch = profile_sites(value_counts(from_table(rows, "id", ["a", "b"])))
-    assert sorted(profile.current_sites(spark.table("profile_test")).collect()) == sorted(batch.collect())
+    profiled = profile.Profile(str(tmp_path / "counts"), every=2)
+
+    def begin(after=None):
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        cells = lambda records: from_table(records, "id", ["a", "b"])
+        return profiled.start(stream, cells, str(tmp_path / "checkpoint"), after=after)
+
+    def fail(batch):
+        if batch == 3:
+            raise RuntimeError("lost")
+
+    broken = begin(fail)
+    with pytest.raises(Exception, match="lost"):
+        broken.processAllAvailable()
+    again = begin()
+    again.processAllAvailable()
+    again.stop()
+    batch = value_counts(from_table(rows, "id", ["a", "b"]))
+    assert sorted(profiled.counts(spark).collect()) == sorted(batch.collect())
+    assert sorted(profiled.sites(spark).collect()) == sorted(profile_sites(batch).collect())
 
 
 def test_a_level_goes_on_to_later_batches(spark, monkeypatch):
