@@ -12,7 +12,7 @@ def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; where it is unset, a temporary folder if driver and executors are one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="partita-")
         spark.conf.set("spark.checkpoint.dir", base)

@@ -281,3 +281,25 @@ def test_cofactors_are_fitted_to_their_tolerance(spark):
     assert len(values) == len(own) and np.allclose(values, own)
     got = cocluster.assign_argmax(made, "unit_id", "w").orderBy("unit_id").collect()
     assert [r.cluster - 1 for r in got] == list(w.argmax(1))
+
+
+def test_a_search_that_is_resumed_ends_as_one_that_was_not(spark, tmp_path):
+    data, hyper, part, _ = _start(spark, 30)
+    whole = search.search(data, part, hyper)
+    first = search.search(data, part, hyper, max_rounds=1, keep=str(tmp_path / "rounds"))
+    rest = search.search(data, search.resume(spark, str(tmp_path / "rounds")), hyper)
+    assert first.history == whole.history[:2] and abs(rest.score - whole.score) < 1e-9
+    best = search.best_of_restarts(data, [part, part.withColumn("cluster", F.lit(1))], hyper)
+    assert best.score >= whole.score
+
+
+def test_no_local_folder_on_a_cluster(tmp_path):
+    from types import SimpleNamespace
+
+    from partita.sources.scratch import shared_folder
+
+    conf = lambda base: SimpleNamespace(get=lambda key, default=None: base)
+    cluster = SimpleNamespace(master="local-cluster[2,1,1024]")
+    assert shared_folder(SimpleNamespace(conf=conf("hdfs://x/y/"), sparkContext=cluster)) == "hdfs://x/y"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(SimpleNamespace(conf=conf(None), sparkContext=cluster))
