@@ -188,8 +188,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Model:
     """
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
     chosen = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(hash60("doc_id"), "doc_id").limit(sample)
-    # ``sample`` ids and flags are broadcast, no more. Of equal texts with several labels, one that says toxic counts.
-    rows = materialise(docs.where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic")))
+    # ``sample`` ids and flags are broadcast, no more; an id that many rows share teaches the smallest of their texts, so
+    # what is collected keeps to the bound. Of equal texts with several labels, one that says toxic counts.
+    each = docs.where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    rows = materialise(each.groupBy("text").agg(F.max("toxic").alias("toxic")))
     words = rows.select("toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))).alias("word"))
     total = rows.agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).first()
     toxic, clean = float(total.t or 0), float(total.n - (total.t or 0))
