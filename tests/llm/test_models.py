@@ -10,7 +10,9 @@ import corpus_pipeline
 from partita.llm import language, media, minhash, mixing, neighbours, sentencepiece_codec, toxicity
 from partita.llm.shingles import labelled, shingle_hashes
 
-sentencepiece = pytest.importorskip("sentencepiece")
+
+def _library():
+    return pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=sentencepiece_codec.MODEL)
 
 
 @pytest.fixture(scope="module")
@@ -121,7 +123,7 @@ def test_media_columns(spark, docs):
 
 
 def test_sentencepiece_equals_the_library(spark, docs):
-    library = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.MODEL)
+    library = _library()
     odd = ["", " ", "   a   b ", "漢字 and 😀\n\n\ttabs", "x" * 500, "a" * 97, " " * 40, "%%%%%", "don't. stop, \"now\""]
     rows = docs.limit(150).select("doc_id", "text").union(spark.createDataFrame([(-k, t) for k, t in enumerate([None, *odd], 1)], "doc_id long, text string"))
     for r in sentencepiece_codec.decode(sentencepiece_codec.encode(rows)).collect():
@@ -130,7 +132,7 @@ def test_sentencepiece_equals_the_library(spark, docs):
 
 
 def test_streaming_pass_commits_where_paths_meet():
-    library = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.MODEL)
+    library = _library()
     known = sentencepiece_codec._Vocabulary(sentencepiece_codec.read_vocabulary())
     ids = lambda t: np.frombuffer(known.encode([t])[0], np.int32).tolist()
     rng = np.random.default_rng(21)
@@ -150,7 +152,7 @@ def test_streaming_pass_commits_where_paths_meet():
 def test_remembered_parts_and_states_are_bounded(monkeypatch):
     monkeypatch.setattr(sentencepiece_codec, "REMEMBERED", 50)
     monkeypatch.setattr(sentencepiece_codec, "TRANSITIONS", 300)
-    library = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.MODEL)
+    library = _library()
     known = sentencepiece_codec._Vocabulary(sentencepiece_codec.read_vocabulary())
     rng = np.random.default_rng(22)
     for _ in range(60):
@@ -320,7 +322,7 @@ def test_every_stage_against_a_plain_version(spark, data_dir, docs):
         words[r.source] = words.get(r.source, 0) + len(re.findall(r"[^\x20\x09-\x0D]+", r.text))
     assert words == {s: n for s, n in budget.items() if n}
 
-    library = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.MODEL)
+    library = _library()
     got = sorted((r.doc_id, list(r.ids)) for r in corpus_pipeline.encode(spark, mixed, data_dir).collect())
     assert got == sorted((r.doc_id, library.encode(r.text)) for r in mixed.collect())
 

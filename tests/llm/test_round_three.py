@@ -9,7 +9,8 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from partita.llm import collocations, licenses, lines, neighbours, whitening
+import corpus_pipeline
+from partita.llm import collocations, language, licenses, lines, media, minhash, mixing, neighbours, secrets, substrings, toxicity, whitening
 from partita.llm.license_rules import STEMS, rules
 
 DOCS = "doc_id long, text string, lang string, source string, phrase string, row int"
@@ -245,3 +246,41 @@ def test_neighbours_of_very_large_and_small_vectors(spark, scale):
     made = [neighbours.search(spark.createDataFrame([(k, [float(v * s) for v in x[k]], 0, 1) for k in range(60)], "vec_id long, embedding array<double>, label int, n long"), F.col("vec_id") % 50 == 0) for s in (1.0, scale)]
     plain, scaled = ([(r.query_id, r["rank"], r.vec_id, round(r.score, 12)) for r in m.orderBy("query_id", "rank").collect()] for m in made)
     assert plain == scaled and len(plain) == 10
+
+
+def test_empty_tables_and_stages(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    assert language.identify(docs).collect() == [] and toxicity.rate(docs, labels).collect() == []
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        made = stage(spark, docs, str(tmp_path))
+        assert made.collect() == [] and made.columns == list(corpus_pipeline.COLUMNS), name
+
+
+def test_repeated_rows_and_a_very_long_text(spark):
+    """Equal texts get equal values, rows stay one to one, and a text of 400,000 characters is taken whole."""
+    long = "Der Hund und die Katze gehen password=abcdefgh1234 in den Wald.\n" * 6000 + "token: endofthetext99"
+    rows = [(1, "The quick brown fox.", "en"), (1, "The quick brown fox.", "en"), (2, "Le chat dort.\nLe chien aussi.", "fr"), (None, "Le chat dort.\nLe chien aussi.", "fr"), (3, long, "de"), (4, None, None), (5, "", "en")]
+    docs = spark.createDataFrame([(k, t, lang, "s", "", i) for i, (k, t, lang) in enumerate(rows)], DOCS)
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 1), (3, 0, 0)], "doc_id long, quality int, toxic int")
+    sha = [r.payload_sha256 for r in media.digest(media.load(media.store(docs))).collect()]
+    assert len(sha) == 7 and sorted(Counter(sha).values()) == [1, 2, 2, 2]  # null counts as empty
+    for made, column in ((language.identify(docs), "lang_pred"), (toxicity.rate(docs, labels), "score")):
+        out = made.collect()
+        assert Counter(r.doc_id for r in out) == Counter(r[0] for r in rows)
+        assert len({r[column] for r in out if r.doc_id == 1}) == 1 and len({r[column] for r in out if r.doc_id in (2, None)}) == 1
+    kept = {r.doc_id: r for r in lines.dedup_lines(docs).collect()}
+    assert kept[3].n_lines == 6001 and kept[3].n_removed == 5999 and kept[3].text.endswith("endofthetext99")
+    found = {r.doc_id: r for r in secrets.digest(secrets.scan(docs)).collect()}
+    assert found[3].n_assign == 6001 and found[3].spans.endswith(f"assign:{len(long) - 21}:{len(long)}")
+    assert len(minhash.classes(docs).collect()) == 7 and len(mixing.mix(docs).collect()) == 7 and len(substrings.dedup_substrings(docs).collect()) == 7
+
+
+def test_toxicity_learns_a_bounded_number_of_texts(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "materialise", lambda df: seen.append(df.count()) or df)
+    docs = spark.createDataFrame([(k % 3, f"text {k}") for k in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 0)], "doc_id long, toxic int")
+    toxicity.fit(docs, labels, sample=2)
+    assert seen == [2]
