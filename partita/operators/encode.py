@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,14 +20,20 @@ MISSING_DNA = ("-", "?", "*", "#", "b", "d", "h", "k", "m", "n", "r", "s", "v",
 MISSING_PROTEIN = ("-", "?", "*", "#", "b", "j", "x", "z")
 
 
-@dataclass
 class Dataset:
-    """Encoded data: units (unit_id, uid), sites, attributes and ones (unit_id, attr_id)."""
+    """Encoded data: units (unit_id, uid), sites, attributes and ones (unit_id, attr_id).
 
-    units: DataFrame
-    sites: DataFrame
-    attributes: DataFrame
-    ones: DataFrame
+    ``ones`` may be given as what makes them; they are made when they are first asked for.
+    """
+
+    def __init__(self, units: DataFrame, sites: DataFrame, attributes: DataFrame, ones: DataFrame | Callable[[], DataFrame]):
+        self.units, self.sites, self.attributes, self._ones = units, sites, attributes, ones
+
+    @property
+    def ones(self) -> DataFrame:
+        if not isinstance(self._ones, DataFrame):
+            self._ones = self._ones()
+        return self._ones
 
 
 def clean(value: Column, miss: tuple[str, ...] | list[str] = ()) -> Column:
@@ -81,7 +87,8 @@ def one_hot(cells: DataFrame, attributes: DataFrame) -> DataFrame:
 def encode(cells: DataFrame, units: DataFrame | None = None, *, codes: str = "values") -> Dataset:
     """A data set from clean cells; ``codes`` is ``values`` (all values in order) or ``sequence`` (fixed letters).
 
-    Counts, attributes and ones are written once; the cells are read for the counts and for the ones, and no more.
+    Counts, attributes and, when they are asked for, ones are written once; the cells are read for the counts and for
+    the ones, and no more.
     """
     counts = written(value_counts(cells))
     sites = written(profile_sites(counts))
@@ -89,7 +96,7 @@ def encode(cells: DataFrame, units: DataFrame | None = None, *, codes: str = "va
     attributes = written(attribute_dictionary(counts, sites, letters))
     if units is None:
         units = cells.select("unit_id").distinct().select("unit_id", F.col("unit_id").cast("string").alias("uid"))
-    return Dataset(units, sites, attributes, written(one_hot(cells, attributes)))
+    return Dataset(units, sites, attributes, lambda: written(one_hot(cells, attributes)))
 
 
 def decode(data: Dataset) -> DataFrame:
