@@ -3,7 +3,8 @@
 1. On the driver, from a sample of at most ``SAMPLE`` vectors (the smallest hashes of their ids): the graph of nearest
    neighbours is cut into balanced parts by recursive bisection (a spectral split at the median, then exchanges of the
    best pairs), and a small network is trained to tell a vector's part.
-2. Every row is indexed under its likeliest part. A part is dealt into blocks of about ``BLOCK`` rows by hash, so
+2. Every row is indexed under its likeliest part. Parts of more than ``LARGEST`` rows are split again, each in a task of
+   its own and from a sample of its own, so that parts stay small when the table grows. A part is dealt into blocks of about ``BLOCK`` rows by hash, so
    that neither a popular part nor a vector that a third of the rows share lands in one task. Repeated rows count once.
 3. A query goes to its likeliest parts, to all their blocks, and is compared there in double precision. Of equal
    vectors a block keeps the few smallest ids only, which are all that can be among the nearest.
@@ -14,6 +15,7 @@ vectors the network was not trained on, and never so few that they might hold le
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +29,10 @@ from partita.llm.common import hash60, materialise
 SAMPLE = 8192
 BLOCK = 4096
 RECALL = 0.97
+#: Parts of a router at most; larger tables get routers below the first.
 MAX_PARTS = 256
+#: Rows of a part from which it has parts of its own.
+LARGEST = 1 << 16
 DEGREE = 10
 HIDDEN = 64
 QUERIES_AT_ONCE = 512
@@ -213,6 +218,65 @@ def _best(queries: tuple[np.ndarray, np.ndarray], rows: tuple[np.ndarray, np.nda
     return every[every.groupby("query_id").cumcount() < k]
 
 
+def _below(rows: DataFrame, queries: DataFrame, large: dict[int, int], probes: int, k: int, sample: int) -> tuple[DataFrame, DataFrame]:
+    """(vec_id, v, leaf) of all rows, and of the queries a row for each leaf they go to.
+
+    A leaf is a part, or a part of a large part. A large part's router is fitted in one task on some ``sample`` of its
+    rows, drawn by hash. A query goes to as many parts of a large part as recall in that sample asks for, and to more
+    until they hold more than k ids.
+    """
+    spark = rows.sparkSession
+    routers: dict[int, Index] = {}
+    if large:
+        share = F.coalesce(*[F.when(F.col("part") == p, min(1.0, sample / n)) for p, n in large.items()])
+        drawn = rows.where(F.col("part").isin(list(large))).where(F.pmod(hash60("vec_id"), F.lit(1 << 30)) < share * (1 << 30)).select("part", "v")
+
+        def fit(table: pa.Table) -> pa.Table:
+            p = table.column("part")[0].as_py()
+            x = np.sort(_matrix(table.column("v")).view(np.dtype([(f"c{i}", float) for i in range(len(table.column("v")[0].as_py()) // 8)])).ravel())
+            made = Index(x.view(float).reshape(len(x), -1)[: 2 * sample], large[p], k)
+            return pa.table({"part": pa.array([p], pa.int32()), "router": pa.array([pickle.dumps(made)], pa.binary())})
+
+        routers = {r.part: pickle.loads(r.router) for r in drawn.groupBy("part").applyInArrow(fit, "part int, router binary").collect()}
+    shared = spark.sparkContext.broadcast(routers)
+
+    def scores(router: Index, x: np.ndarray) -> np.ndarray:
+        even = _scaled(x)
+        return router.router.scores(even / np.sqrt((even**2).sum(1, keepdims=True)))
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = batch.column("part").to_numpy(zero_copy_only=False)
+            leaf = part * MAX_PARTS
+            for p in set(part.tolist()) & set(shared.value):
+                at = np.flatnonzero(part == p)
+                leaf[at] += scores(shared.value[p], _matrix(batch.column("v").take(pa.array(at)))).argmax(1)
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(leaf.astype(np.int32))], ["vec_id", "v", "leaf"])
+
+    leaves = rows.select("vec_id", "v", "part").mapInArrow(assign, "vec_id long, v binary, leaf int")
+    if not routers:
+        return leaves, queries.select("vec_id", "v", F.explode(F.transform(F.slice("probe", 1, probes), lambda p: p * MAX_PARTS)).alias("leaf"))
+    leaves = materialise(leaves)
+    held = {r.leaf: r.n for r in leaves.groupBy("leaf").agg(F.count_distinct("vec_id").alias("n")).collect()}  # a row for each leaf
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, out = _matrix(batch.column("v")), []
+            for i, ranked in enumerate(batch.column("probe").to_pylist()):
+                for p in ranked[:probes]:
+                    router, n, found = shared.value.get(p), 0, 0
+                    order = [0] if router is None else np.argsort(-scores(router, x[i : i + 1])[0], kind="stable").tolist()
+                    for sub in order:
+                        if router is not None and n >= router.probes and found > k:
+                            break
+                        out.append((i, p * MAX_PARTS + sub))
+                        n, found = n + 1, found + held.get(p * MAX_PARTS + sub, 0)
+            at = pa.array([i for i, _ in out], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(at), batch.column("v").take(at), pa.array([leaf for _, leaf in out], pa.int32())], ["vec_id", "v", "leaf"])
+
+    return leaves, queries.select("vec_id", "v", "probe").mapInArrow(ask, "vec_id long, v binary, leaf int")
+
+
 def search(vectors: DataFrame, queries: Column, *, k: int = 5, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score: for rows where ``queries`` holds, the k nearest found among all other rows.
 
@@ -222,18 +286,19 @@ def search(vectors: DataFrame, queries: Column, *, k: int = 5, sample: int = SAM
     """
     index, made = build(vectors, k=k, sample=sample)
     rows = materialise(made)
-    held_by = rows.groupBy("part").agg(F.count("*").alias("n"), F.count_distinct("vec_id").alias("ids")).collect()  # a row for each part, 256 at most
-    counts, ids = {r.part: r.n for r in held_by}, {r.part: r.ids for r in held_by}
+    held_by = rows.groupBy("part").agg(F.count("*").alias("n"), F.count_distinct("vec_id").alias("ids")).collect()  # a row for each part
+    ids = {r.part: r.ids for r in held_by}
     parts, probes, held = (index.parts, index.probes, 0) if index else (1, 1, 0)
     for p, n in enumerate(sorted(ids.get(j, 0) for j in range(parts)), 1):
         held += n
         if held > k or p == parts:
             probes = max(probes, p)
             break
-    blocks = F.array(*[F.lit(-(-counts.get(j, 0) // BLOCK)).cast("int") for j in range(parts)])
-    dealt = rows.select("vec_id", "v", "part", F.pmod(F.xxhash64("vec_id", "v"), F.greatest(blocks[F.col("part")], F.lit(1))).cast("int").alias("block"))
-    asked = rows.where(queries).select("vec_id", "v", F.explode(F.slice("probe", 1, probes)).alias("part")).where(blocks[F.col("part")] > 0)
-    asked = asked.select("vec_id", "v", "part", F.explode(F.sequence(F.lit(0), blocks[F.col("part")] - 1)).alias("block"))
+    leaves, asked = _below(rows, rows.where(queries), {r.part: r.n for r in held_by if r.n > LARGEST}, probes, k, sample)
+    counted = leaves.groupBy("leaf").agg(F.count("*").alias("n")).collect()  # a row for each part of a part
+    blocks = F.broadcast(vectors.sparkSession.createDataFrame([(r.leaf, -(-r.n // BLOCK)) for r in counted], "leaf int, blocks int"))
+    dealt = leaves.join(blocks, "leaf").select("vec_id", "v", "leaf", F.pmod(F.xxhash64("vec_id", "v"), F.col("blocks")).cast("int").alias("block"))
+    asked = asked.join(blocks, "leaf").select("vec_id", "v", "leaf", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
@@ -242,7 +307,7 @@ def search(vectors: DataFrame, queries: Column, *, k: int = 5, sample: int = SAM
         q, r = [(t.column("vec_id").to_numpy(), _matrix(t.column("v"))) for t in (left, right)]
         return pa.Table.from_pandas(_best(q, r, k), schema, preserve_index=False)
 
-    near = asked.groupBy("part", "block").cogroup(dealt.groupBy("part", "block")).applyInArrow(compare, "query_id long, vec_id long, score double")
+    near = asked.groupBy("leaf", "block").cogroup(dealt.groupBy("leaf", "block")).applyInArrow(compare, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     distinct = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return distinct.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

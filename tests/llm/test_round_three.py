@@ -284,3 +284,21 @@ def test_toxicity_learns_a_bounded_number_of_texts(spark, monkeypatch):
     labels = spark.createDataFrame([(0, 1), (1, 0), (2, 0)], "doc_id long, toxic int")
     toxicity.fit(docs, labels, sample=2)
     assert seen == [2]
+
+
+def test_neighbours_in_parts_of_parts(spark, monkeypatch):
+    """With parts of more than 300 rows split again, recall holds on many queries, and no query lacks neighbours."""
+    monkeypatch.setattr(neighbours, "LARGEST", 300)
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(60, 8))
+    x = np.concatenate([centres[k % 60] + 0.3 * rng.normal(size=8) for k in range(9000)]).reshape(-1, 8)
+    df = spark.createDataFrame([(k, row.tolist()) for k, row in enumerate(x)], "vec_id long, embedding array<double>").repartition(5)
+    got = {}
+    for r in neighbours.search(df, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = unit[::20] @ unit.T
+    s[np.arange(len(s)), np.arange(len(s)) * 20] = -2
+    true = np.argpartition(-s, 4, axis=1)[:, :5]
+    assert len(got) == 450 and {len(v) for v in got.values()} == {5}
+    assert np.mean([len(set(got[20 * i]) & set(t)) / 5 for i, t in enumerate(true)]) >= 0.9
