@@ -9,7 +9,7 @@ from the diagonal than the band cannot be part of such an alignment, so the band
 Exact copies are one text. Each text is compared with the first of one of its buckets. Buckets whose members are not in
 one class by then are exhausted: each two members are compared unless they are in one class already. While a bucket has
 more than ``BLOCK`` texts outside its largest class, its members meet another one of them first, as copies of one text
-soon are one class so. If as many are left, as common passages make them, it is refined, without loss: of similar texts
+soon are one class so. If ``MANY`` blocks are left, as common passages make them, it is refined, without loss: of similar texts
 each has at least four fifths of its shingles in common with the other, so in any one order of all shingles they share
 one of the first fifth (and one more) of either. The order is from rare to common, so passages that many texts hold lead
 nowhere. The rest is compared block by block, spread over tasks, the largest class of a bucket in blocks of its own. A
@@ -37,8 +37,11 @@ PICKED = 6
 SIMILARITY = 0.8
 #: Texts of at most so many shingles have exact keys as well.
 SHORT = 12
-#: Texts and bytes of a block of a bucket; each two blocks are compared in one group. Buckets of more are refined first.
+#: Texts and bytes of a block of a bucket; each two blocks are compared in one group.
 BLOCK = 256
+#: Blocks of texts outside the largest class from which a bucket is refined first: up to there comparing blocks takes less
+#: than the keys of a fifth of all shingles.
+MANY = 4
 #: Rounds in which members of large buckets meet one of them, before what is left is exhausted. They end sooner once a
 #: smaller share than ``LEAST_LINKED`` of those that met are linked: what is left is exhausted in any case.
 ROUNDS = 6
@@ -259,8 +262,8 @@ def _compared(block: pa.Table) -> pa.Table:
 
 def _exhausted(shared: DataFrame, texts: DataFrame) -> DataFrame:
     """first, node: links among all texts of each bucket."""
-    large = materialise(shared.where(F.col("others") > BLOCK).select("node", "class").distinct())
-    small = _in_blocks(shared.where(F.col("others") <= BLOCK), texts)
+    large = materialise(shared.where(F.col("others") > MANY * BLOCK).select("node", "class").distinct())
+    small = _in_blocks(shared.where(F.col("others") <= MANY * BLOCK), texts)
     return small if large.isEmpty() else small.union(_in_blocks(_refined(large, texts), texts))
 
 

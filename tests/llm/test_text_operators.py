@@ -167,6 +167,7 @@ def test_minhash_keeps_drifting_families_whole(spark):
 
 def test_minhash_of_forms_with_a_common_passage(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(minhash, "MANY", 1)
     rng = np.random.default_rng(31)
     form = words(rng, 70)  # most of every text, yet no two of different fillings are similar
     texts = []
@@ -189,6 +190,7 @@ def test_minhash_of_forms_with_a_common_passage(spark, monkeypatch):
 @pytest.mark.parametrize("block", [2, 256])
 def test_minhash_exhausts_a_bucket(spark, monkeypatch, block):
     monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "MANY", 1)
     rng = np.random.default_rng(4)
     first = words(rng, 40)
     second = f"{first} {words(rng, 4)}"
