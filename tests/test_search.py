@@ -284,13 +284,13 @@ def test_cofactors_are_fitted_to_their_tolerance(spark):
 
 
 def test_a_search_that_is_resumed_ends_as_one_that_was_not(spark, tmp_path):
-    data, hyper, part, _ = _start(spark, 30)
+    data, hyper, part, _ = _start(spark, 18)
     whole = search.search(data, part, hyper)
     first = search.search(data, part, hyper, max_rounds=1, keep=str(tmp_path / "rounds"))
     rest = search.search(data, search.resume(spark, str(tmp_path / "rounds")), hyper)
     assert first.history == whole.history[:2] and abs(rest.score - whole.score) < 1e-9
-    best = search.best_of_restarts(data, [part, part.withColumn("cluster", F.lit(1))], hyper)
-    assert best.score >= whole.score
+    best = search.best_of_restarts(data, [part, part.withColumn("cluster", F.lit(1))], hyper, max_rounds=1)
+    assert best.score >= first.score
 
 
 def test_no_local_folder_on_a_cluster(tmp_path):
