@@ -18,11 +18,14 @@ across all clusters, 3 swaps two units. After a gain the search goes back to lev
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +43,8 @@ PROPOSALS = 8
 EXACT = 4_000_000
 #: Clusters times attributes of the model that goes to the tasks.
 CELLS = 1 << 26
+#: Searches of several starts that give the cluster jobs at the same time.
+SIDE_BY_SIDE = 4
 EVERY = -1
 
 
@@ -699,9 +704,27 @@ def _compact(partition: DataFrame) -> DataFrame:
     return partition.join(ranked, "cluster").select("unit_id", F.col("new").alias("cluster"))
 
 
+def searches(data: Dataset, starts: list[DataFrame], hyper: DataFrame, g: tuple[float, float, float] = model.CLASS_PROBABILITIES, *, keep: str | None = None, **options) -> list[Result]:
+    """A search from each start, in their order; ``SIDE_BY_SIDE`` of them run at the same time.
+
+    ``keep`` names a new folder: it gets the starts as round 0 of their runs, then every accepted round, and
+    ``resume_runs`` reads from it what each run came to. A search that goes on from there keeps to a folder of its own.
+    """
+    if keep:
+        rows = [s.select("unit_id", F.col("cluster").cast("int").alias("cluster"), F.lit(0).alias("round"), F.lit(i).alias("run_id")) for i, s in enumerate(starts)]
+        reduce(DataFrame.unionByName, rows).write.partitionBy("run_id").parquet(keep)
+
+    def one(i: int) -> Result:
+        return search(data, starts[i], hyper, g, keep=f"{keep}/run_id={i}" if keep else None, **options)
+
+    with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
+        running = [pool.submit(inheritable_thread_target(data.ones.sparkSession)(one), i) for i in range(len(starts))]
+        return [r.result() for r in running]
+
+
 def best_of_restarts(data: Dataset, starts: list[DataFrame], hyper: DataFrame, g: tuple[float, float, float] = model.CLASS_PROBABILITIES, **options) -> Result:
-    """The best of searches from several partitions, the first of equals."""
-    return max((search(data, s, hyper, g, **options) for s in starts), key=lambda r: r.score)
+    """The best of searches from several partitions, the first of equals; options as in ``searches``."""
+    return max(searches(data, starts, hyper, g, **options), key=lambda r: r.score)
 
 
 def resume(spark: SparkSession, path: str) -> DataFrame:
@@ -709,3 +732,10 @@ def resume(spark: SparkSession, path: str) -> DataFrame:
     rounds = spark.read.parquet(path)
     last = rounds.agg(F.max("round").alias("last")).first().last
     return rounds.where(F.col("round") == last).select("unit_id", "cluster")
+
+
+def resume_runs(spark: SparkSession, path: str) -> list[DataFrame]:
+    """The partitions of the last rounds of all runs kept in a folder, in the order of the runs."""
+    rounds = spark.read.parquet(path)
+    last = sorted(rounds.groupBy("run_id").agg(F.max("round").alias("last")).collect())  # a row for each run
+    return [rounds.where((F.col("run_id") == run) & (F.col("round") == n)).select("unit_id", "cluster") for run, n in last]

@@ -431,6 +431,39 @@ def move_sums_documents(spark: SparkSession, d: str) -> DataFrame:
     return made.select("source", "target", "n", _round("gain", 4).alias("gain"), _round("every", 4).alias("every"))
 
 
+@_query(
+    "split_seeds_documents",
+    f"{model_sql('documents')} SELECT cluster::INTEGER AS cluster, arg_min(unit_id, (round(own, 9), unit_id)) AS seed, round(min(own), 6) AS low, arg_min(unit_id, (-round(own, 9), unit_id)) AS stay FROM own GROUP BY cluster HAVING count(*) > 1",
+)
+def split_seeds_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Where splits of clusters begin: the unit that fits its cluster worst, its score, and the one that fits best."""
+    rows = [(c + 1, seed, low, stay) for c, seed, low, _, stay in search._edges(_at(spark, d, "documents"))]
+    return spark.createDataFrame(rows, "cluster int, seed long, low double, stay long").withColumn("low", _round("low"))
+
+
+#: An attribute that one of two exchanged units has alone leaves a cluster and comes to the other; what both have stays.
+_SWAPS_SQL = f"""{model_sql('documents')},
+changes AS (SELECT cluster, attr_id, CASE WHEN n1 > 0 THEN ln(b + n - n1) - ln(a + n1 - 1) ELSE 0 END AS leave, CASE WHEN n1 < n THEN ln(a + n1) - ln(b + n - n1 - 1) ELSE 0 END AS come FROM effective),
+sides AS (SELECT x.cluster AS source, y.cluster AS target, x.attr_id, x.leave + y.come AS there, y.leave + x.come AS back FROM changes x JOIN changes y ON x.attr_id = y.attr_id AND x.cluster < y.cluster),
+held AS (SELECT o.unit_id, p.cluster, o.attr_id FROM ones o JOIN partition p USING (unit_id)),
+gone AS (SELECT unit_id, source, target, sum(there) AS there FROM held h JOIN sides s ON s.source = h.cluster AND s.attr_id = h.attr_id GROUP BY ALL),
+brought AS (SELECT unit_id, source, target, sum(back) AS back FROM held h JOIN sides s ON s.target = h.cluster AND s.attr_id = h.attr_id GROUP BY ALL),
+shared AS (SELECT x.unit_id AS unit_id, y.unit_id AS other, source, target, sum(there + back) AS same
+  FROM sides s JOIN held x ON x.cluster = s.source AND x.attr_id = s.attr_id JOIN held y ON y.cluster = s.target AND y.attr_id = s.attr_id GROUP BY ALL)"""
+
+
+@_query(
+    "swap_gains_documents",
+    f"""{_SWAPS_SQL} SELECT g.source::INTEGER AS source, g.target::INTEGER AS target, round(max(there + back - coalesce(same, 0)), 6) AS gain
+    FROM gone g JOIN brought b ON b.source = g.source AND b.target = g.target LEFT JOIN shared s ON s.unit_id = g.unit_id AND s.other = b.unit_id
+    GROUP BY g.source, g.target HAVING round(max(there + back - coalesce(same, 0)), 9) > 1e-10""",
+)
+def swap_gains_documents(spark: SparkSession, d: str) -> DataFrame:
+    """What the best exchange of two units gains with states held, for each pair of languages where one does."""
+    rows = [(k + 1, w + 1, gain) for gain, k, _, w, _, _, _ in search.swaps(_at(spark, d, "documents"))]
+    return spark.createDataFrame(rows, "source int, target int, gain double").withColumn("gain", _round("gain"))
+
+
 @_query("search_documents")
 def search_documents(spark: SparkSession, d: str) -> DataFrame:
     """Units and scores of the clusters that a search from the languages ends with."""
@@ -440,6 +473,17 @@ def search_documents(spark: SparkSession, d: str) -> DataFrame:
     return counts.cluster_sizes(found.partition).withColumn("score", _round(F.lit(found.score), 3)).withColumn("rounds", F.lit(len(found.history) - 1))
 
 
+@_query("search_restarts_documents")
+def search_restarts_documents(spark: SparkSession, d: str) -> DataFrame:
+    """What searches from the languages and from the sources of documents end with, side by side, and which is best."""
+    data = dataset(spark, d, "documents")
+    hyper = written(model.default_hyper(data))
+    found = search.searches(data, [partition(spark, d, "documents"), partition(spark, d, "documents", "source")], hyper)
+    best = max(r.score for r in found)
+    rows = [(i, r.score, len(r.history) - 1, r.score == best) for i, r in enumerate(found)]
+    return spark.createDataFrame(rows, "run_id int, score double, rounds int, best boolean").withColumn("score", _round("score", 3))
+
+
 # Co-clustering
 
 

@@ -26,7 +26,7 @@ def rows_of(df: pd.DataFrame) -> list[tuple]:
     return sorted((tuple(plain(v) for v in r) for r in df.itertuples(index=False)), key=str)
 
 
-@pytest.mark.parametrize("name", ["sites_documents", "alphabet_part", "attributes_orders", "cluster_counts_customer", "classify_documents", "score_partition_part", "states_documents", "best_move_documents", "site_classes_documents", "k_medoids_embeddings", "bipnmf_objective_part", "score_many_orders", "stream_profile_orders", "move_sums_documents"])
+@pytest.mark.parametrize("name", ["sites_documents", "alphabet_part", "attributes_orders", "cluster_counts_customer", "classify_documents", "score_partition_part", "states_documents", "best_move_documents", "site_classes_documents", "k_medoids_embeddings", "bipnmf_objective_part", "score_many_orders", "stream_profile_orders", "move_sums_documents", "split_seeds_documents", "swap_gains_documents"])
 def test_query_equals_sql(spark, con, data_dir, name):
     got, want = registry.QUERIES[name](spark, data_dir).toPandas(), con.sql(registry.ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)

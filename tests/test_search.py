@@ -289,8 +289,25 @@ def test_a_search_that_is_resumed_ends_as_one_that_was_not(spark, tmp_path):
     first = search.search(data, part, hyper, max_rounds=1, keep=str(tmp_path / "rounds"))
     rest = search.search(data, search.resume(spark, str(tmp_path / "rounds")), hyper)
     assert first.history == whole.history[:2] and abs(rest.score - whole.score) < 1e-9
-    best = search.best_of_restarts(data, [part, part.withColumn("cluster", F.lit(1))], hyper, max_rounds=1)
-    assert best.score >= first.score
+
+
+def test_searches_side_by_side_end_as_one_after_the_other(spark, tmp_path):
+    data, hyper, part, _ = _start(spark, 18)
+    starts = [part, part.withColumn("cluster", F.lit(1)), part.withColumn("cluster", (F.col("unit_id") % 2 + 1).cast("long"))]
+    alone = [search.search(data, s, hyper) for s in starts]
+    together = search.searches(data, starts, hyper)
+    assert [r.history for r in together] == [r.history for r in alone]
+    labels = lambda r: sorted(map(tuple, r.partition.select("unit_id", "cluster").collect()))
+    assert [labels(r) for r in together] == [labels(r) for r in alone]
+
+    cut = search.searches(data, starts, hyper, max_rounds=1, keep=str(tmp_path / "first"))
+    assert [r.history for r in cut] == [r.history[:2] for r in alone]
+    left = search.resume_runs(spark, str(tmp_path / "first"))
+    rest = search.searches(data, left, hyper, keep=str(tmp_path / "second"))
+    assert [r.score for r in rest] == pytest.approx([r.score for r in alone], abs=1e-9)
+    ends = [model.score_partition(data, p, hyper).first().score for p in search.resume_runs(spark, str(tmp_path / "second"))]
+    assert ends == pytest.approx([r.score for r in alone], abs=1e-6)
+    assert search.best_of_restarts(data, starts, hyper, max_rounds=1).score == max(r.score for r in cut)
 
 
 def test_no_local_folder_on_a_cluster(tmp_path):
