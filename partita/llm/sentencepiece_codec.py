@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
 from partita.llm.common import documents, slices
@@ -368,26 +369,27 @@ def _listed(codes: list[bytes | None]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values, mask=pa.array([c is None for c in codes]))
 
 
-_loaded: dict[int, _Vocabulary] = {}
+class _Shared:
+    """The tables as they are sent, and in a worker the vocabulary made of them: kept from task to task, with all that it
+    remembers, for as long as the worker's tasks have this broadcast, and no longer."""
 
+    def __init__(self, tables: dict):
+        self.__setstate__(tables)
 
-def _of(tables) -> _Vocabulary:
-    """The worker's vocabulary of a broadcast; kept from task to task."""
-    if tables.id not in _loaded:
-        _loaded.clear()
-        _loaded[tables.id] = _Vocabulary(tables.value)
-    return _loaded[tables.id]
+    def __getstate__(self) -> dict:
+        return self.tables
 
+    def __setstate__(self, tables: dict) -> None:
+        self.tables, self.made = tables, None
 
-class _Tables:
-    """A broadcast with a name that workers know it by."""
+    def vocabulary(self) -> _Vocabulary:
+        if self.made is None:
+            self.made = _Vocabulary(self.tables)
+        return self.made
 
-    def __init__(self, spark, path: str):
-        self.broadcast, self.id = spark.sparkContext.broadcast(read_vocabulary(path)), path
 
-    @property
-    def value(self) -> dict:
-        return self.broadcast.value
+def _sent(docs: DataFrame, path: str) -> Broadcast:
+    return docs.sparkSession.sparkContext.broadcast(_Shared(read_vocabulary(path)))
 
 
 def encode(docs: DataFrame, *, model: str = MODEL) -> DataFrame:
@@ -395,10 +397,10 @@ def encode(docs: DataFrame, *, model: str = MODEL) -> DataFrame:
 
     A null text has null ids and an empty text none; the rows of ``docs`` stay one to one, repeated rows included.
     """
-    tables = _Tables(docs.sparkSession, model)
+    shared = _sent(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = _of(tables)
+        vocabulary = shared.value.vocabulary()
         for batch in slices(batches):
             ids = _listed(vocabulary.encode(batch.column("text").to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), ids], ["doc_id", "text", "ids"])
@@ -412,10 +414,10 @@ def decode(encoded: DataFrame, *, model: str = MODEL) -> DataFrame:
     A column of that name is replaced.
     """
     encoded = encoded.drop("decoded")
-    tables = _Tables(encoded.sparkSession, model)
+    shared = _sent(encoded, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = _of(tables)
+        vocabulary = shared.value.vocabulary()
         for batch in slices(batches):
             texts = vocabulary.decode_all(batch.column("ids"))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
@@ -429,10 +431,10 @@ def round_trip(docs: DataFrame, *, model: str = MODEL) -> DataFrame:
     Texts are decoded within the batch that encodes them, so one process does both and the text is sent once. Null texts
     have null ids and come back as null.
     """
-    tables = _Tables(docs.sparkSession, model)
+    shared = _sent(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = _of(tables)
+        vocabulary = shared.value.vocabulary()
         for batch in slices(batches):
             texts = batch.column("text").to_pylist()
             ids = _listed(vocabulary.encode(texts))
