@@ -102,21 +102,38 @@ class _Node:
         self.forget()
 
     def forget(self) -> None:
-        self.apart: dict[str, bool] = {}
-        self.kinds: dict[str, str] = {}
-        self.firsts: dict[tuple, str] = {}
+        self.apart: dict[str, bool] | None = None
+        self.kinds: dict[str, str] | None = None
+        self.firsts: dict[bytes, str] | None = None
 
 
 class _State(dict):
     """Transitions by character: state after it, length and ids of the piece that ends there, and if paths meet before.
 
-    ``walks`` is what may still grow: the piece that ends before it, and its place in the trie, the longest first.
+    ``walks`` is what may still grow: in turn the piece that ends before it and its place in the trie, the longest first.
+    The last of them is the piece that ends here, so all transitions to a state are one of two.
     """
 
-    __slots__ = ("meets", "of", "walks")
+    __slots__ = ("joined", "meets", "met", "of", "walks")
 
     def __init__(self, of: _Vocabulary, walks: tuple):
         self.of, self.walks, self.meets = of, walks, None
+        self.joined = self.met = None
+
+    def reached(self, length: int, ids: bytes, meet: bool) -> tuple[_State, int, bytes, bool]:
+        """The transition to this state, the same object wherever it starts."""
+        said = self.met if meet else self.joined
+        if said is None:
+            said = (self, length, ids, meet)
+            if meet:
+                self.met = said
+            else:
+                self.joined = said
+        return said
+
+    def forget(self) -> None:
+        self.clear()
+        self.joined = self.met = None
 
     def __missing__(self, c: str) -> tuple[_State, int, bytes, bool]:
         said = self[c] = self.of.step(self, c)
@@ -144,7 +161,7 @@ class _Vocabulary:
         self.answers = self.meetings = self.widest = 0
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.start = self._state((None, self.root))
+        self.start = self._state(None, self.root)
         # A byte below 128 is a character by itself; longer ones are put together from runs of byte pieces.
         back = {i: b for b, i in self.raw.items()}
         self.pieces = [chr(b) if (b := back.get(i, 255)) < 128 else p for i, p in enumerate(self.pieces)] if back else self.pieces
@@ -199,14 +216,14 @@ class _Vocabulary:
                 j += 1
                 clock = max(clock, b)
 
-    def _state(self, *walks: tuple) -> _State:
+    def _state(self, *walks: str | _Node | None) -> _State:
         if (state := self.states.get(walks)) is None:
             state = self.states[walks] = _State(self, walks)
         return state
 
     def step(self, state: _State, c: str) -> tuple[_State, int, bytes, bool]:
         grown, piece, ids, meet = [], None, b"", True
-        for left, node in state.walks:
+        for left, node in zip(state.walks[::2], state.walks[1::2]):
             if (below := node.below.get(c)) is None:
                 continue
             meet = meet and node is self.root
@@ -217,11 +234,13 @@ class _Vocabulary:
         if piece is None:
             piece, ids = c, self._ids(c)
         # Where no piece reaches across, what is before says nothing about what follows.
-        grown = [(None if meet else self._kind(left, below), below) for left, below in grown]
+        walks = [x for left, below in grown for x in (None if meet else self._kind(left, below), below)]
         self.answers += 1
-        return self._state(*grown, (piece, self.root)), len(piece), ids, meet
+        return self._state(*walks, piece, self.root).reached(len(piece), ids, meet)
 
     def _apart(self, left: str, node: _Node) -> bool:
+        if node.apart is None:
+            node.apart = {}
         if (said := node.apart.get(left)) is None:
             said = node.apart[left] = self.stays_apart(left, node.text)
         return said
@@ -239,8 +258,12 @@ class _Vocabulary:
                 node.ends = []
         if left is None or not node.ends:
             return left
+        if node.kinds is None:
+            node.kinds, node.firsts = {}, {}
         if (kind := node.kinds.get(left)) is None:
-            kind = node.kinds[left] = node.firsts.setdefault(tuple([self._apart(left, end) for end in node.ends]), left)
+            # Answers that only tell kinds apart are not kept: they are many, and few are asked again.
+            said = bytes([self.stays_apart(left, end.text) for end in node.ends])
+            kind = node.kinds[left] = node.firsts.setdefault(said, left)
         return kind
 
     def _meets(self, state: _State) -> bool:
@@ -264,7 +287,7 @@ class _Vocabulary:
                     return b"".join(out), at, state
                 base, back = at, []
             elif len(back) >= most:
-                alive = [len(back) - len(node.text) for _, node in state.walks]
+                alive = [len(back) - len(node.text) for node in state.walks[1::2]]
                 if (met := max(set.intersection(*(set(self._path(back, p)) for p in alive)))) > 0:
                     out += self._committed(back, met)
                     base, back = base + met, back[met:]
@@ -310,16 +333,21 @@ class _Vocabulary:
             if collects:
                 gc.enable()
 
-    def _forget(self) -> None:
+    def close(self) -> None:
+        """Ends what refers to itself, so that a vocabulary goes with the last reference to it."""
         for state in self.states.values():
-            state.clear()  # states know each other
-        self.states, self.spines, self.answers = {}, ({}, {}), 0
+            state.forget()  # states know each other
+        self.states, self.start = {}, None
+
+    def _forget(self) -> None:
+        self.close()
+        self.spines, self.answers = ({}, {}), 0
         nodes = [self.root]
         while nodes:
             node = nodes.pop()
             node.forget()
             nodes += node.below.values()
-        self.start = self._state((None, self.root))
+        self.start = self._state(None, self.root)
 
     def _encode(self, text: str) -> bytes:
         """All ids of a text: from boundary to boundary, by what is remembered or by a walk."""
@@ -371,7 +399,7 @@ def _listed(codes: list[bytes | None]) -> pa.ListArray:
 
 class _Shared:
     """The tables as they are sent, and in a worker the vocabulary made of them: kept from task to task, with all that it
-    remembers, for as long as the worker's tasks have this broadcast, and no longer."""
+    remembers, for as long as the worker's tasks have this broadcast. Then all of it goes at once, back to the system."""
 
     def __init__(self, tables: dict):
         self.__setstate__(tables)
@@ -387,6 +415,12 @@ class _Shared:
             self.made = _Vocabulary(self.tables)
         return self.made
 
+    def __del__(self):
+        if self.made is not None:
+            self.made.close()
+            self.made = None
+            pa.system_memory_pool().release_unused()
+
 
 def _sent(docs: DataFrame, path: str) -> Broadcast:
     return docs.sparkSession.sparkContext.broadcast(_Shared(read_vocabulary(path)))
