@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from partita.functions.special import log_of
+from partita.operators.counts import by_unit
 from partita.operators.encode import Dataset
 from partita.operators.model import CLASS_PROBABILITIES, beta_bernoulli, class_priors, state_priors
 
@@ -50,7 +51,7 @@ def unit_own_score(data: Dataset, partition: DataFrame, rows: DataFrame) -> Data
     """unit_id, cluster, own: log probability of each unit given the rest of its cluster."""
     weights = _own_weights(rows)
     base = weights.groupBy("cluster").agg(F.sum("w0").alias("base"))
-    here = data.ones.join(partition, "unit_id").join(weights.select("cluster", "attr_id", (F.col("w1") - F.col("w0")).alias("d")), ["cluster", "attr_id"])
+    here = data.ones.join(by_unit(partition), "unit_id").join(weights.select("cluster", "attr_id", (F.col("w1") - F.col("w0")).alias("d")), ["cluster", "attr_id"])
     sums = here.groupBy("unit_id").agg(F.sum("d").alias("d"))
     return partition.join(base, "cluster").join(sums, "unit_id", "left").select("unit_id", "cluster", (F.col("base") + F.coalesce("d", F.lit(0.0))).alias("own"))
 

@@ -95,3 +95,13 @@ def test_tutorial_alignment(spark):
     assert [r["count"] for r in classes.groupBy("class").count().orderBy("class").collect()] == [4254, 533, 62]
     one = data.units.select("unit_id", F.lit(1).alias("cluster"))
     assert model.score_partition(data, one, hyper).first().score == pytest.approx(-167705.076518, abs=1e-5)
+
+
+def test_ones_are_never_gathered_in_the_driver(spark):
+    """Their files are small beside their rows, so Spark must not choose the side of a join by them."""
+    data, part = _planted(spark)
+    scores = written(model.state_scores(data, part, model.default_hyper(data)))
+    rows = written(assign.effective(scores, model.states(scores, model.classify_attributes(scores))))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for df in (counts.cluster_counts(data.ones, part, data.attributes), assign.unit_own_score(data, part, rows)):
+        assert "ShuffledHashJoin [unit_id" in plan(df)
