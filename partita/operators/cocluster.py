@@ -112,7 +112,7 @@ def _pack(entries: DataFrame, rows: DataFrame, ids: np.ndarray) -> DataFrame:
     """unit_id, w, at (places of attributes among ``ids``) and x of the units in ``rows``; others and unknown attributes
     have no part in a product."""
     known = entries.sparkSession.createDataFrame([(int(a), k) for k, a in enumerate(ids)], f"attr_id {dict(entries.dtypes)['attr_id']}, at int")
-    placed = entries.join(known, "attr_id").groupBy("unit_id").agg(F.array_sort(F.collect_list(F.struct("at", F.col("x").cast("double").alias("x")))).alias("e"))
+    placed = entries.join(F.broadcast(known), "attr_id").groupBy("unit_id").agg(F.array_sort(F.collect_list(F.struct("at", F.col("x").cast("double").alias("x")))).alias("e"))
     empty = F.expr("cast(array() as array<struct<at: int, x: double>>)")
     joined = rows.join(placed, "unit_id", "left").select("unit_id", "w", F.coalesce("e", empty).alias("e"))
     return joined.select("unit_id", "w", F.col("e.at").alias("at"), F.col("e.x").alias("x"))
@@ -259,7 +259,7 @@ def svd_init(data: Dataset, row_clusters: int, column_clusters: int) -> tuple[Da
     """W and H to start from: discretised leading singular vectors of the ones."""
     right, sigma = leading_directions(data, max(row_clusters, column_clusters))
     scaled = right.withColumn("h", F.array(*[F.col("h")[k] / float(sigma[k]) for k in range(row_clusters)]))
-    u = _filled(data.units.select("unit_id"), project(entries_of(data), scaled, "attr_id", "h", "unit_id", "w"), "unit_id", "w", row_clusters)
+    u = _filled(data.units.select("unit_id"), project(entries_of(data), F.broadcast(scaled), "attr_id", "h", "unit_id", "w"), "unit_id", "w", row_clusters)
     return discretise(u, "unit_id", "w"), discretise(right.withColumn("h", F.slice("h", 1, column_clusters)), "attr_id", "h")
 
 

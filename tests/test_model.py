@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from partita.functions.special import lgamma, log_or_inf
-from partita.operators import assign, counts, encode, model, report
+from partita.operators import assign, cocluster, counts, encode, model, report
 from partita.sources import tables
 from partita.sources.scratch import written
 
@@ -105,3 +105,6 @@ def test_ones_are_never_gathered_in_the_driver(spark):
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
     for df in (counts.cluster_counts(data.ones, part, data.attributes), assign.unit_own_score(data, part, rows)):
         assert "ShuffledHashJoin [unit_id" in plan(df)
+    known = np.array([r.attr_id for r in data.attributes.select("attr_id").collect()])
+    packed = plan(cocluster._pack(cocluster.entries_of(data), data.units.select("unit_id", F.expr("cast(array() as array<double>)").alias("w")), known))
+    assert "BroadcastHashJoin [attr_id" in packed and "BuildLeft" not in packed
