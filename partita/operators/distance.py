@@ -22,6 +22,12 @@ from partita.sources.scratch import written
 
 #: Units of which a dendrogram is made; every cut is extended to all units.
 SAMPLE = 2000
+#: Units and bits of a tile at most, and units of it that are compared with another at once.
+TILE, TILE_BITS, ABREAST = 2048, 1 << 24, 32
+#: Words of 64 attributes that are compared in the time in which a join makes a row.
+JOINED = 64
+#: Rows of pairs that a task gives at once.
+ROWS = 1 << 17
 
 
 def _sizes(data: Dataset) -> DataFrame:
@@ -34,11 +40,101 @@ def _distance(shared: str = "shared", a: str = "a", b: str = "b"):
     return F.when(union == 0, F.lit(0.0)).otherwise(1.0 - F.coalesce(F.col(shared), F.lit(0)) / union)
 
 
-def pairwise_distance(data: Dataset) -> DataFrame:
+class _Tile:
+    """Some units as bits, 64 attributes to a word, by word and unit, with their ids and numbers of ones."""
+
+    def __init__(self, batch: pa.RecordBatch, row: int, side: str):
+        take = lambda c, kind: np.frombuffer(batch.column(f"{c}_{side}")[row].as_py(), kind)
+        self.number, self.ids, self.sizes = batch.column(f"tile_{side}")[row].as_py(), take("ids", np.int64), take("sizes", np.int64)
+        self.bits = take("bits", np.uint64).reshape(-1, len(self.ids))
+
+
+def _tiles(data: Dataset) -> DataFrame:
+    """tile, ids, sizes, bits: all units, dealt to tiles by hash."""
+    packed, ids = _packed(data)
+    words = max(1, -(-len(ids) // 64))
+    tiles = max(1, -(-packed.count() // max(ABREAST, min(TILE, TILE_BITS // (64 * words)))))
+
+    def gather(table: pa.Table) -> pa.Table:
+        units = Units(table)
+        bits = np.zeros((words, len(units.ids)), np.uint64)
+        np.bitwise_or.at(bits, (units.flat >> 6, units.row), np.uint64(1) << (units.flat & 63).astype(np.uint64))
+        row = [table.column("tile")[0].as_py(), units.ids.astype(np.int64).tobytes(), units.lengths.astype(np.int64).tobytes(), bits.tobytes()]
+        return pa.Table.from_arrays([pa.array([v], k) for v, k in zip(row, [pa.int32(), *[pa.binary()] * 3])], ["tile", "ids", "sizes", "bits"])
+
+    dealt = packed.withColumn("tile", F.pmod(F.xxhash64("unit_id"), F.lit(tiles)).cast("int"))
+    return written(dealt.groupBy("tile").applyInArrow(gather, "tile int, ids binary, sizes binary, bits binary"))
+
+
+def _tile_pairs(tiles: DataFrame) -> DataFrame:
+    """Every two tiles, and every tile with itself, side by side; none is gathered or dealt out again."""
+    a, b = tiles.alias("a"), tiles.alias("b").hint("shuffle_replicate_nl")
+    return a.join(b, F.col("a.tile") <= F.col("b.tile")).select(*[F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in tiles.columns])
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Tile, slice, _Tile, np.ndarray]]:
+    """Some units of a tile at a time, and how many ones each has in common with each unit of another."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            a, b = _Tile(batch, row, "a"), _Tile(batch, row, "b")
+            for at in range(0, len(a.ids), ABREAST):
+                some = slice(at, at + ABREAST)
+                shared = np.zeros((len(a.ids[some]), len(b.ids)), np.uint16 if len(a.bits) < 1024 else np.uint32)
+                for x, y in zip(a.bits, b.bits):
+                    shared += np.bitwise_count(x[some, None] & y[None])
+                yield a, some, b, shared
+
+
+def _listed(found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Rows i, j, d with i < j from lots of ids, other ids and distances."""
+    held, n = [], 0
+
+    def batch() -> pa.RecordBatch:
+        x, y, d = (np.concatenate(c) for c in zip(*held))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(d)], ["i", "j", "d"])
+
+    for lot in found:
+        if len(lot[0]):
+            held.append(lot)
+            n += len(lot[0])
+        if n >= ROWS:
+            yield batch()
+            held, n = [], 0
+    if held:
+        yield batch()
+
+
+def _bits_are_cheaper(data: Dataset, n: int, joined: float) -> bool:
+    """Whether comparing n units bit by bit takes less than a join that makes so many rows."""
+    return n * n / 2 * (data.attributes.count() / 64 + 4) < JOINED * joined
+
+
+def _meetings(rows: DataFrame, key: str) -> float:
+    """Pairs of rows that agree in a key."""
+    return rows.groupBy(key).agg(F.count("*").cast("double").alias("c")).agg(F.sum(F.col("c") * F.col("c") / 2).alias("s")).first().s or 0.0
+
+
+def pairwise_distance(data: Dataset, *, tiled: bool | None = None) -> DataFrame:
     """i, j, d for all i < j: 1 less the share of common ones; two units without ones are at 0.
 
-    All pairs are asked for, so this is for samples and tests; at scale use ``near_pairs`` or ``nearest_medoid``.
+    All pairs are asked for, so this is for samples and tests; at scale use ``near_pairs`` or ``nearest_medoid``. Units
+    are compared bit by bit, every tile of them with every other, or (``tiled`` false) meet by their ones; the cheaper
+    if nothing is said.
     """
+    n = data.units.count()
+    if tiled or tiled is None and _bits_are_cheaper(data, n, n * n / 2 + _meetings(data.ones, "attr_id")):
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def found() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+                for a, some, b, shared in _compared(batches):
+                    x, y = np.repeat(a.ids[some], len(b.ids)), np.tile(b.ids, len(shared))
+                    d = _jaccard(a.sizes[some, None], shared, b.sizes[None]).ravel()
+                    kept = x < y if a.number == b.number else slice(None)
+                    yield x[kept], y[kept], d[kept]
+
+            return _listed(found())
+
+        return _tile_pairs(_tiles(data)).mapInArrow(run, "i long, j long, d double")
     left, right = data.ones.withColumnRenamed("unit_id", "i"), data.ones.withColumnRenamed("unit_id", "j")
     common = left.join(right, "attr_id").where(F.col("i") < F.col("j")).groupBy("i", "j").agg(F.count("*").alias("shared"))
     size = _sizes(data)
@@ -46,21 +142,28 @@ def pairwise_distance(data: Dataset) -> DataFrame:
     return grid.join(common, ["i", "j"], "left").select("i", "j", _distance().alias("d"))
 
 
-def near_pairs(data: Dataset, threshold: float) -> DataFrame:
+def near_pairs(data: Dataset, threshold: float, *, tiled: bool | None = None) -> DataFrame:
     """i, j, d for all pairs at most ``threshold`` apart (below 1), exactly. Units without ones are in no pair.
 
     A unit's attributes are ordered from the rarest on. Two units that are near have so many in common that one is
     among the first few of both, so only these are keys; common attributes hardly ever are. Of the pairs that meet,
     those stay whose sizes, and what follows the place where they met, leave room for enough common attributes.
+
+    Where no attribute is rare, as with signs of vectors, nearly all units would meet, and more than once: then they are
+    compared bit by bit, every tile of units with every other. ``tiled`` says which; the cheaper if nothing is said.
     """
     if not 0 <= threshold < 1:
         raise ValueError("a threshold from 0 to below 1 is needed")
     share = 1.0 - threshold - 1e-9
+    if tiled:
+        return _near_tiled(data, threshold, share)
     totals = data.ones.groupBy("attr_id").agg(F.count("*").alias("total"))
     ordered = data.ones.join(totals, "attr_id").groupBy("unit_id").agg(F.array_sort(F.collect_list(F.struct("total", "attr_id"))).alias("o"))
     units = written(ordered.select("unit_id", F.col("o.attr_id").alias("at"), F.size("o").alias("size")))
     needed = lambda size: F.ceil(F.lit(share) * size)
     keys = units.select("unit_id", "size", F.posexplode(F.slice("at", F.lit(1), (F.col("size") - needed(F.col("size")) + 1).cast("int"))).alias("place", "key"))
+    if tiled is None and _bits_are_cheaper(data, units.count(), _meetings(keys, "key")):
+        return _near_tiled(data, threshold, share)
     a, b = keys.alias("a"), keys.alias("b")
     both = F.ceil(F.lit(share / (1 + share)) * (F.col("a.size") + F.col("b.size")) - 1e-9)
     room = 1 + F.least(F.col("a.size") - F.col("a.place"), F.col("b.size") - F.col("b.place")) - 1
@@ -72,6 +175,24 @@ def near_pairs(data: Dataset, threshold: float) -> DataFrame:
     return met.join(sides[0], "i").join(sides[1], "j").select("i", "j", d.alias("d")).where(F.col("d") <= threshold + 1e-9)
 
 
+def _near_tiled(data: Dataset, threshold: float, share: float) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            for a, some, b, shared in _compared(batches):
+                # What the smallest unit of the other tile would need; those above it are looked at one by one.
+                least = np.maximum(np.floor(share / (1 + share) * (a.sizes[some] + b.sizes.min()) - 1e-6), 1)
+                u, w = np.divmod(np.flatnonzero(shared >= np.minimum(least, np.iinfo(shared.dtype).max).astype(shared.dtype)[:, None]), len(b.ids))
+                x, y, d = a.ids[some][u], b.ids[w], _jaccard(a.sizes[some][u], shared[u, w], b.sizes[w])
+                kept = d <= threshold + 1e-9
+                if a.number == b.number:
+                    kept &= x < y
+                yield x[kept], y[kept], d[kept]
+
+        return _listed(found())
+
+    return _tile_pairs(_tiles(data)).mapInArrow(run, "i long, j long, d double")
+
+
 def nearest_medoid(data: Dataset, medoids: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """unit_id, cluster, d: each unit with the nearest medoid, the first of equals. ``medoids`` has cluster and unit_id."""
     size = _sizes(data)
@@ -110,6 +231,62 @@ def k_medoids(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.sparkSession.createDataFrame([(c, u) for c, u in enumerate(chosen, 1)], "cluster int, unit_id long")
 
 
+def medoids(data: Dataset, k: int) -> DataFrame:
+    """cluster and unit_id of k medoids of all units, chosen as by ``k_medoids``, without a table of all pairs.
+
+    A round is one pass over all pairs of tiles; the medoids that are chosen go to the tasks, and each unit's distance to
+    the nearest of them is found there. What comes back is a sum for each unit.
+    """
+    tiles = _tiles(data)
+    pairs, found = _tile_pairs(tiles), []  # unit ids with their numbers of ones and bits
+
+    def sums(chosen: list[tuple[int, int, np.ndarray]]) -> DataFrame:
+        def nearest(tile: _Tile) -> np.ndarray:
+            return np.min([_jaccard(tile.sizes, np.bitwise_count(tile.bits & bits[:, None]).sum(0, dtype=np.int64), size) for _, size, bits in chosen], 0)
+
+        def value(d: np.ndarray, near: np.ndarray | None) -> np.ndarray:
+            return d if near is None else np.maximum(near - d, 0.0)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            last, held, near = (), {}, [None, None]
+            for a, some, b, shared in _compared(batches):
+                if last != (a.number, b.number):
+                    last = (a.number, b.number)
+                    near = [nearest(t)[v] if chosen else None for t, v in ((a, (slice(None), None)), (b, (None, slice(None))))]
+                    for t in (a, b):
+                        held.setdefault(t.number, (t.ids, np.zeros(len(t.ids))))
+                d = _jaccard(a.sizes[some, None], shared, b.sizes[None])
+                held[a.number][1][some] += value(d, near[1]).sum(1)
+                if a.number != b.number:
+                    held[b.number][1][:] += value(d, near[0][some] if chosen else None).sum(0)
+            for ids, total in held.values():
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], ["unit_id", "t"])
+
+        return pairs.mapInArrow(run, "unit_id long, t double").groupBy("unit_id").agg(F.sum("t").alias("t"))
+
+    while len(found) < k:
+        total = F.round("t", 9)
+        left = sums(found).where(~F.col("unit_id").isin([u for u, _, _ in found]))
+        row = left.orderBy(F.desc(total) if found else total, "unit_id").limit(1).first()
+        if row is None:
+            break
+        found.append(_of_tiles(tiles, row.unit_id))
+    return data.units.sparkSession.createDataFrame([(c, u) for c, (u, _, _) in enumerate(found, 1)], "cluster int, unit_id long")
+
+
+def _of_tiles(tiles: DataFrame, unit: int) -> tuple[int, int, np.ndarray]:
+    """A unit with its number of ones and its bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for tile in (_Tile(batch, row, "a") for row in range(batch.num_rows)):
+                for at in np.flatnonzero(tile.ids == unit)[:1]:
+                    yield pa.RecordBatch.from_arrays([pa.array([int(tile.sizes[at])]), pa.array([tile.bits[:, at].tobytes()])], ["size", "bits"])
+
+    row = tiles.select(*[F.col(c).alias(f"{c}_a") for c in tiles.columns]).mapInArrow(run, "size long, bits binary").first()
+    return unit, row.size, np.frombuffer(bytes(row.bits), np.uint64)
+
+
 def _dendrogram_cuts(d: np.ndarray, most: int) -> np.ndarray:
     """Complete linkage: row k - 1 has the clusters (from 1) of each unit when k are left."""
     n = len(d)
