@@ -42,3 +42,11 @@ def test_near_pairs_of_tiles(spark, data, data_dir, monkeypatch):
     df = registry.QUERIES["near_pairs_embeddings"](spark, data_dir)
     assert "CartesianProduct" in plan(df) and "SortMergeJoin" not in plan(df)  # no attribute is rare there
     assert sorted(tuple(r) for r in df.select("i", "j", "d").collect()) == sorted(by_sql(data_dir, "near_pairs_embeddings").fetchall())
+
+
+def test_medoids_of_tiles(spark, data, monkeypatch):
+    monkeypatch.setattr(distance, "TILE", 33)
+    assert sorted(distance.medoids(data, 5).collect()) == sorted(distance.k_medoids(distance.pairwise_distance(data, tiled=False), 5).collect())
+    one = encode.Dataset(data.units.where("unit_id = 7"), None, data.attributes, data.ones.where("unit_id = 7"))
+    assert [tuple(r) for r in distance.medoids(one, 3).collect()] == [(1, 7)]  # a unit alone is in no pair
+    assert distance.medoids(encode.Dataset(data.units.limit(0), None, data.attributes, data.ones.limit(0)), 3).count() == 0
