@@ -50,3 +50,10 @@ def test_medoids_of_tiles(spark, data, monkeypatch):
     one = encode.Dataset(data.units.where("unit_id = 7"), None, data.attributes, data.ones.where("unit_id = 7"))
     assert [tuple(r) for r in distance.medoids(one, 3).collect()] == [(1, 7)]  # a unit alone is in no pair
     assert distance.medoids(encode.Dataset(data.units.limit(0), None, data.attributes, data.ones.limit(0)), 3).count() == 0
+
+
+def test_thresholds_share_one_comparison(spark, data_dir):
+    df = registry.QUERIES["near_pairs_by_threshold_embeddings"](spark, data_dir)
+    assert plan(df).count("CartesianProduct") == 1
+    got = sorted((r.threshold, r.i, r.j, r.d) for r in df.collect())
+    assert got == sorted(by_sql(data_dir, "near_pairs_by_threshold_embeddings").fetchall())
