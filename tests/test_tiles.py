@@ -57,3 +57,14 @@ def test_thresholds_share_one_comparison(spark, data_dir):
     assert plan(df).count("CartesianProduct") == 1
     got = sorted((r.threshold, r.i, r.j, r.d) for r in df.collect())
     assert got == sorted(by_sql(data_dir, "near_pairs_by_threshold_embeddings").fetchall())
+
+
+def test_all_pairs_of_tiles(spark, data, data_dir, monkeypatch):
+    monkeypatch.setattr(distance, "TILE", 33)
+    pairs = rows_of(distance.pairwise_distance(data, tiled=True))
+    assert len(pairs) == 70 * 69 // 2 and (66, 67, 0.0) in pairs
+    assert pairs == rows_of(distance.pairwise_distance(data, tiled=False))
+    df = registry.QUERIES["pairwise_distance_embeddings"](spark, data_dir)
+    assert "CartesianProduct" in plan(df)
+    wanted = by_sql(data_dir, "pairwise_distance_embeddings").fetchall()
+    assert sorted(tuple(r) for r in df.select("i", "j", "d").collect()) == sorted(wanted)
